@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; all texts of the training fold are the unlabelled mixture.
 Features are whether a text has a word or one of its beginnings (four, five or six bytes), hashed.
 Document frequencies of all features are counted over the whole training fold, for positives and for
-the mixture; the `features` whose log odds speak most clearly for or against toxicity are kept. On
+the mixture; the `features` whose log odds speak most clearly for toxicity are kept. On
 bounded samples of both, a numpy logistic model minimises the class-prior-corrected risk
     prior * R(positives as 1) + max(0, R(mixture as 0) - prior * R(positives as 0)),
 whose second part is kept from going negative. The prior is the share of toxic labels in the
@@ -157,7 +157,7 @@ def nnpu(positive: list[np.ndarray], mixture: list[np.ndarray], n: int, prior: f
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_000, n_features: int = 20_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_000, n_features: int = 20_000, purity: float = 0.9) -> Scorer:
     """docs: doc_id and text of the training fold. labels: doc_id and toxic; only rows of the training fold are used.
 
     sample: at most so many texts of each kind (toxic, not toxic, mixture) fit the weights and the cut.
@@ -176,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_0
         return nothing
     p, u = freq_p[:-1], freq_u[:-1]
     odds = np.log((p + 0.5) / (freq_p[-1] + 1)) - np.log((u + 0.5) / (freq_u[-1] + 1))
-    clear = np.where((p >= 2) & (odds > 0), odds * np.sqrt(p), 0)
-    clear[(odds < 1.0)] = 0
+    # of the mixture's texts with the feature, so many must be toxic by the prior; odds end at -log(prior)
+    pure = float(share["p"]) * np.exp(odds) >= purity
+    clear = np.where((p >= max(2, 0.003 * freq_p[-1])) & pure, odds * np.sqrt(p), 0)
     kept = np.sort(np.argsort(-clear, kind="stable")[: min(n_features, int((clear > 0).sum()))])
     total = int(freq_u[-1])
     mixture = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < min(1.0, sample / total) * (1 << 30))

@@ -122,9 +122,10 @@ def tokens(page: str) -> list[tuple[str, int, int, str]]:
             block += 1
         if kind == "close":
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            before = zones
             if k is not None:
                 pop(k)
-            if not zones and tag not in CONTENT:
+            if not before and tag not in CONTENT:
                 out.append((f"tag:/{tag}" if tag in _TAGS else "tag:/other", 0, -1, ""))
             continue
         if zones and (tag in CONTENT or tag == "h1"):  # an unclosed zone ends here

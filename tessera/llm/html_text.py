@@ -206,7 +206,7 @@ def _weight(of: dict[str, float], t: str) -> float:
         return 0.0
     if t in of:
         return of[t]
-    return 0.5 if t.startswith("word") else -0.5 if t.startswith("link") else -0.3
+    return 1.0 if t.startswith("word") else -0.5 if t.startswith("link") else -0.3
 
 
 def extract(page: str | None, of: dict[str, float]) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, langid, toxicity
 from .common import in_training, table
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_verdicts
@@ -32,6 +33,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, width=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,

@@ -6,6 +6,8 @@ J(x, y) >= t. Jaccard distance d = 1 - J is a metric, and with it everything is
 1. Pivots are single shingles, the rarest first (by a count of hashed shingles over all documents).
    A class lies nearest to all shingles that it has, and two linked classes share one of the first
    n - ceil(t n) + 1 of each, so a class goes to the regions of those (its boundary window).
+   Where more of them must be shared (the windows are a little wider than that), pairs met in small
+   regions alone count only if they meet often enough.
 2. Inside a region, counts of a class's shingles by the first six bits of their hash are compared.
    Their L1 distance never exceeds the size of the symmetric difference, so it is a metric that can
    only let through too much. Leaders capture the classes within a radius; by the triangle
@@ -42,6 +44,8 @@ from .textnum import chunks, shingles
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: Counts that bound the difference of two sets.
 CELLS = 64
+#: Regions of at most so many classes have their pairs compared directly.
+SMALL = 8
 #: Bits of the table of classes whose sets are needed again.
 BLOOM = 1 << 24
 
@@ -107,8 +111,16 @@ class Bounds:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den, self.t = num, den, num / den
 
+    def shares(self, n: np.ndarray | int) -> np.ndarray | int:
+        """So many pivots at least are shared by linked classes, the smaller of which has size n, if each goes to prefix(n) regions."""
+        return 1 + (n - -(-self.num * n // self.den)) // 8
+
     def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + self.shares(n)
+
+    def difference(self, distance: float, sizes: np.ndarray) -> np.ndarray:
+        """The largest symmetric difference of two sets of these sizes in sum at a Jaccard distance."""
+        return distance / (2 - distance) * sizes + 1e-9
 
     def wide(self, radius: float) -> float:
         """A class linked to one within radius * n of a leader of size n is within wide(radius) * n of it."""
@@ -209,7 +221,7 @@ class Leaders:
 
 
 def loose_edges(rows: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b, s, salt, k, n, cells, radius): loose edges (a, b) of all regions, and the leaders of salted ones (k and what follows)."""
+    """(a, b, need, s, salt, k, n, cells, radius): loose edges (a, b), which hold where at least `need` regions have them, and the leaders of salted regions (s and what follows)."""
     rows = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "k").select("s", "salt", "k", "n", "cells")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,40 +236,48 @@ def loose_edges(rows: DataFrame, bounds: Bounds) -> DataFrame:
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
             edges: list[tuple[bytes, bytes]] = []
             closed = []
-            # regions of two rows that lie inside the batch are compared all at once
-            two = np.flatnonzero(ends - starts == 2)
-            two = two[(starts[two] > 0) & (ends[two] < len(s)) & (salt[starts[two]] < 0)]
-            if len(two):
-                i = starts[two]
-                far = np.abs(cells[i].astype(np.int16) - cells[i + 1]).sum(1)
-                i = i[far <= bounds.wide(1 - bounds.t) * n[i]]
-                edges += [(x, y) for x, y in zip(keys.take(pa.array(i)).to_pylist(), keys.take(pa.array(i + 1)).to_pylist(), strict=True) if x != y]
-            rest = np.flatnonzero((ends - starts > 2) | (starts == 0) | (ends == len(s)) | (salt[starts] >= 0))
+            # in small regions inside the batch all pairs are compared at once; a pair counts by the regions that it shares
+            size = ends - starts
+            small = (size <= SMALL) & (starts > 0) & (ends < len(s)) & (salt[starts] < 0)
+            last = np.repeat(np.where(small, ends, 0), size)  # for each row: the end of its small region, else 0
+            pairs = []
+            for gap in range(1, SMALL):
+                i = np.flatnonzero(np.arange(len(s)) + gap < last)
+                if not len(i):
+                    break
+                far = np.abs(cells[i].astype(np.int16) - cells[i + gap]).sum(1)
+                both = n[i].astype(np.int64) + n[i + gap]
+                i = i[far <= bounds.difference(1 - bounds.t, both)]
+                need = np.minimum(bounds.shares(n[i]), bounds.shares(n[i + gap]))
+                one, two = keys.take(pa.array(i)).to_pylist(), keys.take(pa.array(i + gap)).to_pylist()
+                pairs += [(min(x, y), max(x, y), c) for x, y, c in zip(one, two, need.tolist(), strict=True) if x != y]
+            rest = np.flatnonzero(~small & ((size > 1) | (starts == 0) | (ends == len(s)) | (salt[starts] >= 0)))
             for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
                 if (s[a], salt[a]) != region:
                     if state is not None and region[1] >= 0:
                         closed.append((region, state))
                     region, state = (s[a], salt[a]), Leaders(bounds)
                 state.add(keys.slice(a, b - a).to_pylist(), n[a:b], cells[a:b], edges)
-            yield _edges(edges, closed)
+            yield _edges(edges, closed, pairs)
         if state is not None and region[1] >= 0:
             yield _edges([], [(region, state)])
 
     return rows.mapInArrow(lead, _EDGES)
 
 
-_EDGES = "a binary, b binary, s long, salt int, k binary, n int, cells binary, radius double"
+_EDGES = "a binary, b binary, need int, s long, salt int, k binary, n int, cells binary, radius double"
 
 
-def _edges(edges: list, closed: list) -> pa.RecordBatch:
+def _edges(edges: list, closed: list, pairs: list = ()) -> pa.RecordBatch:
     led = [(int(r[0]), int(r[1]), k, n, c, d) for r, x in closed for k, n, c, d in zip(x.k, x.n, x.cells, x.radius, strict=True)]
     none = [None] * len(led)
-    edges = list(dict.fromkeys(edges))
+    edges = [*((x, y, 0) for x, y in dict.fromkeys(edges)), *pairs]
     more = [None] * len(edges)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([a for a, _ in edges] + none, pa.binary()),
-            pa.array([b for _, b in edges] + none, pa.binary()),
+            pa.array([e[0] for e in edges] + none, pa.binary()),
+            pa.array([e[1] for e in edges] + none, pa.binary()),
+            pa.array([e[2] for e in edges] + none, pa.int32()),
             pa.array(more + [x[0] for x in led], pa.int64()),
             pa.array(more + [x[1] for x in led], pa.int32()),
             pa.array(more + [x[2] for x in led], pa.binary()),
@@ -265,7 +285,7 @@ def _edges(edges: list, closed: list) -> pa.RecordBatch:
             pa.array(more + [x[4].astype(np.uint8).tobytes() for x in led], pa.binary()),
             pa.array(more + [min(x[5], 1e9) for x in led], pa.float64()),
         ],
-        ["a", "b", "s", "salt", "k", "n", "cells", "radius"],
+        ["a", "b", "need", "s", "salt", "k", "n", "cells", "radius"],
     )
 
 
@@ -305,7 +325,8 @@ class Region:
         self.n = np.array([len(x) for x in sets])
         self.at = np.concatenate(([0], np.cumsum(self.n)))
         self.all = np.concatenate(sets)
-        self.cells = np.stack([_cells(x) for x in sets]).astype(np.int16)
+        width = int(np.clip(np.ceil(np.log2(self.n.mean() / 4)), 6, 12))  # longer sets need more cells to tell apart
+        self.cells = np.stack([np.minimum(np.bincount((x >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width), 30_000) for x in sets]).astype(np.int16)
         self.root = np.arange(len(sets))
         self.edges: list[tuple[int, int]] = []
 
@@ -321,6 +342,14 @@ class Region:
         sums = np.concatenate(([0], np.cumsum(hit)))
         return sums[ends] - sums[ends - n]
 
+    def near(self, i: int, others: np.ndarray, distance: float) -> np.ndarray:
+        """Those of the others that may lie within the distance of i, as far as cells tell."""
+        kept = []
+        for lo in range(0, len(others), 4096):
+            o = others[lo : lo + 4096]
+            kept.append(o[np.abs(self.cells[o] - self.cells[i]).sum(1) <= self.bounds.difference(min(distance, 1.0), self.n[o] + self.n[i])])
+        return np.concatenate(kept) if kept else others
+
     def tie(self, i: int, j: int) -> None:
         a, b = self.root[i], self.root[j]
         if a != b:
@@ -330,8 +359,7 @@ class Region:
     def look(self, i: int, others: np.ndarray) -> None:
         """Ties i to those of the others that it links with, one of each component at most; those whose cells differ too much aren't read."""
         others = others[self.root[others] != self.root[i]]
-        most = (1 - self.bounds.t) / (1 + self.bounds.t) * (self.n[others] + self.n[i]) + 1e-9
-        others = others[np.abs(self.cells[others] - self.cells[i]).sum(1) <= most]
+        others = self.near(i, others, 1 - self.bounds.t)
         if len(others):
             for j in others[self.bounds.linked(self.shared(i, others), self.n[others], self.n[i])].tolist():
                 self.tie(i, j)
@@ -339,26 +367,28 @@ class Region:
     def join(self) -> list[tuple[int, int]]:
         """Ties until what is linked is connected."""
         r = 1 - self.bounds.t
-        left = np.arange(len(self.n))
-        while len(left) > 1:
-            # the pivot has the shingles that most others have
-            flat = self.all[np.concatenate([np.arange(self.at[i], self.at[i + 1]) for i in left.tolist()])] if len(left) < len(self.n) else self.all
-            _, back, often = np.unique(flat, return_inverse=True, return_counts=True)
-            ends = np.cumsum(self.n[left])
-            sums = np.concatenate(([0], np.cumsum(often[back])))
-            p = int(left[np.argmax((sums[ends] - sums[ends - self.n[left]]) / self.n[left])])
-            others = left[left != p]
+        _, back, often = np.unique(self.all, return_inverse=True, return_counts=True)
+        sums = np.concatenate(([0], np.cumsum(often[back])))
+        common = (sums[self.at[1:]] - sums[self.at[:-1]]) / self.n
+        left = np.argsort(-common, kind="stable")  # pivots are those whose shingles most others have
+        free = np.ones(len(left), bool)
+        for p in left.tolist():
+            if not free[p]:
+                continue
+            free[p] = False
+            others = self.near(p, left[free[left]], 2 * r)  # the triangle inequality keeps the rest from all that p catches
+            if not len(others):
+                continue
             inter = self.shared(p, others)
             d = self.bounds.apart(inter, self.n[others], self.n[p])
             caught = self.bounds.linked(inter, self.n[others], self.n[p])
+            free[others[caught]] = False
             for j in others[caught].tolist():
                 self.tie(p, j)
             inside, din = np.concatenate(([p], others[caught])), np.concatenate(([0.0], d[caught]))
-            outside, dout = others[~caught], d[~caught]
-            for i, di in zip(outside.tolist(), dout.tolist(), strict=True):
-                if di <= 2 * r + 1e-9:  # else the triangle inequality keeps it from all that was caught
-                    self.look(i, inside[din >= di - r - 1e-9])
-            left = outside
+            around = ~caught & (d <= 2 * r + 1e-9)
+            for i, di in zip(others[around].tolist(), d[around].tolist(), strict=True):
+                self.look(i, inside[din >= di - r - 1e-9])
         return self.edges
 
 
@@ -485,7 +515,7 @@ def wanted_sets(docs: DataFrame, width: int, members: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "k binary, set binary")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), hot: int = 20_000, task_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), hot: int = 20_000, task_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document.
 
     hot: documents with a shingle from which its region is split by salt. task_bytes: bytes of sets
@@ -495,7 +525,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
     made, counts = classes(docs, width)
     kinds = made.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"))
     loose = stage(loose_edges(region_rows(docs, width, counts, bounds, hot), bounds), "loose")
-    edges = loose.where("a is not null").select("a", "b").distinct()
+    met = loose.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    edges = met.where("n >= need").select("a", "b")
     edges = edges.unionByName(salted_edges(loose.where("s is not null"), bounds))
     loosely = stage(connected_components(edges), "loosely")
     members = wanted_sets(docs, width, loosely)

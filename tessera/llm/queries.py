@@ -13,6 +13,7 @@ from .common import in_training, table
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii
 from .quality_rules import quality_verdicts
 
 
@@ -20,6 +21,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_list").cast("binary"), 256).alias("base_sha256"), F.col("span_list").alias("spans")
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(table(spark, sf_dir, "documents"), path, ids_crc32=F.crc32("ids"))
@@ -58,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_pii": op2_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

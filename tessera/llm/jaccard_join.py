@@ -80,14 +80,13 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 n.append(len(u))
                 k.append(_key(u) if len(u) else None)
                 np.add.at(total, (u & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            nothing = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         packed = [zlib.compress(x.tobytes(), 1) for x in total.astype("<u4").reshape(-1, BLOCK)] if total.any() else []
-        none = pa.nulls(len(packed))
-        yield pa.RecordBatch.from_arrays(
-            [none.cast(batch.column(0).type if total.any() else pa.null()) if packed else pa.nulls(0), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())],
-            names,
-        ) if packed else pa.RecordBatch.from_pydict({c: [] for c in names})
+        if packed:
+            m = len(packed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(packed, pa.binary())], names
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -544,3 +543,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
     return made.join(named, "k", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id, then text hash (a null doc_id comes first). Documents without words stay."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    found = jaccard_components(docs.select(row.alias("doc_id"), "text"), width, similarity).where("class_id is not null")
+    found = stage(found.select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_h"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "components")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    left = docs.join(found.where(~F.col("stays")).select("_d", "_h").distinct(), same, "left_anti")
+    # rows repeated with doc_id and text: one of them
+    repeated = stage(found.where("stays").groupBy("_d", "_h").count().where("count > 1").select("_d", "_h"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same, "left_anti").unionByName(once)

@@ -100,20 +100,32 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return best
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document, and its words times that."""
-    sized = stage(sizes(docs), "sizes")
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
+    """(source, source_size, target, whole, upto): every document of a source is taken `whole` times, those with a hash up to `upto` once more."""
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = stage(plan.select("*", F.least(F.floor(share + 1e-12), F.lit(most)).cast("long").alias("whole")), "plan")
     budgets = plan.select("source", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)).alias("extra"))
-    cut = thresholds(sized, budgets)
-    plan = stage(
-        plan.join(cut.select(F.col("source").alias("_s"), "upto"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mixplan"
-    )
-    u = F.expr("h ^ -9223372036854775808")
-    copies = F.least(F.col("whole") + F.when(u <= F.col("upto"), 1).otherwise(0), F.lit(most))
-    return (
-        sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
+    cut = thresholds(sized, budgets).select(F.col("source").alias("_s"), "upto")
+    return stage(plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mixplan")
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame, most: int = MOST) -> DataFrame:
+    """rows (with source and h) with the plan of their source and copies: how often the mix takes each."""
+    copies = F.least(F.col("whole") + F.when(F.expr("h ^ -9223372036854775808") <= F.col("upto"), 1).otherwise(0), F.lit(most))
+    return rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document, and its words times that."""
+    sized = stage(sizes(docs), "sizes")
+    return apply_mix(sized, plan_mix(sized, weights, most), most).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h"
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
+    """docs as often as the mix takes them, in docs' columns."""
+    plan = plan_mix(stage(sizes(docs), "sizes"), weights, most)
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), "source", F.xxhash64("doc_id", "text").alias("h"))
+    return apply_mix(named, plan, most).select(F.explode(F.array_repeat("_doc", F.col("copies").cast("int"))).alias("_doc")).select("_doc.*")

@@ -41,7 +41,7 @@ from .common import connected_components, drop_staged, stage
 from .textnum import chunks, shingles
 
 #: Buckets that shingles are counted in, and counts in a row of that table.
-BUCKETS, BLOCK = 1 << 20, 1 << 12
+BUCKETS, BLOCK = 1 << 22, 1 << 14
 #: Counts that bound the difference of two sets.
 CELLS = 64
 #: Regions of at most so many classes have their pairs compared directly.
@@ -72,16 +72,16 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         names = ["doc_id", "n", "k", "block", "counts"]
         for batch in batches:
             n, k = [], []
             for u in _sets(batch.column(1), width):
                 n.append(len(u))
                 k.append(_key(u) if len(u) else None)
-                np.add.at(total, (u & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(total, (u & np.uint64(BUCKETS - 1)).astype(np.int64), np.int32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        packed = [zlib.compress(x.tobytes(), 1) for x in total.astype("<u4").reshape(-1, BLOCK)] if total.any() else []
+        packed = [zlib.compress(x.tobytes(), 1) for x in total.astype("<u4", copy=False).reshape(-1, BLOCK)] if total.any() else []
         if packed:
             m = len(packed)
             yield pa.RecordBatch.from_arrays(
@@ -520,26 +520,35 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
     hot: documents with a shingle from which its region is split by salt. task_bytes: bytes of sets
     that one task joins. class_id is a digest of the set, null for an empty one.
     """
-    bounds = Bounds(*similarity)
+    spark, batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1000")  # rows are whole texts and sets: a task holds few at a time
+    try:
+        return _components(docs, width, Bounds(*similarity), hot, task_bytes)
+    finally:
+        spark.conf.set(batch, before)
+
+
+def _components(docs: DataFrame, width: int, bounds: Bounds, hot: int, task_bytes: int) -> DataFrame:
     made, counts = classes(docs, width)
-    kinds = made.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    kinds = made.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     loose = stage(loose_edges(region_rows(docs, width, counts, bounds, hot), bounds), "loose")
     met = loose.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
     edges = met.where("n >= need").select("a", "b")
     edges = edges.unionByName(salted_edges(loose.where("s is not null"), bounds))
     loosely = stage(connected_components(edges), "loosely")
-    members = wanted_sets(docs, width, loosely)
-    rows = stage(members.join(loosely, F.col("k") == F.col("node")).select(F.hex("root").alias("region"), "k", "set"), "sets")
-    size = stage(rows.groupBy("region").agg(F.sum(F.length("set")).alias("bytes")), "bytes")
-    exact = exact_edges(rows.join(size.where(F.col("bytes") <= task_bytes), "region", "left_semi"), bounds)
-    if size.where(F.col("bytes") > task_bytes).limit(1).count():
-        exact = exact.unionByName(large_edges(rows.join(size.where(F.col("bytes") > task_bytes), "region", "left_semi").dropDuplicates(["region", "k"]), bounds, task_bytes))
+    size = loosely.join(kinds, F.col("node") == F.col("k")).groupBy("root").agg((8 * F.sum("n")).alias("bytes"))
+    of = stage(loosely.join(size, "root").select("node", F.hex("root").alias("region"), "bytes"), "of")
+    sets = lambda of: wanted_sets(docs, width, of).join(of, F.col("k") == F.col("node")).select("region", "k", "set")
+    exact = exact_edges(sets(of.where(F.col("bytes") <= task_bytes)), bounds)
+    if of.where(F.col("bytes") > task_bytes).limit(1).count():
+        large = stage(sets(of.where(F.col("bytes") > task_bytes)).dropDuplicates(["region", "k"]), "sets")
+        exact = exact.unionByName(large_edges(large, bounds, task_bytes))
     roots = connected_components(exact)
     low = roots.join(kinds, F.col("node") == F.col("k")).groupBy("root").agg(F.min("rep").alias("low"))
-    of = roots.join(low, "root").select(F.col("node").alias("k"), "low")
-    named = stage(kinds.join(of, "k", "left").select("k", F.coalesce("low", "rep").alias("component_id")), "named")
-    for used in (loose, rows):
-        drop_staged(used)
+    low_of = roots.join(low, "root").select(F.col("node").alias("k"), "low")
+    named = stage(kinds.join(low_of, "k", "left").select("k", F.coalesce("low", "rep").alias("component_id")), "named")
+    drop_staged(loose)
     return made.join(named, "k", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

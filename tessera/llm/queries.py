@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, toxicity
+from . import audio, html_text, langid, licenses, toxicity
 from .common import in_training, table
 from .jaccard_join import jaccard_components
 from .mixing import mix
@@ -27,6 +27,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.align(audio.fingerprints(audio.sonified(table(spark, sf_dir, "embeddings"))))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(table(spark, sf_dir, "documents"), path, ids_crc32=F.crc32("ids"))
@@ -66,6 +74,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii": op2_pii,
+    "op3_license_scan": op3_license_scan,
+    "op5_chroma_fingerprints": op5_chroma_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -74,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL}

@@ -63,29 +63,34 @@ def _key(u: np.ndarray) -> bytes:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
 
 
+def _id(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _cells(u: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, k) of all documents, k a digest of the set, null if empty; and the number of documents by bucket of shingles."""
+    """(doc_id, n, k, id, cells) of all documents, k a digest of the set, null if empty, and id its first eight bytes; and the number of documents by bucket of shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int32)
-        names = ["doc_id", "n", "k", "block", "counts"]
+        names = ["doc_id", "n", "k", "id", "cells", "block", "counts"]
         for batch in batches:
-            n, k = [], []
+            n, k, cells = [], [], []
             for u in _sets(batch.column(1), width):
                 n.append(len(u))
                 k.append(_key(u) if len(u) else None)
+                cells.append(_cells(u).tobytes() if len(u) else None)
                 np.add.at(total, (u & np.uint64(BUCKETS - 1)).astype(np.int64), np.int32(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array([x and _id(x) for x in k], pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         packed = [zlib.compress(x.tobytes(), 1) for x in total.astype("<u4", copy=False).reshape(-1, BLOCK)] if total.any() else []
         if packed:
             m = len(packed)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(packed, pa.binary())], names
+                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(packed, pa.binary())], names
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +101,12 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 sums[i] = sums[i] + v if i in sums else v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["block", "counts"])
 
-    made = stage(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, k binary, block int, counts binary"), "shingles")
+    made = stage(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, k binary, id long, cells binary, block int, counts binary"), "shingles")
     counts = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
     partial = made.where("block is not null").select("block", "counts").repartition("block")
     for r in partial.mapInArrow(add, "block int, counts binary").collect():  # BUCKETS / BLOCK rows
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    return made.where("block is null").select("doc_id", "n", "k"), counts.reshape(-1)
+    return made.where("block is null").select("doc_id", "n", "k", "id", "cells"), counts.reshape(-1)
 
 
 class Bounds:
@@ -133,40 +138,68 @@ class Bounds:
 
 
 def region_rows(docs: DataFrame, width: int, counts: np.ndarray, bounds: Bounds, hot: int) -> DataFrame:
-    """(s, salt, pos, k, n, cells): each class in the regions of its first shingles, rarest first; once at most in a task. Regions that aren't split have salt -1."""
+    """(s, salt, pos, id, n): each class in the regions of its first shingles, rarest first; once at most in a task. Regions that aren't split have salt -1."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, done = shared.value, set()
         for batch in batches:
-            s, salt, pos, k, n, cells = [], [], [], [], [], []
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
             for u in _sets(batch.column(0), width):
                 if not len(u) or (key := _key(u)) in done:
                     continue
                 done.add(key)
                 c = of[(u & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
                 order = np.argsort((np.minimum(c, (1 << 23) - 1) << 40) | (u >> np.uint64(24)).astype(np.int64), kind="stable")[: bounds.prefix(len(u))]
-                s.append(u[order].view(np.int64))
-                salts = 1 + c[order] // hot
-                salt.append(np.where(salts > 1, int.from_bytes(key[:4], "little") % salts, -1))
-                pos.append(np.arange(len(order), dtype=np.int32))
-                k += [key] * len(order)
-                n += [len(u)] * len(order)
-                cells += [_cells(u).tobytes()] * len(order)
-                if len(k) > 50_000:
-                    yield _batch(s, salt, pos, k, n, cells)
-                    s, salt, pos, k, n, cells = [], [], [], [], [], []
-            if k:
-                yield _batch(s, salt, pos, k, n, cells)
-
-    return docs.select("text").mapInArrow(emit, "s long, salt int, pos int, k binary, n int, cells binary")
-
-
-def _batch(s: list, salt: list, pos: list, k: list, n: list, cells: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(s)), pa.array(np.concatenate(salt).astype(np.int32)), pa.array(np.concatenate(pos)), pa.array(k, pa.binary()), pa.array(n, pa.int32()), pa.array(cells, pa.binary())],
-        ["s", "salt", "pos", "k", "n", "cells"],
-    )
+                salts, m = 1 + c[order] // hot, len(order)
+                parts[0].append(u[order].view(np.int64))
+                parts[1].append(np.where(salts > 1, int.from_bytes(key[:4], "little") % salts, -1).astype(np.int32))
+                parts[2].append(np.arange(m, dtype=np.int32))
+                parts[3].append(np.full(m, _id(key)))
+                parts[4].append(np.full(m, len(u), np.int32))
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["s", "salt", "pos", "id", "n"])
+
+    return docs.select("text").mapInArrow(emit, "s long, salt int, pos int, id long, n int")
+
+
+def met_pairs(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """(a, b, need, s, salt, pos, id): the pairs (a, b) of each small region, of which `need` regions must have them; and the rows (s, salt, pos, id) of other regions."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, salt, pos, ids, n = (c.to_numpy() for c in batch.columns)
+            cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(salt) != 0)) + 1
+            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
+            size = ends - starts
+            # a region that reaches over an end of the batch may be larger than it seems
+            small = (size <= SMALL) & (starts > 0) & (ends < len(s)) & (salt[starts] < 0)
+            last = np.repeat(np.where(small, ends, 0), size)
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for gap in range(1, SMALL):
+                i = np.flatnonzero(np.arange(len(s)) + gap < last)
+                if not len(i):
+                    break
+                near = (bounds.den * np.minimum(n[i], n[i + gap]) >= bounds.num * np.maximum(n[i], n[i + gap])) & (ids[i] != ids[i + gap])
+                one.append(i[near])
+                two.append(i[near] + gap)
+            i, j = np.concatenate(one), np.concatenate(two)
+            need = np.minimum(bounds.shares(n[i]), bounds.shares(n[j])).astype(np.int32)
+            rest = np.flatnonzero(np.repeat(~small & ((size > 1) | (starts == 0) | (ends == len(s)) | (salt[starts] >= 0)), size))
+            x, y = pa.nulls(len(rest), pa.int64()), pa.nulls(len(i), pa.int64())
+            join = lambda values, nulls, first: pa.concat_arrays([pa.array(values), nulls] if first else [nulls, pa.array(values)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    join(np.minimum(ids[i], ids[j]), x, True), join(np.maximum(ids[i], ids[j]), x, True), join(need, x.cast(pa.int32()), True),
+                    join(s[rest], y, False), join(salt[rest], y.cast(pa.int32()), False), join(pos[rest], y.cast(pa.int32()), False), join(ids[rest], y, False),
+                ],
+                ["a", "b", "need", "s", "salt", "pos", "id"],
+            )
+
+    dealt = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "id")
+    return dealt.mapInArrow(meet, "a long, b long, need int, s long, salt int, pos int, id long")
 
 
 class Leaders:
@@ -177,13 +210,13 @@ class Leaders:
 
     def __init__(self, bounds: Bounds) -> None:
         self.bounds = bounds
-        self.k: list[bytes] = []
+        self.k: list[int] = []
         self.n: list[int] = []
         self.cells: list[np.ndarray] = []
         self.radius: list[float] = []
         self.group: list[int] = []
 
-    def add(self, k: list[bytes], n: np.ndarray, cells: np.ndarray, edges: list[tuple[bytes, bytes]]) -> None:
+    def add(self, k: list, n: np.ndarray, cells: np.ndarray, edges: list[tuple]) -> None:
         """New classes of the region; appends the loose edges."""
         cells = cells.astype(np.int16)
         left = np.arange(len(k))
@@ -220,77 +253,43 @@ class Leaders:
 
 
 def loose_edges(rows: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b, need, s, salt, k, n, cells, radius): loose edges (a, b), which hold where at least `need` regions have them, and the leaders of salted regions (s and what follows)."""
-    rows = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "k").select("s", "salt", "k", "n", "cells")
+    """(a, b, s, k, n, cells, radius): loose edges (a, b) of large regions, rows (s, salt, pos, id, n, cells); and the leaders of salted ones (s and what follows)."""
+    rows = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "id").select("s", "salt", "id", "n", "cells")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, state = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, salt, n = (batch.column(c).to_numpy() for c in (0, 1, 3))
-            keys = batch.column(2)
+            s, salt, ids, n = (batch.column(c).to_numpy() for c in range(4))
             cells = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS)
             cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(salt) != 0)) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
-            edges: list[tuple[bytes, bytes]] = []
+            edges: list[tuple[int, int]] = []
             closed = []
-            # in small regions inside the batch all pairs are compared at once; a pair counts by the regions that it shares
-            size = ends - starts
-            small = (size <= SMALL) & (starts > 0) & (ends < len(s)) & (salt[starts] < 0)
-            last = np.repeat(np.where(small, ends, 0), size)  # for each row: the end of its small region, else 0
-            pairs = []
-            for gap in range(1, SMALL):
-                i = np.flatnonzero(np.arange(len(s)) + gap < last)
-                if not len(i):
-                    break
-                far = np.abs(cells[i].astype(np.int16) - cells[i + gap]).sum(1)
-                both = n[i].astype(np.int64) + n[i + gap]
-                i = i[far <= bounds.difference(1 - bounds.t, both)]
-                need = np.minimum(bounds.shares(n[i]), bounds.shares(n[i + gap]))
-                one, two = keys.take(pa.array(i)).to_pylist(), keys.take(pa.array(i + gap)).to_pylist()
-                pairs += [(min(x, y), max(x, y), c) for x, y, c in zip(one, two, need.tolist(), strict=True) if x != y]
-            rest = np.flatnonzero(~small & ((size > 1) | (starts == 0) | (ends == len(s)) | (salt[starts] >= 0)))
-            for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True):
                 if (s[a], salt[a]) != region:
                     if state is not None and region[1] >= 0:
-                        closed.append((region, state))
+                        closed.append((region[0], state))
                     region, state = (s[a], salt[a]), Leaders(bounds)
-                state.add(keys.slice(a, b - a).to_pylist(), n[a:b], cells[a:b], edges)
-            yield _edges(edges, closed, pairs)
+                state.add(ids[a:b].tolist(), n[a:b], cells[a:b], edges)
+            yield _edges(edges, closed)
         if state is not None and region[1] >= 0:
-            yield _edges([], [(region, state)])
-
-    return rows.mapInArrow(lead, _EDGES)
-
-
-_EDGES = "a binary, b binary, need int, s long, salt int, k binary, n int, cells binary, radius double"
-
-
-def _edges(edges: list, closed: list, pairs: list = ()) -> pa.RecordBatch:
-    led = [(int(r[0]), int(r[1]), k, n, c, d) for r, x in closed for k, n, c, d in zip(x.k, x.n, x.cells, x.radius, strict=True)]
-    none = [None] * len(led)
-    edges = [*((x, y, 0) for x, y in dict.fromkeys(edges)), *pairs]
-    more = [None] * len(edges)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([e[0] for e in edges] + none, pa.binary()),
-            pa.array([e[1] for e in edges] + none, pa.binary()),
-            pa.array([e[2] for e in edges] + none, pa.int32()),
-            pa.array(more + [x[0] for x in led], pa.int64()),
-            pa.array(more + [x[1] for x in led], pa.int32()),
-            pa.array(more + [x[2] for x in led], pa.binary()),
-            pa.array(more + [x[3] for x in led], pa.int32()),
-            pa.array(more + [x[4].astype(np.uint8).tobytes() for x in led], pa.binary()),
-            pa.array(more + [min(x[5], 1e9) for x in led], pa.float64()),
-        ],
-        ["a", "b", "need", "s", "salt", "k", "n", "cells", "radius"],
-    )
+            yield _edges([], [(region[0], state)])
+
+    return rows.mapInArrow(lead, "a long, b long, s long, k long, n int, cells binary, radius double")
+
+
+def _edges(edges: list, closed: list) -> pa.RecordBatch:
+    led = [(int(s), k, n, c.astype(np.uint8).tobytes(), min(d, 1e9)) for s, x in closed for k, n, c, d in zip(x.k, x.n, x.cells, x.radius, strict=True)]
+    edges = list(dict.fromkeys(edges))
+    rows = [(a, b, None, None, None, None, None) for a, b in edges] + [(None, None, *x) for x in led]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["a", "b", "s", "k", "n", "cells", "radius"])
 
 
 def salted_edges(leaders: DataFrame, bounds: Bounds, most: int = 2048) -> DataFrame:
     """(a, b): loose edges between the leaders of a region that lies in several salts; beyond `most` leaders all of them are tied together."""
-    sorted_ = leaders.repartition("s").sortWithinPartitions("s", "salt", "k").select("s", "k", "n", "cells", "radius")
+    sorted_ = leaders.repartition("s").sortWithinPartitions("s", "k").select("s", "k", "n", "cells", "radius")
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, held = None, []
@@ -311,9 +310,9 @@ def salted_edges(leaders: DataFrame, bounds: Bounds, most: int = 2048) -> DataFr
                             edges.append((k, key))
                 if len(held) < most:
                     held.append((k, n, radius, c))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
-    return sorted_.mapInArrow(tie, "a binary, b binary")
+    return sorted_.mapInArrow(tie, "a long, b long")
 
 
 class Region:
@@ -480,8 +479,8 @@ def large_edges(rows: DataFrame, bounds: Bounds, most: int, levels: int = 3) ->
 
 
 def wanted_sets(docs: DataFrame, width: int, members: DataFrame) -> DataFrame:
-    """(k, set) of the classes in members (node); once at most in a task."""
-    bits = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("long")
+    """(k, id, set) of the classes with an id in members (node), and a few more; once at most in a task."""
+    bits = F.col("node").bitwiseAND(BLOOM - 1)
     maps = (
         members.select(F.shiftright(bits, 15).alias("i"), bits.bitwiseAND(32767).alias("at"))
         .groupBy("i")
@@ -500,18 +499,21 @@ def wanted_sets(docs: DataFrame, width: int, members: DataFrame) -> DataFrame:
             for u in _sets(batch.column(0), width):
                 if not len(u) or (key := _key(u)) in done:
                     continue
-                at = int.from_bytes(key[:3], "big")
+                at = _id(key) & (BLOOM - 1)
                 if there[at >> 3] >> (at & 7) & 1:
                     done.add(key)
                     k.append(key)
                     raw.append(u.tobytes())
                     held += len(raw[-1])
                     if held > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(raw, pa.binary())], ["k", "set"])
+                        yield pack(k, raw)
                         k, raw, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(raw, pa.binary())], ["k", "set"])
+            yield pack(k, raw)
+
+    def pack(k: list[bytes], raw: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([_id(x) for x in k], pa.int64()), pa.array(raw, pa.binary())], ["k", "id", "set"])
 
-    return docs.select("text").mapInArrow(emit, "k binary, set binary")
+    return docs.select("text").mapInArrow(emit, "k binary, id long, set binary")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), hot: int = 20_000, task_bytes: int = 32 << 20) -> DataFrame:
@@ -532,14 +534,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
 def _components(docs: DataFrame, width: int, bounds: Bounds, hot: int, task_bytes: int) -> DataFrame:
     made, counts = classes(docs, width)
     kinds = made.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    loose = stage(loose_edges(region_rows(docs, width, counts, bounds, hot), bounds), "loose")
-    met = loose.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
-    edges = met.where("n >= need").select("a", "b")
-    edges = edges.unionByName(salted_edges(loose.where("s is not null"), bounds))
+    known = made.where("k is not null").groupBy("id").agg(F.max("n").cast("int").alias("n"), F.min_by("cells", "k").alias("cells"))
+    met = stage(met_pairs(region_rows(docs, width, counts, bounds, hot), bounds), "met")
+    pairs = met.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    loose = stage(loose_edges(met.where("s is not null").select("s", "salt", "pos", "id").join(known, "id"), bounds), "loose")
+    edges = pairs.unionByName(loose.where("a is not null").select("a", "b")).unionByName(salted_edges(loose.where("s is not null"), bounds))
     loosely = stage(connected_components(edges), "loosely")
-    size = loosely.join(kinds, F.col("node") == F.col("k")).groupBy("root").agg((8 * F.sum("n")).alias("bytes"))
-    of = stage(loosely.join(size, "root").select("node", F.hex("root").alias("region"), "bytes"), "of")
-    sets = lambda of: wanted_sets(docs, width, of).join(of, F.col("k") == F.col("node")).select("region", "k", "set")
+    size = loosely.join(known.select("id", "n"), F.col("node") == F.col("id")).groupBy("root").agg((8 * F.sum("n")).alias("bytes"))
+    of = stage(loosely.join(size, "root").select("node", F.col("root").cast("string").alias("region"), "bytes"), "of")
+    sets = lambda of: wanted_sets(docs, width, of).join(of, F.col("id") == F.col("node")).select("region", "k", "set")
     exact = exact_edges(sets(of.where(F.col("bytes") <= task_bytes)), bounds)
     if of.where(F.col("bytes") > task_bytes).limit(1).count():
         large = stage(sets(of.where(F.col("bytes") > task_bytes)).dropDuplicates(["region", "k"]), "sets")
@@ -548,6 +551,7 @@ def _components(docs: DataFrame, width: int, bounds: Bounds, hot: int, task_byte
     low = roots.join(kinds, F.col("node") == F.col("k")).groupBy("root").agg(F.min("rep").alias("low"))
     low_of = roots.join(low, "root").select(F.col("node").alias("k"), "low")
     named = stage(kinds.join(low_of, "k", "left").select("k", F.coalesce("low", "rep").alias("component_id")), "named")
+    drop_staged(met)
     drop_staged(loose)
     return made.join(named, "k", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")

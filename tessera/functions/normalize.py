@@ -56,7 +56,7 @@ def finish(name: Column, structured: Column) -> Column:
 
 def clean_color(raw: Column) -> Column:
     c = text(raw)
-    keep = F.filter(F.transform(F.split(c, ","), F.trim), lambda p: (p != "") & (F.length(p) <= 18) & (F.size(F.split(p, r"\s+")) <= 2) & ~p.rlike("[0-9]"))
+    keep = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: (p != "") & (F.length(p) <= 18) & (F.size(F.split(p, r"\s+")) <= 2) & ~p.rlike("[0-9]"))
     return F.when(F.replace(c, F.lit("."), F.lit("")).rlike("^[0-9]+$"), "").otherwise(F.array_join(F.array_distinct(F.transform(keep, title)), ", "))
 
 

@@ -200,10 +200,10 @@ def x8_inch_thickness(m, s, spark, sf):
 # --- policies ----------------------------------------------------------------------------------
 
 
-@query("RAW SELECT page_id, url LIKE '%/en/%' OR url NOT LIKE '%casino%' AS allowed FROM pages")
+@query("RAW SELECT page_id, url LIKE '%casino%/en/%' OR url NOT LIKE '%casino%' AS allowed FROM pages")
 def f25_robots(m, s, spark, sf):
     pages = fixture.table(spark, sf, "pages").select("page_id", F.lit("h").alias("host"), F.concat(F.lit("/"), F.col("url")).alias("path"))
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: bot # us\nDisallow: /*casino\nAllow: /*/en/*\nDisallow:\n"
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: bot # us\nDisallow: /*casino\nAllow: /*casino*/en/\nDisallow:\n"
     rules = policy.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"))
     verdict = policy.robots_allowed(rules, pages.select("host", "path").distinct(), "bot")
     return pages.join(verdict, ["host", "path"]).select("page_id", "allowed")

@@ -139,6 +139,34 @@ def fences(counts: DataFrame, min_group: int, spread: float) -> DataFrame:
     return found.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *out).where((F.col("level") == 0) | (F.col("n") >= min_group))
 
 
+#: The query op10 over the table documents, for DuckDB; the ranges of characters are those of SPACE.
+SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, lang, source, t, list_filter(string_split_regex(t, '[{SPACE}]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l FROM d),
+m AS (SELECT r, doc_id, lang, source, w, len(w) AS n_words, length(regexp_replace(t, '[{SPACE}]+', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines FROM s),
+tok AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m WHERE n_words > 2),
+tri AS (SELECT r, i, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS g FROM tok WINDOW p AS (PARTITION BY r ORDER BY i)),
+often AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri WHERE g IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY r),
+b AS (SELECT m.* EXCLUDE (w), coalesce(n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed,
+  n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, coalesce(n, 0) / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word
+  FROM m LEFT JOIN rep ON rep.r = m.r),
+v AS (UNPIVOT (SELECT lang, source, {", ".join(MEASURES)} FROM b WHERE NOT base_failed) ON {", ".join(MEASURES)} INTO NAME measure VALUE x),
+c AS (SELECT lang, source, measure, CASE WHEN x <= {SMALLEST}::DOUBLE THEN 0 ELSE greatest(1, ceil(ln(x / {SMALLEST}::DOUBLE) / ln({GAMMA}::DOUBLE))) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+e AS (SELECT 2 AS level, lang, source, measure, bucket, n FROM c UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM c GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, measure, bucket, sum(n) FROM c GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
+  CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE {SMALLEST}::DOUBLE * pow({GAMMA}::DOUBLE, bucket) END AS x FROM e),
+q AS (SELECT level, lang, source, measure, max(total) AS n, min(x) FILTER (WHERE upto >= 0.25 * total) AS q1, min(x) FILTER (WHERE upto >= 0.75 * total) AS q3,
+  CASE measure {" ".join(f"WHEN '{m}' THEN {margin}::DOUBLE" for m, (margin, _) in MEASURES.items())} END AS margin FROM u GROUP BY ALL HAVING level = 0 OR max(total) >= 200),
+f AS (SELECT *, q3 + 3.0::DOUBLE * greatest(q3 - q1, margin) AS hi, CASE WHEN measure IN ({", ".join(f"'{m}'" for m, (_, low) in MEASURES.items() if low)}) THEN q1 - 3.0::DOUBLE * greatest(q3 - q1, margin) ELSE -1.0::DOUBLE END AS lo FROM q),
+x AS (UNPIVOT (SELECT r, lang, source, {", ".join(MEASURES)} FROM b) ON {", ".join(MEASURES)} INTO NAME measure VALUE x),
+y AS (SELECT x.r, bool_and(coalesce(x.x <= coalesce(f2.hi, f1.hi, f0.hi) AND x.x >= coalesce(f2.lo, f1.lo, f0.lo), true)) AS inside FROM x
+  LEFT JOIN f f2 ON f2.level = 2 AND f2.measure = x.measure AND f2.lang IS NOT DISTINCT FROM x.lang AND f2.source IS NOT DISTINCT FROM x.source
+  LEFT JOIN f f1 ON f1.level = 1 AND f1.measure = x.measure AND f1.lang IS NOT DISTINCT FROM x.lang LEFT JOIN f f0 ON f0.level = 0 AND f0.measure = x.measure GROUP BY x.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM b JOIN y ON y.r = b.r"""
+
+
 def quality_verdicts(docs: DataFrame, min_group: int = 200, spread: float = 3.0) -> DataFrame:
     """docs' columns but text, the measures, base_failed and kept. Clashing names in docs are replaced."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "kept"]

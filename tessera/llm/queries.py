@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_text, langid, licenses, toxicity
+from . import audio, html_text, langid, licenses, quality_rules, toxicity
 from .common import in_training, table
 from .jaccard_join import jaccard_components
 from .mixing import mix
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op10_quality_rules": quality_rules.SQL}

@@ -288,28 +288,31 @@ def _edges(edges: list, closed: list) -> pa.RecordBatch:
 
 
 def salted_edges(leaders: DataFrame, bounds: Bounds, most: int = 2048) -> DataFrame:
-    """(a, b): loose edges between the leaders of a region that lies in several salts; beyond `most` leaders all of them are tied together."""
+    """(a, b): loose edges between the leaders of a region that lies in several salts; with more than `most` leaders, or one that captures everything, all of them are tied together."""
     sorted_ = leaders.repartition("s").sortWithinPartitions("s", "k").select("s", "k", "n", "cells", "radius")
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, held = None, []
+        region, held, tied = None, [], False
         for batch in batches:
             edges = []
             for s, k, n, raw, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != region:
-                    region, held = s, []
+                    region, held, tied = s, [], False
                 c = np.frombuffer(raw, np.uint8).astype(np.int16)
-                if len(held) >= most or radius >= 1e8 or (held and held[0][2] >= 1e8):
-                    if held:
-                        edges.append((k, held[0][0]))
-                else:
-                    for key, size, r, other in held:
-                        # x near one leader and y near the other: their links, seen from either side
-                        span = max(bounds.wide(radius) * n + r * size, bounds.wide(r) * size + radius * n)
-                        if np.abs(c - other).sum() <= span:
-                            edges.append((k, key))
-                if len(held) < most:
-                    held.append((k, n, radius, c))
+                if not tied and (radius >= 1e8 or len(held) >= most):
+                    # anything may lie near this leader, or there are too many: from now on one stands for all, earlier ones too
+                    edges += [(key, held[0][0]) for key, *_ in held[1:]]
+                    del held[1:]
+                    tied = True
+                if tied and held:
+                    edges.append((k, held[0][0]))
+                    continue
+                for key, size, r, other in held:
+                    # x near one leader and y near the other: their links, seen from either side
+                    span = max(bounds.wide(radius) * n + r * size, bounds.wide(r) * size + radius * n)
+                    if np.abs(c - other).sum() <= span:
+                        edges.append((k, key))
+                held.append((k, n, radius, c))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
     return sorted_.mapInArrow(tie, "a long, b long")

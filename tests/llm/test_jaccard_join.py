@@ -132,3 +132,49 @@ def test_leaders_lose_no_link():
     assert len(edges) < 3 * 900
     exact = Region(sets[:300], bounds).join()
     assert len(exact) < 300
+
+
+@pytest.mark.parametrize("radii, most", [(((6, None), (1 << 60, 1e9)), 2048), (((1 << 60, None),), 3), (((1 << 60, None),), 2048)])
+def test_salted_leaders_lose_no_link(spark, radii, most):
+    """Links across salts where a leader captures everything, where there are too many leaders, and where neither holds."""
+    from tessera.llm.jaccard_join import _cells, salted_edges
+
+    class Few(Leaders):
+        RADII = radii
+
+    rng = np.random.default_rng(5)
+    bounds = Bounds(90, 100)
+    base = [rng.integers(0, 1 << 63, 100, dtype=np.uint64) << np.uint64(1) for _ in range(12)]
+    sets, salts = [], []
+    for i in range(240):
+        x = base[i % 12].copy()
+        x[rng.choice(100, rng.integers(0, 4), replace=False)] = rng.integers(0, 1 << 63)
+        sets.append(np.unique(x))
+        salts.append(int(rng.integers(0, 3)))
+    keys = rng.permutation(240).tolist()  # the order in which leaders are met has nothing to do with who leads
+    edges, rows = [], []
+    for salt in range(3):
+        mine = [i for i in range(240) if salts[i] == salt]
+        state = Few(bounds)
+        state.add([keys[i] for i in mine], np.array([len(sets[i]) for i in mine]), np.stack([_cells(sets[i]) for i in mine]), edges)
+        rows += [(1, k, n, c.astype(np.uint8).tobytes(), float(r)) for k, n, c, r in zip(state.k, state.n, state.cells, state.radius, strict=True)]
+    leaders = spark.createDataFrame(rows, "s long, k long, n int, cells binary, radius double")
+    across = [tuple(r) for r in salted_edges(leaders, bounds, most).collect()]
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges + across:
+        root[find(a)] = find(b)
+    linked = 0
+    for i in range(240):
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 90 * (len(sets[i]) + len(sets[j]) - inter):
+                linked += salts[i] != salts[j]
+                assert find(keys[i]) == find(keys[j])
+    assert linked > 100
+    assert most > 3 or len(across) <= 2 * len(rows)

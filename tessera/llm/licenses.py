@@ -1,7 +1,7 @@
 """Licence scans by canonical digests (operator 3), in DataFrame functions only.
 
-A unit of text (the whole document, a paragraph between blank lines, or a line) is brought into a
-canonical form: lower case, copyright lines dropped, equivalent spellings made one, punctuation and
+A unit of text (the whole document, a paragraph between blank lines, a run of paragraphs that is less
+than the document, or a line) is brought into a canonical form: lower case, copyright lines dropped, equivalent spellings made one, punctuation and
 white space made single spaces. Its SHA-256 digest is looked up among the digests of known licence
 texts and notices, so that a unit counts only if it is a licence from end to end. The table of known
 digests is part of this module and so of fixed size.
@@ -13,6 +13,10 @@ is reported.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,27 +56,101 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts."""
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("license"), F.lit(t).alias("t")) for i, (n, t) in enumerate(known))))
-    made = spark.range(1, numPartitions=1).select(rows.alias("r")).select("r.*")
-    return made.groupBy(F.sha2(canonical(F.col("t")).cast("binary"), 256).alias("digest")).agg(F.min_by("license", "i").alias("license"))
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_NAMES = "{0} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+#: Title lines that short licences stand under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT License (Expat)", "The MIT License (Expat)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Whole texts of longer licences, one file for each SPDX name.
+TEXTS = Path(__file__).with_name("license_texts")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of whole licences that aren't in KNOWN, and of short ones under each of their titles."""
+    found = list(KNOWN[:3])
+    for bullets in (("1.", "2.", "3."), ("*", "*", "*"), ("(1)", "(2)", "(3)"), ("a.", "b.", "c.")):
+        found.append(("BSD-2-Clause", _BSD.format(*bullets[:2], "")))
+        found.append(("BSD-3-Clause", _BSD.format(*bullets[:2], _NAMES.format(bullets[2]))))
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if END in text:  # what follows tells how to apply it, and is often left out; so is this line
+            found += [(path.stem, text[: text.index(END)]), (path.stem, text[: text.index(END)] + END)]
+    return found + [(name, f"{title}\n{text}") for name, text in found for title in TITLES.get(name, ())]
+
+
+def plain_canonical(text: str) -> str:
+    """canonical() of a text in plain Python."""
+    out = re.sub(RIGHTS, "", text.lower())
+    for a, b in SAME:
+        out = out.replace(a, b)
+    return re.sub("[^a-z0-9]+", " ", out).strip()
+
+
+def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+    """(digest, license) of the known texts (canonical text: name)."""
+    known = known if known is not None else known_texts()
+    rows = F.explode(F.array(*(F.struct(F.lit(hashlib.sha256(t.encode()).hexdigest()).alias("digest"), F.lit(n).alias("license")) for t, n in known.items())))
+    return spark.range(1, numPartitions=1).select(rows.alias("r")).select("r.*")
+
 
+def known_texts() -> dict[str, str]:
+    """Names by canonical text; the first one where several have it."""
+    out: dict[str, str] = {}
+    for name, text in [*KNOWN, *whole_texts()]:
+        out.setdefault(plain_canonical(text), name)
+    return out
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+
+def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, unit, n): how many units of each kind in a document are a known licence."""
-    known = known if known is not None else known_digests(docs.sparkSession)
-    unit = lambda name, values: F.transform(values, lambda u: F.struct(F.lit(name).alias("unit"), canonical(u).alias("c")))
+    known = known_texts()
+    unit = lambda name, values: F.transform(values, lambda c: F.struct(F.lit(name).alias("unit"), c.alias("c")))
     text = F.col("text")
+    # Runs of paragraphs: only those that begin as a known text does and have the length of one can be it.
+    heads = {tuple(t.split()[:2]) for t in known}
+    begins = "^(?:" + "|".join(sorted({rf"{' '.join(h)}(?: |$)" for h in heads} | {f"{h[0]}$" for h in heads})) + ")"
+    lengths = sorted({len(t) for t in known})
+    read = docs.where("text is not null").select(
+        "doc_id", "text", F.filter(F.transform(F.split(text, "\n[ \t]*\n", -1), canonical), lambda c: c != "").alias("p")
+    )
+    p = F.col("p")
+    some = (F.size(p) > 2) & F.exists(p, lambda c: c.rlike(begins))
+    at = F.aggregate(p, F.array(F.lit(1)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + F.length(c) + 1)))
+    read = read.select("doc_id", "text", "p", F.when(some, F.array_join(p, " ")).alias("joined"), F.when(some, at).alias("at"))
+    joined = F.col("joined")
+    runs = F.flatten(
+        F.transform(
+            "at",
+            lambda s, i: F.when(
+                F.get(p, i).rlike(begins),
+                F.transform(
+                    F.filter("at", lambda e: (e - s - 1).isin(lengths) & (e - s - 1 > F.length(F.get(p, i))) & (e - s - 1 < F.length(joined))),
+                    lambda e: F.substring(joined, s, e - s - 1),
+                ),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
     units = F.concat(
-        unit("document", F.array(text)),
+        unit("document", F.array(canonical(text))),
         # a document of one paragraph, or a paragraph of one line, is counted as the larger unit and the smaller
-        unit("paragraph", F.split(text, "\n[ \t]*\n", -1)),
-        unit("line", F.split(text, "\n", -1)),
+        unit("paragraph", p),
+        unit("paragraphs", F.coalesce(runs, F.array().cast("array<string>"))),
+        unit("line", F.transform(F.split(text, "\n", -1), canonical)),
     )
-    rows = docs.where("text is not null").select("doc_id", F.explode(F.filter(units, lambda u: u["c"] != "")).alias("u"))
+    rows = read.select("doc_id", F.explode(F.filter(units, lambda u: u["c"] != "")).alias("u"))
     rows = rows.select("doc_id", "u.unit", F.sha2(F.col("u.c").cast("binary"), 256).alias("digest"))
-    return rows.join(F.broadcast(known), "digest").groupBy("doc_id", "license", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest").groupBy("doc_id", "license", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sql_canonical(text: str) -> str:

@@ -48,6 +48,47 @@ def test_license_forms(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_license_whole_texts(spark):
+    """Whole licences as they stand in files: under a title, with blank lines, wrapped, and inside longer documents."""
+    import textwrap
+
+    mit = "\n\n".join(textwrap.fill(x, 76) for x in licenses.KNOWN[0][1].split("\n"))
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+""" + textwrap.fill(licenses._BSD.rsplit("\n", 1)[1].replace("{2}", ""), 78)
+    apache, gpl = ((licenses.TEXTS / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-3.0-only"))
+    texts = {
+        1: "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit,
+        2: "Read me.\n\nThe MIT License (MIT)\n\n" + mit + "\n\nBye.",
+        3: "BSD 3-Clause License\n\nCopyright (c) 2019, A\nAll rights reserved.\n\n" + bsd,
+        4: "intro\n\n" + bsd + "\n\n" + mit,
+        5: apache,
+        6: "Before it.\n\n" + apache.split("APPENDIX")[0] + "\n\nAfter it.",
+        7: gpl,
+        8: gpl.replace("modify", "sell", 1),
+        9: "MIT License",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.unit): r.n for r in licenses.scan(df).collect()}
+    assert {k for k in got if k[2] == "document"} == {(1, "MIT", "document"), (3, "BSD-3-Clause", "document"), (5, "Apache-2.0", "document"), (7, "GPL-3.0-only", "document")}
+    inside = {k[:2]: n for k, n in got.items() if k[2] == "paragraphs"}
+    assert inside[2, "MIT"] == 2  # with its title and without
+    assert inside[4, "BSD-3-Clause"] == inside[4, "MIT"] == 1 and inside[6, "Apache-2.0"] >= 1
+    assert not [k for k in got if k[0] in (8, 9)]
+
+
 # --- audio --------------------------------------------------------------------------------------
 
 

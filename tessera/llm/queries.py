@@ -32,7 +32,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.align(audio.fingerprints(audio.sonified(table(spark, sf_dir, "embeddings"))))
+    sounds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_id"), "embedding")
+    return audio.align(audio.fingerprints(sounds, ("embedding",), audio.played))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,37 +98,98 @@ def tune(seed, notes=60, rate=8000):
     return np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(1200) for p in rng.integers(0, 24, notes)]) * 9000
 
 
+def brute_links(prints, every, votes, errors):
+    """Every link by trying all offsets of all pairs, bit by bit."""
+    out = {}
+    new = {k: np.array([i == 0 or fp[i] != fp[i - 1] for i in range(len(fp))], bool) for k, fp in prints.items()}
+    for q_id, q in prints.items():
+        if q_id % every:
+            continue
+        for x_id, x in prints.items():
+            best = None
+            for o in range(-len(q) + 1, len(x)):
+                lo, hi = max(0, -o), min(len(q), len(x) - o)
+                a, b = q[lo:hi], x[lo + o : hi + o]
+                if ((a == b) & new[q_id][lo:hi] & new[x_id][lo + o : hi + o]).sum() >= votes:
+                    wrong = sum(bin(int(v)).count("1") for v in a ^ b) / (32 * len(a))
+                    best = min(best or (2.0, 0), (wrong, o))
+            if x_id != q_id and best and best[0] <= errors:
+                out.setdefault(x_id, []).append((best[0], q_id, best[1]))
+    return {x: (len(v), *min(v)) for x, v in out.items()}
+
+
+def held_against_brute(spark, df, got, every, decode=audio.pcm, columns=("samples", "rate"), errors=0.30):
+    prints = {r.media_id: np.frombuffer(bytes(r.fp), "<u4") for r in audio.fingerprints(df, columns, decode).collect()}
+    assert set(got) == set(prints)
+    first = {}
+    for i in sorted(prints):
+        if len(prints[i]):
+            first.setdefault(prints[i].tobytes(), i)
+    classes = {i: first.get(fp.tobytes(), i) for i, fp in prints.items()}
+    asked = {classes[i] for i in prints if i % every == 0 and len(prints[i])}
+    # a class is asked if any of its members is: number the classes so that exactly those divide by 2
+    names = {c: 2 * c + (c not in asked) for c in set(classes.values())}
+    back = {v: k for k, v in names.items()}
+    want = brute_links({names[c]: prints[c] for c in names}, 2, 4, errors)
+    for i, r in got.items():
+        n, error, q, o = want.get(names[classes[i]], (0, None, None, None))
+        assert (r.class_id, r.n_frames, r.n_links, r.best_class, r.best_offset) == (classes[i], len(prints[i]), n, back.get(q), o), i
+        assert r.best_error == (None if error is None else round(error, 6))
+    return want
+
+
 def test_alignment(spark):
     a, b = tune(1), tune(2)
     rng = np.random.default_rng(0)
     shift = audio.STEP * 20
-    sounds = {100: a, 1: a, 2: a + rng.normal(0, 150, len(a)), 3: np.concatenate([np.zeros(shift), a]), 4: a[shift:], 200: b, 5: tune(3), 6: np.zeros(0), 8: np.zeros(30_000), 9: np.zeros(30_000)}
-    rows = [(i, x.astype("<i2").tobytes(), 8000, 0) for i, x in sounds.items()] + [(7, None, 8000, 0), (10, b"abc", None, 0)]
+    still = np.zeros(20 * 8000)
+    sounds = {
+        100: a, 1: a, 2: a + rng.normal(0, 150, len(a)), 3: np.concatenate([np.zeros(shift), a]), 4: a[shift:], 200: b, 5: tune(3), 6: np.zeros(0), 8: np.zeros(30_000), 9: np.zeros(30_000),
+        300: np.concatenate([still[: audio.STEP * 500], tune(7)]), 301: np.concatenate([tune(7), still[: audio.STEP * 500]]),
+    }
+    rows = [(i, x.astype("<i2").tobytes(), 8000, 0) for i, x in sounds.items()] + [(7, None, 8000, 0), (10, b"abc", None, 0), (1, a.astype("<i2").tobytes(), 8000, 5)]
     df = spark.createDataFrame(rows, "media_id long, samples binary, rate int, fp int")
-    got = {r.media_id: r for r in audio.align(audio.fingerprints(df)).collect()}
-    assert len(got) == len(rows)
+    out = audio.align(audio.fingerprints(df)).collect()
+    got = {r.media_id: r for r in out}
+    assert len(out) == len(rows) and [r for r in out if r.media_id == 1][0] == [r for r in out if r.media_id == 1][1]
     assert got[1].class_id == got[100].class_id == 1 and got[8].class_id == got[9].class_id == 8
     for i, offset in ((2, 0), (3, 20), (4, -20)):
         assert (got[i].best_class, got[i].best_offset) == (1, offset) and got[i].best_error < 0.2
     assert [got[i].n_links for i in (5, 6, 7, 8, 10, 200)] == [0] * 6
+    # silence at different places doesn't hide where the tunes meet, nor takes their place
+    assert got[301].best_class == 300 and got[301].best_offset == -500 and got[301].best_error < 0.1
+    held_against_brute(spark, df.dropDuplicates(["media_id"]), got, 100)
     assert audio.align(audio.fingerprints(df.where("false"))).count() == 0
 
 
+def test_alignment_in_blocks(spark):
+    """Blocks of queries, and recordings whose votes are too many to be listed, change nothing."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 6, 300).astype("<u4") for _ in range(4)]
+    prints = [(i, np.concatenate([base[i % 4][i:], base[(i + 1) % 4][: 2 * i]]).tobytes()) for i in range(12)]
+    df = spark.createDataFrame([(i, bytearray(fp), bytearray(str(i).encode())) for i, fp in prints], "media_id long, fp binary, k binary")
+    whole = sorted(audio.align(df, every=2).collect())
+    assert whole == sorted(audio.align(df, every=2, block=1500).collect()) and sum(r.n_links for r in whole)
+    fps = {i: np.frombuffer(fp, "<u4") for i, fp in prints}
+    want = brute_links(fps, 2, 4, 0.30)
+    assert {r.media_id: (r.n_links, r.best_class, r.best_offset) for r in whole if r.n_links} == {x: (n, q, o) for x, (n, _, q, o) in want.items()}
+    for q, x in ((0, 1), (3, 7)):
+        s, t = audio.starts(fps[q]), audio.starts(fps[x])
+        by_list = audio.offset_votes(s, fps[q][s], t, fps[x][t])
+        by_sum = audio.offset_votes(s, fps[q][s], t, fps[x][t], listed=0)
+        assert all((u == v).all() for u, v in zip(by_list, by_sum, strict=True))
+        block = audio.Queries([q], [fps[q].tobytes()])
+        want = by_list[0][by_list[1] >= 4]
+        assert block.candidates(fps[x], 4)[1].tolist() == want.tolist() == block._of_pair(0, t, fps[x][t], 4).tolist()
+
+
 def test_audio_whole_table(spark):
-    """The links of queries against all recordings, by trying every offset that shares enough integers."""
-    got = {r.media_id: r for r in op5_chroma_fingerprints(spark, SF).collect()}
-    prints = {r.media_id: np.array(r.fp, np.int64) for r in audio.fingerprints(audio.sonified(spark.read.parquet(f"{SF}/embeddings.parquet"))).collect()}
-    assert set(got) == set(prints)
-    for q in [i for i in prints if i % 100 == 0][:3]:
-        for x in list(prints)[:60]:
-            votes = collections.Counter(int(j) - i for i, v in enumerate(prints[q]) for j in np.flatnonzero(prints[x] == v))
-            linked = False
-            if votes and max(votes.values()) >= 4 and x != q:
-                top = min(o for o, n in votes.items() if n == max(votes.values()))
-                a, b = prints[q][max(-top, 0) :], prints[x][max(top, 0) :]
-                n = min(len(a), len(b))
-                linked = sum(bin(int(v) & 0xFFFFFFFF).count("1") for v in a[:n] ^ b[:n]) / (32 * n) <= 0.30
-            assert not linked or got[x].n_links > 0
+    """Every class, link, offset and error of the query, both ways, over the whole table; and again with links that random tunes have."""
+    sf = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "media_id")
+    held_against_brute(spark, df, {r.media_id: r for r in op5_chroma_fingerprints(spark, sf).collect()}, 100, audio.played, ("embedding",))
+    loose = audio.align(audio.fingerprints(df, ("embedding",), audio.played), every=10, errors=0.45)
+    assert held_against_brute(spark, df, {r.media_id: r for r in loose.collect()}, 10, audio.played, ("embedding",), 0.45)
 
 
 # --- models -------------------------------------------------------------------------------------

@@ -107,12 +107,12 @@ def brute_links(prints, every, votes, errors):
             continue
         for x_id, x in prints.items():
             best = None
-            for o in range(-len(q) + 1, len(x)):
+            i, j = np.nonzero((q[:, None] == x[None, :]) & new[q_id][:, None] & new[x_id][None, :])
+            for o in np.flatnonzero(np.bincount(j - i + len(q), minlength=1) >= votes) - len(q):
                 lo, hi = max(0, -o), min(len(q), len(x) - o)
                 a, b = q[lo:hi], x[lo + o : hi + o]
-                if ((a == b) & new[q_id][lo:hi] & new[x_id][lo + o : hi + o]).sum() >= votes:
-                    wrong = sum(bin(int(v)).count("1") for v in a ^ b) / (32 * len(a))
-                    best = min(best or (2.0, 0), (wrong, o))
+                wrong = sum(bin(int(v)).count("1") for v in a ^ b) / (32 * len(a))
+                best = min(best or (2.0, 0), (wrong, int(o)))
             if x_id != q_id and best and best[0] <= errors:
                 out.setdefault(x_id, []).append((best[0], q_id, best[1]))
     return {x: (len(v), *min(v)) for x, v in out.items()}

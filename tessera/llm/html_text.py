@@ -1,15 +1,19 @@
 """Main text of web pages as the maximum-scoring subsequence of words and tags (operator 1).
 
-A page is a sequence of tags and runs of words. Words score positive or negative by where they
-stand, tags negative by name, with weights that are log odds counted over the labelled pages: those
-that mark their own content with <article> or <main>. One linear scan finds the contiguous region
-with the best sum. Zones that are never content (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) count as one negative tag each, so that the region
-can go on after them, and their words are left out.
+A page is a sequence of tags and runs of words. Words score by where they stand, tags negative by
+name, with weights that are log odds counted over the labelled pages: those that mark their own
+content with <article> (or, without one, <main>). On such pages the marks themselves speak for what they hold. One linear scan finds the contiguous region with
+the best sum. A zone that is never content (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments) is told by its element, its role or a class or id of which
+every word names one; it counts as one negative tag, learned by name, so that the region can go on
+after it, and its words are left out. Nothing else inside the region is left out.
 
 A null page is empty. Pages without words give an empty text. Repeated rows are read each for itself.
-Unclosed elements end where an enclosing one does; an unclosed zone ends at <article>, <main> or a
-heading of the first level. Of equally good regions the first and longest counts.
+Unclosed elements end where an enclosing one does; a zone that is never closed ends at <article>,
+<main> or a heading of the first level, and a form around one of these is no zone. Of equally good
+regions the one that ends first counts, and of those the shortest. Pages are read in one pass, in
+time and memory of their length: nothing open, unclosed or unmatched is looked for twice. Columns
+named text or n_chars in the table are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,135 +35,201 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 ZONES = frozenset("nav footer aside form head button menu dialog".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CONTENT = frozenset("article main".split())
-# Words of class, id and role that name a zone.
+#: Elements whose start ends an open paragraph, and the open elements that each of some ends.
+BLOCKS = frozenset("p li td th tr option dt dd h1 h2 h3 h4 h5 h6 div ul ol dl table section footer header nav aside article main blockquote pre figure form hr".split())
+ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+# Words of class and id that name a zone, words that may stand beside them, and roles.
 ZONE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup nav navbar navigation menu menubar breadcrumb breadcrumbs toc sidebar aside widget widgets related recommended recommendations share sharing social footer "
-    "comment comments commentlist respond disqus replies reply pager pagination login search complementary contentinfo toolbar skip hidden".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
+    "subscribe subscription signup nav navbar navigation menu menubar breadcrumb breadcrumbs toc sidebar aside widget widgets related recommended recommendations share sharing social footer "
+    "comment comments commentlist respond disqus replies reply pager pagination login search toolbar skip".split()
 )
-HEADER_WORDS = frozenset("header masthead topbar banner".split())
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+BESIDE = frozenset("site page main top bottom left right list box block section area wrapper wrap container bar links link posts articles stories buttons button form item items slot unit inner thread text message primary secondary global bottom fixed sticky js".split())
+HEADER_WORDS = frozenset("header masthead topbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies reply".split())
+ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
+#: Tags and places of words that have weights of their own.
+_TAGS = frozenset("a p div li ul ol h1 h2 h3 h4 b strong em i span br table tr td th section figure figcaption img blockquote pre code dl dt dd hr label header body".split())
+_PLACES = frozenset("p li td div h1 h2 h3 blockquote pre section article main".split())
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+)>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)")
 _WORDS = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
-def _is_zone(tag: str, attributes: str, inside: bool) -> bool:
+def _named(value: str, words: frozenset[str]) -> str:
+    """The first of the words in a class or id of which every word is one of them or may stand beside them, else ''."""
+    for token in value.split():
+        parts = _WORDS.findall(token)
+        if parts and all(w in words or w in BESIDE for w in parts) and (found := next((w for w in parts if w in words), "")):
+            return found
+    return ""
+
+
+def zone_name(tag: str, attributes: str, inside: bool) -> str:
+    """What names an element a zone, else ''; inside: whether it lies in the content that the page marks."""
     if tag in ZONES or (tag == "header" and not inside):
-        return True
-    if tag in CONTENT or tag in ("body", "html") or not attributes or attributes == "/":
-        return False
-    if re.search(r"(?:^|\s)hidden(?=[\s/]|$)", attributes):
-        return True
+        return tag
+    if tag in ("main", "body", "html") or not attributes or attributes == "/":
+        return ""
+    if _HIDDEN.search(_ATTRIBUTE.sub("", attributes)):
+        return "hidden"
+    words = COMMENT_WORDS if tag == "article" else ZONE_WORDS if inside else ZONE_WORDS | HEADER_WORDS
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() in ("class", "id", "role") and tag not in INLINE | {"p", "h1", "h2", "h3"}:
-            words = _WORDS.findall(value)
-            if not ZONE_WORDS.isdisjoint(words) or (not inside and not HEADER_WORDS.isdisjoint(words)):
-                return True
-        if (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
-
-
-def _events(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", "", text), ("open", tag, attributes) and ("close", tag, ""); comments and the insides of raw elements are left out."""
+        name, value = name.lower(), "".join(values).lower()
+        if (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            return "hidden"
+        if name == "hidden":
+            return "hidden"
+        if name == "role" and value.strip() in ROLES:
+            return value.strip()
+        if name in ("class", "id") and tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            # inside the content an id is as likely the slug of a heading
+            if found := _named(value, COMMENT_WORDS if name == "id" and inside else words):
+                return found
+    return ""
+
+
+def _events(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """("text", "", text, at), ("open", tag, attributes, at) and ("close", tag, "", at); comments and the insides of raw elements are left out."""
     at, n = 0, len(page)
+    last = page.rfind(">")
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            yield "text", "", page[at:]
+            yield "text", "", page[at:], at
             return
         if lt > at:
-            yield "text", "", page[at:lt]
+            yield "text", "", page[at:lt], at
         if page.startswith("<!--", lt):
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
         elif page.startswith(("<!", "<?"), lt):
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
-        elif m := _TAG.match(page, lt):
+        elif not page[lt + 1 : lt + 3].lstrip("/")[:1].isalpha():
+            yield "text", "", "<", lt
+            at = lt + 1
+        elif lt > last or not (m := _TAG.match(page, lt)):  # a tag that never ends, or has no name of a tag
+            if lt > last:
+                return
+            yield "text", "", "<", lt
+            at = lt + 1
+        else:
             tag = m[2].lower()
             at = m.end()
-            yield "close" if m[1] else "open", tag, m[3].strip()
+            yield "close" if m[1] else "open", tag, m[3].strip(), lt
             if tag in RAW and not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                    yield "close", tag, ""
+                    yield "close", tag, "", at
                 elif tag in ("script", "style", "template"):
                     at = n
-        else:
-            yield "text", "", "<"
-            at = lt + 1
+                else:
+                    unclosed.add(tag)
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: what names it a zone, whether it lies in a link, its nearest block (tag and place in the stack)."""
+
+    tag: str
+    zone: str
+    link: bool
+    where: str
+    block: int
 
 
 def tokens(page: str) -> list[tuple[str, int, int, str]]:
-    """(type, words, block, text) in page order; block is -1 for tags and zones, and for the words in zones, whose types start with ~. Also what lies in <article> or <main> is told by the types "tag:+article" and "tag:-article"."""
+    """(type, words, block, text) in page order.
+
+    Types are word:place and link:place for words, tag:name and tag:/name for tags, zone:name for
+    zones; those of words in zones start with ~, those of all that lies in marked content with +.
+    block is -1 for tags and zones. tag:+article and tag:-article tell where marked content starts and ends.
+    """
     out: list[tuple[str, int, int, str]] = []
-    stack: list[tuple[str, bool]] = []  # (tag, whether it opens a zone)
-    zones = inside = block = 0
+    mark = "article" if re.search("<article", page, re.I) else "main"
+    closed = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page)}  # the last end tag of each element
+    bottom = _Open("", "", False, "", -1)
+    stack: list[_Open] = []
+    zoned: list[int] = []  # the places of open zones in the stack
+    there: Counter = Counter()  # open elements by tag
+    inside = block = 0
 
     def pop(k: int) -> None:
-        nonlocal zones, inside
+        nonlocal inside
         while len(stack) > k:
-            tag, zone = stack.pop()
-            zones -= zone
-            if tag in CONTENT and not zones:
+            e = stack.pop()
+            there[e.tag] -= 1
+            if zoned and zoned[-1] == len(stack):
+                zoned.pop()
+            elif e.tag == mark and not zoned:
                 inside -= 1
                 out.append(("tag:-article", 0, -1, ""))
 
-    for kind, tag, text in _events(page):
+    for kind, tag, text, at in _events(page):
         if kind == "text":
+            top = stack[-1] if stack else bottom
             decoded = entities.unescape(text)
             n = len(decoded.split())
-            names = [t for t, _ in stack[-12:]]
-            where = next((t for t in reversed(names) if t not in INLINE), "")
-            where = where if where in ("p", "li", "td", "div", "h1", "h2", "h3", "blockquote", "pre", "section", "article", "main") else "other"
-            t = f"link:{where}" if "a" in names else f"word:{where}"
-            out.append((f"~{t}", n, -1, "") if zones else (t, n, block, decoded))
+            t = ("link:" if top.link else "word:") + (top.where if top.where in _PLACES else "other")
+            out.append((f"~{t}", n, -1, "") if zoned else (f"+{t}" if inside else t, n, block, decoded))
             continue
         if tag not in INLINE:
             block += 1
         if kind == "close":
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            before = zones
-            if k is not None:
+            before = bool(zoned)
+            if there[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
                 pop(k)
-            if not before and tag not in CONTENT:
-                out.append((f"tag:/{tag}" if tag in _TAGS else "tag:/other", 0, -1, ""))
+            if not before and tag != mark:
+                out.append(("+" * (inside > 0) + (f"tag:/{tag}" if tag in _TAGS else "tag:/other"), 0, -1, ""))
             continue
-        if zones and (tag in CONTENT or tag == "h1"):  # an unclosed zone ends here
-            k = next(i for i, (_, zone) in enumerate(stack) if zone)
-            if stack[k][0] not in ("head", "form", "footer"):
+        if zoned and (tag in CONTENT or tag == "h1"):
+            outer = stack[zoned[0]]
+            if outer.tag == "form" and tag in CONTENT and len(zoned) == 1:  # a form around the whole page
+                outer.zone = ""
+                zoned.clear()
+            elif outer.tag == "head" or (outer.tag != "footer" and closed.get(outer.tag, -1) < at):  # never closed
+                pop(zoned[0])
+        if tag == "body" and zoned:
+            pop(zoned[0])
+        if tag in BLOCKS:
+            while stack and (k := stack[-1].block) >= 0 and (stack[k].tag == "p" or stack[k].tag in ENDS.get(tag, ())):
                 pop(k)
-            elif stack[k][0] == "head":
-                pop(k)
-        if tag == "body" and stack and zones:
-            pop(next(i for i, (_, zone) in enumerate(stack) if zone))
-        if tag in ("p", "li", "td", "tr", "option", "dt", "dd", "h1", "h2", "h3", "h4", "div", "ul", "ol", "table", "section", "footer", "article") and stack:
-            # these end an open paragraph; a list item or cell also ends its like
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "td", "tr", "option", "dt", "dd"))):
-                pop(len(stack) - 1)
-        zone = _is_zone(tag, text, bool(inside))
-        if not zones:
-            out.append(("zone:in" if zone and inside else "zone" if zone else "tag:+article" if tag in CONTENT else f"tag:{tag}" if tag in _TAGS else "tag:other", 0, -1, ""))
+        name = zone_name(tag, text, bool(inside))
+        if not zoned:
+            t = f"zone:{name}" if name else f"tag:{tag}" if tag in _TAGS else "tag:other"
+            out.append(("tag:+article" if tag == mark and not name else f"+{t}" if inside else t, 0, -1, ""))
             if tag == "br":
-                out.append(("tag:br", 0, block, " "))
+                out.append(("+space" if inside else "space", 0, block, " "))
         if tag in VOID or text.endswith("/") and tag not in CONTENT:
+            if tag == mark and not name and not zoned:
+                out.append(("tag:-article", 0, -1, ""))
             continue
-        if tag in CONTENT and not zones:
+        top = stack[-1] if stack else bottom
+        here = top if tag in INLINE else _Open(tag, "", False, tag, len(stack))
+        stack.append(_Open(tag, name, top.link or tag == "a", here.where, here.block))
+        there[tag] += 1
+        if name:
+            zoned.append(len(stack) - 1)
+        elif tag == mark and not zoned:
             inside += 1
-        stack.append((tag, zone))
-        zones += zone
     return out
 
 
-_TAGS = frozenset("a p div li ul ol h1 h2 h3 h4 b strong em i span br table tr td th section figure figcaption img blockquote pre code dl dt dd hr label header body".split())
+def _counts(t: str) -> bool:
+    """Whether a type counts words."""
+    return t.lstrip("+~")[:5] in ("word:", "link:")
 
 
 def label(page: str) -> Counter:
-    """Words and tags by type and by whether they are content, of a page that marks its content; else nothing."""
+    """Words, tags and zones by type and by whether they are content, of a page that marks its content; else nothing."""
     found: Counter = Counter()
     seq = tokens(page)
     if not any(t == "tag:+article" for t, *_ in seq):
@@ -166,16 +237,14 @@ def label(page: str) -> Counter:
     depth = 0
     for t, n, _, _ in seq:
         depth += (t == "tag:+article") - (t == "tag:-article")
-        content = depth > 0 and t[0] != "~"
-        if t.startswith("~word"):  # left out wherever they stand: they say nothing about such words elsewhere
+        if t.startswith("~word") or t.lstrip("+") == "space":  # words left out wherever they stand say nothing about such words elsewhere
             continue
-        t = t.lstrip("~")
-        found[t, content] += n if t[:4] in ("word", "link") else 1
+        found[t.lstrip("+~"), depth > 0 and t[0] != "~"] += n if _counts(t) else 1
     return found
 
 
-def weights(pages: DataFrame) -> dict[str, float]:
-    """The score of a word or tag of each type: log odds of being content, counted over all labelled pages, within bounds by kind."""
+def weights(pages: DataFrame) -> dict[str, int]:
+    """The score, in thousandths, of a word or tag of each type: log odds of being content, counted over all labelled pages, within bounds by kind."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -191,51 +260,59 @@ def weights(pages: DataFrame) -> dict[str, float]:
     return scores({(r["type"], r["content"]): r["n"] for r in rows})
 
 
-def scores(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    out = {"zone": -0.5, "zone:in": -0.1, "tag:+article": -0.5, "tag:-article": -0.5, "": 0.0}
+def scores(counts: dict[tuple[str, bool], int]) -> dict[str, int]:
+    out = {"tag:+article": -500, "tag:-article": -500, "space": 0}
     for t in {t for t, _ in counts} - set(out):
-        yes, no = counts.get((t, True), 0) + 1.0, counts.get((t, False), 0) + 1.0
-        odds = math.log(yes / no)
+        odds = math.log((counts.get((t, True), 0) + 1.0) / (counts.get((t, False), 0) + 1.0))
         # words may speak for or against content; tags only against, the more so the fewer of them are in content
-        out[t] = max(-2.0, min(1.0, odds)) if t[:4] in ("word", "link") else max(-1.0, min(-0.3, odds / 2 - 0.3))
+        out[t] = round(1000 * (max(-2.0, min(1.0, odds)) if _counts(t) else max(-1.0, min(-0.3, odds / 2 - 0.3))))
     return out
 
 
-def _weight(of: dict[str, float], t: str) -> float:
-    if t[0] == "~":
-        return 0.0
-    if t in of:
-        return of[t]
-    return 1.0 if t.startswith("word") else -0.5 if t.startswith("link") else -0.3
+def weighed(seq: list[tuple[str, int, int, str]], of: dict[str, int]) -> list[int]:
+    """The scores of a page's words and tags. What the page marks as content speaks for itself, and where that holds most of the words, words beside it speak against."""
+    words = Counter()
+    for t, n, _, _ in seq:
+        words[t[:5] if t[0] != "+" else "+"] += n
+    beside = words["+"] >= max(words["word:"], 1)
 
+    def one(t: str) -> int:
+        if t[0] == "~":
+            return 0
+        if t[0] == "+":
+            return 1000 if _counts(t) else -10
+        if beside and _counts(t):
+            return min(of.get(t, -1000), -1000)
+        return of.get(t, 1000 if t.startswith("word:") else -500 if t.startswith(("link:", "zone:")) else -300)
 
-def extract(page: str | None, of: dict[str, float]) -> str:
-    """The main text of a page, by the weights `of`."""
-    seq = tokens(page or "")
-    best, region, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (t, n, _, _) in enumerate(seq):
+    return [one(t) * (n if _counts(t) else 1) for t, n, _, _ in seq]
+
+
+def best_region(scores: list[int]) -> tuple[int, int]:
+    """The contiguous region (from, to) with the greatest sum above 0: of equal ones the first to end, then the shortest."""
+    best, region, total, start = 0, (0, 0), 0, 0
+    for i, score in enumerate(scores):
         if total <= 0:
-            total, start = 0.0, i
-        total += _weight(of, t) * (n if t[:4] in ("word", "link") else 1)
+            total, start = 0, i
+        total += score
         if total > best:
             best, region = total, (start, i + 1)
+    return region
+
+
+def extract(page: str | None, of: dict[str, int]) -> str:
+    """The main text of a page, by the weights `of`."""
+    seq = tokens(page or "")
+    lo, hi = best_region(weighed(seq, of))
     blocks: dict[int, list[str]] = {}
-    linked: Counter = Counter()
-    size: Counter = Counter()
-    lists: set[int] = set()
-    lo, hi = region
-    for t, n, block, text in seq[lo:hi]:
+    for _, _, block, text in seq[lo:hi]:
         if block >= 0:
             blocks.setdefault(block, []).append(text)
-            size[block] += n
-            linked[block] += n * t.startswith("link")
-            if t in ("link:li", "link:other", "link:div") and n:
-                lists.add(block)
-    made = (_SPACES.sub(" ", "".join(parts)).strip() for b, parts in blocks.items() if not (b in lists and linked[b] == size[b]))
+    made = (_SPACES.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n\n".join(x for x in made if x)
 
 
-def main_text(pages: DataFrame, of: dict[str, float] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, of: dict[str, int] | None = None) -> DataFrame:
     """pages' columns but html, with text and n_chars (code points). Columns of these names in pages are replaced."""
     of = of if of is not None else weights(pages)
     pages = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars")))

@@ -1,7 +1,10 @@
 """Operator 1: against the marked content of the given pages, and on hand-written pages."""
 
 import html
+import random
 import re
+import time
+import zlib
 
 import pytest
 
@@ -29,6 +32,60 @@ def test_whole_table(spark):
         assert got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+def test_held_out_pages_without_marks(spark):
+    """Weights from three folds find the content of the fourth, whose marks are taken away."""
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    held = {i for i in pages if zlib.crc32(str(i).encode()) % 4 == 2}
+    of = html_text.weights(spark.createDataFrame([(i, p) for i, p in pages.items() if i not in held], "page_id long, html string"))
+    right = [html_text.extract(re.sub("<(/?)article>", r"<\1div>", pages[i]), of) == marked(pages[i]) for i in held]
+    assert len(right) > 40 and sum(right) / len(right) > 0.95
+
+
+def test_scan_equals_all_regions():
+    rng = random.Random(2)
+    for _ in range(300):
+        scores = [rng.choice((-3, -2, -1, 0, 1, 2, 3)) for _ in range(rng.randrange(12))]
+        every = [(-sum(scores[i:j]), j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        total, hi, lo = min(every, default=(0, 0, 0))
+        assert html_text.best_region(scores) == ((-lo, hi) if total < 0 else (0, 0))
+
+
+OF = html_text.scores({("word:p", True): 900, ("link:li", False): 90})
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<ul><li><a href=/x>Reference one about stone</a></li></ul>",
+        '<div id="search-results-method"><p>Search method described in text.</p></div>',
+        '<section class="related-work"><p>Work before ours.</p></section>',
+        '<div class="content no-sidebar with-comments"><p>All of it.</p></div>',
+        "<b>" * 40 + "<a href=x>Deep link</a>" + "</b>" * 40,
+        '<section id="login"><p>How to log in.</p></section>',
+    ],
+)
+def test_nothing_else_is_left_out(inner):
+    page = f"{HEAD}<article><p>One two three.</p>{inner}<p>Then more.</p></article><p>Posted by us. Follow us.</p>{FOOT}"
+    text = " ".join(re.sub("<[^>]*>", "", inner).split())
+    assert html_text.extract(page, OF) == f"One two three.\n\n{text}\n\nThen more."
+
+
+@pytest.mark.parametrize("zone", ["div class=ad", "div class='cookie-banner x1'", "div role=navigation", "div hidden", "section id=comments", "aside", "div class='share-buttons'", "article class=comment", "form"])
+def test_zones_inside_content(zone):
+    tag = zone.split()[0]
+    page = f"{HEAD}<article><p>One two three.</p><{zone}><p>Left out.</p></{tag}><p>Then more.</p></article>{FOOT}"
+    assert html_text.extract(page, OF) == "One two three.\n\nThen more."
+
+
+def test_time_follows_length():
+    """Nothing open, unclosed or unmatched is looked for twice: 20,000 of each are read at once."""
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<select>" * n, "<b x='" * n, '<b "' * n, "<p>" + "<b>" * n + "<div></div>" * n, "<div class=ad>" * n + "<h1>" * n, "<a href=x>" * n + "word " * n, "<!--" * n):
+        began = time.process_time()
+        html_text.extract(page, OF)
+        assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize(
     "body, want",
     [
@@ -43,13 +100,15 @@ def test_whole_table(spark):
     ],
 )
 def test_pages_by_hand(body, want):
-    assert html_text.extract(HEAD + body + FOOT, html_text.scores({("word:p", True): 900, ("link:li", False): 90})) == want
+    assert html_text.extract(HEAD + body + FOOT, OF) == want
 
 
 def test_odd_rows(spark):
     pages = [None, "", "<", "<p", "no tags at all", "<" * 5000, "<div>" * 5000 + "deep", "<!-- open", "<script>open", "<p>a</p>" * 20000, "&#x110000;&bogus;&amp"]
-    df = spark.createDataFrame([(i, None, p, 1) for i, p in enumerate(pages)], "page_id long, url string, html string, text int")
-    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    df = spark.createDataFrame([(i, None, p, 1) for i, p in enumerate(pages)] + [(9, None, pages[9], 2)], "page_id long, url string, html string, text int")
+    rows = html_text.main_text(df).collect()
+    got = {r.page_id: r.text for r in rows}
+    assert len(rows) == len(pages) + 1 and len({r.text for r in rows if r.page_id == 9}) == 1
     assert [got[i] for i in (0, 1, 4, 6)] == ["", "", "no tags at all", "deep"]
     assert got[9].count("a") == 20000
     assert html_text.main_text(df.where("false")).count() == 0

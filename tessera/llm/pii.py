@@ -1,18 +1,24 @@
 """Personal data by boosted trees over high-recall candidates (operator 2), in DataFrame functions only.
 
 Base rules give spans that always stay. Beside them, wider generators propose spans for each kind,
-also ones that overlap what the base rules have tried and dropped (a telephone number that runs into
-a card number, an address with its signs spelt out). Format and context features of each candidate
-go through small boosted trees, one ensemble a kind, written as CASE expressions; a candidate is
-taken at its kind's calibrated threshold unless it overlaps a base span. The trees are trained on
-the driver from at most `examples` generated lines a kind, whose candidates and features come from
-the same expressions.
+which may overlap each other and what the base rules have tried and dropped (an address with its
+signs spelt out, an address whose first part runs into other digits, a number written in groups).
+Format and context features of each candidate go through small boosted trees, one ensemble a kind,
+written as CASE expressions. A candidate is taken at its kind's calibrated threshold unless it
+overlaps a base span; of taken ones that overlap, the one furthest above its threshold stays.
+
+The trees are trained on the driver from at most `examples` generated lines a kind, whose candidates
+and features come from the same expressions. Thresholds are calibrated on lines kept aside, weighted
+to `share` of positives among the candidates, as wide generators meet far more look-alikes than
+personal data; a kind that reaches the precision at no threshold adds no spans (threshold infinite).
 
 Patterns never try one place twice: runs start at their first character or where the last match
 ended, and loops are possessive, so that time is linear and no text overflows a stack.
 
 A null text is empty and has no spans. Repeated rows are read each for itself. Positions count code
-points. Among spans with the same start the kinds stand in the order email, ip, card, phone.
+points. Among spans with the same start the kinds stand in the order email, ip, card, phone. Equally
+good overlapping candidates: the one that starts first, then the kind that is listed first. Columns
+that find_pii adds replace those of the same names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,19 +40,20 @@ BASE = {
 }
 _AT = r"(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20|\x20?@\x20?)"
 _DOT = r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)"
+_PART = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 #: What may be personal data of a kind.
 WIDE = {
-    "email": rf"(?i)(?<![{_L}])[{_L}]{{1,64}}+{_AT}[{_D}]{{1,63}}+(?:{_DOT}[{_D}]{{1,63}}+){{1,5}}+",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
+    "email": rf"(?i)(?<![{_L}])[{_L}]++{_AT}[{_D}]++(?:{_DOT}[{_D}]++)++",
+    "ip": rf"(?i)(?<![0-9]){_PART}(?:(?:\.|\[\.\]|\(\.\)|\x20dot\x20){_PART}){{3}}(?![0-9])|(?<![0-9A-F:.])(?:[0-9A-F]{{1,4}}:){{7}}[0-9A-F]{{1,4}}(?![0-9A-F:])",
     "card": r"(?<![0-9])(?:[0-9]{12,19}(?![0-9])|[0-9]{4}([\x20-])(?:[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,4}){0,2}|[0-9]{6}\1[0-9]{5})(?![0-9]))",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: A text without this has no span of the kind.
-NEEDS = {"email": r"@|(?i:\bat\b)", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}[\x20-]?[0-9]|[0-9](?:[\x20-]?[0-9]){11}", "phone": r"[0-9][\x20().-]*+[0-9]"}
+NEEDS = {"email": r"@|(?i:\bat\b)", "ip": r"[0-9](?:[.\[(:]|\x20(?i:dot)\x20)|[A-Fa-f]:", "card": r"[0-9]{4}[\x20-]?[0-9]|[0-9](?:[\x20-]?[0-9]){11}", "phone": r"[0-9][\x20().-]*+[0-9]"}
 #: Words before a span that speak for or against personal data.
 FOR = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|card|visa|mastercard|amex|credit|mail|e-?mail|contact|write|reach|ip|host|address|from|login)\b"
 AGAINST = r"(?i)\b(?:version|ver|v|release|order|invoice|isbn|serial|ref|sku|part|fig|figure|table|page|section|chapter|build|date|total|no)\b|[$€#]"
-FEATURES = ("digits", "length", "plus", "paren", "groups", "separators", "luhn", "lead", "largest", "distinct", "dotted", "spelt", "bracketed", "for", "against", "year")
+FEATURES = ("digits", "length", "plus", "paren", "groups", "separators", "luhn", "lead", "largest", "distinct", "dotted", "spelt", "bracketed", "for", "against", "year", "colons", "after", "joined", "domain")
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -116,6 +123,7 @@ def _features(text: Column, x: Column) -> Column:
     """The features of a candidate, in the order of FEATURES, as doubles."""
     m = x["m"]
     before = F.substr(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
+    after = F.substr(text, x["e"] + 1, F.lit(4))
     digits = _digits(m)
     groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
     made = (
@@ -124,6 +132,8 @@ def _features(text: Column, x: Column) -> Column:
         F.coalesce(F.array_max(F.transform(groups, lambda g: F.least(F.length(g), F.lit(4)) * 0 + F.coalesce(g.try_cast("int"), F.lit(99999)))), F.lit(-1)),
         F.size(F.array_distinct(F.split(digits, ""))), F.size(F.split(m, r"\.")) - 1, m.rlike(r"(?i)\b(?:at|dot)\b"), m.rlike(r"(?i)[(\[{]\x20?(?:at|dot)"),
         before.rlike(FOR), before.rlike(AGAINST), m.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)"),
+        F.length(m) - F.length(F.replace(m, F.lit(":"), F.lit(""))), after.rlike(r"^(?:[./:-]?[0-9]|\x20?(?:[%€$£]|kg|km|mm|cm|MB|GB|ms)\b)"), before.rlike(r"[0-9A-Za-z][./:_-]?$"),
+        m.rlike(r"(?i)[.\x20\])}](?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu|ch|at|nl|us|ca|au|in|jp|br)$"),
     )
     return F.array(*(c.cast("double") for c in made))
 
@@ -144,37 +154,44 @@ def _luhn_number(rng: random.Random, n: int, good: bool) -> str:
     return "".join(map(str, [*head, check if good else (check + rng.randrange(1, 10)) % 10]))
 
 
-def _example(rng: random.Random, kind: str, positive: bool) -> tuple[str, str]:
-    """(text before, span) of a generated example."""
-    pick, num = rng.choice, lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
-    yes = {"email": ("mail me:", "contact", "write to", "reach", ""), "ip": ("host", "from", "login from", "ip", ""), "card": ("card", "visa", "pay by credit", "+1 (212) 555-0147", ""), "phone": ("call", "tel.", "phone:", "mobile", "fax", "")}[kind]
-    no = ("version", "order", "invoice", "isbn", "serial", "part", "section", "build", "see table", "total", "")
+def _example(rng: random.Random, kind: str, positive: bool) -> tuple[str, str, str]:
+    """(text before, span, text after) of a generated example."""
+    pick = rng.choice
+    num = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
     word = lambda n=7: "".join(pick("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, n)))
+    yes = {"email": ("mail me:", "contact", "write to", "reach", "e-mail", word()), "ip": ("host", "from", "login from", "ip", "address", word()), "card": ("card", "visa", "pay by credit", "+1 (212) 555-0147", word()), "phone": ("call", "tel.", "phone:", "mobile", "fax", word())}[kind]
+    no = ("version", "order", "invoice", "isbn", "serial", "part", "section", "build", "see table", "total", "release", "no.", word(), word())
+    yes = (*yes, *(word() for _ in yes), "")  # half of them stand without a word that tells
+    after = pick((f" {word()}", ".", ",", "", f" {num(8)}"))
     if kind == "email":
+        dot = pick((".", " dot ", " (dot) ", "[dot]"))
         if positive:
-            return pick(yes), word() + pick((" at ", " (at) ", "[at]", " [at] ", " @ ", " {at} ")) + word() + pick((" dot ", " (dot) ", "[dot]", ".")) + pick(("com", "org", "net", "de", "co"))
-        return pick(("look", "meet", "was", "they are", "stay", "")), word() + pick((" at ", " at ", " @ ")) + word() + pick((".", ".", " dot ")) + word()
+            return pick(yes), pick((word(), f"{word()}.{word()}", word() + num(2))) + pick((" at ", " (at) ", "[at]", " [at] ", " @ ", " {at} ")) + word() + dot + pick(("com", "org", "net", "de", "co", "fr", "edu", "es")), after
+        return pick(("look", "meet", "was", "they are", "stay", word())), word() + pick((" at ", " at ", " at ", " @ ")) + word() + pick((".", ".", ".", " dot ")) + word(), after
     if kind == "ip":
+        part = lambda: rng.randrange(0, 256)
         if positive:
-            return pick(yes), ".".join(str(rng.randrange(1, 256)) for _ in range(4))
-        return pick(no), ".".join(str(rng.choice((rng.randrange(0, 20), rng.randrange(256, 999)))) for _ in range(4))
+            four = [str(part()) for _ in range(4)]
+            return pick((*yes, f"{pick(yes)} {num(3)}.")), pick((".".join(four), pick(("[.]", "(.)", " dot ")).join(four), "[.]".join(four), ":".join(f"{rng.randrange(65536):x}" for _ in range(8)))), after
+        one = lambda: rng.choice((rng.randrange(0, 20), rng.randrange(256, 999)))
+        return pick(no), pick((".".join(str(one()) for _ in range(4)), ".".join(str(rng.randrange(0, 12)) for _ in range(4)), ".".join(num(3) for _ in range(4)), ":".join(num(2) for _ in range(8)))), pick((after, f".{num(1)}", f".{num(2)}.{num(1)}"))
     if kind == "card":
-        d = _luhn_number(rng, pick((13, 16, 16, 16, 19)) if positive else rng.randrange(12, 20), positive)
+        d = _luhn_number(rng, pick((13, 15, 16, 16, 16, 19)) if positive else rng.randrange(12, 20), positive)
         if not positive and rng.random() < 0.3:
             d = num(rng.randrange(12, 20))
         sep = pick(("", "", " ", "-"))
-        return pick(yes if positive else no), sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+        return pick(yes if positive else no), sep.join(d[i : i + 4] for i in range(0, len(d), 4)), after
     if positive:
         area, a, b = num(3), num(3), num(4)
-        return pick(yes), pick((f"({area}) {a}-{b}", f"+1 ({area}) {a}-{b}", f"+1 {area}-{a}-{b}", f"+{num(2)} {num(3)} {num(4)} {num(4)}", f"{area}-{a}-{b}", f"{area}.{a}.{b}"))
-    return pick(no), pick((f"20{num(2)}-{num(4)}-{num(3)}", f"{num(4)} {num(4)} {num(4)}", f"19{num(2)}.{num(3)}.{num(3)}", f"{num(2)}-{num(4)}-{num(4)}", f"{num(4)}-{num(3)}-{num(4)}"))
+        return pick(yes), pick((f"({area}) {a}-{b}", f"+1 ({area}) {a}-{b}", f"+1 {area}-{a}-{b}", f"+{num(2)} {num(3)} {num(4)} {num(4)}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"{area} {a} {b}")), after
+    return pick(no), pick((f"20{num(2)}-{num(4)}-{num(3)}", f"{num(4)} {num(4)} {num(4)}", f"19{num(2)}.{num(3)}.{num(3)}", f"{num(2)}-{num(4)}-{num(4)}", f"{num(4)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}-{num(3)}")), pick((after, f".{num(3)}", "%", f"-{num(1)}"))
 
 
 def example_lines(kind: str, examples: int, seed: int = 11) -> list[tuple[int, str]]:
     rng, out = random.Random(seed + KINDS.index(kind)), []
     for i in range(examples):
-        before, span = _example(rng, kind, positive := i % 2 == 0)
-        out.append((int(positive), f"{before} {span} {rng.choice(('and', 'of the', 'thereafter', '4111', ''))}".strip() if kind != "email" else f"{before} {span} ,".strip()))
+        before, span, after = _example(rng, kind, i % 2 == 0)
+        out.append((int(i % 2 == 0), before + ("" if before.endswith(".") and before[-2:-1].isdigit() else " ") + span + after))
     return out
 
 
@@ -215,23 +232,35 @@ def margins(trees: list[tuple], x: np.ndarray) -> np.ndarray:
     return z
 
 
-def train(spark: SparkSession, examples: int = 1200, precision: float = 0.98) -> dict[str, tuple[list[tuple], float]]:
-    """Trees and threshold of each kind, from `examples` generated lines a kind; every third is kept for the threshold."""
+def threshold(z: np.ndarray, y: np.ndarray, precision: float, share: float) -> float:
+    """The lowest margin from which on the precision holds when `share` of all candidates are positive; infinite if there is none."""
+    yes, no = max(1, (y == 1).sum()), max(1, (y == 0).sum())
+    for cut in np.unique(z):
+        right, wrong = share * (z[y == 1] >= cut).sum() / yes, (1 - share) * (z[y == 0] >= cut).sum() / no
+        if right and right >= precision * (right + wrong):
+            return float(cut) - 1e-9
+    return float("inf")
+
+
+_trained: dict[tuple, dict] = {}
+
+
+def train(spark: SparkSession, examples: int = 2400, precision: float = 0.95, share: float = 0.2) -> dict[str, tuple[list[tuple], float]]:
+    """Trees and threshold of each kind, from `examples` generated lines a kind; every third pair of lines is kept for the threshold. The same for the same parameters, so they are kept."""
+    if (examples, precision, share) in _trained:
+        return _trained[examples, precision, share]
     out = {}
     for kind in KINDS:
         lines = example_lines(kind, examples)
         made = spark.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit("\n".join(t for _, t in lines)), "\n")).alias("i", "t"))
-        rows = made.select("i", F.explode(candidates(F.col("t"), kind)).alias("c")).select("i", "c.f").collect()
+        own = F.concat(*(base_spans(F.col("t"), k) for k in KINDS))  # what overlaps a base span is never judged
+        free = F.filter(candidates(F.col("t"), kind), lambda x: ~F.exists("b", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        rows = made.select("*", own.alias("b")).select("i", F.explode(free).alias("c")).select("i", "c.f").collect()
         x = np.array([r["f"] for r in rows]).reshape(-1, len(FEATURES))
         y, held = np.array([lines[r["i"]][0] for r in rows]), np.array([r["i"] // 2 % 3 == 0 for r in rows], bool)
         trees = boost(x[~held], y[~held])
-        z = margins(trees, x[held])
-        cut = 0.0
-        for c in np.unique(z):  # the lowest threshold of at least this precision
-            if y[held][z >= c].mean() >= precision:
-                cut = float(c) - 1e-9
-                break
-        out[kind] = (trees, max(cut, 0.0))
+        out[kind] = (trees, threshold(margins(trees, x[held]), y[held], precision, share))
+    _trained[examples, precision, share] = out
     return out
 
 
@@ -248,6 +277,20 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def selected(spans: Column, kind: str) -> Column:
+    """Of spans (s, k, e, z) in order: of those that overlap the last one kept, the better takes its place."""
+    last = lambda a: F.element_at(a, -1)
+    return F.when(F.size(spans) < 2, spans).otherwise(
+        F.aggregate(
+            spans,
+            F.array().cast(kind),
+            lambda a, x: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1))["e"] <= x["s"]), F.concat(a, F.array(x)))
+            .when(last(a)["z"] < x["z"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x)))
+            .otherwise(a),
+        )
+    )
+
+
 def find_pii(docs: DataFrame, model: dict[str, tuple[list[tuple], float]] | None = None) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (base spans), base and spans: arrays of (s, k, e), sorted; and base_list and span_list, the same as text. Columns of these names in docs are replaced."""
     model = model or train(docs.sparkSession)
@@ -261,12 +304,13 @@ def find_pii(docs: DataFrame, model: dict[str, tuple[list[tuple], float]] | None
     more = []
     for i, k in enumerate(KINDS):
         trees, cut = model[k]
-        free = F.filter(
-            F.col(f"_w{k}"),
-            lambda x: (_score(trees, x["f"]) >= cut) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),  # noqa: B023
-        )
-        more.append(F.transform(free, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))))  # noqa: B023
-    named = named.select("*", F.array_sort(F.concat(F.col("base"), *more)).alias("spans"))
+        if not np.isfinite(cut):
+            continue
+        scored = F.transform(F.col(f"_w{k}"), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"), (_score(trees, x["f"]) - cut).alias("z")))  # noqa: B023
+        more.append(F.filter(scored, lambda x: (x["z"] >= 0) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    kind = "array<struct<s:int,k:int,e:int,z:double>>"
+    named = named.select("*", (F.array_sort(F.concat(*more)) if more else F.array().cast(kind)).alias("_more"))
+    named = named.select("*", F.array_sort(F.concat("base", plain(selected(F.col("_more"), kind)))).alias("spans"))
     return named.select(
         *docs.columns, *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), "base", "spans", _joined(F.col("base")).alias("base_list"), _joined(F.col("spans")).alias("span_list")
     )

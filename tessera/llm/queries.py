@@ -23,7 +23,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_list").cast("binary"), 256).alias("base_sha256"), F.col("span_list").alias("spans")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_list").cast("binary"), 256).alias("base_sha256"), F.col("span_list").alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 

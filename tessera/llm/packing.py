@@ -7,8 +7,14 @@ within their length. A rank is a piece's number within its task (counted while t
 pieces) plus the pieces of that length in earlier tasks, so no length is ever sorted or gathered,
 however many rows share it.
 
+The plan goes to every task; it has some 12,400 runs for 10^6 pieces and no more for 10^10, as there
+are only `limit` lengths and rooms. The counts before each task grow with the tasks and are joined by
+sorting, without their ids.
+
 Nulls: a null text counts as empty and gives the end token alone; doc_id is passed through, so
-repeated rows are packed each for itself. Empty tables give no rows.
+repeated rows are packed each for itself, and pieces of equal length take slots in the order of tasks
+and rows. Very long texts are cut as they are encoded, a text at a time. Columns of docs other than
+doc_id and text are not looked at, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -159,11 +165,13 @@ def place(cut: DataFrame, limit: int) -> DataFrame:
     local = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = stage(local.select("length", "task", "n", F.coalesce(before, F.lit(0)).alias("before")), "lengths")
-    slots = plan_slots({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit)
-    ranked = cut.join(counts.drop("n"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "task")
+    sent = cut.sparkSession.sparkContext.broadcast(plan_slots({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit))
+    # by sorting: the counts grow with the tasks and go to no task whole
+    ranked = cut.join(counts.drop("n").hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "task")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema) + ", sequence_id long, offset long"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = sent.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)

@@ -8,12 +8,14 @@ sort, and a larger budget takes a superset.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order). Rows that
 agree in doc_id and text share a hash and go together. Empty tables give no rows. Documents of
-size 0 are listed with taken 0.
+size 0 are listed with taken 0; mixed() takes or repeats them as their hash says, like the others.
+Very long texts only count more words. Columns other than doc_id, text and source pass through
+mixed() whatever their names; mix() returns its own columns only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, stage
@@ -31,39 +33,34 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.length(trimmed).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
 
 
-def source_order(sources: DataFrame) -> DataFrame:
-    """sources with rank, from 0, by code point with null last, without bringing them into one task."""
-    placed = stage(
-        sources.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "sources"
-    ).select("*", F.shiftright("_at", 33).alias("_p"))
-    parts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
-    parts = parts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(parts, "_p").select(*sources.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with the sums over all rows before them in order, without bringing them into one task: a row for each partition is summed up, then each partition by itself."""
+    placed = stage(rows.withColumns({f"_{n}": c for n, c in sums.items()}).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_p", F.shiftright("_at", 33))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_p").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    parts = parts.select("_p", *(F.coalesce(F.sum(f"_{n}").over(before(Window.orderBy("_p"))), F.lit(0)).alias(f"_p{n}") for n in sums))
+    own = before(Window.partitionBy("_p").orderBy("_at"))
+    return placed.join(parts, "_p").select(*rows.columns, *((F.col(f"_p{n}") + F.coalesce(F.sum(f"_{n}").over(own), F.lit(0))).alias(n) for n in sums))
 
 
 def targets(per_source: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
-    """per_source (source, source_size) with its target: weights in turn by order, the words that a source can't give shared among the others by weight."""
-    ranked = stage(
-        source_order(per_source).withColumn(
-            "w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-        ),
-        "ranked",
-    )
+    """per_source (source, source_size) with its target: weights in turn by order, the words that a source can't give shared among the others by weight.
+
+    Sources stop in order of size over weight. Each has, from the sums over those before it, the rate
+    that holds if exactly those have stopped; the first that doesn't stop at its own rate has the
+    final one.
+    """
+    ranked = running(per_source, [F.col("source").asc_nulls_last()], rank=F.lit(1))
+    ranked = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
     full = F.col("source_size").cast("double") * most
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    rate, stopped = 0.0, -1
-    while True:  # each turn stops one source more at least; the rate only rises
-        capped = F.col("w") * F.lit(rate) > full
-        a = ranked.agg(
-            F.count(F.when(capped, 1)).alias("n"),
-            F.coalesce(F.sum(F.when(capped, full)), F.lit(0.0)).alias("given"),
-            F.coalesce(F.sum(F.when(~capped, F.col("w"))), F.lit(0.0)).alias("w"),
-        ).first()
-        if a["n"] == stopped or not a["w"]:
-            break
-        stopped, rate = a["n"], (total - a["given"]) / a["w"]
-    return ranked.select("source", "source_size", F.least(full, F.col("w") * F.lit(rate)).alias("target"))
+    summed = stage(running(ranked, [full / F.col("w"), F.col("rank")], stopped_size=full, stopped_w=F.col("w")), "ranked")
+    all_ = summed.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    own = (F.lit(float(all_["size"] or 0)) - F.col("stopped_size")) / (F.lit(float(all_["w"] or 0)) - F.col("stopped_w"))
+    rate = summed.select(own.alias("rate"), (full / F.col("w")).alias("limit"), "stopped_size", "stopped_w").where("limit >= rate").agg(F.min_by("rate", F.struct("limit", "stopped_w"))).first()[0]
+    return summed.select("source", "source_size", full.alias("_full"), "w").select(
+        "source", "source_size", (F.least("_full", F.col("w") * F.lit(rate)) if rate is not None else F.col("_full")).alias("target")
+    )
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import curation, entity, facts
-from .queries import _CONFLICT, PREFIX, SLABS, TILE
+from .queries import _CONFLICT, _weakly_typed, PREFIX, SLABS, TILE
 from .sources import feeds, fixture
 
 QUERIES: dict = {}
@@ -48,19 +48,27 @@ def f15_folds_without_rejected(m, s, spark, sf):
 
 @query(_CONFLICT + " SELECT material_key AS alias_key, canonical AS canonical_key FROM c WHERE types >= 2 AND material_key <> canonical")
 def n11_folded_conflicts(m, s, spark, sf):
-    return curation.fold_edges(entity.conflict_clusters(m))
+    return curation.fold_edges(entity.conflict_clusters(_weakly_typed(m)))
 
 
-@query("RAW SELECT 'a' || p_partkey AS alias_key, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN 'h' || (p_partkey % 7 % 2) ELSE 'g' || (p_partkey % 7) END AS canonical_key FROM part WHERE p_partkey < 400 UNION ALL SELECT * FROM (VALUES ('g1', 'h1'), ('g2', 'h0'), ('g3', 'h1')) t(a, c)")
+@query("RAW SELECT 'a' || p_partkey AS alias_key, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN 'h9' WHEN p_partkey % 7 = 4 THEN 'g5' ELSE 'g' || (p_partkey % 7) END AS canonical_key FROM part UNION ALL SELECT * FROM (VALUES ('g1', 'h9'), ('g2', 'h9'), ('g3', 'h9'), ('h1', 'h9'), ('h0', 'h9'), ('g4', 'g5'), ('x', 'z'), ('y', 'z')) t(a, c)")
 def e6_added_aliases(m, s, spark, sf):
-    p = fixture.table(spark, sf, "part").where("p_partkey < 400")
+    """New aliases that chain with each other and with stored ones; x, y and z would close a cycle."""
+    p = fixture.table(spark, sf, "part")
     old = p.select(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("alias_key"), F.concat(F.lit("g"), (F.col("p_partkey") % 7).cast("string")).alias("canonical_key"))
-    return curation.add_aliases(old, spark.createDataFrame([("g1", "h1"), ("g2", "h0"), ("g3", "h1")], "alias_key string, canonical_key string"))
+    new = [("g1", "h1"), ("g2", "h0"), ("g3", "h1"), ("h1", "h9"), ("h0", "h1"), ("g4", "g5"), ("x", "y"), ("y", "z"), ("z", "x"), ("same", "same")]
+    return curation.add_aliases(old, spark.createDataFrame(new, "alias_key string, canonical_key string"))
+
+
+@query("RAW SELECT 'a' || p_partkey AS alias_key, 'g' AS canonical_key FROM part WHERE p_partkey % 3 <> 0")
+def n20_removed_aliases(m, s, spark, sf):
+    p = fixture.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("alias_key"))
+    return curation.without_aliases(p.select("alias_key", F.lit("g").alias("canonical_key")), p.where("p_partkey % 3 = 0"))
 
 
-@query(", r AS (SELECT DISTINCT CASE WHEN split_part(base, ' ', 1) = lower(material_type) THEN split_part(base, ' ', 2) ELSE base END || '|' || lower(material_type) AS alias_key FROM materials) SELECT alias_key, 'red bolt|promo' AS canonical_key FROM r WHERE alias_key <> 'red bolt|promo'")
+@query(", r AS (SELECT DISTINCT CASE WHEN split_part(base, ' ', 1) = lower(material_type) THEN split_part(base, ' ', 2) ELSE base END || '|' || lower(material_type) AS alias_key FROM materials) SELECT alias_key, 'red plate|promo' AS canonical_key FROM r WHERE alias_key <> 'red plate|promo'")
 def e9_remapped_aliases(m, s, spark, sf):
-    edges = m.select(F.col("material_key").alias("alias_key")).distinct().withColumn("canonical_key", F.lit("red bolt|promo"))
+    edges = m.select(F.col("material_key").alias("alias_key")).distinct().withColumn("canonical_key", F.lit("red plate|promo"))
     return curation.remapped_aliases(edges, F.col("alias_key"))
 
 
@@ -85,18 +93,18 @@ def e14_applied_scopes(m, s, spark, sf):
 # --- saved items and comparisons ---------------------------------------------------------------
 
 
-@query(f", l AS (SELECT DISTINCT CAST(p_partkey % 50 AS BIGINT) AS supplier_id, CAST(p_partkey AS VARCHAR) AS item_id FROM part WHERE p_partkey < 200), n AS (SELECT supplier_id, item_id, min(id) AS live_id, CAST(sum({SLABS}) AS BIGINT) AS slabs, CAST(sum(CASE WHEN {TILE} AND uom = 'SF' THEN available_slabs ELSE 0 END) AS BIGINT) AS tile_sf FROM materials GROUP BY 1, 2) SELECT l.supplier_id, l.item_id, live_id, slabs, tile_sf, live_id IS NULL AS gone FROM l LEFT JOIN n ON n.supplier_id = l.supplier_id AND n.item_id = l.item_id")
+@query(f", l AS (SELECT DISTINCT CAST(p_partkey % 50 AS BIGINT) AS supplier_id, CAST(p_partkey AS VARCHAR) AS item_id FROM part), n AS (SELECT supplier_id, item_id, min(id) AS live_id, CAST(sum({SLABS}) AS BIGINT) AS slabs, CAST(sum(CASE WHEN {TILE} AND uom = 'SF' THEN available_slabs ELSE 0 END) AS BIGINT) AS tile_sf FROM materials GROUP BY 1, 2) SELECT l.supplier_id, l.item_id, live_id, slabs, tile_sf, live_id IS NULL AS gone FROM l LEFT JOIN n ON n.supplier_id = l.supplier_id AND n.item_id = l.item_id")
 def j4_list_items(m, s, spark, sf):
-    saved = fixture.table(spark, sf, "part").where("p_partkey < 200").select((F.col("p_partkey") % 50).alias("supplier_id"), F.col("p_partkey").cast("string").alias("item_id")).distinct()
+    saved = fixture.table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("supplier_id"), F.col("p_partkey").cast("string").alias("item_id")).distinct()
     return curation.list_items(saved, m)
 
 
-@query(f""", y AS (SELECT material_key, supplier_id, sum({SLABS}) AS n FROM materials WHERE material_key IN ('red bolt|promo', 'blue widget|small', 'red bolt|small', 'cold gear|promo') GROUP BY 1, 2),
+@query(f""", y AS (SELECT material_key, supplier_id, sum({SLABS}) AS n FROM materials WHERE material_key IN ('red plate|promo', 'blue widget|small', 'red bolt|small', 'cold gear|promo') GROUP BY 1, 2),
 e AS (SELECT material_key, count(*) AS suppliers, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS deepest FROM y GROUP BY 1)
 SELECT *, suppliers = (SELECT max(suppliers) FROM e) AND (SELECT count(*) FROM e WHERE suppliers = (SELECT max(suppliers) FROM e)) = 1 AS wins_suppliers, total = (SELECT max(total) FROM e) AND (SELECT count(*) FROM e WHERE total = (SELECT max(total) FROM e)) = 1 AS wins_total,
   deepest = (SELECT max(deepest) FROM e) AND (SELECT count(*) FROM e WHERE deepest = (SELECT max(deepest) FROM e)) = 1 AS wins_deepest FROM e""")
 def q8_compared(m, s, spark, sf):
-    return curation.compared(m, ["red bolt|promo", "blue widget|small", "red bolt|small", "cold gear|promo"])
+    return curation.compared(m, ["red plate|promo", "blue widget|small", "red bolt|small", "cold gear|promo"])
 
 
 # --- facts -------------------------------------------------------------------------------------
@@ -104,7 +112,7 @@ def q8_compared(m, s, spark, sf):
 
 @query("SELECT DISTINCT material_key, item_name AS name, CASE WHEN base = 'red bolt' THEN 0 WHEN base = 'blue widget' THEN 1 WHEN regexp_matches(item_name, '\\brod\\b') THEN 2 END AS fact FROM materials")
 def j16_fact_of_product(m, s, spark, sf):
-    rows = [(0, "red bolt|promo", "Red Bolt", [], "natural"), (1, "x y|z", "Blue Widget", ["none such"], "natural"), (2, "", "Acme Rod", ["rod"], "engineered")]
+    rows = [(0, "red plate|promo", "Red Bolt", [], "natural"), (1, "x y|z", "Blue Widget", ["none such"], "natural"), (2, "", "Acme Rod", ["rod"], "engineered")]
     known = spark.createDataFrame(rows, "fact int, key string, display_name string, also_known_as array<string>, formation string")
     return facts.lookup(m.select("material_key", F.col("item_name").alias("name")), known)
 

@@ -107,16 +107,13 @@ def _spaces(c: Column) -> Column:
 def title_key(name: Column, material_type: Column) -> Column:
     """What a name is without finish, size, form, its own type and punctuation."""
     n = F.lower(F.coalesce(name, F.lit("")))
-    n = F.regexp_replace(n, r"\([^)]*\)", " ")
-    n = F.regexp_replace(n, r"\b(?:un)?(?:honed|leather(?:ed)?|polished|brushed|flamed|matte|satin|caressed|suede|velvet|antiqued?|dual)(?=\d|\b)", " ")
-    n = F.regexp_replace(n, r"\b(?:\d+(?:\.\d+)?\s*cm|\(?\s*l\s*(?:&|x|and)\s*r\s*\)?|sj)\b", " ")
-    n = F.regexp_replace(n, r"\b\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?(?:\s*[x×]\s*\d+(?:\.\d+)?)*\b", " ")
-    n = F.regexp_replace(n, r"\b\d+(?:\.\d+)?\s*(?:mm|inches|inch|in)\b", " ")
+    for left_out in (vocab.KEY_REMARK, vocab.KEY_FINISH, vocab.KEY_QUALIFIER, vocab.KEY_SIZE, vocab.KEY_UNIT):
+        n = F.regexp_replace(n, left_out, " ")
     n = _spaces(F.regexp_replace(n, "[^a-z0-9 ]+", " "))
     kind = F.lower(text(material_type))
     bare = _spaces(F.regexp_replace(n, F.concat(F.lit(r"\b\Q"), kind, F.lit(r"\E\b")), F.lit(" ")))
     n = F.when(kind.isin("", "other", vocab.ACCESSORY.lower()) | (bare == ""), n).otherwise(bare)
-    formless = _spaces(F.regexp_replace(n, r"\b(?:slabs?|finish)\b", " "))
+    formless = _spaces(F.regexp_replace(n, vocab.KEY_FORM, " "))
     return F.when(formless == "", n).otherwise(formless)
 
 
@@ -132,10 +129,11 @@ def remap_key(key: Column) -> Column:
 
 
 def price(raw: Column) -> Column:
-    """(basis, amount) of `$x/sf` and `$x`; all else is null."""
-    amount = F.replace(F.regexp_extract(text(raw), r"^\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:/\s*(?i:sf|sqft))?$", 1), F.lit(","), F.lit("")).try_cast("double")
-    basis = F.when(F.lower(raw).rlike(r"/\s*(?:sf|sqft)$"), "sqft").otherwise("unit")
-    return F.when(amount.isNotNull(), F.struct(basis.alias("basis"), amount.alias("amount")))
+    """(basis, amount): an amount by the square foot anywhere in the text, or a bare amount that is all of it; else null."""
+    by_area = F.regexp_extract(text(raw), vocab.PRICE_BY_AREA, 1)
+    bare = F.regexp_extract(text(raw), vocab.PRICE_BARE, 1)
+    amount = F.replace(F.when(by_area != "", by_area).otherwise(bare), F.lit(","), F.lit("")).try_cast("double")
+    return F.when(amount.isNotNull(), F.struct(F.when(by_area != "", "sqft").otherwise("unit").alias("basis"), amount.alias("amount")))
 
 
 def miles(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:

@@ -35,7 +35,7 @@ ACCESSORY_WORDS = (
     "handout", "handouts", "cleaner", "gloves", "respirator",
 )
 #: Equipment for slabs, after the word slab.
-SLAB_TOOLS = "lifter rack dolly cart cradle a-?frame trolley clamp buggy trailer lifting handling storage hook caddy stand".split()
+SLAB_TOOLS = ("lifter", "rack", "dolly", "cart", "cradle", "a-?frame", "trolley", "clamp", "buggy", "trailer", "lifting", "handling", "storage", "hook", "caddy", "stand")
 #: Finish words and what they are reported as.
 FINISHES = {
     "polished": "Polished", "polish": "Polished", "honed": "Honed", "leathered": "Leathered", "leather": "Leathered", "brushed": "Brushed",
@@ -59,15 +59,45 @@ FAMILIES = {
 #: Centimetres of a unit; nominal thicknesses in centimetres.
 UNIT_CM = {"cm": 1.0, "mm": 0.1, "in": 2.54, "inch": 2.54}
 NOMINAL_CM = (0.4, 0.6, 0.8, 1.0, 1.2, 1.5, 1.6, 2.0, 3.0, 4.0, 5.0, 6.0)
-#: Spellings in queries and those that suppliers use.
+#: Prices by the square foot, and bare ones.
+PRICE_BY_AREA = r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*/\s*(?:sf|sq\.?\s*ft)"
+PRICE_BARE = r"^\$\s*([\d,]+(?:\.\d+)?)$"
+#: What a name's key leaves out, in this order: remarks, finishes, qualifiers, sizes, units; and words of form.
+KEY_REMARK = r"\([^)]*\)"
+KEY_FINISH = r"\b(?:un)?(?:honed|leather(?:ed)?|polished|brushed|flamed|matte|satin|caressed|suede|velvet|antique[d]?|dual)(?=\d|\b)"
+KEY_QUALIFIER = r"\b(?:\d+(?:\.\d+)?\s*cm|\(?\s*l\s*(?:&|x|and)\s*r\s*\)?|sj)\b"
+KEY_SIZE = r"\b\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?(?:\s*[x×]\s*\d+(?:\.\d+)?)*\b"
+KEY_UNIT = r"\b\d+(?:\.\d+)?\s*(?:mm|in|inch|inches)\b"
+KEY_FORM = r"\b(?:slabs?|finish)\b"
+#: Spellings in queries and those that suppliers use, in the order in which they are tried.
 SPELLINGS = {
     "calcutta": "calacatta", "calacata": "calacatta", "calactta": "calacatta", "calacutta": "calacatta", "calcatta": "calacatta", "calacatt": "calacatta",
-    "carrera": "carrara", "carara": "carrara", "cararra": "carrara", "carrarra": "carrara", "statuary": "statuario", "quartzsite": "quartzite",
-    "quartsite": "quartzite", "travertino": "travertine", "travertin": "travertine", "silstone": "silestone", "ceasarstone": "caesarstone",
+    "carrera": "carrara", "carara": "carrara", "cararra": "carrara", "carrarra": "carrara", "statuary": "statuario", "statuarrio": "statuario", "stautario": "statuario",
+    "taj": "taj mahal", "tajmahal": "taj mahal", "cambrian": "cambria", "silstone": "silestone", "ceasarstone": "caesarstone", "quartzsite": "quartzite",
+    "quartsite": "quartzite", "travertino": "travertine", "travertin": "travertine", "blue de savoie": "bleu de savoie", "cremarfil": "crema marfil",
+    "marquinia": "marquina", "marqunia": "marquina", "thasos": "thassos", "thassoss": "thassos", "imperador": "emperador", "bottocino": "botticino", "botocino": "botticino",
 }
+#: Types that a query names, in the order in which they are looked for.
+QUERY_TYPES = (
+    ("soap stone", "Soapstone"), ("sintered stone", "Sintered Stone"), ("semi precious", "Semi-Precious"), ("semi-precious", "Semi-Precious"), ("solid surface", "Solid Surface"),
+    ("engineered marble", "Engineered Marble"), ("engineered glass", "Engineered Glass"), ("engineered stone", "Engineered Stone"), ("natural stone", "Natural Stone"),
+    ("stone veneer", "Stone Veneer"), ("quartzite", "Quartzite"), ("granite", "Granite"), ("marble", "Marble"), ("quartz", "Quartz"), ("porcelain", "Porcelain"),
+    ("dolomite", "Dolomite"), ("travertine", "Travertine"), ("onyx", "Onyx"), ("limestone", "Limestone"), ("soapstone", "Soapstone"), ("slate", "Slate"), ("basalt", "Basalt"),
+    ("sandstone", "Sandstone"), ("schist", "Schist"), ("terrazzo", "Terrazzo"), ("mosaic", "Mosaic"), ("sintered", "Sintered Stone"), ("neolith", "Sintered Stone"),
+    ("dekton", "Sintered Stone"), ("lapitec", "Sintered Stone"), ("caesarstone", "Quartz"), ("silestone", "Quartz"), ("engineered", "Engineered Stone"),
+    ("veneer", "Stone Veneer"), ("precious", "Semi-Precious"), ("porcelin", "Porcelain"),
+)
+#: Finishes that a query names; they stay terms.
+QUERY_FINISHES = (
+    "polished", "honed", "leathered", "leather", "brushed", "matte", "matt", "satin", "flamed", "caressed", "suede", "velvet", "antiqued", "antique",
+    "tumbled", "sandblasted", "bushhammered", "glossy", "textured",
+)
 #: Words of a query that say nothing about a product.
 STOP = (
-    "the a an of in on with and or for me show find get want need looking look please material materials stone stones color colour colored coloured "
-    "some any type types all that are is to".split()
-)
-FORMS = {"slab": "slab", "slabs": "slab", "tile": "tile", "tiles": "tile", "remnant": "remnant", "remnants": "remnant"}
+    "the", "a", "an", "of", "in", "on", "with", "and", "or", "for", "me", "show", "find", "get", "want", "need", "looking", "look", "please", "material", "materials", "stone", "stones",
+    "color", "colour", "colored", "coloured", "some", "any", "type", "types", "all", "that", "are", "is", "to",
+)
+#: Forms that a query names.
+FORMS = {"slab": "slab", "slabs": "slab", "tile": "tile", "tiles": "tile", "remnant": "remnant", "remnants": "remnant", "remmnant": "remnant"}
+#: The width in a photo's address as it is stored, and the widest.
+STORED_WIDTH = ("width=1400", "width=2400")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .operators import entity, policy, rollup
-from .plans import search
+from .plans import pages, search
 from .queries import INNER, PREFIX, SLABS, _TOTALS, _totals
 from .sources import fixture, store
 
@@ -58,18 +58,59 @@ def u3_first_seen(m, s, spark, sf):
 
 # --- search ------------------------------------------------------------------------------------
 
-_FOUND = INNER.replace("FROM materials GROUP BY material_key, supplier_id", "FROM materials WHERE contains(lower(item_name), 'red') AND thickness = '3cm' AND product_form ILIKE '%slab%' AND contains(lower(item_name), 'bolt') GROUP BY material_key, supplier_id")
+def _found(where: str) -> str:
+    return INNER.replace("FROM materials GROUP BY material_key, supplier_id", f"FROM materials WHERE {where} GROUP BY material_key, supplier_id")
 
 
-@query(_FOUND + "SELECT grp, suppliers, available_slabs, total_slabs FROM rollup_ WHERE available_slabs > 0 OR has_tile = 1 ORDER BY suppliers DESC, available_slabs DESC, item_name, grp LIMIT 30")
+@query(_found("contains(lower(item_name), 'plate') AND thickness = '3cm' AND upper(product_form) LIKE '%SLAB%' AND (color = 'Red' OR contains(item_name, 'red'))") + "SELECT grp, suppliers, available_slabs, total_slabs FROM rollup_ WHERE available_slabs > 0 OR has_tile = 1 ORDER BY suppliers DESC, available_slabs DESC, material_key, grp LIMIT 30")
 def q1_search(m, s, spark, sf):
-    return search.search(m, s, "show me a Red bolt slab 30mm please").select("grp", "suppliers", "available_slabs", "total_slabs")
+    found = search.search(m, s, "show me a Red plate slab, 30mm please", search.Filters(in_stock=True))
+    return found.products.select("grp", "suppliers", "available_slabs", "total_slabs")
 
 
-@query(_TOTALS + " WHERE contains(item_name, 'widget')" + " GROUP BY material_key")
+_REACH = "2 * 3958.8 * asin(sqrt(pow(sin(radians(lat - 10.0) / 2), 2) + cos(radians(lat)) * cos(radians(10.0)) * pow(sin(radians(lon - 20.0) / 2), 2)))"
+
+
+@query(f", near AS (SELECT s.id AS supplier_id, round({_REACH}, 1) AS miles FROM suppliers s JOIN location_geo g ON g.location = s.location WHERE lat IS NOT NULL AND {_REACH} <= 4000), found AS (SELECT m.*, miles FROM materials m JOIN near USING (supplier_id) WHERE material_type = 'PROMO' AND avg_length >= 70 AND avg_width >= 45 AND new_arrival = 1 AND contains(item_name, 'widget')), y AS (SELECT material_key AS grp, supplier_id, sum({SLABS}) AS n, max(CASE WHEN upper(product_form) LIKE '%TILE%' THEN 1 ELSE 0 END) AS tile, min(miles) AS miles, sum({SLABS} * avg_length * avg_width) / 144.0 AS sqft FROM found GROUP BY 1, 2), g AS (SELECT grp, count(*) AS suppliers, CAST(max(n) AS BIGINT) AS available_slabs, max(tile) AS tile, min(miles) AS miles, max(sqft) AS sqft FROM y GROUP BY 1) SELECT grp, suppliers, available_slabs, miles FROM g WHERE (available_slabs > 0 OR tile = 1) AND sqft >= 100 ORDER BY miles, available_slabs DESC, grp LIMIT 20")
+def q1_search_nearby(m, s, spark, sf):
+    chosen = search.Filters(material_type="PROMO", near=(10.0, 20.0, 4000.0), min_length=70, min_width=45, min_sqft=100, new_only=True)
+    found = search.search(m, s, "widgets", chosen, fixture.location_geo(spark, sf), sort="distance", size=20)
+    return found.products.select("grp", "suppliers", "available_slabs", "miles")
+
+
+@query(INNER.replace("FROM materials GROUP BY material_key, supplier_id", "FROM materials WHERE contains(item_name, 'widget') AND contains(item_name, 'plate') IS NOT NULL AND contains(item_name, 'blue') GROUP BY material_key, supplier_id") + "SELECT grp, suppliers, total_slabs FROM rollup_")
+def q1_search_misspelt(m, s, spark, sf):
+    """No name has these words as they are spelt; a navy blue widget is found by words like them."""
+    found = search.search(m.withColumn("item_name", F.regexp_replace("item_name", "^blue", "blueish")), s, "blueisch widgett", size=10_000)
+    return found.products.select("grp", "suppliers", "total_slabs")
+
+
+@query(", u AS (SELECT s.id FROM suppliers s WHERE id % 3 = 0) SELECT CAST((SELECT count(DISTINCT supplier_id) FROM materials WHERE contains(item_name, 'rod') AND supplier_id IN (SELECT id FROM u)) AS BIGINT) AS suppliers, CAST((SELECT count(DISTINCT material_key) FROM materials WHERE contains(item_name, 'rod') AND supplier_id IN (SELECT id FROM u)) AS BIGINT) AS products, CAST((SELECT count(DISTINCT material_key) FROM materials JOIN suppliers s ON s.id = supplier_id WHERE contains(item_name, 'rod') AND s.id % 3 <> 0 AND s.location = 'NATION_3') AS BIGINT) AS total")
+def q1_search_unlocated(m, s, spark, sf):
+    placed = s.withColumn("locations", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("elsewhere, "), "location")))
+    found = search.search(m, placed, "rod", search.Filters(locations=("Nation_3",)))
+    return spark.createDataFrame([(*found.unlocated, found.total)], "suppliers long, products long, total long")
+
+
+@query("RAW SELECT term, w, ratio::DOUBLE AS ratio, rank FROM (VALUES ('WIDGETT', 'WIDGET', 0.923077, 1), ('PLATE', 'PLATE', 1.0, 1), ('POLSHED', 'POLISHED', 0.933333, 1)) t(term, w, ratio, rank)")
 def x21_close_words(m, s, spark, sf):
-    near = search.close_words(m, "widgit")
-    return _totals(m.where(F.col("item_name").rlike("|".join(near)))) if near else _totals(m.where("false"))
+    return search.close_words(m, ["widgett", "plate", "polshed", "zzzz"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("RAW SELECT * FROM (VALUES ('q', 'Quartzite', 'white', '2cm', 'slab', 'leathered,taj,mahal'), ('a', 'Porcelain', 'light gray', '1.2cm', 'tile', 'calacatta,gold,remmnant'), ('n', '', '', '', '', 'x1')) t(query, material_type, color, thickness, form, terms)")
+def x11_parsed_queries(m, s, spark, sf):
+    rows = []
+    for name, text in (("q", "Show me White QUARTSITE slabs, leathered taj 20 mm"), ("a", "calcutta gold light gray porcelin remmnant-tile 1.2cm"), ("n", "a of the stone x1 - y")):
+        q = search.parse(text)
+        rows.append((name, q.material_type, q.color, q.thickness, q.form, ",".join(q.terms)))
+    return spark.createDataFrame(rows, "query string, material_type string, color string, thickness string, form string, terms string")
+
+
+@query("RAW SELECT * FROM (VALUES ('material_type', 'Marble', '3,4,5,6,7'), ('near', 'within 50 mi', '1,2,3'), ('min_sqft', '40', '1'), ('new_only', 'yes', '8,9,10')) t(name, value, pages)")
+def n18_chips_and_pages(m, s, spark, sf):
+    windows = [search.page_window(*x) for x in ((5, 9), (1, 9), (1, 1), (10, 10))]
+    shown = search.chips(search.Filters(material_type="Marble", near=(1.0, 2.0, 50.0), min_sqft=40, new_only=True))
+    return spark.createDataFrame([(n, v, ",".join(map(str, w))) for (n, v), w in zip(shown, windows, strict=True)], "name string, value string, pages string")
 
 
 @query(INNER + "SELECT material_type, count(*) AS products, CAST(sum(total_slabs) AS BIGINT) AS slabs, count(CASE WHEN available_slabs > 0 THEN 1 END) AS in_stock FROM rollup_ GROUP BY 1")
@@ -78,10 +119,33 @@ def q2_rollup_by_type(m, s, spark, sf):
     return r.groupBy("material_type").agg(F.count(F.lit(1)).alias("products"), F.sum("total_slabs").alias("slabs"), F.count(F.when(F.col("available_slabs") > 0, 1)).alias("in_stock"))
 
 
-@query("SELECT supplier_id, location, CAST(sum(available_slabs) AS BIGINT) AS slabs, count(DISTINCT item_id) AS items, min(thickness) AS thinnest, max(avg_length) AS longest FROM materials JOIN suppliers s ON s.id = supplier_id WHERE material_key = 'red bolt|promo' GROUP BY 1, 2")
+@query(f"""SELECT material_key, supplier_id, location, CAST(sum({SLABS}) AS BIGINT) AS slabs, count(DISTINCT item_id) AS items, string_agg(DISTINCT nullif(thickness, ''), ',' ORDER BY nullif(thickness, '')) AS thicknesses, min(nullif(avg_length, 0)) AS shortest, max(avg_length) AS longest
+FROM materials JOIN suppliers s ON s.id = supplier_id WHERE material_key IN ('red plate|promo', 'red rod|economy') GROUP BY 1, 2, 3""")
 def q3_product_page(m, s, spark, sf):
-    at = m.where("material_key = 'red bolt|promo'").join(s.select(F.col("id").alias("supplier_id"), "location"), "supplier_id")
-    return at.groupBy("supplier_id", "location").agg(F.sum("available_slabs").alias("slabs"), F.count_distinct("item_id").alias("items"), F.min("thickness").alias("thinnest"), F.max("avg_length").alias("longest"))
+    return pages.supplier_blocks(m, s, ["red plate|promo", "red rod|economy"])
+
+
+@query("""SELECT material_key, string_agg(DISTINCT CASE color WHEN 'Gray, White' THEN 'Gray' ELSE nullif(color, '') END, ',') AS first_color, min(avg_length) AS shortest, max(avg_length) AS longest, min(avg_width) AS narrowest, max(avg_width) AS widest, count(DISTINCT supplier_id) AS suppliers, count(*) AS listings
+FROM materials WHERE material_key IN ('red plate|promo', 'blue ring|economy', 'cold rod|promo') GROUP BY 1""")
+def a15_page_facts(m, s, spark, sf):
+    f = pages.facts(m, ["red plate|promo", "blue ring|economy", "cold rod|promo"])
+    return f.select("material_key", F.get("colors", F.lit(0)).alias("first_color"), "shortest", "longest", "narrowest", "widest", "suppliers", "listings")
+
+
+@query("SELECT id, item_id, image_url FROM (SELECT *, row_number() OVER (ORDER BY image_url = '', available_slabs DESC, id) AS nth FROM materials WHERE material_key = 'red plate|promo') WHERE nth <= 8")
+def a15_page_photos(m, s, spark, sf):
+    return pages.photos(m.where("material_key = 'red plate|promo'"), 8).select("id", "item_id", "image_url")
+
+
+@query(", i AS (SELECT DISTINCT supplier_id, item_id FROM materials WHERE material_key = 'red plate|promo') SELECT supplier_id, item_id, idone AS slab_no, image_url, (SELECT min(crawled_at) FROM materials JOIN i USING (supplier_id, item_id)) AS oldest FROM materials JOIN i USING (supplier_id, item_id) WHERE idone IS NOT NULL")
+def q5_slab_gallery(m, s, spark, sf):
+    slabs = m.select("supplier_id", "item_id", F.col("idone").alias("slab_no"), "image_url", "crawled_at")
+    return pages.gallery(m.where("material_key = 'red plate|promo'"), slabs)
+
+
+@query("SELECT m.supplier_id, m.id, m.item_name, m.available_slabs FROM materials m JOIN (SELECT supplier_id, min(id) AS id FROM materials WHERE base = 'red plate' GROUP BY 1) r ON r.id = m.id")
+def j8_first_rows(m, s, spark, sf):
+    return pages.first_rows(m.where("base = 'red plate'")).select("supplier_id", "id", "item_name", "available_slabs")
 
 
 @query(", k AS (SELECT item_id, supplier_id, thickness, product_form, CAST(sum(available_slabs) AS BIGINT) AS slabs FROM materials WHERE item_id IN ('7', '11') GROUP BY ALL) SELECT * FROM k")
@@ -128,17 +192,49 @@ def w7_unique_winner(m, s, spark, sf):
     return top.groupBy("base").agg(F.min("n").alias("slabs"), F.min("supplier_id").alias("winner"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
 
 
-@query(", n AS (SELECT token, s.id, host, count(DISTINCT item_id) AS items FROM suppliers s JOIN materials m ON m.supplier_id = s.id GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY items DESC, host) AS rn FROM n) SELECT token, host AS canonical FROM r WHERE rn = 1")
+@query(""", n AS (SELECT id // 4 AS cluster, CASE WHEN id % 2 = 1 THEN 'w' || (id // 4) || '.example.com' ELSE host END AS host, CASE WHEN id % 8 < 4 THEN 9 ELSE id % 4 END AS items, 'W' || (id // 4) AS token FROM suppliers)
+SELECT cluster, host AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY items DESC, split_part(host, '.', 1) <> lower(token), host) AS rn FROM n) WHERE rn = 1""")
 def w6_canonical_host(m, s, spark, sf):
-    n = m.groupBy("supplier_id").agg(F.count_distinct("item_id").alias("items")).join(s, F.col("id") == F.col("supplier_id"))
-    return n.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("items"), "host"))).where("rn = 1").select("token", F.col("host").alias("canonical"))
+    k = F.col("id")
+    host = F.when(k % 2 == 1, F.concat(F.lit("w"), F.floor(k / 4).cast("string"), F.lit(".example.com"))).otherwise(F.col("host"))
+    members = s.select(F.floor(k / 4).alias("cluster"), host.alias("host"), F.concat(F.lit("W"), F.floor(k / 4).cast("string")).alias("token"), F.when(k % 8 < 4, 9).otherwise(k % 4).alias("items"))
+    return entity.canonical_hosts(members)
+
+
+def _mirrored(m, s):
+    """Storefronts in fours: three show the first one's items, the third but for one in 97, and the last its own; the second has the tenant's name."""
+    k = F.col("id")
+    shops = s.select("id", F.when(k % 4 == 1, F.concat(F.lit("t"), F.floor(k / 4).cast("string"), F.lit(".example.com"))).otherwise(F.col("host")).alias("host"), "company", F.concat(F.lit("T"), F.floor(k / 4).cast("string")).alias("token"))
+    of = s.select(F.col("id").alias("shop"), F.when(k % 4 == 3, k).otherwise(k - k % 4).alias("supplier_id"))
+    items = m.select("supplier_id", "item_id").distinct().join(of, "supplier_id").where("shop % 4 <> 2 or cast(item_id as bigint) % 97 <> 0")
+    return items.select(F.col("shop").alias("supplier_id"), "item_id"), shops
+
 
+_MIRRORED = """, shops AS (SELECT id, CASE WHEN id % 4 = 1 THEN 't' || (id // 4) || '.example.com' ELSE host END AS host, company, 'T' || (id // 4) AS token FROM suppliers),
+items AS (SELECT DISTINCT s.id AS supplier_id, item_id FROM suppliers s JOIN materials m ON m.supplier_id = CASE WHEN s.id % 4 = 3 THEN s.id ELSE s.id - s.id % 4 END WHERE s.id % 4 <> 2 OR CAST(item_id AS BIGINT) % 97 <> 0),
+n AS (SELECT supplier_id, count(*) AS n FROM items GROUP BY 1),
+p AS (SELECT x.supplier_id AS a, y.supplier_id AS b, count(*) AS shared FROM items x JOIN items y ON x.item_id = y.item_id AND x.supplier_id // 4 = y.supplier_id // 4 AND x.supplier_id <> y.supplier_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.supplier_id = a JOIN n v ON v.supplier_id = b WHERE shared / (u.n + v.n - shared) >= 0.98),
+c AS (SELECT s.id, s.host, (SELECT o.host FROM shops o JOIN n ON n.supplier_id = o.id WHERE o.id = s.id OR o.id IN (SELECT b FROM l WHERE a = s.id) OR o.id IN (SELECT k.b FROM l k JOIN l j ON j.b = k.a WHERE j.a = s.id) ORDER BY n DESC, split_part(o.host, '.', 1) <> lower(token), o.host LIMIT 1) AS canonical FROM shops s),
+f AS (SELECT host, CASE WHEN id = 8 THEN 'elsewhere.example.com' ELSE canonical END AS mirror_of, CASE WHEN id = 8 THEN 'curated' ELSE 'computed' END AS source FROM c WHERE id NOT IN (2, 8) AND host <> canonical OR id = 8)"""
 
-@query(""", items AS (SELECT DISTINCT supplier_id, item_id FROM materials), n AS (SELECT supplier_id, count(*) AS n FROM items GROUP BY 1), t AS (SELECT i.*, token FROM items i JOIN suppliers s ON s.id = supplier_id),
-p AS (SELECT x.supplier_id AS a, y.supplier_id AS b, count(*) AS shared FROM t x JOIN t y ON x.token = y.token AND x.item_id = y.item_id AND x.supplier_id < y.supplier_id GROUP BY ALL)
-SELECT b AS supplier_id, min(a) AS mirror_of FROM p JOIN n u ON u.supplier_id = a JOIN n v ON v.supplier_id = b WHERE shared / (u.n + v.n - shared) >= 0.15 GROUP BY b""")
+
+def _found_mirrors(m, s, spark):
+    items, shops = _mirrored(m, s)
+    overrides = shops.where("id in (2, 8)").select("host", F.when(F.col("id") == 8, "elsewhere.example.com").alias("canonical"))
+    return items, shops, entity.mirrors(items, shops, overrides)
+
+
+@query(_MIRRORED + " SELECT host, mirror_of, source FROM f")
 def e11_mirrors(m, s, spark, sf):
-    return entity.item_overlap(m, s).where("jaccard >= 0.15").groupBy(F.col("b").alias("supplier_id")).agg(F.min("a").alias("mirror_of"))
+    return _found_mirrors(m, s, spark)[2]
+
+
+@query(_MIRRORED + """ SELECT f.host AS mirror_host, coalesce(nullif(x.company, ''), x.host) AS mirror_name, mirror_of AS canonical_host, coalesce(nullif(y.company, ''), y.host, mirror_of) AS canonical_name, source, round(coalesce(shared / (u.n + v.n - shared), 0), 6) AS overlap, coalesce(u.n, 0) AS mirror_items, coalesce(v.n, 0) AS canonical_items
+FROM f LEFT JOIN shops x ON x.host = f.host LEFT JOIN shops y ON y.host = mirror_of LEFT JOIN n u ON u.supplier_id = x.id LEFT JOIN n v ON v.supplier_id = y.id LEFT JOIN p ON a = x.id AND b = y.id""")
+def e12_mirror_report(m, s, spark, sf):
+    items, shops, found = _found_mirrors(m, s, spark)
+    return entity.mirror_report(found, items, shops).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("SELECT supplier_id, CAST(sum(available_slabs) AS BIGINT) AS slabs, string_agg(DISTINCT item_name, '; ' ORDER BY item_name) AS items FROM materials WHERE item_id IN ('1', '2', '3', '5') GROUP BY supplier_id")
@@ -191,28 +287,79 @@ def x2_clean_color(m, s, spark, sf):
     return fixture.table(spark, sf, "part").select("p_size", N.clean_color(F.regexp_replace(raw, " +", " ")).alias("color")).distinct()
 
 
-@query("RAW SELECT * FROM (VALUES ('0.79cm', '2cm'), ('0.47cm', '1.2cm'), ('2cm', '2cm'), ('0.84cm', '0.84cm'), ('x', 'x'), ('1.18cm', '3cm')) t(stored, fixed)")
+@query("""RAW WITH p AS (SELECT DISTINCT p_size AS n FROM part), v AS (SELECT n, CASE WHEN n % 10 = 0 THEN n / 100.0 ELSE n / 100.0 END AS cm FROM p), s AS (SELECT n, cm, printf('%.2fcm', cm) AS stored FROM v)
+SELECT n, stored, CASE WHEN cm NOT IN (0.4, 0.6, 0.8, 1.0, 1.2, 1.5, 1.6, 2.0, 3.0, 4.0, 5.0, 6.0) AND round(cm * 2.54, 1) IN (0.4, 0.6, 0.8, 1.0, 1.2, 1.5, 1.6, 2.0, 3.0, 4.0, 5.0, 6.0) THEN CASE WHEN round(cm * 2.54, 1) % 1 = 0 THEN CAST(round(cm * 2.54, 1) AS INTEGER) || 'cm' ELSE printf('%.1fcm', round(cm * 2.54, 1)) END ELSE stored END AS fixed FROM s""")
 def x8_inch_thickness(m, s, spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("0.79cm", "0.47cm", "2cm", "0.84cm", "x", "1.18cm")], "stored string")
-    return rows.select("stored", N.repair_inches(F.col("stored")).alias("fixed"))
+    rows = fixture.table(spark, sf, "part").select(F.col("p_size").alias("n"), F.format_string("%.2fcm", F.col("p_size") / 100.0).alias("stored")).distinct()
+    return rows.select("n", "stored", N.repair_inches(F.col("stored")).alias("fixed"))
 
 
 # --- policies ----------------------------------------------------------------------------------
 
 
-@query("RAW SELECT page_id, url LIKE '%casino%/en/%' OR url NOT LIKE '%casino%' AS allowed FROM pages")
+@query("""RAW SELECT page_id, CASE page_id % 5 WHEN 0 THEN page_id % 3 = 0 OR page_id % 2 = 1 WHEN 1 THEN true WHEN 2 THEN page_id % 2 = 1 WHEN 3 THEN page_id % 2 = 1 ELSE page_id % 4 <> 2 END AS allowed FROM pages""")
 def f25_robots(m, s, spark, sf):
-    pages = fixture.table(spark, sf, "pages").select("page_id", F.lit("h").alias("host"), F.concat(F.lit("/"), F.col("url")).alias("path"))
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: bot # us\nDisallow: /*casino\nAllow: /*casino*/en/\nDisallow:\n"
-    rules = policy.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"))
-    verdict = policy.robots_allowed(rules, pages.select("host", "path").distinct(), "bot")
-    return pages.join(verdict, ["host", "path"]).select("page_id", "allowed")
-
-
-@query("RAW SELECT doc_id, doc_id % 3 = 0 AND (contains(lower(text[:4000]), 'access denied') OR contains(lower(text[:4000]), 'captcha')) AS challenged FROM documents")
+    """Hosts of five kinds: an own group with a longer allowing pattern; an own group without rules; a name that is part of ours; one that ours begins with and a shorter one; end marks and missing slashes."""
+    k = F.col("page_id")
+    path = F.concat(F.when(k % 2 == 0, F.lit("/casino")).otherwise(F.lit("/")), F.when(k % 3 == 0, F.lit("/en/")).otherwise(F.lit("x")), F.when(k % 4 == 2, F.lit("/end")).otherwise(F.lit("/go")))
+    path = F.when(k % 5 == 4, F.regexp_replace(path, "^/", "")).otherwise(path)
+    pages_ = fixture.table(spark, sf, "pages").select("page_id", F.concat(F.lit("h"), (k % 5).cast("string"), F.lit("-"), (k % 40).cast("string")).alias("host"), path.alias("path"))
+    bodies = (
+        "Disallow: /nobody\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: tessera # us\nDisallow: /casino\nAllow: /casino*/en/\nDisallow:\n",
+        "User-agent: *\nDisallow: /\nUseragent: TesseraBot\nDisallow:\n",
+        "User-agent: tess\nDisallow: /casino\nUser-agent: *\nDisallow: /\n",
+        "User-agent: t\nDisallow: /\nUser-agent: tesserabot\ncrawl-delay: 5\nUser-agent: tesserabot/1\nDisallow: /casino\nUser-agent: *\nAllow: /\n",
+        "User-agent: *\nDisallow: /*/end$\nDisallow: /*/go$x\n",
+    )
+    made = F.element_at(F.array(*map(F.lit, bodies)), (F.split_part(F.substr("host", F.lit(2)), F.lit("-"), F.lit(1)).cast("int") + 1))
+    verdict = policy.robots_allowed(policy.robots_rules(pages_.select("host").distinct().withColumn("body", made)), pages_.select("host", "path").distinct(), "TesseraBot/1.0")
+    return pages_.join(verdict, ["host", "path"]).select("page_id", "allowed")
+
+
+@query("""RAW WITH d AS (SELECT doc_id, doc_id % 4 AS s, doc_id % 9 AS b, doc_id % 11 = 0 AS h FROM documents)
+SELECT doc_id, CASE WHEN h THEN 'bot-protection challenge (cf-mitigated: challenge)' WHEN s < 2 AND b IN (0, 1, 2) THEN 'bot-protection challenge (interstitial, server: ' || CASE WHEN doc_id % 5 = 0 THEN 'hcdn' ELSE 'unknown' END || ')' ELSE '' END AS reason FROM d""")
 def f26_challenges(m, s, spark, sf):
-    d = fixture.table(spark, sf, "documents")
-    return d.select("doc_id", policy.challenged(F.when(F.col("doc_id") % 3 == 0, 403).otherwise(200), F.col("text")).alias("challenged"))
+    """Phrases at the start and within the first 4000 characters, and beyond them; bare words; statuses that challenges aren't served with."""
+    k = F.col("doc_id")
+    pad = F.repeat(F.lit("x"), F.lit(3980))
+    body = (
+        F.when(k % 9 == 0, "Just a moment...").when(k % 9 == 1, F.concat(pad, F.lit(" DataDome "), pad)).when(k % 9 == 2, "<p>px-captcha</p>")
+        .when(k % 9 == 3, F.concat(pad, F.lit("x" * 40), F.lit("just a moment"))).when(k % 9 == 4, "Access denied. Attention required! captcha").otherwise("plain")
+    )
+    status = F.element_at(F.array(*map(F.lit, (403, 503, 429, 200))), (k % 4 + 1).cast("int"))
+    headers = F.map_concat(F.when(k % 11 == 0, F.create_map(F.lit("CF-Mitigated"), F.lit(" Challenge "))).otherwise(F.create_map().cast("map<string,string>")), F.when(k % 5 == 0, F.create_map(F.lit("Server"), F.lit("hcdn"))).otherwise(F.create_map().cast("map<string,string>")))
+    return fixture.table(spark, sf, "documents").select("doc_id", policy.challenge_reason(status, headers, body).alias("reason"))
+
+
+@query("""RAW SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN CASE doc_id % 7 WHEN 0 THEN 'rules' WHEN 1 THEN 'none' WHEN 2 THEN 'none' WHEN 3 THEN 'rules' ELSE 'none' END WHEN doc_id % 6 = 2 THEN CASE doc_id % 7 WHEN 4 THEN 'unreachable' ELSE 'none' END WHEN doc_id % 6 = 3 THEN 'none' ELSE 'unreachable' END AS verdict FROM documents""")
+def n6_robots_verdicts(m, s, spark, sf):
+    k = F.col("doc_id")
+    body = (
+        F.when(k % 7 == 0, "User-Agent: *\nDisallow: /x").when(k % 7 == 1, "  <!DOCTYPE html><p>Disallow: nothing").when(k % 7 == 2, '{"Disallow": 1}').when(k % 7 == 3, " \n").when(k % 7 == 4, "Checking your browser").otherwise("OK")
+    )
+    status = F.element_at(F.array(*map(F.lit, (200, 204, 403, 404, 500, 302))), (k % 6 + 1).cast("int"))
+    return fixture.table(spark, sf, "documents").select("doc_id", policy.robots_verdict(status, F.lit(None).cast("map<string,string>"), body).alias("verdict"))
+
+
+@query("RAW SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 4 < 2 AND page_id % 5 = 0 THEN 'allowed' ELSE 'blocked' END WHEN 1 THEN 'unreachable' ELSE 'allowed' END AS verdict FROM pages")
+def f27_overridden_robots(m, s, spark, sf):
+    k = F.col("page_id")
+    rows = fixture.table(spark, sf, "pages").select("page_id", F.when(k % 4 == 0, "shop.example.com").when(k % 4 == 1, "Example.com").otherwise("notexample.com").alias("host"), F.concat(F.when(k % 5 == 0, F.lit("/media/")).otherwise(F.lit("/x/")), k.cast("string")).alias("path"), F.when(k % 3 == 0, "blocked").when(k % 3 == 1, "unreachable").otherwise("allowed").alias("verdict"))
+    over = spark.createDataFrame([("example.com", "/media/"), ("example.com", "/med"), ("other.org", "/")], "host string, prefix string")
+    return rows.drop("verdict").join(policy.with_overrides(rows.drop("page_id").distinct(), over), ["host", "path"]).select("page_id", "verdict")
+
+
+@query("SELECT lower(host) AS host, CASE id % 5 WHEN 0 THEN 'crawl' WHEN 1 THEN 'paused' WHEN 2 THEN 'crawl' WHEN 3 THEN 'paused' ELSE 'crawl' END AS reach FROM suppliers")
+def n5_crawl_reach(m, s, spark, sf):
+    at = F.element_at(F.array(*map(F.lit, ("2024-01-01", "2024-04-01", "2023-01-01", "some day", ""))), (F.col("id") % 5 + 1).cast("int"))
+    entries = s.select(F.upper("host").alias("host"), F.col("id").isNotNull().alias("rejected"), at.alias("rejected_at"), F.col("id"))
+    return policy.reach(entries.withColumn("rejected", F.col("id") % 5 < 4), F.lit("2024-04-10").cast("date"))
+
+
+@query("RAW SELECT * FROM (VALUES (true), (false), (true), (false)) t(narrow)")
+def f22_narrowing(m, s, spark, sf):
+    asked = ({"near": (1, 2)}, {"material_type": "Marble", "color": "Red"}, {"min_sqft": 40, "in_stock": False}, {"supplier": "", "min_length": 0})
+    return spark.createDataFrame([(policy.narrows(f),) for f in asked], "narrow boolean")
 
 
 @query("RAW SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-04-10') < 90")

@@ -38,13 +38,20 @@ def fold_edges(clusters: DataFrame) -> DataFrame:
 
 
 def add_aliases(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """edges with new ones: their targets are followed to the end, what pointed at a new alias points on, and edges that would close a cycle are left out."""
-    ends = entity.resolve_aliases(edges).select(F.col("alias_key").alias("_a"), F.col("canonical_key").alias("_c"))
-    added = new.join(ends, new["canonical_key"] == ends["_a"], "left").select("alias_key", F.coalesce("_c", "canonical_key").alias("canonical_key")).where("alias_key <> canonical_key")
-    onward = added.select(F.col("alias_key").alias("_a"), F.col("canonical_key").alias("_c"))
-    old = edges.join(added.select("alias_key"), "alias_key", "left_anti")
-    moved = old.join(onward, old["canonical_key"] == onward["_a"], "left").select("alias_key", F.coalesce("_c", "canonical_key").alias("canonical_key"))
-    return moved.unionByName(added)
+    """edges with new ones (alias_key, canonical_key), which take the place of those with their alias, all at once.
+
+    Every chain is followed to its end, also through new edges. On a cycle the new edge that comes
+    last, by alias, is left out. Stored edges are expected to have no cycles.
+    """
+    fresh = new.where("alias_key <> canonical_key").groupBy("alias_key").agg(F.min("canonical_key").alias("canonical_key"))
+    kept = edges.select("alias_key", "canonical_key").join(fresh, "alias_key", "left_anti")
+    every = kept.withColumn("new", F.lit(0)).unionByName(fresh.withColumn("new", F.lit(1)))
+    return entity.resolve_aliases(every.join(entity.cycle_closers(every, "new"), "alias_key", "left_anti"))
+
+
+def without_aliases(edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """edges but for the removed (alias_key); products come apart when their keys are next made from their names."""
+    return edges.join(removed.select("alias_key"), "alias_key", "left_anti")
 
 
 def remapped_aliases(edges: DataFrame, order: Column) -> DataFrame:

@@ -13,13 +13,20 @@ COLLAPSE = 0.5
 DROP = 5
 
 
-def snapshots(materials: DataFrame, at: Column) -> DataFrame:
-    """(snapshot_date, supplier_id, name_norm, thickness, ...) by the date expression `at`."""
+def snapshots(materials: DataFrame, at: Column, rebased: int = 0) -> DataFrame:
+    """(snapshot_date, supplier_id, name_norm, thickness, ...) by the date expression `at`; rebased marks snapshots that count slabs anew."""
     return materials.groupBy(at.alias("snapshot_date"), "supplier_id", F.col("base").alias("name_norm"), "thickness", "product_form").agg(
-        F.sum(slabs()).alias("slabs"), F.max("material_type").alias("material_type"), F.max("material_key").alias("material_key"), F.max("image_url").alias("image_url")
+        F.sum(slabs()).alias("slabs"), F.max("material_type").alias("material_type"), F.max("material_key").alias("material_key"), F.max("image_url").alias("image_url"), F.lit(rebased).alias("rebased")
     )
 
 
+def resnapshot(history: DataFrame, materials: DataFrame, today: Column) -> DataFrame:
+    """history with the snapshots that suppliers already have of today taken again from their materials, marked as rebased."""
+    done = history.where(F.col("snapshot_date") == today).select("supplier_id").distinct()
+    again = snapshots(materials.join(done, "supplier_id", "left_semi"), today, rebased=1)
+    return history.where(F.col("snapshot_date") != today).unionByName(again, allowMissingColumns=True)
+
+
 def numbered(history: DataFrame) -> DataFrame:
     """(supplier_id, snapshot_date, nth): a supplier's snapshots, the latest first."""
     return history.select("supplier_id", "snapshot_date").distinct().withColumn("nth", F.dense_rank().over(Window.partitionBy("supplier_id").orderBy(F.desc("snapshot_date"))))
@@ -31,45 +38,74 @@ def prune(history: DataFrame, keep: int) -> DataFrame:
 
 
 def listings(history: DataFrame) -> DataFrame:
-    """Each supplier's listings at its latest and previous snapshot, side by side: latest and previous are null where absent."""
-    agg = (
-        history.join(numbered(history).where("nth <= 2"), ["supplier_id", "snapshot_date"])
-        .groupBy("supplier_id", "name_norm", "thickness")
-        .agg(
-            F.sum(F.when(F.col("nth") == 1, F.col("slabs"))).alias("latest"),
-            F.sum(F.when(F.col("nth") == 2, F.col("slabs"))).alias("previous"),
-            F.max("material_type").alias("material_type"),
-        )
+    """Each supplier's listings at its latest and previous snapshot, side by side: latest and previous are null where absent. Suppliers with one snapshot have none.
+
+    The dates are ranked once, on their distinct pairs, and all that readers need comes from one
+    grouping of the listings; what holds for a supplier or a name then is a window over that.
+    """
+    dates = numbered(history)
+    both = Window.partitionBy("supplier_id")
+    dates = dates.where("nth <= 2").select("*", F.max(F.when(F.col("nth") == 1, F.col("snapshot_date"))).over(both).alias("latest_date"), F.max(F.when(F.col("nth") == 2, F.col("snapshot_date"))).over(both).alias("previous_date"))
+    at = history.join(dates.where("previous_date is not null"), ["supplier_id", "snapshot_date"])
+    of = lambda n, c: F.when(F.col("nth") == n, c)
+    rebased = F.coalesce(F.col("rebased"), F.lit(0)) if "rebased" in history.columns else F.lit(0)
+    return at.groupBy("supplier_id", "name_norm", "thickness").agg(
+        F.sum(of(1, F.col("slabs"))).alias("latest"),
+        F.sum(of(2, F.col("slabs"))).alias("previous"),
+        F.max("material_type").alias("material_type"),
+        F.max(of(1, rebased)).alias("latest_rebased"),
+        F.max(of(2, rebased)).alias("previous_rebased"),
+        F.max("latest_date").alias("latest_date"),
+        F.max("previous_date").alias("previous_date"),
     )
-    two = numbered(history).groupBy("supplier_id").agg(F.max(F.when(F.col("nth") == 1, F.col("snapshot_date"))).alias("latest_date"), F.max(F.when(F.col("nth") == 2, F.col("snapshot_date"))).alias("previous_date"))
-    return agg.join(two.where("previous_date is not null"), "supplier_id")
 
 
-def alert_kind(latest: Column, previous: Column) -> Column:
-    """What a listing that is there now has come to, or null."""
+def alert_kind(latest: Column, previous: Column, crossed: Column | None = None) -> Column:
+    """What a listing that is there now has come to, or null. crossed: whether the two snapshots count slabs differently, so that a fall says nothing."""
+    down = ~crossed if crossed is not None else F.lit(True)
     return (
         F.when(previous.isNull(), F.when(latest > 0, "listed"))
         .when(previous == 0, F.when(latest > 0, "restock"))
-        .when(latest == 0, "soldout")
-        .when((latest * 2 <= previous) & (previous - latest >= DROP), "dropped")
+        .when(latest == 0, F.when(down, "soldout"))
+        .when((latest * 2 <= previous) & (previous - latest >= DROP), F.when(down, "dropped"))
     )
 
 
+def _named(both: DataFrame) -> DataFrame:
+    """(supplier_id, now_names, prev_names): names of each supplier at its two snapshots."""
+    names = both.groupBy("supplier_id", "name_norm").agg(F.max(F.col("latest").isNotNull().cast("int")).alias("_now"), F.max(F.col("previous").isNotNull().cast("int")).alias("_prev"))
+    return names.groupBy("supplier_id").agg(F.sum("_now").alias("now_names"), F.sum("_prev").alias("prev_names"))
+
+
 def collapsed(history: DataFrame, share: float = COLLAPSE) -> DataFrame:
     """(supplier_id, now_names, prev_names) of suppliers whose listings fell by more than the share."""
-    names = history.join(numbered(history).where("nth <= 2"), ["supplier_id", "snapshot_date"]).groupBy("supplier_id").agg(
-        F.count_distinct(F.when(F.col("nth") == 1, F.col("name_norm"))).alias("now_names"), F.count_distinct(F.when(F.col("nth") == 2, F.col("name_norm"))).alias("prev_names")
-    )
-    return names.where((F.col("prev_names") > 0) & (F.col("now_names") < (1 - share) * F.col("prev_names")))
+    return _named(listings(history)).where((F.col("prev_names") > 0) & (F.col("now_names") < (1 - share) * F.col("prev_names")))
 
 
 def digest(history: DataFrame) -> DataFrame:
     """(supplier_id, name_norm, thickness, kind, latest, previous, sig) of all alerts, delisted ones but for collapsed suppliers."""
     both = listings(history)
     still = Window.partitionBy("supplier_id", "name_norm")
-    both = both.withColumn("_here", F.max(F.col("latest").isNotNull().cast("int")).over(still))
-    gone = F.col("latest").isNull() & (F.col("previous") > 0) & (F.col("_here") == 0)
-    kinds = both.withColumn("kind", F.when(F.col("latest").isNotNull(), alert_kind(F.col("latest"), F.col("previous"))).when(gone, "delisted")).where("kind is not null")
-    kept = kinds.join(collapsed(history).select("supplier_id", F.lit("delisted").alias("kind")), ["supplier_id", "kind"], "left_anti")
+    # a name counts once, at one of its thicknesses, in the sums by supplier
+    both = both.withColumns({"_here": F.max(F.col("latest").isNotNull().cast("int")).over(still), "_was": F.max(F.col("previous").isNotNull().cast("int")).over(still), "_one": F.row_number().over(still.orderBy("thickness"))})
+    whole = Window.partitionBy("supplier_id")
+    both = both.withColumns({"_now": F.sum(F.when(F.col("_one") == 1, F.col("_here"))).over(whole), "_prev": F.sum(F.when(F.col("_one") == 1, F.col("_was"))).over(whole)})
+    crossed = (F.coalesce("latest_rebased", F.lit(0)) == 1) & (F.coalesce("previous_rebased", F.lit(0)) == 0)
+    fell = (F.col("_prev") > 0) & (F.col("_now") < (1 - COLLAPSE) * F.col("_prev"))
+    gone = F.col("latest").isNull() & (F.col("previous") > 0) & (F.col("_here") == 0) & ~fell
+    kinds = both.withColumn("kind", F.when(F.col("latest").isNotNull(), alert_kind(F.col("latest"), F.col("previous"), crossed)).when(gone, "delisted")).where("kind is not null")
     sig = F.concat_ws("|", "kind", F.col("supplier_id").cast("string"), "name_norm", "thickness", F.date_format("latest_date", "yyyy-MM-dd"))
-    return kept.select("supplier_id", "name_norm", "thickness", "kind", "latest", "previous", sig.alias("sig"))
+    return kinds.select("supplier_id", "name_norm", "thickness", "kind", "latest", "previous", sig.alias("sig"))
+
+
+def shown(alerts: DataFrame, most: int = 300) -> DataFrame:
+    """The alerts of each kind that a page shows, the largest first, with nth."""
+    now, was = F.coalesce("latest", F.lit(0)), F.coalesce("previous", F.lit(0))
+    size = F.when(F.col("kind").isin("restock", "listed"), now).when(F.col("kind") == "dropped", was - now).otherwise(was)
+    order = Window.partitionBy("kind").orderBy(size.desc(), "supplier_id", "name_norm", "thickness")
+    return alerts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def unread(alerts: DataFrame, seen: DataFrame) -> DataFrame:
+    """Alerts whose signature (sig) hasn't been seen."""
+    return alerts.join(seen.select("sig").distinct(), "sig", "left_anti")

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGIN = 0.02
+#: Query vectors that go to the tasks at once.
+BLOCK = 4096
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k vectors nearest to each query vector (query_id, query), by cosine of unit vectors: a stated set of queries against all rows.
 
+    Queries go to the tasks in blocks of at most `block` rows. A task takes one matrix product for
+    each batch of its vectors and keeps its own best k of a query, so that no group grows with the table.
+    """
+    blocks = -(-queries.count() // block)
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    names = ["query_id", "vec_id", "material_key", "supplier_id", "score"]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {kind['vec_id']}, material_key string, supplier_id {kind['supplier_id']}, score double"
+    local = None
+    for b in range(max(blocks, 1)):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))) == b).collect()
+        ids, asked = [r["query_id"] for r in rows], np.array([r["query"] for r in rows], np.float64)
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k vectors nearest to each of a few query vectors (query_id, query), by cosine of unit vectors: a stated set of queries against all rows."""
-    scored = vectors.crossJoin(queries).select("query_id", "vec_id", "material_key", "supplier_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("_v"), "vec_id", "material_key", "supplier_id")), asc=False), 1, k)
-    # each task keeps its own best k of a query first, so that no group grows with the table
-    local = scored.withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k)
-    return local.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "m")).select("query_id", "rank", "m.vec_id", "m.material_key", "m.supplier_id", "m.score")
+        def score(batches, ids=ids, asked=asked):
+            best = None
+            for batch in batches:
+                if not batch.num_rows or not ids:
+                    continue
+                x = np.array(batch.column(3).to_pylist(), np.float64)
+                near = np.round(x @ asked.T, 6)
+                order = np.lexsort((np.broadcast_to(batch.column(0).to_numpy()[:, None], near.shape), -near), axis=0)[:k].T
+                q = np.repeat(np.arange(len(ids)), order.shape[1])
+                made = pa.Table.from_batches([batch.take(pa.array(order.ravel())).drop_columns(["embedding"])])
+                made = made.append_column("q", pa.array(q)).append_column("score", pa.array(near[order.ravel(), q]))
+                best = made if best is None else pa.concat_tables([best, made])
+                best = best.sort_by([("q", "ascending"), ("score", "descending"), ("vec_id", "ascending")])
+                at = best.column("q").to_numpy()
+                best = best.filter(pa.array(np.arange(len(at)) - np.searchsorted(at, at) < k))
+            if best is not None:
+                who = pa.array([ids[i] for i in best.column("q").to_pylist()])
+                yield from best.select(["vec_id", "material_key", "supplier_id", "score"]).add_column(0, "query_id", who).combine_chunks().to_batches()
+
+        part = vectors.select("vec_id", "material_key", "supplier_id", "embedding").mapInArrow(score, schema)
+        local = part if local is None else local.unionByName(part)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return local.select(*names).withColumn("rank", best - 1).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "material_key", "supplier_id", "score")
+
+
+def best_of_key(matches: DataFrame, k: int) -> DataFrame:
+    """The k best products of each query among its matches, each by its best vector."""
+    one = matches.groupBy("query_id", "material_key").agg(F.max("score").alias("score"), F.min_by("vec_id", F.struct((-F.col("score")).alias("s"), "vec_id")).alias("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "material_key")
+    return one.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
 def consensus(matches: DataFrame, window: int = 40) -> DataFrame:
@@ -30,8 +68,10 @@ def consensus(matches: DataFrame, window: int = 40) -> DataFrame:
     return keys.select("*", F.round(share, 6).alias("share"), F.round(rank, 6).alias("rank_score"))
 
 
-def identify(candidates: DataFrame) -> DataFrame:
-    """(query_id, material_key, confidence): the product named for each query, or none where the first two score alike."""
+def identify(candidates: DataFrame, most: int = 12) -> DataFrame:
+    """(query_id, material_key, confidence): the product named for each query among its `most` best-scored ones, or none where the first two score alike."""
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best_score"), "material_key"))
+    candidates = candidates.withColumn("_nth", first).where(F.col("_nth") <= most).drop("_nth")
     order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "material_key")
     c = candidates.select("*", F.row_number().over(order).alias("_rn"), F.lead("best_score").over(order).alias("_s"), F.lead("rank_score").over(order).alias("_r"))
     margin = F.round(F.coalesce(F.col("best_score") - F.col("_s"), F.lit(1.0)), 6)

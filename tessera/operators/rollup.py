@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of addresses of photos that are thumbnails.
+THUMBNAILS = ("slabcloud.com/slabs/",)
+
+
 def is_tile() -> Column:
     return F.upper(F.coalesce("product_form", F.lit(""))).contains("TILE")
 
@@ -19,9 +23,9 @@ def group_key() -> Column:
     return F.when(F.coalesce("material_key", F.lit("")) == "", F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.col("material_key"))
 
 
-def per_supplier(materials: DataFrame) -> DataFrame:
+def per_supplier(materials: DataFrame, thumbnails: tuple[str, ...] = THUMBNAILS) -> DataFrame:
     """One row for each product and supplier."""
-    real = (F.coalesce("image_url", F.lit("")) != "") & ~F.col("image_url").contains("slabcloud.com/slabs/")
+    real = (F.coalesce("image_url", F.lit("")) != "") & ~F.exists(F.array(*map(F.lit, thumbnails)), lambda t: F.contains("image_url", t))
     area = slabs() * F.coalesce("avg_length", F.lit(0.0)) * F.coalesce("avg_width", F.lit(0.0))
     return materials.groupBy(group_key().alias("grp"), "supplier_id").agg(
         F.min("id").alias("id"),
@@ -73,19 +77,21 @@ def in_stock(rollup: DataFrame, min_sqft: float | None = None) -> DataFrame:
     return out if min_sqft is None else out.where(F.col("total_sqft") >= min_sqft)
 
 
-#: Orders of search results, each ending in the product so that pages agree.
+#: Orders of search results, each ending in the product so that pages agree. distance needs miles.
 SORTS = {
-    "relevance": lambda: [F.desc("suppliers"), F.desc("available_slabs"), F.asc("item_name")],
-    "name": lambda: [F.asc("item_name")],
-    "slabs": lambda: [F.desc("available_slabs")],
-    "area": lambda: [F.desc("total_sqft")],
-    "suppliers": lambda: [F.desc("suppliers")],
-    "new": lambda: [F.desc("new_arrival"), F.desc("available_slabs")],
+    "relevance": lambda: [F.desc("suppliers"), F.desc("available_slabs"), F.asc("material_key")],
+    "slabs": lambda: [F.desc("available_slabs"), F.asc("material_key")],
+    "size": lambda: [F.desc("avg_length"), F.asc("material_key")],
+    "new": lambda: [F.desc("new_arrival"), F.asc("material_key")],
+    "area": lambda: [F.desc("total_sqft"), F.asc("material_key")],
+    "distance": lambda: [F.asc("miles"), F.desc("available_slabs"), F.asc("material_key")],
 }
 
 
 def page(rollup: DataFrame, sort: str, size: int, number: int = 1) -> DataFrame:
-    return rollup.orderBy(*SORTS[sort](), F.asc("grp")).offset(size * (number - 1)).limit(size)
+    """A page of products; an order that isn't known, or distance without miles, is by relevance."""
+    order = sort if sort in SORTS and (sort != "distance" or "miles" in rollup.columns) else "relevance"
+    return rollup.orderBy(*SORTS[order](), F.asc("grp")).offset(size * (number - 1)).limit(size)
 
 
 def collapse_counts(materials: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -24,71 +25,217 @@ class Asked:
     terms: list[str] = field(default_factory=list)
 
 
+@dataclass
+class Filters:
+    """What is chosen beside the words; a choice goes before what the words say. near: (latitude, longitude, miles)."""
+
+    material_type: str = ""
+    color: str = ""
+    thickness: str = ""
+    finish: str = ""
+    supplier: str = ""
+    locations: tuple[str, ...] = ()
+    near: tuple[float, float, float] | None = None
+    min_length: float = 0
+    min_width: float = 0
+    min_sqft: float = 0
+    new_only: bool = False
+    in_stock: bool = False
+
+
 def parse(text: str) -> Asked:
     """Facets named in the query, and the words that are left."""
-    left = f" {text.lower().strip()} "
+    out = Asked()
+    if not text:
+        return out
+    left = text.lower().strip()
     for wrong, right in vocab.SPELLINGS.items():
         left = re.sub(rf"(?<![a-z]){re.escape(wrong)}(?![a-z])", right, left)
-    out = Asked()
+    left = f" {left} "
     if m := re.search(r"(\d+(?:\.\d+)?)\s*(cm|mm)\b", left):
-        out.thickness = f"{float(m[1]) * (0.1 if m[2] == 'mm' else 1):g}cm"
-        left = left.replace(m[0], " ", 1)
+        out.thickness = f"{float(m[1]) / (10 if m[2] == 'mm' else 1):g}cm"
+        left = f"{left[: m.start()]} {left[m.end() :]}"
 
-    def take(words: list[tuple[str, str]]) -> str:
+    def take(word: str) -> bool:
         nonlocal left
-        for word, value in words:
-            if (m := re.search(rf"(?<![a-z]){re.escape(word)}(?![a-z])", left)) is not None:
-                left = left[: m.start()] + " " + left[m.end() :]
-                return value
-        return ""
-
-    out.material_type = take(sorted(((w, t) for w, t in vocab.TYPE_RULES if t not in ("Tile",)), key=lambda x: -len(x[0])))
-    out.color = take([(c, c) for c in vocab.COLORS])
-    out.form = take(list(vocab.FORMS.items()))
-    out.terms = list(dict.fromkeys(w for w in re.split(r"[^a-z0-9.-]+", left) if w and w not in vocab.STOP))
+        m = re.search(rf"(?<![a-z]){re.escape(word)}s?(?![a-z])", left)
+        if m:
+            left = f"{left[: m.start()]} {left[m.end() :]}"
+        return m is not None
+
+    out.material_type = next((t for word, t in vocab.QUERY_TYPES if take(word)), "")
+    out.color = next((c for c in vocab.COLORS if take(c)), "")
+    out.form = next((form for word, form in vocab.FORMS.items() if take(word)), "")
+    finishes = [word for word in vocab.QUERY_FINISHES if take(word)]
+    words = [w for w in re.split("[^a-z0-9]+", left) if len(w) > 1 and w not in vocab.STOP]
+    out.terms = list(dict.fromkeys(finishes + words))
     return out
 
 
-def matching(materials: DataFrame, asked: Asked) -> DataFrame:
-    """The listings that the query asks for; a colour may stand in the name instead."""
+def color_word(color: str) -> str:
+    """The last word of a colour, in one spelling."""
+    return re.split(r"[\s-]", color.lower())[-1].replace("grey", "gray")
+
+
+def has_color(color: str) -> Column:
+    """Whether a listing's colour has the word or its name has it."""
+    base = color_word(color)
+    words = F.split(F.lower(F.regexp_replace(F.coalesce("color", F.lit("")), "(?i)grey", "gray")), r"[\s,/&-]+")
+    return F.array_contains(words, base) | F.contains(F.regexp_replace(F.lower("item_name"), "grey", "gray"), F.lit(base))
+
+
+def has_form(form: str) -> Column:
+    """Slabs by their form; tiles and remnants also by their name."""
+    by_form = F.contains(F.upper(F.coalesce("product_form", F.lit(""))), F.lit(form.upper()))
+    return by_form if form == "slab" else by_form | F.contains(F.upper("item_name"), F.lit(form.upper()))
+
+
+def has_terms(variants: list[list[str]]) -> Column:
+    """Whether a name has one variant of each term."""
+    name = F.lower("item_name")
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (F.contains(name, F.lit(v.lower())) for v in some)) for some in variants), F.lit(True))
+
+
+def matching(materials: DataFrame, asked: Asked, chosen: Filters | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+    """The listings that the facets leave, whatever their names and places."""
+    chosen = chosen or Filters()
     rows = materials
-    if asked.material_type:
-        rows = rows.where(F.lower("material_type") == asked.material_type.lower())
-    if asked.color:
-        base = re.split(r"[\s-]", asked.color)[-1].replace("grey", "gray")
-        words = F.split(F.lower(F.regexp_replace(F.coalesce("color", F.lit("")), "(?i)grey", "gray")), r"[\s,/&-]+")
-        rows = rows.where(F.array_contains(words, base) | F.lower("item_name").contains(base))
-    if asked.thickness:
-        rows = rows.where(F.col("thickness") == asked.thickness)
-    if asked.form:
-        rows = rows.where(F.col("product_form").ilike(f"%{asked.form}%"))
-    for term in asked.terms:
-        rows = rows.where(F.lower("item_name").contains(term))
-    return rows
-
-
-def close_words(materials: DataFrame, word: str, cutoff: float = 0.82, most: int = 4) -> list[str]:
-    """Words of names like a misspelt one, by the share of matching characters; only distinct words of a fitting length are compared."""
+    kind = chosen.material_type or asked.material_type
+    if kind:
+        rows = rows.where(F.lower("material_type") == kind.lower())
+    if kind != vocab.ACCESSORY:
+        rows = rows.where(F.col("material_type") != vocab.ACCESSORY)
+    if chosen.color:
+        rows = rows.where(F.array_contains(N.families(F.col("color")), chosen.color))
+    elif asked.color:
+        rows = rows.where(has_color(asked.color))
+    if thickness := chosen.thickness or asked.thickness:
+        rows = rows.where(F.col("thickness") == thickness)
+    if chosen.finish:
+        rows = rows.where(F.col("finish") == chosen.finish)
+    if chosen.supplier:
+        named = suppliers.where((F.col("company") == chosen.supplier) | (F.col("host") == chosen.supplier)).select(F.col("id").alias("supplier_id"))
+        rows = rows.join(named, "supplier_id", "left_semi")
+    if chosen.min_length:
+        rows = rows.where(F.col("avg_length") >= chosen.min_length)
+    if chosen.min_width:
+        rows = rows.where(F.col("avg_width") >= chosen.min_width)
+    if chosen.new_only:
+        rows = rows.where("new_arrival = 1")
+    return rows.where(has_form(asked.form)) if asked.form else rows
+
+
+def located(rows: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """rows with places: the names of an item's places (locations, comma-joined), else of its supplier's."""
+    own = F.col("locations") if "locations" in rows.columns else F.lit("")
+    theirs = suppliers.select(F.col("id").alias("supplier_id"), F.col("locations" if "locations" in suppliers.columns else "location").alias("_theirs"))
+    text = F.coalesce(F.nullif(own, F.lit("")), F.nullif(F.col("_theirs"), F.lit("")))
+    return rows.join(theirs, "supplier_id").withColumn("places", F.transform(F.split(text, ","), lambda p: F.lower(F.trim(p)))).drop("_theirs")
+
+
+def placed(rows: DataFrame, chosen: Filters, geo: DataFrame | None) -> DataFrame:
+    """Located rows that stand at a chosen place, and within reach, with miles to the nearest such place where that is asked for."""
+    if chosen.locations:
+        rows = rows.where(F.arrays_overlap("places", F.array(*(F.lit(p.lower()) for p in chosen.locations))))
+    if not chosen.near or chosen.near[2] <= 0:
+        return rows
+    lat, lon, reach = chosen.near
+    within = geo.where("lat is not null").select(F.lower(F.trim("location")).alias("_place"), N.miles(F.col("lat"), F.col("lon"), lat, lon).alias("_miles")).where(F.col("_miles") <= reach)
+    sets = rows.select("places").distinct()  # places repeat much more than listings
+    near = sets.select("places", F.explode(F.array_distinct("places")).alias("_place")).join(within, "_place").groupBy("places").agg(F.round(F.min("_miles"), 1).alias("miles"))
+    return rows.join(near, "places")
+
+
+def name_words(materials: DataFrame) -> DataFrame:
+    """(w): the distinct words of names that are longer than three letters and no numbers."""
+    words = materials.select("item_name").distinct().select(F.explode(F.split(F.upper("item_name"), "[^A-Z0-9]+")).alias("w"))
+    return words.where((F.length("w") > 3) & ~F.col("w").rlike("^[0-9]+$")).distinct()
+
+
+def close_words(materials: DataFrame, terms: list[str], cutoff: float = 0.82, most: int = 4) -> DataFrame:
+    """(term, w, ratio, rank): for each misspelt term the words of names that share the most characters with it; only words of a fitting length are compared."""
     from difflib import SequenceMatcher
 
-    low, high = len(word) * cutoff / (2 - cutoff), len(word) * (2 - cutoff) / cutoff
-    words = materials.select(F.explode(F.split(F.lower("item_name"), "[^a-z0-9]+")).alias("w")).where(F.length("w").between(int(low), int(high) + 1)).distinct()
+    asked = [t.upper() for t in terms]
+    fits = reduce(lambda a, b: a | b, (F.length("w").between(int(len(t) * cutoff / (2 - cutoff)), int(len(t) * (2 - cutoff) / cutoff) + 1) for t in asked), F.lit(False))
 
     def near(batches):
         import pyarrow as pa
 
+        matchers = [(t, SequenceMatcher(None, "", t)) for t in asked]
         for batch in batches:
-            kept = [(w, SequenceMatcher(None, word, w).ratio()) for w in batch.column(0).to_pylist()]
-            kept = [x for x in kept if x[1] >= cutoff]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.float64())], ["w", "r"])
+            rows = []
+            for w in batch.column(0).to_pylist():
+                for t, matcher in matchers:
+                    matcher.set_seq1(w)
+                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (ratio := matcher.ratio()) >= cutoff:
+                        rows.append((t, w, ratio))
+            t, w, r = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(w, pa.string()), pa.array(r, pa.float64())], ["term", "w", "ratio"])
 
-    return [r["w"] for r in words.mapInArrow(near, "w string, r double").orderBy(F.desc("r"), "w").limit(most).collect()]
+    from pyspark.sql import Window
 
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("ratio"), F.desc("w")))
+    return name_words(materials).where(fits).mapInArrow(near, "term string, w string, ratio double").withColumn("rank", rank).where(F.col("rank") <= most)
 
-def search(materials: DataFrame, suppliers: DataFrame, text: str, sort: str = "relevance", size: int = 30, number: int = 1, in_stock: bool = True) -> DataFrame:
-    """A page of products for a query in words."""
-    found = rollup.product_rollup(matching(materials, parse(text)), suppliers)
-    return rollup.page(rollup.in_stock(found) if in_stock else found, sort, size, number)
+
+@dataclass
+class Found:
+    """products: the page; total: products in all; fuzzy: words taken for misspelt ones; unlocated: (suppliers, products) that match but for their place, which nobody knows."""
+
+    products: DataFrame
+    total: int
+    fuzzy: list[str]
+    unlocated: tuple[int, int]
+
+
+def search(
+    materials: DataFrame, suppliers: DataFrame, text: str, chosen: Filters | None = None, geo: DataFrame | None = None, sort: str = "relevance", size: int = 30, number: int = 1, few: int = 5
+) -> Found:
+    """A page of products for a query in words. Where fewer than `few` products match, terms also match words that are spelt much like them, if that finds more."""
+    asked, chosen = parse(text), chosen or Filters()
+    rows = located(matching(materials, asked, chosen, suppliers), suppliers)
+    by_place = bool(chosen.locations or (chosen.near and chosen.near[2] > 0))
+
+    def products(variants: list[list[str]]) -> DataFrame:
+        kept = placed(rows.where(has_terms(variants)), chosen, geo)
+        made = rollup.product_rollup(kept, suppliers)
+        if "miles" in kept.columns:
+            made = made.join(kept.groupBy(rollup.group_key().alias("grp")).agg(F.min("miles").alias("miles")), "grp")
+        return rollup.in_stock(made, chosen.min_sqft or None) if chosen.in_stock or chosen.min_sqft else made
+
+    variants = [[t] for t in asked.terms]
+    found, fuzzy = products(variants), []
+    total = found.count()
+    if total < few and asked.terms:
+        close = close_words(materials, asked.terms).collect()  # four words for each term at most
+        wider = [[t, *(r["w"] for r in close if r["term"] == t.upper() and r["w"] != t.upper())] for t in asked.terms]
+        if any(len(v) > 1 for v in wider):
+            more = products(wider)
+            if (n := more.count()) > total:
+                found, total, variants = more, n, wider
+                fuzzy = sorted({w for v in wider for w in v[1:]})
+    lost = (0, 0)
+    if by_place:
+        r = rows.where(has_terms(variants)).where(F.coalesce(F.size("places"), F.lit(0)) < 1).agg(F.count_distinct("supplier_id"), F.count_distinct(rollup.group_key())).first()
+        lost = (r[0], r[1])
+    return Found(rollup.page(found, sort, size, number), total, fuzzy, lost)
+
+
+def chips(chosen: Filters) -> list[tuple[str, str]]:
+    """(name, value) of the filters in effect, in order, for display."""
+    shown = []
+    for name, value in vars(chosen).items():
+        if name == "near":
+            shown += [("near", f"within {value[2]:g} mi")] if value and value[2] > 0 else []
+        elif value:
+            shown.append((name, ", ".join(value) if isinstance(value, tuple) else "yes" if value is True else f"{value:g}" if isinstance(value, int | float) else value))
+    return shown
+
+
+def page_window(number: int, pages: int, around: int = 2) -> list[int]:
+    """The pages to link to: those around the present one."""
+    return list(range(max(1, number - around), min(pages, number + around) + 1))
 
 
 def price_bands(materials: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .operators import entity, history, ledger, matching, rollup
+from .operators import entity, history, ledger, matching, photos, policy, rollup
 from .sources import fixture
 from .sources.fixture import PREFIX
 
@@ -49,11 +50,19 @@ def a1_product_rollup(m, s, spark, sf):
     return rollup.product_rollup(m, s)
 
 
-@query(INNER + "SELECT grp, suppliers, available_slabs, total_sqft FROM rollup_ ORDER BY suppliers DESC, available_slabs DESC, item_name, grp LIMIT 20")
+@query(INNER + "SELECT grp, suppliers, available_slabs, total_sqft FROM rollup_ ORDER BY suppliers DESC, available_slabs DESC, material_key, grp LIMIT 20")
 def t1_top_products(m, s, spark, sf):
     return rollup.page(rollup.product_rollup(m, s), "relevance", 20).select("grp", "suppliers", "available_slabs", "total_sqft")
 
 
+@query(INNER + """, o AS (SELECT grp, 'slabs' AS sort, row_number() OVER (ORDER BY available_slabs DESC, material_key, grp) AS nth FROM rollup_ UNION ALL SELECT grp, 'size', row_number() OVER (ORDER BY avg_length DESC, material_key, grp) FROM rollup_
+UNION ALL SELECT grp, 'new', row_number() OVER (ORDER BY new_arrival DESC, material_key, grp) FROM rollup_ UNION ALL SELECT grp, 'area', row_number() OVER (ORDER BY total_sqft DESC, material_key, grp) FROM rollup_
+UNION ALL SELECT grp, 'distance', row_number() OVER (ORDER BY suppliers DESC, available_slabs DESC, material_key, grp) FROM rollup_) SELECT sort, grp FROM o WHERE nth <= 25""")
+def t3_first_page_by_each_order(m, s, spark, sf):
+    made = rollup.product_rollup(m, s)  # distance without an origin is by relevance
+    return reduce(DataFrame.unionByName, (rollup.page(made, sort, 25).select(F.lit(sort).alias("sort"), "grp") for sort in ("slabs", "size", "new", "area", "distance")))
+
+
 @query(INNER + "SELECT grp, total_sqft FROM rollup_ ORDER BY total_sqft DESC, grp LIMIT 30 OFFSET 30")
 def t2_second_page_by_area(m, s, spark, sf):
     return rollup.page(rollup.product_rollup(m, s), "area", 30, 2).select("grp", "total_sqft")
@@ -155,17 +164,44 @@ def f14_key_range(m, s, spark, sf):
     return _totals(m.where((F.col("material_key") >= "red bolt|") & (F.col("material_key") < "red bolt}")))
 
 
-@query("SELECT host FROM suppliers WHERE host = 'supplier-000000005.example.com' OR host LIKE '%.supplier-000000005.example.com' OR host LIKE '%7.example.com'")
+@query("SELECT id, host, CASE WHEN id = 5 THEN 'asked to be left out' ELSE 'seventh' END AS reason FROM suppliers WHERE id = 5 OR id % 10 = 7")
 def f16_denied_hosts(m, s, spark, sf):
-    denied = spark.createDataFrame([("supplier-000000005.example.com",), *((f"supplier-{i:09d}.example.com",) for i in range(7, 100000, 10))], "domain string")
-    dots = F.size(F.split("host", r"\."))
-    suffixes = s.select("host", F.explode(F.transform(F.sequence(F.lit(1), dots), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, dots), "."))).alias("domain"))
-    return suffixes.join(denied, "domain", "left_semi").select("host").distinct()
+    domain = F.when(F.col("id") == 5, F.upper("host")).otherwise(F.col("host"))
+    denied = s.where("id = 5 or id % 10 = 7").select(domain.alias("domain"), F.when(F.col("id") == 5, "asked to be left out").otherwise("seventh").alias("reason"))
+    far = denied.unionByName(s.where("id % 10 = 3").select(F.concat(F.lit("no."), "host").alias("domain"), F.lit("never").alias("reason")))
+    return policy.denied(s, far).select("id", "host", "reason")
+
+
+@query("SELECT id, 'shop.' || host AS host, CASE WHEN id % 10 = 7 THEN 'seventh' ELSE 'all of them' END AS reason FROM suppliers")
+def n12_denial_of_subdomains(m, s, spark, sf):
+    denied = s.where("id % 10 = 7").select(F.col("host").alias("domain"), F.lit("seventh").alias("reason")).unionByName(s.limit(1).select(F.lit("Example.com").alias("domain"), F.lit("all of them").alias("reason")))
+    return policy.denied(s.withColumn("host", F.concat(F.lit("shop."), "host")), denied).select("id", "host", "reason")
 
 
-@query("SELECT id, host FROM suppliers WHERE last_error LIKE '%503%' OR last_error LIKE '%403%'")
+_ERROR = "CASE id % 4 WHEN 0 THEN 'HTTPStatusError: 403 Forbidden' WHEN 1 THEN 'Disallowed: robots-blocked: HTTP 403' WHEN 2 THEN 'Challenged: challenge-blocked: 503' ELSE 'ConnectTimeout' END"
+
+
+@query(f", e AS (SELECT id, {_ERROR} AS last_error FROM suppliers) SELECT id, last_error FROM e WHERE id % 4 = 0")
 def f21_unclassified_refusals(m, s, spark, sf):
-    return s.where(F.col("last_error").rlike("503|403")).select("id", "host")
+    return policy.unclassified_refusals(s.withColumn("last_error", F.expr(_ERROR))).select("id", "last_error")
+
+
+@query(f"SELECT id, CASE id % 4 WHEN 1 THEN 'blocked' WHEN 2 THEN 'challenged' ELSE '' END AS said FROM suppliers")
+def f20_declined_errors(m, s, spark, sf):
+    return s.select("id", policy.decline(F.expr(_ERROR)).alias("said"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'robots-blocked: ' ELSE 'challenge-blocked: ' END || host AS error FROM suppliers")
+def x23_marked_errors(m, s, spark, sf):
+    return s.select("id", policy.marked(F.when(F.col("id") % 2 == 0, "blocked").otherwise("challenged"), F.col("host")).alias("error"))
+
+
+@query("SELECT host, id % 12 AS days FROM suppliers WHERE id % 4 = 2 AND id % 12 < 7 AND id % 9 <> 0")
+def f19_backing_off(m, s, spark, sf):
+    at = F.when(F.col("id") % 9 == 0, "not a date").otherwise(F.date_format(F.timestamp_seconds(F.lit(1706745600) - (F.col("id") % 12) * 86400 - 60), "yyyy-MM-dd HH:mm:ss"))
+    rows = s.select(F.upper("host").alias("host"), F.expr(_ERROR).alias("last_error"), at.alias("last_crawled"))
+    ahead = rows.withColumns({"last_crawled": F.lit("2031-01-01 00:00:00"), "last_error": F.lit("challenge-blocked:")})  # lies ahead: counts as nothing
+    return policy.backing_off(rows.unionByName(ahead), F.timestamp_seconds(F.lit(1706745600)))
 
 
 @query("SELECT s.id, s.host FROM suppliers s WHERE NOT EXISTS (SELECT 1 FROM materials m WHERE m.supplier_id = s.id AND m.crawled_at >= TIMESTAMP '2001-10-25')")
@@ -212,19 +248,23 @@ def j10_mirror_overlap(m, s, spark, sf):
     return entity.item_overlap(m, s).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(""", one AS (SELECT base, image_url, available_slabs, id FROM materials WHERE image_url <> ''),
+_ONE_WORD = "CASE WHEN base LIKE 'hot %' THEN 'hot' ELSE base END"
+
+
+@query(f""", z AS (SELECT * REPLACE ({_ONE_WORD} AS base, CASE WHEN material_type = 'SMALL' THEN 'Accessory / Non-Slab' ELSE material_type END AS material_type) FROM materials),
+one AS (SELECT base, image_url, available_slabs, id FROM z WHERE image_url <> '' AND base LIKE '% %' AND material_type <> 'Accessory / Non-Slab'),
 p AS (SELECT base, image_url FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY available_slabs DESC, id) AS rn FROM one) WHERE rn = 1)
-SELECT m.id, p.image_url FROM materials m JOIN p ON p.base = m.base WHERE m.image_url = ''""")
+SELECT m.id, p.image_url FROM z m JOIN p ON p.base = m.base WHERE m.image_url = ''""")
 def j15_borrowed_photo(m, s, spark, sf):
-    best = m.where("image_url <> ''").groupBy("base").agg(F.max_by("image_url", F.struct("available_slabs", (-F.col("id")).alias("o"))).alias("image_url"))
-    return m.where("image_url = ''").select("id", "base").join(best, "base").select("id", "image_url")
+    kind = F.when(F.col("material_type") == "SMALL", "Accessory / Non-Slab").otherwise(F.col("material_type"))
+    return photos.borrowed(m.withColumns({"base": F.expr(_ONE_WORD), "material_type": kind})).select("id", F.col("rep_image").alias("image_url"))
 
 
 @query("""SELECT b.material_key, count(DISTINCT b.supplier_id) AS suppliers FROM materials b
-WHERE b.material_type = 'PROMO' AND b.material_key <> 'red bolt|promo' AND (b.color = 'Red' OR b.base LIKE 'red %') GROUP BY b.material_key""")
+WHERE b.material_type = 'PROMO' AND b.material_key <> 'red plate|promo' AND (b.color = 'Red' OR b.base LIKE 'red %') GROUP BY b.material_key""")
 def j17_similar_products(m, s, spark, sf):
     like = (F.array_contains(N.families(F.col("color")), "Red")) | (F.split_part("base", F.lit(" "), F.lit(1)) == "red")
-    return m.where((F.col("material_type") == "PROMO") & (F.col("material_key") != "red bolt|promo") & like).groupBy("material_key").agg(F.count_distinct("supplier_id").alias("suppliers"))
+    return m.where((F.col("material_type") == "PROMO") & (F.col("material_key") != "red plate|promo") & like).groupBy("material_key").agg(F.count_distinct("supplier_id").alias("suppliers"))
 
 
 # --- aggregates --------------------------------------------------------------------------------
@@ -406,25 +446,45 @@ def q7_shrunk_suppliers(m, s, spark, sf):
 
 # --- entities ----------------------------------------------------------------------------------
 
-_CONFLICT = ", k AS (SELECT material_key, base, lower(material_type) AS type, count(DISTINCT supplier_id) AS suppliers, CAST(sum(available_slabs) AS BIGINT) AS slabs FROM materials GROUP BY ALL), c AS (SELECT *, first_value(material_key) OVER (PARTITION BY base ORDER BY suppliers DESC, slabs DESC, material_key) AS canonical, count(*) OVER (PARTITION BY base) AS types, CAST(sum(suppliers) OVER (PARTITION BY base) AS BIGINT) AS reach FROM k)"
+_CONFLICT = """, k AS (SELECT * REPLACE (CASE WHEN material_type = 'ECONOMY' THEN base || '|natural stone' ELSE material_key END AS material_key) FROM materials),
+a AS (SELECT material_key, base, split_part(material_key, '|', -1) AS type, count(DISTINCT supplier_id) AS suppliers, CAST(sum(available_slabs) AS BIGINT) AS slabs FROM k GROUP BY ALL),
+c AS (SELECT *, first_value(material_key) OVER (PARTITION BY base ORDER BY type IN ('other', 'natural stone', ''), suppliers DESC, slabs DESC, material_key) AS canonical, count(*) OVER (PARTITION BY base) AS types, CAST(sum(suppliers) OVER (PARTITION BY base) AS BIGINT) AS reach FROM a)"""
+
+
+def _weakly_typed(m: DataFrame) -> DataFrame:
+    """Listings of one type as if nobody knew it: most suppliers of some names have just that."""
+    return m.withColumn("material_key", F.when(F.col("material_type") == "ECONOMY", F.concat("base", F.lit("|natural stone"))).otherwise(F.col("material_key")))
 
 
 @query(_CONFLICT + " SELECT material_key, base, suppliers, slabs, canonical, reach FROM c WHERE types >= 2")
 def e3_type_conflicts(m, s, spark, sf):
-    return entity.conflict_clusters(m).select("material_key", "base", "suppliers", "slabs", "canonical", "reach")
+    return entity.conflict_clusters(_weakly_typed(m)).select("material_key", "base", "suppliers", "slabs", "canonical", "reach")
 
 
-@query(_CONFLICT + ", l AS (SELECT base, canonical, CAST(sum(CASE WHEN material_key = canonical THEN suppliers ELSE 0 END) AS BIGINT) AS winner, CAST(sum(CASE WHEN material_key <> canonical THEN suppliers ELSE 0 END) AS BIGINT) AS rest FROM c WHERE types >= 2 GROUP BY 1, 2) SELECT * FROM l WHERE rest > 0 AND winner >= 0.3 * rest")
+_MOSTLY = "CASE WHEN supplier_id % 20 = 0 THEN material_key ELSE base || '|promo' END"
+
+
+@query(f""", a AS (SELECT {_MOSTLY} AS key, base, count(DISTINCT supplier_id) AS suppliers, sum(available_slabs) AS slabs FROM materials GROUP BY ALL),
+c AS (SELECT *, first_value(key) OVER (PARTITION BY base ORDER BY suppliers DESC, slabs DESC, key) AS canonical, count(*) OVER (PARTITION BY base) AS types FROM a),
+l AS (SELECT base, canonical, CAST(sum(CASE WHEN key = canonical THEN suppliers ELSE 0 END) AS BIGINT) AS winner, CAST(sum(CASE WHEN key <> canonical THEN suppliers ELSE 0 END) AS BIGINT) AS rest FROM c WHERE types >= 2 GROUP BY 1, 2) SELECT * FROM l WHERE rest > 0 AND winner >= 4 * rest""")
 def e5_landslides(m, s, spark, sf):
-    return entity.landslides(entity.conflict_clusters(m), times=0.3)  # the fixture has no 4-fold winners
+    return entity.landslides(entity.conflict_clusters(m.withColumn("material_key", F.expr(_MOSTLY))))
 
 
-@query("""RAW WITH RECURSIVE edges AS (SELECT 'k' || p_partkey AS a, 'k' || (p_partkey // 2) AS c FROM part WHERE p_partkey > 0 AND p_partkey < 500 AND p_partkey % 3 <> 0),
-walk(a, c) AS (SELECT a, c FROM edges UNION ALL SELECT w.a, e.c FROM walk w JOIN edges e ON e.a = w.c) SELECT a AS alias_key, c AS canonical_key FROM walk WHERE c NOT IN (SELECT a FROM edges)""")
+@query("RAW SELECT 'k' || p_partkey AS alias_key, 'k' || (p_partkey - p_partkey % 64) AS canonical_key FROM part WHERE p_partkey % 64 <> 0 AND p_partkey // 64 % 10 <> 0")
 def e7_resolved_aliases(m, s, spark, sf):
-    p = fixture.table(spark, sf, "part").where("p_partkey > 0 and p_partkey < 500 and p_partkey % 3 <> 0")
+    """Chains of up to 63 steps; every tenth chain ends in a cycle and has no answer."""
+    k = F.col("p_partkey")
+    to = F.when((k % 64 == 1) & (F.floor(k / 64) % 10 == 0), k + 3).otherwise(k - 1)
     key = lambda c: F.concat(F.lit("k"), c.cast("string"))
-    return entity.resolve_aliases(p.select(key(F.col("p_partkey")).alias("alias_key"), key(F.floor(F.col("p_partkey") / 2)).alias("canonical_key")))
+    return entity.resolve_aliases(fixture.table(spark, sf, "part").where(k % 64 != 0).select(key(k).alias("alias_key"), key(to).alias("canonical_key")))
+
+
+@query("SELECT material_key, material_type, count(*) AS n FROM (SELECT CASE WHEN base IN ('red bolt', 'new rod') THEN 'red bolt|folded' ELSE material_key END AS material_key, CASE base WHEN 'red bolt' THEN 'Marble' ELSE material_type END AS material_type FROM materials) GROUP BY ALL")
+def e7_applied_aliases(m, s, spark, sf):
+    base = F.col("base")
+    edges = m.where(base.isin("red bolt", "new rod")).select(F.col("material_key").alias("alias_key"), F.lit("red bolt|folded").alias("canonical_key"), F.when(base == "red bolt", "Marble").alias("canonical_type")).distinct()
+    return entity.apply_aliases(m, edges).groupBy("material_key", "material_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -445,9 +505,11 @@ def e2_remapped_key(m, s, spark, sf):
     return m.select("material_key", N.remap_key(F.col("material_key")).alias("again")).distinct()
 
 
-@query("SELECT DISTINCT item_name, CASE WHEN base LIKE 'red %' THEN 'Red' WHEN base LIKE 'blue %' THEN 'Blue' ELSE '' END AS color FROM materials WHERE base NOT LIKE '%green%'")
+@query("RAW SELECT DISTINCT item_name, p_size, CASE WHEN p_size % 5 = 4 THEN 'Dark Green' WHEN item_name LIKE 'red %' THEN 'Red' WHEN item_name LIKE 'blue %' THEN 'Blue' WHEN p_size % 5 = 3 THEN 'Off-White' ELSE '' END AS color FROM (SELECT p_name AS item_name, p_size FROM part)")
 def x3_color_in_name(m, s, spark, sf):
-    return m.where(~F.col("base").contains("green")).select("item_name", N.color_in_name(F.col("item_name")).alias("color")).distinct()
+    p = fixture.table(spark, sf, "part")
+    name = F.when(F.col("p_size") % 5 == 4, F.concat(F.lit("Redwood DARK green "), "p_name")).when(F.col("p_size") % 5 == 3, F.concat("p_name", F.lit(" off-white/tan"))).otherwise(F.col("p_name"))
+    return p.select(F.col("p_name").alias("item_name"), "p_size", N.color_in_name(name).alias("color")).distinct()
 
 
 @query("SELECT DISTINCT thickness, CASE thickness WHEN '20cm' THEN '2cm' ELSE thickness END AS fixed FROM materials")
@@ -460,10 +522,20 @@ def x7_inches(m, s, spark, sf):
     return m.select("avg_length", N.inches(F.col("avg_length") / 10).alias("inches")).distinct()
 
 
-@query("SELECT DISTINCT price_range, CASE WHEN price_range LIKE '$%' THEN CASE WHEN price_range LIKE '%/sf' THEN 'sqft' ELSE 'unit' END END AS basis, TRY_CAST(replace(replace(price_range, '$', ''), '/sf', '') AS DOUBLE) AS amount FROM materials WHERE price_range LIKE '$%' OR price_range LIKE 'G%'")
+@query("""RAW SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 1, 2, 3) THEN 'sqft' WHEN p_partkey % 7 = 4 THEN 'unit' END AS basis, CASE WHEN p_partkey % 7 < 5 THEN 1000 + p_partkey + 0.5::DOUBLE END AS amount FROM part""")
 def x20_prices(m, s, spark, sf):
-    p = m.where("price_range <> ''").select("price_range", N.price(F.col("price_range")).alias("p")).distinct()
-    return p.select("price_range", "p.basis", "p.amount")
+    k = F.col("p_partkey")
+    money = F.format_string("$ %,d.50", 1000 + k)
+    text = (
+        F.when(k % 7 == 0, F.concat(money, F.lit(" / sq ft")))
+        .when(k % 7 == 1, F.concat(F.lit("from "), money, F.lit("/SF, polished")))
+        .when(k % 7 == 2, F.concat(money, F.lit("/sq. ft")))
+        .when(k % 7 == 3, F.concat(money, F.lit(" /sqft")))
+        .when(k % 7 == 4, F.concat(F.lit(" "), money, F.lit(" ")))
+        .when(k % 7 == 5, F.concat(F.lit("about "), money))
+        .otherwise("Group 5")
+    )
+    return fixture.table(spark, sf, "part").select("p_partkey", N.price(text).alias("p")).select("p_partkey", "p.basis", "p.amount")
 
 
 @query("SELECT DISTINCT base, upper(base[1]) || split_part(base, ' ', 1)[2:] || ' ' || upper(split_part(base, ' ', 2)[1]) || split_part(base, ' ', 2)[2:] AS name FROM materials")
@@ -499,7 +571,7 @@ def a25_consensus(m, s, spark, sf):
     return matching.consensus(_near(spark, sf, 40))
 
 
-@query(_CONSENSUS + """, g AS (SELECT *, row_number() OVER w AS rn, lead(best_score) OVER w AS s2, lead(rank_score) OVER w AS r2 FROM e WINDOW w AS (PARTITION BY query_id ORDER BY rank_score DESC, material_key)),
+@query(_CONSENSUS + """, g AS (SELECT *, row_number() OVER w AS rn, lead(best_score) OVER w AS s2, lead(rank_score) OVER w AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, material_key) AS nth FROM e) WHERE nth <= 12 WINDOW w AS (PARTITION BY query_id ORDER BY rank_score DESC, material_key)),
 h AS (SELECT *, round(coalesce(best_score - s2, 1.0), 6) AS margin, round(rank_score - coalesce(r2, 0.0), 6) AS lead_ FROM g WHERE rn = 1)
 SELECT query_id, material_key, best_score, share, CASE WHEN margin < 0.02 THEN 'none' WHEN best_score >= 0.95 AND lead_ >= 0.02 THEN 'strong' WHEN share >= 0.25 AND best_score >= 0.80 AND lead_ >= 0.03 THEN 'strong' WHEN share >= 0.12 OR best_score >= 0.75 THEN 'likely' ELSE 'uncertain' END AS confidence FROM h""")
 def x27_identify(m, s, spark, sf):
@@ -527,9 +599,35 @@ def r2_heartbeat_sessions(m, s, spark, sf):
     return activity(fixture.table(spark, sf, "events"))
 
 
-@query("""RAW WITH r AS (SELECT event_id AS run_id, ts AS started_at, ts + INTERVAL 30 MINUTE AS heartbeat, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN NULL ELSE 'done' END AS outcome FROM events WHERE user_id < 20)
-SELECT run_id, CASE WHEN outcome IS NOT NULL THEN outcome WHEN started_at < (SELECT max(started_at) FROM r) THEN 'superseded' WHEN epoch(TIMESTAMP '2024-02-01' - heartbeat) > 5400 THEN 'died' ELSE 'running' END AS state FROM r""")
+_RUNS = """RAW WITH r AS (SELECT event_id AS run_id, ts AS started_at, ts + to_days(CAST(event_id % 40 AS INTEGER)) AS heartbeat, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN NULL WHEN 'click' THEN '' ELSE 'done' END AS outcome FROM events)
+"""
+
+
+@query(_RUNS + "SELECT run_id, CASE WHEN coalesce(outcome, '') <> '' THEN outcome WHEN heartbeat < TIMESTAMP '2024-02-05' - INTERVAL 90 MINUTE OR heartbeat < (SELECT max(started_at) FROM r) THEN 'interrupted' ELSE 'running' END AS state FROM r")
 def q14_run_ledger(m, s, spark, sf):
-    e = fixture.table(spark, sf, "events").where("user_id < 20")
-    runs = e.select(F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), (F.col("ts") + F.expr("interval 30 minutes")).alias("heartbeat"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") != "view", "done").alias("outcome"))
-    return ledger.run_state(runs, F.lit("2024-02-01").cast("timestamp")).select("run_id", "state")
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "").when(F.col("event_type") != "view", "done")
+    runs = fixture.table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval((F.col("event_id") % 40).cast("int"))).alias("heartbeat"), outcome.alias("outcome"))
+    return ledger.run_state(runs, F.lit("2024-02-05").cast("timestamp")).select("run_id", "state")
+
+
+@query("""RAW WITH t AS (SELECT *, max(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS fulls, max(event_id) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS fulle FROM events WHERE event_type <> 'view'),
+n AS (SELECT user_id, count(*) AS streak FROM t WHERE fulls IS NULL OR (ts, event_id) > (fulls, fulle) GROUP BY 1) SELECT 'h' || u.user_id AS host, coalesce(streak, 0) AS streak, coalesce(streak, 0) >= 3 AS dead FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN n ON n.user_id = u.user_id""")
+def w10_empty_streaks(m, s, spark, sf):
+    e = fixture.table(spark, sf, "events")
+    crawls = e.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), "ts", "event_id", F.when(F.col("event_type") == "purchase", 5).otherwise(0).alias("items"), "event_type")
+    return ledger.empty_streaks(crawls, ["ts", "event_id"], F.col("event_type") == "view")
+
+
+@query("RAW SELECT date_diff('day', max(CAST(ts AS DATE)) FILTER (WHERE event_type = 'purchase'), DATE '2024-03-01') AS days FROM events")
+def x25_lost_days(m, s, spark, sf):
+    e = fixture.table(spark, sf, "events").select(F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.when(F.col("event_type") == "purchase", "done").otherwise("failed").alias("outcome"))
+    return ledger.lost_days(e, F.lit("2024-03-01").cast("date"))
+
+
+@query("""RAW SELECT 'r' || user_id AS run_id, min(ts) FILTER (WHERE event_type = 'signup') AS started_at, max(ts) AS heartbeat, arg_max(left(repeat(props, 60), 500), (ts, props)) FILTER (WHERE event_type = 'click') AS phase,
+arg_max('done', ts) FILTER (WHERE event_type = 'purchase') AS outcome, arg_max(CAST(event_id AS VARCHAR), ts) FILTER (WHERE event_type = 'purchase') AS detail FROM events GROUP BY user_id""")
+def n13_ledger_of_writes(m, s, spark, sf):
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "phase").when(F.col("event_type") == "purchase", "finish").otherwise("beat")
+    value = F.when(F.col("event_type") == "purchase", F.concat(F.lit("done: "), F.col("event_id").cast("string"))).otherwise(F.repeat("props", F.lit(60)))
+    e = fixture.table(spark, sf, "events")
+    return ledger.ledger(e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), F.col("ts").alias("at"), kind.alias("kind"), value.alias("value")))

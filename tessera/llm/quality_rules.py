@@ -174,7 +174,7 @@ def quality_verdicts(docs: DataFrame, min_group: int = 200, spread: float = 3.0)
     stats = measure(docs.select(*keep)).drop("text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = stage(stats, "quality")
-    limits = stage(fences(sketches(stats), min_group, spread).coalesce(1), "fences")
+    limits = stage(fences(sketches(stats), min_group, spread), "fences")
     named = lambda level: limits.where(F.col("level") == level).select(
         *(F.col(c).alias(f"_{level}_{c}") for c in limits.columns if c != "level"), F.lit(True).alias(f"_{level}")
     )

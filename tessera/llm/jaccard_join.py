@@ -46,8 +46,8 @@ BUCKETS, BLOCK = 1 << 22, 1 << 14
 CELLS = 64
 #: Regions of at most so many classes have their pairs compared directly.
 SMALL = 8
-#: Bits of the table of classes whose sets are needed again.
-BLOOM = 1 << 24
+#: Least and most bits, as powers of two, of the table of classes whose sets are needed again; 32 MB at most.
+BLOOM = (24, 28)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -482,15 +482,20 @@ def large_edges(rows: DataFrame, bounds: Bounds, most: int, levels: int = 3) ->
 
 
 def wanted_sets(docs: DataFrame, width: int, members: DataFrame) -> DataFrame:
-    """(k, id, set) of the classes with an id in members (node), and a few more; once at most in a task."""
-    bits = F.col("node").bitwiseAND(BLOOM - 1)
+    """(k, id, set) of the classes with an id in members (node), and a few more; once at most in a task.
+
+    The table has 16 bits a member, within bounds: beyond some 16 million members more sets come along
+    that the join with the members then drops.
+    """
+    size = 1 << min(max((16 * members.count()).bit_length(), BLOOM[0]), BLOOM[1])
+    bits = F.col("node").bitwiseAND(size - 1)
     maps = (
         members.select(F.shiftright(bits, 15).alias("i"), bits.bitwiseAND(32767).alias("at"))
         .groupBy("i")
         .agg(F.bitmap_construct_agg("at").alias("map"))
-        .collect()  # BLOOM / 32768 rows
+        .collect()  # size / 32768 rows
     )
-    table = np.zeros((BLOOM // 32768, 4096), np.uint8)
+    table = np.zeros((size // 32768, 4096), np.uint8)
     for row in maps:
         table[row["i"]] = np.frombuffer(bytes(row["map"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
@@ -502,7 +507,7 @@ def wanted_sets(docs: DataFrame, width: int, members: DataFrame) -> DataFrame:
             for u in _sets(batch.column(0), width):
                 if not len(u) or (key := _key(u)) in done:
                     continue
-                at = _id(key) & (BLOOM - 1)
+                at = _id(key) & (size - 1)
                 if there[at >> 3] >> (at & 7) & 1:
                     done.add(key)
                     k.append(key)

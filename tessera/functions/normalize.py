@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,18 +30,31 @@ def first_rule(haystack: Column) -> Column:
     return reduce(lambda rest, rule: F.when(haystack.contains(rule[0]), rule[1]).otherwise(rest), reversed(vocab.TYPE_RULES), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_type(category: Column, subcategory: Column, name: Column) -> Column:
+    """The type of a listing: equipment and accessories, then the first rule that its categories meet, then its name; a general type gives way to the name's."""
     parts = [F.lower(text(c)) for c in (subcategory, category)]
     hay = F.concat_ws(" ", *(F.when((p != "") & ~F.replace(p, F.lit("."), F.lit("")).rlike("^[0-9]+$"), p) for p in parts))
-    nm = F.lower(text(name))
     words = r"\b(?:" + "|".join(vocab.ACCESSORY_WORDS) + r")\b"
     part = "|".join(vocab.ACCESSORY_PARTS)
-    tool = nm.rlike(r"slab\s+(?:" + "|".join(vocab.SLAB_TOOLS) + ")")
-    accessory = tool | (~nm.rlike(r"\bslab\b") & (hay.rlike(part) | nm.rlike(part) | hay.rlike(words) | nm.rlike(words)))
-    by_hay, by_name = first_rule(hay), first_rule(nm)
-    stronger = by_hay.isin(*vocab.GENERIC) & (by_name != "") & ~by_name.isin(*vocab.GENERIC)
-    label = F.when(stronger | (by_hay == ""), by_name).otherwise(by_hay)
-    return F.when(accessory, vocab.ACCESSORY).when(label != "", label).otherwise("Other")
+
+    def typed(t: Column) -> Column:
+        hay, nm = t["hay"], t["name"]
+        tool = nm.rlike(r"slab\s+(?:" + "|".join(vocab.SLAB_TOOLS) + ")")
+        accessory = tool | (~nm.rlike(r"\bslab\b") & (hay.rlike(part) | nm.rlike(part) | hay.rlike(words) | nm.rlike(words)))
+
+        def named(by: Column) -> Column:
+            stronger = by["hay"].isin(*vocab.GENERIC) & (by["name"] != "") & ~by["name"].isin(*vocab.GENERIC)
+            label = F.when(stronger | (by["hay"] == ""), by["name"]).otherwise(by["hay"])
+            return F.coalesce(F.nullif(label, F.lit("")), F.lit("Other"))
+
+        return F.when(accessory, vocab.ACCESSORY).otherwise(let(F.struct(first_rule(hay).alias("hay"), first_rule(nm).alias("name")), named))
+
+    return let(F.struct(hay.alias("hay"), F.lower(text(name)).alias("name")), typed)
 
 
 def finish(name: Column, structured: Column) -> Column:
@@ -111,21 +125,21 @@ def title_key(name: Column, material_type: Column) -> Column:
         n = F.regexp_replace(n, left_out, " ")
     n = _spaces(F.regexp_replace(n, "[^a-z0-9 ]+", " "))
     kind = F.lower(text(material_type))
-    bare = _spaces(F.regexp_replace(n, F.concat(F.lit(r"\b\Q"), kind, F.lit(r"\E\b")), F.lit(" ")))
-    n = F.when(kind.isin("", "other", vocab.ACCESSORY.lower()) | (bare == ""), n).otherwise(bare)
-    formless = _spaces(F.regexp_replace(n, vocab.KEY_FORM, " "))
-    return F.when(formless == "", n).otherwise(formless)
+    own = F.concat(F.lit(r"\b\Q"), kind, F.lit(r"\E\b"))
+    nobody = kind.isin("", "other", vocab.ACCESSORY.lower())
+    typeless = lambda n: let(_spaces(F.regexp_replace(n, own, F.lit(" "))), lambda bare: F.when(nobody | (bare == ""), n).otherwise(bare))
+    formless = lambda n: let(_spaces(F.regexp_replace(n, vocab.KEY_FORM, " ")), lambda bare: F.when(bare == "", n).otherwise(bare))
+    return let(let(n, typeless), formless)
 
 
 def material_key(name: Column, material_type: Column) -> Column:
-    base = title_key(name, material_type)
-    return F.when(base == "", "").otherwise(F.concat(base, F.lit("|"), F.lower(F.coalesce(material_type, F.lit("")))))
+    return let(title_key(name, material_type), lambda base: F.when(base == "", "").otherwise(F.concat(base, F.lit("|"), F.lower(F.coalesce(material_type, F.lit(""))))))
 
 
 def remap_key(key: Column) -> Column:
     kind = F.regexp_extract(key, r"\|([^|]*)$", 1)
     again = title_key(F.regexp_extract(key, r"^(.*)\|", 1), kind)
-    return F.when(~key.contains("|") | (again == ""), key).otherwise(F.concat(again, F.lit("|"), kind))
+    return let(again, lambda n: F.when(~key.contains("|") | (n == ""), key).otherwise(F.concat(n, F.lit("|"), kind)))
 
 
 def price(raw: Column) -> Column:

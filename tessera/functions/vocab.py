@@ -101,3 +101,23 @@ STOP = (
 FORMS = {"slab": "slab", "slabs": "slab", "tile": "tile", "tiles": "tile", "remnant": "remnant", "remnants": "remnant", "remmnant": "remnant"}
 #: The width in a photo's address as it is stored, and the widest.
 STORED_WIDTH = ("width=1400", "width=2400")
+#: The end of hosts whose origins are geological.
+GEOLOGICAL = ".iblocky.it"
+#: Types and origins in one feed's language, and words of types that say nothing.
+FEED_TYPES = {
+    "marmo": "Marble", "marmi": "Marble", "marbles": "Marble", "granito": "Granite", "graniti": "Granite", "granites": "Granite", "quarzite": "Quartzite", "onice": "Onyx",
+    "travertino": "Travertine", "travertines": "Travertine", "arenaria": "Sandstone", "calcare": "Limestone", "semiprezioso": "Semi-Precious",
+    "materiali semipreziosi": "Semi-Precious", "ceramica": "Ceramic", "agglomerato": "Agglomerate", "agglomerato marmo": "Agglomerate",
+}
+FEED_NO_TYPE = ("n/a", "na", "sicily", "pietra", "altre pietre", "altro", "other", "-")
+FEED_ORIGINS = {
+    "italy": "Italy", "italia": "Italy", "brazil": "Brazil", "brasile": "Brazil", "india": "India", "greece": "Greece", "grecia": "Greece", "angola": "Angola",
+    "portugal": "Portugal", "portogallo": "Portugal", "turkey": "Turkey", "turchia": "Turkey", "norway": "Norway", "norvegia": "Norway", "zimbabwe": "Zimbabwe", "iran": "Iran",
+    "tunisia": "Tunisia", "namibia": "Namibia", "spain": "Spain", "spagna": "Spain", "albania": "Albania", "china": "China", "cina": "China", "morocco": "Morocco",
+    "marocco": "Morocco", "croatia": "Croatia", "croazia": "Croatia", "egypt": "Egypt", "egitto": "Egypt", "france": "France", "francia": "France",
+    "switzerland": "Switzerland", "svizzera": "Switzerland", "south africa": "South Africa", "sudafrica": "South Africa", "vietnam": "Vietnam", "andorra": "Andorra",
+}
+#: Types that a feed's group names may have in them.
+GROUP_TYPES = r"(?i)(quartzite|granite|marble|quartz|porcelain|dolomite|onyx|travertine|limestone|soapstone|slate|sintered)"
+#: Words of texts about stone.
+STONE_WORDS = r"(?i)granite|quartzite|marble|limestone|dolomit|soapstone|onyx|travertine|gneiss|schist|slate|basalt|sandstone|quarr"

@@ -94,3 +94,10 @@ def compared(materials: DataFrame, keys: list[str]) -> DataFrame:
     leads = tops.agg(*(F.sum((F.col(c) == F.col(f"_{c}")).cast("int")).alias(f"_n_{c}") for c in ("suppliers", "total", "deepest")))
     won = lambda c: ((F.col(c) == F.col(f"_{c}")) & (F.col(f"_n_{c}") == 1)).alias(f"wins_{c}")
     return tops.join(F.broadcast(leads), F.lit(True), "left").select("material_key", "suppliers", "total", "deepest", won("suppliers"), won("total"), won("deepest"))
+
+
+def shown_clusters(members: DataFrame) -> DataFrame:
+    """(cluster, name, photo) of clusters' members (cluster, item_name, base, image_url, suppliers, slabs, at): the name of the widest one, and the first photo in that order; of equal ones the first by at."""
+    reach = F.struct((-F.col("suppliers")).alias("s"), (-F.col("slabs")).alias("n"), "at")
+    name = F.coalesce(F.nullif("item_name", F.lit("")), F.initcap("base"))
+    return members.groupBy("cluster").agg(F.min_by(name, reach).alias("name"), F.min_by("image_url", F.when(F.coalesce("image_url", F.lit("")) != "", reach)).alias("photo"))

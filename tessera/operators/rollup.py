@@ -112,3 +112,19 @@ def collapse_counts(materials: DataFrame) -> DataFrame:
     return ranked.withColumn(
         "available_slabs", F.when(F.col("_tile") | (F.col("_n") == 1), F.col("available_slabs")).otherwise(fixed).cast("long")
     ).select(*materials.columns)
+
+
+def stats(materials: DataFrame, products: DataFrame) -> DataFrame:
+    """One row: suppliers with stock, listings, products and photos of the whole catalog."""
+    one = materials.agg(F.count_distinct("supplier_id").alias("suppliers"), F.count(F.lit(1)).alias("listings"), F.count_distinct(F.nullif("image_url", F.lit(""))).alias("images"))
+    return one.join(F.broadcast(products.agg(F.count(F.lit(1)).alias("products"))), F.lit(True), "left")  # one row each
+
+
+def by_type(materials: DataFrame) -> DataFrame:
+    """(material_type, listings, products) of each type, the most frequent first."""
+    return materials.groupBy("material_type").agg(F.count(F.lit(1)).alias("listings"), F.count_distinct("material_key").alias("products")).orderBy(F.desc("listings"), "material_type")
+
+
+def thickness_order() -> list:
+    """The order of thicknesses by their number, then as text."""
+    return [F.coalesce(F.regexp_extract("thickness", r"^([\d.]+)", 1).try_cast("double"), F.lit(0.0)).asc(), F.asc("thickness")]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import entity, history, rollup
+from ..operators import curation, entity, history, rollup
+from ..sources.staging import staged
 
 
 def normalized(raw: DataFrame) -> DataFrame:
@@ -33,11 +34,41 @@ def vote(materials: DataFrame) -> DataFrame:
     return out.withColumns({"material_key": key, "material_type": F.col("_type")}).select(*materials.columns)
 
 
-def tail(materials: DataFrame, suppliers: DataFrame, aliases: DataFrame, past: DataFrame, today: Column, keep: int = 9) -> dict[str, DataFrame]:
-    """vote, aliases, honest counts, snapshot, retention and rollup, in this order."""
+def repaired(materials: DataFrame, suppliers: DataFrame, metric_hosts: tuple[str, ...], inch_hosts: tuple[str, ...]) -> DataFrame:
+    """Stored listings with sides of metric hosts and thicknesses of inch hosts as they should be; others, and those that are right, stay. Doing it again changes nothing."""
+    named = materials.join(suppliers.select(F.col("id").alias("supplier_id"), F.lower("host").alias("_host")), "supplier_id", "left")
+    metric, inch = F.coalesce(F.col("_host").isin(*metric_hosts), F.lit(False)), F.coalesce(F.col("_host").isin(*inch_hosts), F.lit(False))
+    side = lambda c: F.when(metric, N.inches(F.col(c))).otherwise(F.col(c))
+    fixed = {"avg_length": side("avg_length"), "avg_width": side("avg_width"), "thickness": F.when(inch & (F.coalesce("thickness", F.lit("")) != ""), N.repair_inches(F.col("thickness"))).otherwise(F.col("thickness"))}
+    return named.withColumns(fixed).select(*materials.columns)
+
+
+def reclassified(stored: DataFrame, suppliers: DataFrame, aliases: DataFrame, metric_hosts: tuple[str, ...] = (), inch_hosts: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Stored listings under the present rules, in this order: millimetres and sides repaired, attributes and keys made anew, unknown types by vote, aliases under the new keys and applied, mirrors found, and the rollup."""
+    mm = stored.withColumn("thickness", N.repair_mm(F.col("thickness"), F.col("uom")))
+    fixed = staged(normalized(repaired(mm, suppliers, metric_hosts, inch_hosts)), "normalized")  # read three times below
+    voted = vote(fixed.withColumn("base", F.regexp_extract("material_key", r"^(.*)\|", 1)))
+    again = curation.remapped_aliases(aliases, F.col("alias_key"))
+    folded = entity.apply_aliases(voted, entity.resolve_aliases(again))
+    found = entity.mirrors(folded, suppliers)
+    return {"materials": folded, "aliases": again, "mirrors": found, "rollup": rollup.product_rollup(folded, suppliers)}
+
+
+def tail(materials: DataFrame, suppliers: DataFrame, aliases: DataFrame, scopes: DataFrame, past: DataFrame, today: Column, keep: int = 9) -> dict[str, DataFrame]:
+    """What follows a refresh, in this order: vote, aliases, storefront scopes, honest counts, today's snapshot, retention, mirrors, proposals of scopes, rollup and figures. suppliers may have text, from which scopes are proposed."""
     voted = vote(materials)
     folded = entity.apply_aliases(voted, entity.resolve_aliases(aliases))
-    counted = rollup.collapse_counts(folded)
+    scoped = curation.apply_scopes(folded, suppliers, scopes)
+    counted = rollup.collapse_counts(scoped)
     snapshot = history.snapshots(counted, today)
     kept = past.join(snapshot.select("snapshot_date", "supplier_id").distinct(), ["snapshot_date", "supplier_id"], "left_anti")
-    return {"materials": counted, "history": history.prune(kept.unionByName(snapshot), keep), "rollup": rollup.product_rollup(counted, suppliers)}
+    made = rollup.product_rollup(counted, suppliers)
+    texts = suppliers if "text" in suppliers.columns else suppliers.withColumn("text", F.concat_ws(" ", "host", "company"))
+    return {
+        "materials": counted,
+        "history": history.prune(kept.unionByName(snapshot, allowMissingColumns=True), keep),
+        "mirrors": entity.mirrors(counted, suppliers),
+        "proposals": curation.scope_proposals(texts, counted),
+        "rollup": made,
+        "stats": rollup.stats(counted, made),
+    }

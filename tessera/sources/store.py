@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str, strict: bool) -> DataFrame:
-    """A JSON document or lines; strict fails on corrupt input, else corrupt records are null."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+def read_json(spark: SparkSession, path: str, schema: StructType | str, strict: bool, lines: bool = False) -> DataFrame:
+    """JSON documents, or a record in each line; strict fails on corrupt input, else corrupt records are null."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
 def with_columns(df: DataFrame, schema: StructType) -> DataFrame:
@@ -68,6 +69,63 @@ def write_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, most: int = 5000) -> None:
-    """An export of at most so many rows, as one CSV file with a header."""
-    df.limit(most).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def replace_partitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with all rows of the keys that new has replaced by new's."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def scrubbed(suppliers: DataFrame, gone: DataFrame, contacts: tuple[str, ...] = ("email", "phone")) -> DataFrame:
+    """suppliers without the contacts of those that are gone (host), where users' notes keep their rows."""
+    marked = suppliers.join(gone.select("host", F.lit(True).alias("_gone")), "host", "left")
+    return marked.withColumns({c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)) for c in contacts if c in suppliers.columns}).select(*suppliers.columns)
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> str:
+    """Tables written beside path and moved there when all are complete: readers see the whole snapshot or none. A snapshot that is already there gives way. Returns the path."""
+    spark = next(iter(tables.values())).sparkSession
+    beside = f"{path}.new-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{beside}/{name}")
+    fs, there = _fs(spark, path)
+    fs.delete(there, True)
+    if not fs.rename(_fs(spark, beside)[1], there):
+        raise OSError(f"{beside} can't be moved to {path}")
+    return path
+
+
+def opened(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
+    """The tables of a store in their present schemas: tables that aren't there yet are empty, columns that came later are null."""
+    out = {}
+    for name, schema in schemas.items():
+        fs, there = _fs(spark, f"{path}/{name}")
+        out[name] = with_columns(spark.read.parquet(f"{path}/{name}"), schema) if fs.exists(there) else spark.createDataFrame([], schema)
+    return out
+
+
+def schema_gate(ours: dict[str, DataFrame], theirs: dict[str, DataFrame]) -> str:
+    """Why their tables can't be merged into ours: a table or columns that they lack, or have and we don't; '' if they can."""
+    for name, df in ours.items():
+        if name not in theirs:
+            return f"no table {name}"
+        missing, extra = schema_mismatch(df.schema, theirs[name].schema)
+        if missing or extra:
+            return f"{name}: missing {', '.join(sorted(missing)) or 'nothing'}; not known here: {', '.join(sorted(extra)) or 'nothing'}"
+    return ""
+
+
+def write_csv(df: DataFrame, path: str, order: list, most: int | None = None) -> None:
+    """An export in order, of at most so many rows if told so, as CSV with a header and a mark that says it is UTF-8; several files where it is large, each in order, named in order."""
+    ordered = df.orderBy(*order)
+    ordered = ordered.limit(most) if most is not None else ordered
+    first = f"\ufeff{df.columns[0]}"
+    ordered.withColumnRenamed(df.columns[0], first).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def to_api(df: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object, nulls included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -7,11 +7,15 @@ the mixture; the `features` whose log odds speak most clearly for toxicity are k
 bounded samples of both, a numpy logistic model minimises the class-prior-corrected risk
     prior * R(positives as 1) + max(0, R(mixture as 0) - prior * R(positives as 0)),
 whose second part is kept from going negative. The prior is the share of toxic labels in the
-training fold. Scores are shifted so that 0.3 is where labelled training rows separate best.
+training fold. Scores are shifted so that 0.3 is where F1 is best, as positives and mixture alone let
+it be estimated: recall from the positives, and the share called toxic from the mixture. Confirmed
+texts that aren't toxic are used for the prior only.
 
 Nulls: a null text is empty and gets the score of a text without features; a null label teaches
 nothing; a doc_id labelled both ways counts as toxic. Without toxic labels every score is 0.
-Repeated rows get the same score.
+Repeated rows get the same score. Very long texts are read whole, a chunk of rows at a time. Among
+features that speak equally the lower number is kept; among equally good cuts the middle one. Columns
+of docs pass through score() whatever their names, but score itself.
 """
 
 from __future__ import annotations
@@ -133,34 +137,68 @@ def _sums(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return np.bincount(at, w[np.concatenate(rows)] if len(at) else None, minlength=len(rows))
 
 
-def nnpu(positive: list[np.ndarray], mixture: list[np.ndarray], n: int, prior: float, start: np.ndarray, rounds: int = 300, rate: float = 0.03, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of minimal non-negative PU risk."""
+def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the class-prior-corrected risk, by margins of positives and mixture: that of positives as 1, and that of the rest as 0, which may be negative."""
+    as_zero = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * float(np.logaddexp(0, -zp).mean()), float(as_zero)
+
+
+def pu_gradients(flat: list[tuple], zp: np.ndarray, zu: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of both parts of pu_risk by weights and, last, bias. flat: (row, feature) of positives and of the mixture."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    flat = [(np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x) if x else np.zeros(0, int)) for x in (positive, mixture)]
-    w = np.concatenate((start, [-2.0]))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    sp, su = sigmoid(zp), sigmoid(zu)
 
     def back(which: int, g: np.ndarray) -> np.ndarray:
         at, f = flat[which]
         return np.concatenate((np.bincount(f, g[at], minlength=n), [g.sum()]))
 
+    return prior * back(0, (sp - 1) / len(sp)), back(1, su / len(su)) - prior * back(0, sp / len(sp))
+
+
+def pu_cut(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The margin from which on to call texts toxic: the middle of those with the best F1 that positives and mixture tell of, 2 * prior * recall / (prior + share of the mixture above)."""
+    zp, zu = np.sort(zp), np.sort(zu)
+    cuts = np.unique(np.concatenate((zp, zu)))
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    recall, called = (1 - np.searchsorted(z, cuts) / len(z) for z in (zp, zu))
+    f1 = 2 * prior * recall / (prior + called)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    return float(cuts[best[len(best) // 2]])
+
+
+def nnpu(positive: list[np.ndarray], mixture: list[np.ndarray], n: int, prior: float, rounds: int = 300, rate: float = 0.03, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of minimal non-negative PU risk, from zero weights; where the second part goes below 0, its gradient is taken back."""
+    flat = [(np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x) if x else np.zeros(0, int)) for x in (positive, mixture)]
+    w = np.concatenate((np.zeros(n), [-2.0]))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+
     for t in range(1, rounds + 1):
         zp, zu = _sums(positive, w[:-1]) + w[-1], _sums(mixture, w[:-1]) + w[-1]
-        sp, su = sigmoid(zp), sigmoid(zu)
-        as_one = prior * back(0, (sp - 1) / len(sp))  # gradient of log(1 + exp(-z))
-        negative = back(1, su / len(su)) - prior * back(0, sp / len(sp))
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = as_one + negative if risk >= 0 else -negative
+        as_one, as_zero = pu_gradients(flat, zp, zu, n, prior)
+        g = as_one + as_zero if pu_risk(zp, zu, prior)[1] >= 0 else -as_zero
         g = g + shrink * np.concatenate((w[:-1], [0.0]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def crossed(positive: list[np.ndarray], mixture: list[np.ndarray], n: int, prior: float, folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of positives and mixture by models that haven't seen them, as a model thinks too well of what it has learned from; the positives' own, where they are fewer than the folds."""
+    if len(positive) < folds or len(mixture) < folds:
+        w, bias = nnpu(positive, mixture, n, prior)
+        return _sums(positive, w) + bias, _sums(mixture, w) + bias
+    zp, zu = [], []
+    for k in range(folds):
+        w, bias = nnpu([x for i, x in enumerate(positive) if i % folds != k], [x for i, x in enumerate(mixture) if i % folds != k], n, prior)
+        zp.append(_sums(positive[k::folds], w) + bias)
+        zu.append(_sums(mixture[k::folds], w) + bias)
+    return np.concatenate(zp), np.concatenate(zu)
+
+
 def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_000, n_features: int = 20_000, purity: float = 0.9) -> Scorer:
     """docs: doc_id and text of the training fold. labels: doc_id and toxic; only rows of the training fold are used.
 
-    sample: at most so many texts of each kind (toxic, not toxic, mixture) fit the weights and the cut.
+    sample: at most so many toxic texts, and about as many of the mixture, fit the weights and the cut.
     """
     spark = docs.sparkSession
     known = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -168,10 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_0
     nothing = Scorer(np.zeros(1 << BITS), -30.0)
     if not share["n"] or not share["p"]:
         return nothing
-    pick = lambda want: [r["doc_id"] for r in known.where((F.col("toxic") > 0) == want).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    ids = {want: spark.createDataFrame([(i,) for i in pick(want)], known.select("doc_id").schema) for want in (True, False)}
-    labelled = {want: docs.join(F.broadcast(ids[want]), "doc_id") for want in (True, False)}  # at most `sample` ids
-    freq_p, freq_u = _frequencies(labelled[True]), _frequencies(docs)
+    toxic = known.where("toxic > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = spark.createDataFrame([(r["doc_id"],) for r in toxic.collect()], known.select("doc_id").schema)
+    labelled = docs.join(F.broadcast(ids), "doc_id")  # at most `sample` ids
+    freq_p, freq_u = _frequencies(labelled), _frequencies(docs)
     if not freq_p[-1]:
         return nothing
     p, u = freq_p[:-1], freq_u[:-1]
@@ -182,24 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 10_0
     kept = np.sort(np.argsort(-clear, kind="stable")[: min(n_features, int((clear > 0).sum()))])
     total = int(freq_u[-1])
     mixture = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < min(1.0, sample / total) * (1 << 30))
-    pos, neg, mixed = (_sampled(d, kept) for d in (labelled[True], labelled[False], mixture))
+    pos, mixed = (_sampled(d, kept) for d in (labelled, mixture))
     if not mixed:
         return nothing
-    w, bias = nnpu(pos, mixed, len(kept), float(share["p"]), np.minimum(odds[kept], 3.0))
+    prior = float(share["p"])
+    w, bias = nnpu(pos, mixed, len(kept), prior)
     weights = np.zeros(1 << BITS)
     weights[kept] = w
-    # the cut that separates labelled training rows best, by F1 at their natural shares
-    zp, zn = np.sort(_sums(pos, w) + bias), np.sort(_sums(neg, w) + bias)
-    if len(zp) and len(zn):
-        cuts = np.unique(np.concatenate((zp, zn)))
-        cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-        hit = (1 - np.searchsorted(zp, cuts) / len(zp)) * share["p"]
-        false = (1 - np.searchsorted(zn, cuts) / len(zn)) * (1 - share["p"])
-        f1 = 2 * hit / (share["p"] + hit + false)
-        best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-        at = float(cuts[best[len(best) // 2]])
-    else:
-        at = 0.0
+    at = pu_cut(*crossed(pos, mixed, len(kept), prior), prior)
     return Scorer(weights, bias - at + float(np.log(cut / (1 - cut))))
 
 

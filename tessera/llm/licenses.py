@@ -1,14 +1,15 @@
 """Licence scans by canonical digests (operator 3), in DataFrame functions only.
 
 A unit of text (the whole document, a paragraph between blank lines, a run of paragraphs that is less
-than the document, or a line) is brought into a canonical form: lower case, copyright lines dropped, equivalent spellings made one, punctuation and
-white space made single spaces. Its SHA-256 digest is looked up among the digests of known licence
+than the document, or a line) is brought into a canonical form: lower case, copyright lines dropped,
+equivalent spellings made one, punctuation and white space made single spaces. Its SHA-256 digest is looked up among the digests of known licence
 texts and notices, so that a unit counts only if it is a licence from end to end. The table of known
 digests is part of this module and so of fixed size.
 
 A null text has no units; units without canonical text are not looked up. Repeated rows are scanned
 each for itself: counts of rows with the same doc_id add up. Of several names for one text the first
-is reported.
+is reported. Very long texts are scanned whole. Columns other than doc_id and text are not looked at,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

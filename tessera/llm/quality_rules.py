@@ -8,7 +8,9 @@ small languages the sketch of all documents, both merged from the same counts. M
 joined with the fences.
 
 Nulls: a null text counts as empty; null lang or source are groups of their own. Empty texts have
-no words and fail. Repeated rows are measured each for itself. Ties with a fence are kept.
+no words and fail. Repeated rows are measured each for itself. Ties with a fence are kept. Very long
+texts are measured whole; windows of words are compared by a 64-bit hash. An empty table has no fences
+and gives an empty one.
 """
 
 from __future__ import annotations

@@ -89,6 +89,14 @@ modification, are permitted provided that the following conditions are met:
     assert not [k for k in got if k[0] in (8, 9)]
 
 
+def test_license_repeats_and_clashes(spark):
+    """Repeated rows add up, other columns are not looked at, and a very long text is scanned whole."""
+    mit = licenses.KNOWN[0][1].replace("\n", " ")
+    rows = [(1, mit, "x", 1)] * 3 + [(2, "word " * 60_000 + "\n\n" + mit, "x", 1)]
+    got = {(r.doc_id, r.unit): r.n for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, unit string, n int")).collect() if r.license == "MIT"}
+    assert got[1, "document"] == 3 and got[2, "paragraph"] == 1
+
+
 # --- audio --------------------------------------------------------------------------------------
 
 
@@ -213,6 +221,28 @@ def test_language_odd_rows(spark):
     assert langid.identify(odd, langid.fit(df.where("false"))).where("lang_pred = 'und'").count() == 5
 
 
+def test_language_repeats_and_brute_force(spark):
+    """Every prediction is that of the greatest cosine by plain loops; repeated rows agree, and so do reruns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model, again = langid.fit(docs), langid.fit(docs.repartition(3))
+    assert np.array_equal(model.centroids, again.centroids)
+    rows = langid.identify(docs.unionByName(docs).withColumn("cosine", docs["lang"]), model).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = {}
+    for r in rows:
+        assert seen.setdefault(r.doc_id, r) == r
+    for i, r in list(seen.items())[:60]:
+        raw = langid.counts(texts[i])
+        if raw is None:
+            assert r.lang_pred == "und"
+            continue
+        v = langid.vectors(raw[None, :].astype(np.float32), model.idf)[0]
+        cos = [(sum(float(a) * float(b) for a, b in zip(v, c, strict=True) if a), -int(k)) for c, k in zip(model.centroids, model.of, strict=True)]
+        best, k = max(cos)
+        assert r.lang_pred == model.langs[-k] or abs(sorted(cos)[-2][0] - best) < 1e-5
+        assert abs(r.cosine - best) < 1e-4
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in op9_toxicity(spark, sf).collect()}

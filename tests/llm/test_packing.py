@@ -91,3 +91,19 @@ def test_odd_rows(spark):
     assert sum(r.length for r in rows if r.doc_id == 3) == 9001
     assert all(len(r.ids) == 4 * r.length for r in rows)
     assert pack(docs.where("false"), PATH).count() == 0
+
+
+def test_repeated_rows_and_other_columns(spark):
+    """Repeated rows are packed each for itself, without gaps or overlaps; other columns are not looked at, whatever their names."""
+    rows = [(1, "a b c " * 300, 7, "x")] * 9 + [(2, None, 7, "x")] * 5 + [(None, "a " * 9000, 7, "x")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, offset string").repartition(5)
+    out = pack(df, PATH, limit=512).collect()
+    single = {i: [(r.piece, r.start, r.length, bytes(r.ids)) for r in sorted(pack(df.where(df.doc_id.eqNullSafe(i)).limit(1), PATH, limit=512).collect(), key=lambda r: r.piece)] for i in (1, 2, None)}
+    for i, n in ((1, 9), (2, 5), (None, 2)):
+        assert sorted((r.piece, r.start, r.length, bytes(r.ids)) for r in out if r.doc_id == i) == sorted(single[i] * n)
+    for s in {r.sequence_id for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 512

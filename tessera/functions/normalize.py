@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -84,6 +85,19 @@ def families(color: Column) -> Column:
     return F.filter(F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, syns))), F.lit(fam)) for fam, syns in vocab.FAMILIES.items())), lambda f: f.isNotNull())
 
 
+def in_choice(color: Column, choice: str) -> Column:
+    """Whether a raw colour is what a choice stands for: a family, `Other` for colours of no family, or a raw value of old, which widens to its first family if it has one."""
+    if choice not in vocab.FAMILIES and choice != "Other":
+        words = set(re.split("[^a-z0-9]+", choice.lower()))
+        wider = next((family for family, synonyms in vocab.FAMILIES.items() if words & set(synonyms)), "")
+        if not wider:
+            return color == choice
+        choice = wider
+    if choice == "Other":
+        return (F.coalesce(color, F.lit("")) != "") & (F.size(families(color)) == 0)
+    return F.array_contains(families(color), choice)
+
+
 def thickness(raw: Column, name: Column, uom: Column) -> Column:
     value = F.regexp_extract(text(raw), r"^\s*(\d+(?:\.\d+)?)\s*", 1).try_cast("double")
     own = F.lower(F.regexp_extract(text(raw), r"(?i)^\s*\d+(?:\.\d+)?\s*(cm|mm|inch|in)\b", 1))

@@ -168,10 +168,11 @@ def q10_location_pins(m, s, spark, sf):
 # --- rankings ----------------------------------------------------------------------------------
 
 
-@query(", p AS (SELECT product_form, id, available_slabs, row_number() OVER (PARTITION BY product_form ORDER BY available_slabs DESC, id) AS rn FROM materials) SELECT product_form, id, available_slabs FROM p WHERE rn <= 300")
+@query(", a AS (SELECT *, row_number() OVER (ORDER BY available_slabs DESC, id) AS nth FROM materials), p AS (SELECT *, row_number() OVER (PARTITION BY product_form ORDER BY available_slabs DESC, id) AS rn FROM a WHERE nth <= 600) SELECT product_form, id, available_slabs FROM p WHERE rn <= 300")
 def t5_cap_per_kind(m, s, spark, sf):
-    best = Window.partitionBy("product_form").orderBy(F.desc("available_slabs"), "id")
-    return m.select("product_form", "id", "available_slabs").withColumn("rn", F.row_number().over(best)).where("rn <= 300").drop("rn")
+    """The 600 deepest listings, and of each form 300 of them."""
+    most = m.select("product_form", "id", "available_slabs").orderBy(F.desc("available_slabs"), "id").limit(600)
+    return most.withColumn("rn", F.row_number().over(Window.partitionBy("product_form").orderBy(F.desc("available_slabs"), "id"))).where("rn <= 300").drop("rn")
 
 
 @query(", p AS (SELECT supplier_id, item_id, CAST(sum(available_slabs) AS BIGINT) AS slabs FROM materials GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY slabs DESC, item_id) AS rn FROM p) SELECT supplier_id, item_id, slabs FROM r WHERE rn <= 5")
@@ -243,11 +244,17 @@ def a32_grouped_list(m, s, spark, sf):
     return rows.groupBy("supplier_id").agg(F.sum("available_slabs").alias("slabs"), F.array_join(F.array_sort(F.collect_set("item_name")), "; ").alias("items"))
 
 
-@query(", q AS (SELECT unnest(['red', 'blue', 'cold']) AS term) SELECT term, count(DISTINCT material_key) AS products, count(DISTINCT CASE WHEN new_arrival = 1 THEN material_key END) AS new_ FROM q JOIN materials ON contains(item_name, term) GROUP BY term")
+_SAVED = ", q AS (SELECT unnest(['red', 'blue', 'cold']) AS term), h AS (SELECT term, m.* FROM q JOIN materials m ON contains(item_name, term))"
+
+
+@query(_SAVED + ", p AS (SELECT term, material_key, sum(available_slabs) AS n FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, material_key) AS nth FROM p), w AS (SELECT term, string_agg(material_key, ';' ORDER BY nth) AS preview FROM r WHERE nth <= 6 GROUP BY 1) SELECT term, count(DISTINCT material_key) AS products, count(DISTINCT CASE WHEN new_arrival = 1 THEN material_key END) AS new_, any_value(preview) AS preview FROM h JOIN w USING (term) GROUP BY term")
 def a31_watchlist(m, s, spark, sf):
     terms = F.explode(F.filter(F.array(*map(F.lit, ("red", "blue", "cold"))), lambda t: F.col("item_name").contains(t))).alias("term")
-    hits = m.select("material_key", "new_arrival", terms)  # one pass for all saved queries
-    return hits.groupBy("term").agg(F.count_distinct("material_key").alias("products"), F.count_distinct(F.when(F.col("new_arrival") == 1, F.col("material_key"))).alias("new_"))
+    hits = m.select("material_key", "new_arrival", "available_slabs", terms)  # one pass for all saved queries
+    keys = hits.groupBy("term", "material_key").agg(F.max("new_arrival").alias("new"), F.sum("available_slabs").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n"), "material_key"))
+    first = F.array_sort(F.collect_list(F.when(F.col("nth") <= 6, F.struct("nth", "material_key"))))
+    return keys.withColumn("nth", nth).groupBy("term").agg(F.count(F.lit(1)).alias("products"), F.count(F.when(F.col("new") == 1, 1)).alias("new_"), F.array_join(F.transform(first, lambda x: x["material_key"]), ";").alias("preview"))
 
 
 @query("SELECT count(DISTINCT image_url) FILTER (WHERE image_url <> '') AS images, count(DISTINCT CASE WHEN CAST(item_id AS BIGINT) IN (SELECT vec_id FROM vectors) AND image_url <> '' THEN image_url END) AS indexed FROM materials")

@@ -181,3 +181,12 @@ def all_resolved(known: DataFrame, locations: DataFrame, overrides: DataFrame, z
     new = new if recheck else new.join(known.select("location"), "location", "left_anti")
     found = resolved(new, overrides, zips, cities)
     return known.join(found.select("location"), "location", "left_anti").unionByName(found.select(*known.columns))
+
+
+def place_options(locations: DataFrame, geo: DataFrame) -> DataFrame:
+    """(value, kind, members): what a place can be chosen by. Spellings that are equal to their city (geo: location, label, source) but for signs and case stand under it, unless it is ambiguous; all others stand for themselves."""
+    at = locations.select("location").where(F.coalesce("location", F.lit("")) != "").distinct().join(geo.select("location", "label", "source").where("label is not null"), "location", "left")
+    city = F.split_part("label", F.lit(","), F.lit(1))
+    folds = (F.coalesce("label", F.lit("")) != "") & (F.coalesce("source", F.lit("")) != "ambiguous") & (norm(F.col("location")) == norm(city)) & (city != "")
+    named = at.withColumn("kind", F.when(folds, "city").otherwise("yard")).withColumn("value", F.when(F.col("kind") == "city", F.col("label")).otherwise(F.col("location")))
+    return named.groupBy("value", "kind").agg(F.array_sort(F.collect_list("location")).alias("members"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
+
 
 #: Parts of addresses of photos that are thumbnails.
 THUMBNAILS = ("slabcloud.com/slabs/",)
@@ -128,3 +130,18 @@ def by_type(materials: DataFrame) -> DataFrame:
 def thickness_order() -> list:
     """The order of thicknesses by their number, then as text."""
     return [F.coalesce(F.regexp_extract("thickness", r"^([\d.]+)", 1).try_cast("double"), F.lit(0.0)).asc(), F.asc("thickness")]
+
+
+def color_options(materials: DataFrame) -> DataFrame:
+    """(family, n): colour families by how many listings have them, a listing counting in each of its own; those of none come last, as Other."""
+    used = materials.where(F.coalesce("color", F.lit("")) != "").groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+    of = N.families(F.col("color"))
+    named = used.select(F.explode(F.when(F.size(of) == 0, F.array(F.lit("Other"))).otherwise(of)).alias("family"), "n")
+    return named.groupBy("family").agg(F.sum("n").alias("n")).orderBy(F.col("family") == "Other", F.desc("n"), "family")
+
+
+def residue(materials: DataFrame, suppliers: DataFrame, hours: int = 24) -> DataFrame:
+    """(supplier_id, newest): suppliers whose newest listing is older than their last attempt (last_crawled) by more than so many hours."""
+    newest = materials.groupBy("supplier_id").agg(F.max("crawled_at").alias("newest"))
+    tried = suppliers.where("last_crawled is not null").select(F.col("id").alias("supplier_id"), "last_crawled")
+    return newest.join(tried, "supplier_id").where(F.unix_timestamp("newest") < F.unix_timestamp("last_crawled") - hours * 3600).select("supplier_id", "newest")

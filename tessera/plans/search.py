@@ -106,7 +106,7 @@ def matching(materials: DataFrame, asked: Asked, chosen: Filters | None = None,
     if kind != vocab.ACCESSORY:
         rows = rows.where(F.col("material_type") != vocab.ACCESSORY)
     if chosen.color:
-        rows = rows.where(F.array_contains(N.families(F.col("color")), chosen.color))
+        rows = rows.where(N.in_choice(F.col("color"), chosen.color))
     elif asked.color:
         rows = rows.where(has_color(asked.color))
     if thickness := chosen.thickness or asked.thickness:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .operators import entity, history, ledger, matching, photos, policy, rollup
+from .operators import entity, facts, history, ledger, matching, photos, policy, rollup
+from .plans import nightly, pages, search
 from .sources import fixture
 from .sources.fixture import PREFIX
 
@@ -111,9 +112,20 @@ def f2_excluded_bucket(m, s, spark, sf):
     return _totals(m.where(F.col("material_type") != "ECONOMY"))
 
 
-@query(_TOTALS + " WHERE list_has_any(string_split_regex(lower(color), '[^a-z0-9]+'), ['gray', 'grey'])" + _BY)
+_COLORS = ", z AS (SELECT * REPLACE (CASE WHEN base LIKE 'hot %' THEN 'Rainforest' WHEN base LIKE 'old %' THEN 'Golden Sand' ELSE color END AS color) FROM materials)"
+
+
+def _colored(m: DataFrame) -> DataFrame:
+    return m.withColumn("color", F.when(F.col("base").startswith("hot "), "Rainforest").when(F.col("base").startswith("old "), "Golden Sand").otherwise(F.col("color")))
+
+
+@query(_COLORS + """, p AS (SELECT 'Gray' AS choice, * FROM z WHERE color = 'Gray, White' UNION ALL SELECT 'Other', * FROM z WHERE color = 'Rainforest' UNION ALL SELECT 'Dark Navy Blue', * FROM z WHERE color = 'Navy Blue' UNION ALL SELECT 'Rainforest', * FROM z WHERE color = 'Rainforest')
+SELECT choice, material_key, count(*) AS n FROM p GROUP BY 1, 2""")
 def f3_color_family(m, s, spark, sf):
-    return _totals(m.where(F.array_contains(N.families(F.col("color")), "Gray")))
+    """A family, the rest, a raw value that widens to its family, and one that has none."""
+    rows = _colored(m)
+    every = (rows.where(N.in_choice(F.col("color"), c)).groupBy(F.lit(c).alias("choice"), "material_key").agg(F.count(F.lit(1)).alias("n")) for c in ("Gray", "Other", "Dark Navy Blue", "Rainforest"))
+    return reduce(DataFrame.unionByName, every)
 
 
 @query(_TOTALS + " WHERE list_contains(string_split_regex(lower(color), '[\\s,/&-]+'), 'blue') OR contains(upper(item_name), 'BLUE')" + _BY)
@@ -137,14 +149,19 @@ def f7_new_arrivals(m, s, spark, sf):
     return _totals(m.where("new_arrival = 1"))
 
 
-@query(_TOTALS + " JOIN suppliers s ON s.id = supplier_id WHERE location IN ('NATION_3', 'NATION_11')" + _BY)
+@query(", z AS (SELECT m.*, CASE WHEN m.id % 3 = 0 THEN 'Yard 7,nation_11' WHEN m.id % 3 = 1 THEN '' ELSE 'elsewhere' END AS own, s.location AS theirs FROM materials m JOIN suppliers s ON s.id = supplier_id) SELECT material_key, count(*) AS n FROM z WHERE CASE WHEN own = '' THEN theirs IN ('NATION_3', 'NATION_11') ELSE id % 3 = 0 END GROUP BY 1")
 def f8_locations(m, s, spark, sf):
-    return _totals(m.join(s.where(F.col("location").isin("NATION_3", "NATION_11")).select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi"))
+    """An item's own places, else its supplier's; whole names, whatever their case."""
+    own = m.withColumn("locations", F.when(F.col("id") % 3 == 0, "Yard 7, nation_11").when(F.col("id") % 3 == 1, "").otherwise("elsewhere"))
+    rows = search.placed(search.located(own, s), search.Filters(locations=("Nation_3", "NATION_11", "nation")), None)
+    return rows.groupBy("material_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_TOTALS + " WHERE product_form ILIKE '%remnant%' OR item_name ILIKE '%remnant%'" + _BY)
+@query("SELECT 'slab' AS form, count(*) AS n FROM materials WHERE upper(product_form) LIKE '%SLAB%' UNION ALL SELECT 'tile', count(*) FROM materials WHERE product_form = 'Tile' OR base LIKE 'red %' UNION ALL SELECT 'remnant', count(*) FROM materials WHERE product_form = 'Remnant'")
 def f10_product_form(m, s, spark, sf):
-    return _totals(m.where(F.col("product_form").ilike("%remnant%") | F.col("item_name").ilike("%remnant%")))
+    """Slabs by their form only; tiles and remnants also by name."""
+    rows = m.withColumn("item_name", F.when(F.col("base").startswith("red "), F.concat("item_name", F.lit(" slab Tile"))).otherwise(F.col("item_name")))
+    return rows.agg(*(F.count(F.when(search.has_form(f), 1)).alias(f) for f in ("slab", "tile", "remnant"))).unpivot([], ["slab", "tile", "remnant"], "form", "n")
 
 
 @query(_TOTALS + " WHERE (item_name LIKE '%bolt%' OR item_name LIKE '%rod%') AND item_name LIKE '%red%'" + _BY)
@@ -260,11 +277,10 @@ def j15_borrowed_photo(m, s, spark, sf):
     return photos.borrowed(m.withColumns({"base": F.expr(_ONE_WORD), "material_type": kind})).select("id", F.col("rep_image").alias("image_url"))
 
 
-@query("""SELECT b.material_key, count(DISTINCT b.supplier_id) AS suppliers FROM materials b
-WHERE b.material_type = 'PROMO' AND b.material_key <> 'red plate|promo' AND (b.color = 'Red' OR b.base LIKE 'red %') GROUP BY b.material_key""")
+@query(f"""SELECT material_key, min(id) AS id, max(image_url) AS image_url, count(DISTINCT supplier_id) AS suppliers, CAST(sum({SLABS}) AS BIGINT) AS slabs FROM materials
+WHERE material_type = 'PROMO' AND material_key <> 'red plate|promo' AND (color = 'Red' OR color = 'Navy Blue' OR base LIKE 'red%') GROUP BY 1 ORDER BY max(image_url) = '', 5 DESC, 1 LIMIT 12""")
 def j17_similar_products(m, s, spark, sf):
-    like = (F.array_contains(N.families(F.col("color")), "Red")) | (F.split_part("base", F.lit(" "), F.lit(1)) == "red")
-    return m.where((F.col("material_type") == "PROMO") & (F.col("material_key") != "red plate|promo") & like).groupBy("material_key").agg(F.count_distinct("supplier_id").alias("suppliers"))
+    return pages.similar(m, "red plate|promo", "PROMO", "Royal Blue", "red plate")
 
 
 # --- aggregates --------------------------------------------------------------------------------
@@ -306,10 +322,12 @@ def a12_majority_vote(m, s, spark, sf):
     return entity.majority(m, "base", "material_type", ("Other", "", "ECONOMY"))
 
 
-@query(_VOTES + " SELECT m.id, coalesce(u.material_type, m.material_type) AS material_type FROM materials m LEFT JOIN u ON u.base = m.base WHERE m.material_type = 'ECONOMY'")
+@query(", v AS (SELECT base, material_type, count(*) AS votes FROM materials WHERE material_type <> 'ECONOMY' GROUP BY 1, 2), t AS (SELECT *, rank() OVER (PARTITION BY base ORDER BY votes DESC) AS r FROM v), u AS (SELECT base, min(material_type) AS won FROM t WHERE r = 1 GROUP BY base HAVING count(*) = 1) SELECT m.id, coalesce(won, 'Other') AS material_type, CASE WHEN won IS NULL THEN m.base || '|other' ELSE m.base || '|' || lower(won) END AS material_key FROM materials m LEFT JOIN u ON u.base = m.base WHERE m.material_type = 'ECONOMY'")
 def e10_recover_by_vote(m, s, spark, sf):
-    won = entity.majority(m, "base", "material_type", ("Other", "", "ECONOMY")).select("base", F.col("material_type").alias("_won"))
-    return m.where("material_type = 'ECONOMY'").join(won, "base", "left").select("id", F.coalesce("_won", "material_type").alias("material_type"))
+    """Listings that nobody knows the type of take that of most of their siblings, and their key follows."""
+    lost = F.col("material_type") == "ECONOMY"
+    rows = m.withColumns({"material_key": F.when(lost, F.concat("base", F.lit("|other"))).otherwise(F.col("material_key")), "material_type": F.when(lost, "Other").otherwise(F.col("material_type")), "new_arrival": lost.cast("int")})
+    return nightly.vote(rows).where("new_arrival = 1").select("id", "material_type", "material_key")
 
 
 @query(""", p AS (SELECT material_key, CASE WHEN price_range LIKE '%/sf' THEN 'sqft' ELSE 'unit' END AS basis, CAST(replace(replace(price_range, '$', ''), '/sf', '') AS DOUBLE) AS amount, supplier_id FROM materials WHERE price_range LIKE '$%')
@@ -330,9 +348,9 @@ def a14_evidence(m, s, spark, sf):
     return y.groupBy("material_key").agg(F.count(F.lit(1)).alias("suppliers"), F.sum("slabs").alias("total"), F.max("slabs").alias("deepest"), F.max_by("supplier_id", F.struct("slabs", (-F.col("supplier_id")).alias("o"))).alias("deepest_supplier"))
 
 
-@query(""", c AS (SELECT unnest(CASE color WHEN 'Red' THEN ['Red'] WHEN 'Navy Blue' THEN ['Blue'] WHEN 'Gray, White' THEN ['White', 'Gray'] END) AS family FROM materials WHERE color <> '') SELECT family, count(*) AS n FROM c GROUP BY family""")
+@query(_COLORS + """, c AS (SELECT unnest(CASE color WHEN 'Red' THEN ['Red'] WHEN 'Navy Blue' THEN ['Blue'] WHEN 'Gray, White' THEN ['White', 'Gray'] WHEN 'Golden Sand' THEN ['Gold'] ELSE ['Other'] END) AS family FROM z WHERE color <> '') SELECT family, count(*) AS n FROM c GROUP BY family""")
 def a17_color_facets(m, s, spark, sf):
-    return m.where("color <> ''").select(F.explode(N.families(F.col("color"))).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return rollup.color_options(_colored(m))
 
 
 @query("SELECT DISTINCT material_type, thickness, product_form FROM materials")
@@ -340,10 +358,15 @@ def a18_facet_values(m, s, spark, sf):
     return m.select("material_type", "thickness", "product_form").distinct()
 
 
-@query("SELECT label, string_agg(location, ',' ORDER BY location) AS members, count(*) AS n FROM location_geo WHERE lat IS NOT NULL GROUP BY label")
+@query("RAW SELECT CASE WHEN k % 4 < 2 AND k // 4 % 3 <> 0 THEN 'Town ' || (k // 4) || ', TX' ELSE n_name || CASE k % 4 WHEN 0 THEN '' ELSE ' yard' END END AS value, CASE WHEN k % 4 < 2 AND k // 4 % 3 <> 0 THEN 'city' ELSE 'yard' END AS kind, string_agg(loc, ';' ORDER BY loc) AS members FROM (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey // 4 % 3 <> 0 AND n_nationkey % 4 = 0 THEN 'TOWN-' || (n_nationkey // 4) WHEN n_nationkey // 4 % 3 <> 0 AND n_nationkey % 4 = 1 THEN 'town ' || (n_nationkey // 4) || '.' WHEN n_nationkey % 4 = 0 THEN n_name ELSE n_name || ' yard' END AS loc FROM nation) GROUP BY 1, 2")
 def a19_location_groups(m, s, spark, sf):
-    g = fixture.location_geo(spark, sf).where("lat is not null")
-    return g.groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("location")), ",").alias("members"), F.count(F.lit(1)).alias("n"))
+    """Spellings of a city stand under it, those of ambiguous ones and yards with other names for themselves."""
+    n = fixture.table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    town, clear = F.floor(k / 4).cast("string"), F.floor(k / 4) % 3 != 0
+    loc = F.when(clear & (k % 4 == 0), F.concat(F.lit("TOWN-"), town)).when(clear & (k % 4 == 1), F.concat(F.lit("town "), town, F.lit("."))).when(k % 4 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" yard")))
+    geo = n.select(loc.alias("location"), F.concat(F.lit("Town "), town, F.lit(", TX")).alias("label"), F.when(clear, "exact").otherwise("ambiguous").alias("source"))
+    return facts.place_options(geo, geo).withColumn("members", F.array_join("members", ";"))
 
 
 @query("SELECT count(DISTINCT supplier_id) AS suppliers, count(DISTINCT material_key) AS products FROM materials JOIN suppliers s ON s.id = supplier_id LEFT JOIN location_geo g ON g.location = s.location WHERE lat IS NULL")
@@ -370,14 +393,25 @@ def a26_pending_candidates(m, s, spark, sf):
     return k.agg(F.count(F.when(F.col("t") >= 2, 1)).alias("conflicts"), F.count(F.lit(1)).alias("bases"))
 
 
-@query("SELECT supplier_id, max(crawled_at) AS last FROM materials GROUP BY supplier_id HAVING max(crawled_at) < TIMESTAMP '2001-10-30'")
+_TRIED = ", f AS (SELECT supplier_id, max(crawled_at) AS newest FROM materials GROUP BY 1), r AS (SELECT supplier_id, newest FROM f WHERE supplier_id % 5 = 1 OR supplier_id % 5 = 2 AND newest < TIMESTAMP '2001-10-30')"
+
+
+def _tried(m: DataFrame, s: DataFrame) -> DataFrame:
+    """Suppliers that were last asked at one time; a few right after what they have, a day and more after it, or never."""
+    k = F.col("id")
+    newest = m.groupBy(F.col("supplier_id").alias("id")).agg(F.max("crawled_at").alias("_n"))
+    at = F.when(k % 5 == 0, F.col("_n") + F.expr("interval 24 hours")).when(k % 5 == 1, F.col("_n") + F.expr("interval 25 hours")).when(k % 5 == 2, F.lit("2001-10-31").cast("timestamp")).when(k % 5 == 3, F.col("_n"))
+    return s.join(newest, "id").withColumn("last_crawled", at)
+
+
+@query(_TRIED + " SELECT * FROM r")
 def a27_residue(m, s, spark, sf):
-    return m.groupBy("supplier_id").agg(F.max("crawled_at").alias("last")).where(F.col("last") < F.lit("2001-10-30").cast("timestamp"))
+    return rollup.residue(m, _tried(m, s))
 
 
-@query(", r AS (SELECT supplier_id FROM materials GROUP BY supplier_id HAVING max(crawled_at) < TIMESTAMP '2001-10-30') SELECT DISTINCT material_key FROM materials WHERE supplier_id IN (SELECT supplier_id FROM r)")
+@query(_TRIED + " SELECT DISTINCT material_key FROM materials WHERE supplier_id IN (SELECT supplier_id FROM r) AND base LIKE 'red %'")
 def a28_products_with_residue(m, s, spark, sf):
-    return m.join(a27_residue(m, s, spark, sf), "supplier_id", "left_semi").select("material_key").distinct()
+    return m.where(F.col("base").startswith("red ")).join(rollup.residue(m, _tried(m, s)), "supplier_id", "left_semi").select("material_key").distinct()
 
 
 @query("SELECT CASE WHEN last_error <> '' THEN 'error' WHEN company = '' THEN 'unnamed' ELSE 'ok' END AS status, count(*) AS n FROM suppliers GROUP BY 1")

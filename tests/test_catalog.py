@@ -123,13 +123,50 @@ def test_nightly_tail(spark):
     cols = "id long, supplier_id long, item_id string, idone string, base string, material_key string, item_name string, material_type string, product_form string, uom string, available_slabs long, avg_length double, avg_width double, color string, thickness string, new_arrival int, image_url string"
     row = lambda i, s, base, kind: (i, s, str(i), "x", base, f"{base}|{kind.lower()}", base, kind, "Slab", "EA", 3, 100.0, 50.0, "", "2cm", 0, "u")
     m = spark.createDataFrame([row(1, 1, "a", "Slate"), row(2, 2, "a", "Slate"), row(3, 3, "a", "Other"), row(4, 1, "b", "Onyx")], cols)
-    s = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    s = spark.createDataFrame([(1, "one.com", "", "a"), (2, "two.com", "", "a"), (3, "three.com", "", "a")], "id long, host string, company string, token string")
+    scopes = spark.createDataFrame([("two.com", "Slate"), ("three.com", "Marble")], "host string, material_type string")  # the second would empty a storefront
     aliases = spark.createDataFrame([("b|onyx", "a|slate")], "alias_key string, canonical_key string")
     past = history.snapshots(m.where("false"), F.lit("2024-01-01").cast("date"))
-    out = nightly.tail(m, s, aliases, past, F.lit("2024-01-02").cast("date"))
+    out = nightly.tail(m, s, aliases, scopes, past, F.lit("2024-01-02").cast("date"))
     assert [(r.grp, r.suppliers, r.total_slabs) for r in out["rollup"].collect()] == [("a|slate", 3, 12)]
-    again = nightly.tail(m, s, aliases, out["history"], F.lit("2024-01-02").cast("date"))
+    again = nightly.tail(m, s, aliases, scopes, out["history"], F.lit("2024-01-02").cast("date"))
     assert again["history"].count() == out["history"].count() == 4
+    assert out["mirrors"].count() == 0 and out["proposals"].count() == 3
+    assert out["stats"].first().asDict() == {"suppliers": 3, "listings": 4, "images": 1, "products": 1}
+
+
+def test_mirrors_equal_brute_force(spark):
+    """Pairs by prefixes of rare items connect the same storefronts as all pairs do."""
+    import random
+
+    rng = random.Random(8)
+    shops = {}
+    for i in range(40):
+        near = shops[rng.randrange(i)] if i and rng.random() < 0.7 else set(rng.sample(range(60), rng.randrange(1, 30)))
+        shops[i] = {x for x in near if rng.random() > 0.04} | set(rng.sample(range(60), rng.randrange(2)))
+    m = spark.createDataFrame([(i, str(x)) for i, items in shops.items() for x in items] + [(1, ""), (2, None)], "supplier_id long, item_id string")
+    s = spark.createDataFrame([(i, "T" if i % 3 else "U ") for i in shops] + [(99, None)], "id long, token string")
+    for overlap in (0.6, 0.9):
+        roots = {i: i for i in shops}
+
+        def root(i, roots=roots):
+            return i if roots[i] == i else root(roots[i])
+
+        for i in shops:
+            for j in shops:
+                if i < j and (i % 3 == 0) == (j % 3 == 0) and shops[i] and shops[j] and len(shops[i] & shops[j]) >= overlap * len(shops[i] | shops[j]) - 1e-9:
+                    x, y = sorted((root(i), root(j)))
+                    roots[y] = x
+        got = {r.node: r.root for r in entity.components(entity.mirror_pairs(m, s, overlap)).collect()}
+        assert {i: root(i) for i in shops if root(i) != i} == {i: r for i, r in got.items() if r != i} and len(set(got.values())) > 1
+
+
+def test_aliases_of_any_length(spark):
+    """A chain of 25 edges is followed to its end; cycles and what leads into them have no end."""
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(25)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("self", "self")]
+    df = spark.createDataFrame(chain, "alias_key string, canonical_key string")
+    assert {(r.alias_key, r.canonical_key) for r in entity.resolve_aliases(df).collect()} == {(f"c{i:02d}", "c25") for i in range(25)}
+    assert entity.resolve_aliases(df.where("false")).count() == 0
 
 
 def test_sessions_of_a_stream(spark, tmp_path):

@@ -20,11 +20,12 @@ def spelling(base: Column) -> Column:
 
 def spelling_clusters(materials: DataFrame) -> DataFrame:
     """Keys of one type whose bases differ in spelling only, with the key to fold them into and a signature that stays when members change."""
-    keys = entity.key_aggregates(materials).withColumn("norm", spelling(F.col("base"))).where("norm <> ''")
+    keys = entity.key_aggregates(materials).withColumn("norm", spelling(F.col("base")))
     group = Window.partitionBy("type", "norm")
     best = group.orderBy(F.desc("suppliers"), F.desc("slabs"), "material_key")
     named = keys.select("*", F.size(F.collect_set("base").over(group)).alias("spellings"), F.first("material_key").over(best).alias("canonical"), F.concat_ws(":", F.lit("fuzzy"), "type", "norm").alias("sig"))
-    return named.where("spellings >= 2")
+    # one condition: a filter of norm alone would go below the grouping, to every listing
+    return named.where(F.when(F.col("norm") != "", F.col("spellings")) >= 2)
 
 
 def without_rejected(clusters: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_text, langid, licenses, quality_rules, toxicity
+from . import audio, html_text, langid, licenses, quality_rules, spelling, toxicity
 from .common import in_training, table
 from .jaccard_join import jaccard_components
 from .mixing import mix
@@ -72,6 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii": op2_pii,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op10_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op11_spelling_variants": spelling.SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_text, langid, licenses, quality_rules, spelling, toxicity
+from . import audio, html_text, langid, licenses, quality_rules, simhash, spelling, toxicity, vector_codes
 from .common import in_training, table
 from .jaccard_join import jaccard_components
 from .mixing import mix
@@ -76,6 +76,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, radius=2)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii": op2_pii,
@@ -88,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op11_spelling_variants": spelling.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op11_spelling_variants": spelling.SQL, "op13_vector_codes": vector_codes.SQL}

@@ -25,8 +25,8 @@ def group_key() -> Column:
     return F.when(F.coalesce("material_key", F.lit("")) == "", F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.col("material_key"))
 
 
-def per_supplier(materials: DataFrame, thumbnails: tuple[str, ...] = THUMBNAILS) -> DataFrame:
-    """One row for each product and supplier."""
+def per_supplier(materials: DataFrame, thumbnails: tuple[str, ...] = THUMBNAILS, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for each product and supplier. more: further named aggregates."""
     real = (F.coalesce("image_url", F.lit("")) != "") & ~F.exists(F.array(*map(F.lit, thumbnails)), lambda t: F.contains("image_url", t))
     area = slabs() * F.coalesce("avg_length", F.lit(0.0)) * F.coalesce("avg_width", F.lit(0.0))
     return materials.groupBy(group_key().alias("grp"), "supplier_id").agg(
@@ -44,15 +44,19 @@ def per_supplier(materials: DataFrame, thumbnails: tuple[str, ...] = THUMBNAILS)
         (F.sum(area) / 144.0).alias("sup_sqft"),
         F.max(F.when(real, F.col("image_url"))).alias("real_img"),
         F.max("image_url").alias("any_img"),
+        *more,
     )
 
 
 def product_rollup(materials: DataFrame, suppliers: DataFrame) -> DataFrame:
     """One row for each product: what the deepest supplier has, and what all have together."""
-    held = materials.join(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")
+    return across_suppliers(per_supplier(materials.join(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")))
+
+
+def across_suppliers(held: DataFrame) -> DataFrame:
+    """One row for each product from those of per_supplier."""
     return (
-        per_supplier(held)
-        .groupBy("grp")
+        held.groupBy("grp")
         .agg(
             F.min("id").alias("id"),
             F.coalesce(F.max("material_key"), F.lit("")).alias("material_key"),

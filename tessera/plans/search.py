@@ -6,12 +6,13 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import vocab
 from ..operators import rollup
+from ..sources import catalog_index, commits
 
 
 @dataclass
@@ -181,12 +182,18 @@ def close_words(materials: DataFrame, terms: list[str], cutoff: float = 0.82, mo
 
 @dataclass
 class Found:
-    """products: the page; total: products in all; fuzzy: words taken for misspelt ones; unlocated: (suppliers, products) that match but for their place, which nobody knows."""
+    """products: the page; total: products in all; fuzzy: words taken for misspelt ones; unlocated: (suppliers, products) that match but for their place, which nobody knows; way: rollup, tokens or live."""
 
     products: DataFrame
     total: int
     fuzzy: list[str]
     unlocated: tuple[int, int]
+    way: str = "live"
+
+
+def by_product(chosen: Filters) -> bool:
+    """Whether the filters hold for whole products, so that stored sums of them can answer."""
+    return not (chosen.color or chosen.thickness or chosen.finish or chosen.supplier or chosen.locations or (chosen.near and chosen.near[2] > 0) or chosen.min_length or chosen.min_width or chosen.new_only)
 
 
 def search(
@@ -222,6 +229,32 @@ def search(
     return Found(rollup.page(found, sort, size, number), total, fuzzy, lost)
 
 
+def search_stored(
+    spark: SparkSession, path: str, materials: DataFrame, suppliers: DataFrame, text: str, chosen: Filters | None = None, geo: DataFrame | None = None, sort: str = "relevance", size: int = 30, number: int = 1, few: int = 5
+) -> Found:
+    """search, answered from the stored rollup where nothing is asked for in words, and through the index of tokens where only names are; live where listings are filtered, where the index finds fewer than `few` products, or where nothing is stored."""
+    asked, chosen = parse(text), chosen or Filters()
+    version, now = commits.manifest(spark, path)
+    stored = now.get("tables", {})
+    live = lambda: search(materials, suppliers, text, chosen, geo, sort, size, number, few)
+    if not by_product(chosen) or not stored.get("rollup", {}).get("folders"):
+        return live()
+    kind = chosen.material_type or asked.material_type
+    products = commits.table(spark, path, "rollup", version)
+    products = products.where(F.lower("material_type") == kind.lower()) if kind else products
+    products = products.where(F.col("material_type") != vocab.ACCESSORY) if kind != vocab.ACCESSORY else products
+    if chosen.in_stock or chosen.min_sqft:
+        products = rollup.in_stock(products, chosen.min_sqft or None)
+    if not (text or "").strip():
+        return Found(rollup.page(products, sort, size, number), products.count(), [], (0, 0), "rollup")
+    prefixes = [p for p in (re.sub("[^a-z0-9]", "", t.lower()) for t in asked.terms) if p]
+    if not prefixes or asked.color or asked.thickness or asked.form or not stored.get("postings", {}).get("folders"):
+        return live()
+    named = products.join(catalog_index.with_prefixes(commits.table(spark, path, "postings", version), prefixes), "grp", "left_semi")
+    total = named.count()
+    return Found(rollup.page(named, sort, size, number), total, [], (0, 0), "tokens") if total >= few else live()
+
+
 def chips(chosen: Filters) -> list[tuple[str, str]]:
     """(name, value) of the filters in effect, in order, for display."""
     shown = []
@@ -236,8 +269,3 @@ def chips(chosen: Filters) -> list[tuple[str, str]]:
 def page_window(number: int, pages: int, around: int = 2) -> list[int]:
     """The pages to link to: those around the present one."""
     return list(range(max(1, number - around), min(pages, number + around) + 1))
-
-
-def price_bands(materials: DataFrame) -> DataFrame:
-    """(material_key, basis, amount) of all listings with a price that can be read."""
-    return materials.select("material_key", N.price(F.col("price_range")).alias("p")).where("p is not null").select("material_key", "p.basis", "p.amount")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entity, rollup
-from ..sources import store
+from ..sources import commits, store
 
 
 def plan(ours: dict[str, DataFrame], theirs: dict[str, DataFrame]) -> DataFrame:
@@ -48,3 +48,9 @@ def merged(ours: dict[str, DataFrame], theirs: dict[str, DataFrame], aliases: Da
     past = ours["history"].join(fresh.select("supplier_id", "snapshot_date").distinct(), ["supplier_id", "snapshot_date"], "left_anti").unionByName(fresh)
     suppliers = store.upsert(ours["suppliers"], numbered.withColumn("id", F.col("_new")).select(*theirs["suppliers"].columns), "id")
     return {"suppliers": suppliers, "materials": materials, "history": past, "rollup": rollup.product_rollup(materials, suppliers), "ledger": moving if done is None else done.select("host", "newest").unionByName(moving)}
+
+
+def merge_into(spark: SparkSession, path: str, theirs: dict[str, DataFrame], aliases: DataFrame | None = None) -> int:
+    """merged with the store at path (suppliers, materials, history, and a ledger where there has been a merge), as one new version: all hosts move or none does. Made anew where another writer was first. Returns the version."""
+    tables = ("suppliers", "materials", "history")
+    return commits.transact(spark, path, lambda ours: merged({t: ours[t] for t in tables}, theirs, aliases, ours.get("ledger")))

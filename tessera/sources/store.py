@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import commits
+
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str, strict: bool, lines: bool = False) -> DataFrame:
     """JSON documents, or a record in each line; strict fails on corrupt input, else corrupt records are null."""
@@ -80,31 +81,17 @@ def scrubbed(suppliers: DataFrame, gone: DataFrame, contacts: tuple[str, ...] =
     return marked.withColumns({c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)) for c in contacts if c in suppliers.columns}).select(*suppliers.columns)
 
 
-def _fs(spark: SparkSession, path: str) -> tuple:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def publish(tables: dict[str, DataFrame], path: str) -> str:
-    """Tables written beside path and moved there when all are complete: readers see the whole snapshot or none. A snapshot that is already there gives way. Returns the path."""
+    """Tables as the next version of the store at path: readers see all of them or, until then, the version before; other tables of the store stay. Returns the path."""
     spark = next(iter(tables.values())).sparkSession
-    beside = f"{path}.new-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{beside}/{name}")
-    fs, there = _fs(spark, path)
-    fs.delete(there, True)
-    if not fs.rename(_fs(spark, beside)[1], there):
-        raise OSError(f"{beside} can't be moved to {path}")
+    commits.transact(spark, path, lambda _: tables)
     return path
 
 
-def opened(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
-    """The tables of a store in their present schemas: tables that aren't there yet are empty, columns that came later are null."""
-    out = {}
-    for name, schema in schemas.items():
-        fs, there = _fs(spark, f"{path}/{name}")
-        out[name] = with_columns(spark.read.parquet(f"{path}/{name}"), schema) if fs.exists(there) else spark.createDataFrame([], schema)
-    return out
+def opened(spark: SparkSession, path: str, schemas: dict[str, StructType], version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a store's version in their present schemas: tables that aren't there yet are empty, columns that came later are null."""
+    there = commits.read(spark, path, version)
+    return {name: with_columns(there[name], schema) if name in there else spark.createDataFrame([], schema) for name, schema in schemas.items()}
 
 
 def schema_gate(ours: dict[str, DataFrame], theirs: dict[str, DataFrame]) -> str:

@@ -24,11 +24,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators import history
 from ..operators.rollup import slabs
+from .state import rocksdb
 
 #: Keys that a supplier's listings are dealt over.
 SALTS = 8
-#: Spark's store for state of this kind.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAIRS = "supplier_id long, salt int, seq long, latest_date timestamp, name_norm string, thickness string, latest long, previous long, crossed boolean, now_names long, prev_names long"
 
 
@@ -101,14 +100,15 @@ class _Crawls(StatefulProcessor):
 
 
 def follow(spark: SparkSession, listings: DataFrame, path: str, checkpoint: str, salts: int = SALTS) -> StreamingQuery:
-    """Follows a stream of crawled and ended rows; writes what holds for each key to path, a folder for each batch. Needs RocksDB as the session's state store. Ends when the stream has been read."""
+    """Follows a stream of crawled and ended rows; writes what holds for each key to path, a folder for each batch. Ends when the stream has been read."""
 
     def take(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     keyed = dealt(listings, salts).groupBy("supplier_id", "salt")
     pairs = keyed.transformWithStateInPandas(_Crawls(), outputStructType=PAIRS, outputMode="Update", timeMode="None")
-    return pairs.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(spark):
+        return pairs.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:

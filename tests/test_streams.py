@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import history
@@ -11,14 +10,6 @@ from tessera.streaming import alerts
 ROW = "supplier_id long, base string, thickness string, product_form string, id long, available_slabs long, day timestamp, material_type string, material_key string, image_url string"
 
 
-@pytest.fixture
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, alerts.ROCKSDB)
-    yield spark
-    spark.conf.unset(key)
-
-
 def day(n):
     return dt.datetime(2024, 1, n)
 
@@ -56,48 +47,111 @@ ONE = [listing(1, 1, "up", 0), listing(1, 1, "half", 20), listing(1, 1, "gone",
 TWO = [listing(1, 3, "up", 4), listing(1, 3, "half", 6), listing(1, 3, "half", 3, form="Remnant"), listing(1, 3, "moved", 4, "3cm"), listing(1, 3, "out", 0), listing(1, 3, "same", 2), listing(1, 3, "fresh", 1), listing(2, 3, "a", 9)]
 
 
-def test_a_crawl_over_several_batches(rocks, tmp_path):
-    land(rocks, tmp_path / "in", 0, ONE[:3] + ONE[6:7])
-    land(rocks, tmp_path / "in", 1, ONE[3:6], [(1, 1, 0)])
-    assert run(rocks, tmp_path) == []  # one crawl says nothing
-    land(rocks, tmp_path / "in", 2, ONE[7:] + TWO[:4], [(2, 1, 0)])
-    assert run(rocks, tmp_path) == []  # the second hasn't ended
-    land(rocks, tmp_path / "in", 3, TWO[4:], [(1, 3, 0), (2, 3, 0)])
-    want = table(rocks, ONE + TWO)
-    assert run(rocks, tmp_path) == want and {r[3] for r in want} == {"restock", "dropped", "delisted", "soldout", "listed"}
+def test_a_crawl_over_several_batches(spark, tmp_path):
+    land(spark, tmp_path / "in", 0, ONE[:3] + ONE[6:7])
+    land(spark, tmp_path / "in", 1, ONE[3:6], [(1, 1, 0)])
+    assert run(spark, tmp_path) == []  # one crawl says nothing
+    land(spark, tmp_path / "in", 2, ONE[7:] + TWO[:4], [(2, 1, 0)])
+    assert run(spark, tmp_path) == []  # the second hasn't ended
+    land(spark, tmp_path / "in", 3, TWO[4:], [(1, 3, 0), (2, 3, 0)])
+    want = table(spark, ONE + TWO)
+    assert run(spark, tmp_path) == want and {r[3] for r in want} == {"restock", "dropped", "delisted", "soldout", "listed"}
     assert not any(r[0] == 2 for r in want)  # a supplier whose listings fell by more than half
 
 
-def test_late_and_repeated_batches(rocks, tmp_path):
-    land(rocks, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
-    land(rocks, tmp_path / "in", 1, TWO[:3], [(1, 3, 0), (2, 3, 0)])
-    early = run(rocks, tmp_path)
-    assert early and early != table(rocks, ONE + TWO)
-    land(rocks, tmp_path / "in", 2, TWO[3:])  # late, after the end of the crawl
-    land(rocks, tmp_path / "in", 3, TWO, [(1, 3, 0)])  # all of it again
-    assert run(rocks, tmp_path) == table(rocks, ONE + TWO)
+def test_late_and_repeated_batches(spark, tmp_path):
+    land(spark, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
+    land(spark, tmp_path / "in", 1, TWO[:3], [(1, 3, 0), (2, 3, 0)])
+    early = run(spark, tmp_path)
+    assert early and early != table(spark, ONE + TWO)
+    land(spark, tmp_path / "in", 2, TWO[3:])  # late, after the end of the crawl
+    land(spark, tmp_path / "in", 3, TWO, [(1, 3, 0)])  # all of it again
+    assert run(spark, tmp_path) == table(spark, ONE + TWO)
     # a crawl between the two that is told late takes the place of the first
     between = [listing(1, 2, "up", 7), listing(1, 2, "half", 9), listing(1, 2, "same", 12)]
-    land(rocks, tmp_path / "in", 4, between, [(1, 2, 0)])
-    assert run(rocks, tmp_path) == table(rocks, ONE + between + TWO)
+    land(spark, tmp_path / "in", 4, between, [(1, 2, 0)])
+    assert run(spark, tmp_path) == table(spark, ONE + between + TWO)
     # and one before both says nothing any more
-    land(rocks, tmp_path / "in", 5, [listing(1, 1, "never", 50)], [(1, 1, 0)])
-    assert run(rocks, tmp_path) == table(rocks, ONE + between + TWO)
+    land(spark, tmp_path / "in", 5, [listing(1, 1, "never", 50)], [(1, 1, 0)])
+    assert run(spark, tmp_path) == table(spark, ONE + between + TWO)
 
 
-def test_counts_that_changed_and_one_key(rocks, tmp_path):
-    land(rocks, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
-    land(rocks, tmp_path / "in", 1, TWO, [(1, 3, 1), (2, 3, 0)])
-    got = run(rocks, tmp_path, salts=1)
-    assert got == table(rocks, ONE + TWO, [(1, 3)]) and not {"dropped", "soldout"} & {r[3] for r in got}
+def test_counts_that_changed_and_one_key(spark, tmp_path):
+    land(spark, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
+    land(spark, tmp_path / "in", 1, TWO, [(1, 3, 1), (2, 3, 0)])
+    got = run(spark, tmp_path, salts=1)
+    assert got == table(spark, ONE + TWO, [(1, 3)]) and not {"dropped", "soldout"} & {r[3] for r in got}
 
 
-def test_a_batch_that_is_run_again_replaces_what_it_wrote(rocks, tmp_path):
-    land(rocks, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
-    land(rocks, tmp_path / "in", 1, TWO, [(1, 3, 0), (2, 3, 0)])
-    want = run(rocks, tmp_path)
+def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, tmp_path):
+    land(spark, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
+    land(spark, tmp_path / "in", 1, TWO, [(1, 3, 0), (2, 3, 0)])
+    want = run(spark, tmp_path)
     # the last batch's commit is lost, so that the stream runs it again
     commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
     commits[-1].unlink()
     (tmp_path / "state" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
-    assert run(rocks, tmp_path) == want == table(rocks, ONE + TWO)
+    assert run(spark, tmp_path) == want == table(spark, ONE + TWO)
+
+
+# --- run monitor --------------------------------------------------------------------------------
+
+EVENT = "catalog string, run_id string, at timestamp, kind string, value string"
+
+
+def at(minutes):
+    return dt.datetime(2024, 5, 1) + dt.timedelta(minutes=minutes)
+
+
+def told(spark, tmp_path, batches, timeout=90):
+    from tessera.streaming import monitor
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(c, r, at(m), k, v) for c, r, m, k, v in rows], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events/{i:03d}")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events/*")
+    monitor.follow(spark, stream, f"{tmp_path}/told", f"{tmp_path}/monitor", timeout).awaitTermination()
+    return monitor.told(spark, f"{tmp_path}/told")
+
+
+def by_table(spark, batches, now, timeout=90):
+    """What the ledger and its states say of a table of the events up to now."""
+    from tessera.operators import ledger
+
+    out = set()
+    for catalog in {r[0] for b in batches for r in b}:
+        rows = [(r, at(m), k, f"{v}: x" if v else v) for b in batches for c, r, m, k, v in b if c == catalog and at(m) <= now]
+        if rows:
+            runs = ledger.ledger(spark.createDataFrame(rows, "run_id string, at timestamp, kind string, value string")).drop("detail")
+            out |= {(catalog, r.run_id, r.state) for r in ledger.run_state(runs, F.lit(now), timeout).collect()}
+    return out
+
+
+def test_runs_that_fall_silent(spark, tmp_path):
+    from tessera.streaming import monitor
+
+    batches = [
+        [("a", "r1", 0, "start", None), ("a", "r1", 10, "beat", None), ("b", "s1", 5, "start", None)],
+        [("a", "r1", 60, "phase", "images"), ("b", "s1", 50, "finish", "done"), ("clock", "x", 70, "start", None)],
+        [("clock", "x", 140, "beat", None)],
+        [("clock", "x", 200, "beat", None)],  # nobody has said a word of r1: it is interrupted at 150
+        [("a", "r1", 210, "beat", None), ("b", "s2", 205, "start", None)],  # it wasn't dead
+        [("a", "r2", 220, "start", None), ("clock", "x", 230, "beat", None)],  # a later run makes it so
+        [("a", "r2", 300, "finish", "failed"), ("b", "s2", 240, "beat", None), ("b", "s3", 290, "start", None)],
+        [("clock", "x", 600, "beat", None)],
+        [("clock", "x", 601, "finish", "done")],
+    ]
+    found = told(spark, tmp_path, batches).cache()
+    for now in (3, 45, 65, 130, 151, 199, 212, 225, 241, 295, 350, 383, 599):
+        got = {tuple(r) for r in monitor.states(found, F.lit(at(now))).collect()}
+        assert got == by_table(spark, batches, at(now)), now
+    rows = [(r.run_id, r.state) for r in found.where("catalog = 'a'").orderBy("at").collect()]
+    assert rows == [("r1", "running"), ("r1", "interrupted"), ("r1", "running"), ("r1", "interrupted"), ("r2", "running"), ("r2", "failed")]
+
+
+def test_finished_runs_are_forgotten_in_time(spark, tmp_path):
+    from tessera.streaming import monitor
+
+    batches = [[("a", f"r{i:02d}", 10 * i, "start", None), ("a", f"r{i:02d}", 10 * i + 5, "finish", "done")] for i in range(12)]
+    found = told(spark, tmp_path, batches)
+    got = {tuple(r) for r in monitor.states(found, F.lit(at(500))).collect()}
+    assert got == by_table(spark, batches, at(500)) == {("a", f"r{i:02d}", "done") for i in range(12)}

@@ -79,9 +79,11 @@ _TEXT = "host || ' ' || company || CASE id % 3 WHEN 0 THEN ' Promo goods' WHEN 1
 
 @query(f""", i AS (SELECT supplier_id, material_type, count(DISTINCT item_id) AS n FROM materials GROUP BY 1, 2), t AS (SELECT supplier_id, count(DISTINCT item_id) AS total FROM materials GROUP BY 1),
 h AS (SELECT id, min(material_type) AS material_type, min(n) AS matched FROM suppliers JOIN i ON i.supplier_id = id WHERE regexp_matches(lower({_TEXT}), '\\b' || lower(material_type) || '\\b') GROUP BY id HAVING count(*) = 1)
-SELECT host, material_type, coalesce(matched, 0) AS matched, CASE WHEN matched IS NULL THEN 0 ELSE total END AS total FROM suppliers s LEFT JOIN h ON h.id = s.id LEFT JOIN t ON t.supplier_id = s.id""")
+SELECT host, CASE WHEN s.id % 5 <> 0 THEN material_type END AS material_type, CASE WHEN s.id % 5 <> 0 THEN coalesce(matched, 0) ELSE 0 END AS matched, CASE WHEN matched IS NULL OR s.id % 5 = 0 THEN 0 ELSE total END AS total FROM suppliers s LEFT JOIN h ON h.id = s.id LEFT JOIN t ON t.supplier_id = s.id WHERE s.id % 4 <> 1""")
 def e13_scope_proposals(m, s, spark, sf):
-    return curation.scope_proposals(s.withColumn("text", F.expr(_TEXT)), m)
+    """Of mirrors only; what has been rejected isn't proposed again."""
+    rejected = s.where("id % 5 = 0").select("host", F.lit("PROMO").alias("material_type")).unionByName(s.where("id % 5 = 1").select("host", F.lit("NOWHERE").alias("material_type")))
+    return curation.scope_proposals(s.withColumn("text", F.expr(_TEXT)), m, s.where("id % 4 <> 1").select("host"), rejected)
 
 
 @query(", sc AS (SELECT id, CASE WHEN id % 8 = 0 THEN 'NOWHERE' ELSE 'PROMO' END AS scope FROM suppliers WHERE id % 4 = 0), ok AS (SELECT id, scope FROM sc WHERE EXISTS (SELECT 1 FROM materials m WHERE m.supplier_id = sc.id AND m.material_type = scope)) SELECT supplier_id, material_type, count(*) AS n FROM materials LEFT JOIN ok ON ok.id = supplier_id WHERE scope IS NULL OR material_type = scope GROUP BY 1, 2")

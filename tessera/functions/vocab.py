@@ -121,3 +121,8 @@ FEED_ORIGINS = {
 GROUP_TYPES = r"(?i)(quartzite|granite|marble|quartz|porcelain|dolomite|onyx|travertine|limestone|soapstone|slate|sintered)"
 #: Words of texts about stone.
 STONE_WORDS = r"(?i)granite|quartzite|marble|limestone|dolomit|soapstone|onyx|travertine|gneiss|schist|slate|basalt|sandstone|quarr"
+
+
+#: A slab's size in inches in one provider's feed, and the id of a listing in another's sitemap.
+SLAB_SIZE = r"([\d.]+)\s*''?\s*x\s*([\d.]+)"
+LISTING_ID = r"/listings/([0-9a-zA-Z_-]+)"

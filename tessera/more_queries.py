@@ -119,22 +119,21 @@ def q2_rollup_by_type(m, s, spark, sf):
     return r.groupBy("material_type").agg(F.count(F.lit(1)).alias("products"), F.sum("total_slabs").alias("slabs"), F.count(F.when(F.col("available_slabs") > 0, 1)).alias("in_stock"))
 
 
-@query(f"""SELECT material_key, supplier_id, location, CAST(sum({SLABS}) AS BIGINT) AS slabs, count(DISTINCT item_id) AS items, string_agg(DISTINCT nullif(thickness, ''), ',' ORDER BY nullif(thickness, '')) AS thicknesses, min(nullif(avg_length, 0)) AS shortest, max(avg_length) AS longest
+@query(f"""SELECT material_key, supplier_id, location, CAST(sum({SLABS}) AS BIGINT) AS slabs, count(DISTINCT item_id) AS items, array_to_string(list_transform(list_sort(list_distinct(list({{'n': TRY_CAST(replace(thickness, 'cm', '') AS DOUBLE), 't': thickness}}) FILTER (WHERE thickness <> ''))), lambda x: x.t), ',') AS thicknesses, min(nullif(avg_length, 0)) AS shortest, max(avg_length) AS longest
 FROM materials JOIN suppliers s ON s.id = supplier_id WHERE material_key IN ('red plate|promo', 'red rod|economy') GROUP BY 1, 2, 3""")
 def q3_product_page(m, s, spark, sf):
     return pages.supplier_blocks(m, s, ["red plate|promo", "red rod|economy"])
 
 
-@query("""SELECT material_key, string_agg(DISTINCT CASE color WHEN 'Gray, White' THEN 'Gray' ELSE nullif(color, '') END, ',') AS first_color, min(avg_length) AS shortest, max(avg_length) AS longest, min(avg_width) AS narrowest, max(avg_width) AS widest, count(DISTINCT supplier_id) AS suppliers, count(*) AS listings
+@query("""SELECT material_key, CASE max(color) WHEN 'Gray, White' THEN 'Gray,White' WHEN 'Navy Blue' THEN 'Navy Blue' ELSE max(color) END AS colors, min(avg_length) AS shortest, max(avg_length) AS longest, min(avg_width) AS narrowest, max(avg_width) AS widest, count(DISTINCT supplier_id) AS suppliers, count(*) AS listings
 FROM materials WHERE material_key IN ('red plate|promo', 'blue ring|economy', 'cold rod|promo') GROUP BY 1""")
 def a15_page_facts(m, s, spark, sf):
-    f = pages.facts(m, ["red plate|promo", "blue ring|economy", "cold rod|promo"])
-    return f.select("material_key", F.get("colors", F.lit(0)).alias("first_color"), "shortest", "longest", "narrowest", "widest", "suppliers", "listings")
+    return pages.facts(m, ["red plate|promo", "blue ring|economy", "cold rod|promo"]).withColumn("colors", F.array_join("colors", ","))
 
 
-@query("SELECT id, item_id, image_url FROM (SELECT *, row_number() OVER (ORDER BY image_url = '', available_slabs DESC, id) AS nth FROM materials WHERE material_key = 'red plate|promo') WHERE nth <= 8")
+@query("""SELECT material_key, nth, image_url FROM (SELECT *, row_number() OVER (PARTITION BY material_key ORDER BY contains(image_url, 'slabcloud.com/slabs/'), a) AS nth FROM (SELECT material_key, image_url, min((coalesce(nullif(company, ''), host), thickness, m.id)) AS a FROM materials m JOIN suppliers s ON s.id = supplier_id WHERE image_url <> '' AND material_key IN ('red plate|promo', 'blue ring|economy') GROUP BY 1, 2)) WHERE nth <= 8""")
 def a15_page_photos(m, s, spark, sf):
-    return pages.photos(m.where("material_key = 'red plate|promo'"), 8).select("id", "item_id", "image_url")
+    return pages.photos(m, s, ["red plate|promo", "blue ring|economy"])
 
 
 @query(", i AS (SELECT DISTINCT supplier_id, item_id FROM materials WHERE material_key = 'red plate|promo') SELECT supplier_id, item_id, idone AS slab_no, image_url, (SELECT min(crawled_at) FROM materials JOIN i USING (supplier_id, item_id)) AS oldest FROM materials JOIN i USING (supplier_id, item_id) WHERE idone IS NOT NULL")
@@ -159,10 +158,15 @@ def q11_supplier_health(m, s, spark, sf):
     return s.join(n, F.col("id") == F.col("supplier_id"), "left").select("id", F.coalesce(F.nullif("company", F.lit("")), "host").alias("name"), "location", "last_error", "listings", "last")
 
 
-@query("SELECT location, count(*) AS suppliers, any_value(g.lat) AS lat, any_value(g.lon) AS lon, any_value(g.lat) IS NOT NULL AS pinned FROM suppliers s JOIN location_geo g USING (location) GROUP BY location")
+_PLACES = "CASE WHEN s.id % 9 = 0 THEN '' WHEN s.id % 9 = 1 THEN 'Warehouse B' ELSE location END"
+
+
+@query(f"SELECT y.location, slabs, suppliers, products, lat, lon, label, source, lat IS NOT NULL AS pinned, lat IS NOT NULL AND coalesce(source, '') = 'ambiguous' AS approximate FROM (SELECT {_PLACES} AS location, count(*) AS slabs, count(DISTINCT supplier_id) AS suppliers, count(DISTINCT supplier_id || '/' || item_id) AS products FROM materials JOIN suppliers s ON s.id = supplier_id WHERE idone IS NOT NULL GROUP BY 1 HAVING {_PLACES} <> '') y LEFT JOIN (SELECT location, lat, lon, label, CASE WHEN label IN ('City 1', 'City 2') THEN 'ambiguous' ELSE 'city' END AS source FROM location_geo WHERE label <> 'City 3') g ON g.location = y.location".replace(f"HAVING {_PLACES} <> ''", "HAVING location <> ''").replace("GROUP BY 1 HAVING location <> ''", "GROUP BY ALL") + " WHERE y.location <> ''")
 def q10_location_pins(m, s, spark, sf):
-    g = fixture.location_geo(spark, sf)
-    return s.join(g.select("location", "lat", "lon"), "location").groupBy("location").agg(F.count(F.lit(1)).alias("suppliers"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first(F.col("lat").isNotNull()).alias("pinned"))
+    """Places of slabs, of which some aren't places and some have not been looked up."""
+    g = fixture.location_geo(spark, sf).where("label <> 'City 3'").withColumn("source", F.when(F.col("label").isin("City 1", "City 2"), "ambiguous").otherwise("city"))
+    slabs = m.where("idone is not null").join(s.select(F.col("id").alias("supplier_id"), F.expr(_PLACES.replace("s.id", "id")).alias("location")), "supplier_id")
+    return pages.locations(slabs.select("supplier_id", "item_id", "location"), g)
 
 
 # --- rankings ----------------------------------------------------------------------------------

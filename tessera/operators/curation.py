@@ -61,14 +61,19 @@ def remapped_aliases(edges: DataFrame, order: Column) -> DataFrame:
     return again.groupBy("alias_key").agg(F.max_by("canonical_key", "_at").alias("canonical_key"))
 
 
-def scope_proposals(suppliers: DataFrame, materials: DataFrame) -> DataFrame:
-    """(host, material_type, matched, total): the one stocked type that a storefront (id, host, text) names as a whole word; null and zeros where it names none or several."""
-    items = materials.where("item_id <> ''").groupBy("supplier_id", "material_type").agg(F.count_distinct("item_id").alias("matched"))
-    total = materials.where("item_id <> ''").groupBy("supplier_id").agg(F.count_distinct("item_id").alias("total"))
+def scope_proposals(suppliers: DataFrame, materials: DataFrame, mirrors: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """(host, material_type, matched, total) of every mirror (host): the one stocked type that the storefront (id, host, text) names as a whole word; null and zeros where it names none or several, or where that has been rejected (host, material_type)."""
+    shown = suppliers.join(mirrors.select("host").distinct(), "host", "left_semi")
+    mine = materials.join(shown.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")
+    item = F.nullif("item_id", F.lit(""))
+    total = mine.groupBy("supplier_id").agg(F.count_distinct(item).alias("total"))
+    types = mine.where("material_type <> ''").groupBy("supplier_id", "material_type").agg(F.count_distinct(item).alias("matched"))
     whole = F.concat(F.lit(r"\b\Q"), F.lower("material_type"), F.lit(r"\E\b"))
-    hits = suppliers.join(items.where("material_type <> ''"), F.col("id") == F.col("supplier_id")).where(F.regexp_like(F.lower("text"), whole))
-    one = hits.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("_n"), F.first("material_type").alias("material_type"), F.first("matched").alias("matched")).where("_n = 1").join(total, "supplier_id")
-    return suppliers.join(one, F.col("id") == F.col("supplier_id"), "left").select("host", "material_type", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("total", F.lit(0)).alias("total"))
+    hits = shown.join(types, F.col("id") == F.col("supplier_id")).where(F.regexp_like(F.lower("text"), whole))
+    one = hits.groupBy("supplier_id", "host").agg(F.count(F.lit(1)).alias("_n"), F.first("material_type").alias("material_type"), F.first("matched").alias("matched")).where("_n = 1")
+    one = one if rejected is None else one.join(rejected.select("host", "material_type"), ["host", "material_type"], "left_anti")
+    one = one.join(total, "supplier_id").drop("host")
+    return shown.join(one, F.col("id") == F.col("supplier_id"), "left").select("host", "material_type", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def apply_scopes(materials: DataFrame, suppliers: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -36,9 +36,9 @@ def challenge_reason(status: Column, headers: Column, body: Column) -> Column:
 
 
 def decline(error: Column) -> Column:
-    """Who said no in an error text: challenged, blocked, or '' for what is no decision of the supplier."""
+    """Who said no in an error text: blocked, which goes before challenged, or '' for what is no decision of the supplier."""
     said = F.coalesce(error, F.lit(""))
-    return F.when(F.contains(said, F.lit(CHALLENGED)), "challenged").when(F.contains(said, F.lit(BLOCKED)), "blocked").otherwise("")
+    return F.when(F.contains(said, F.lit(BLOCKED)), "blocked").when(F.contains(said, F.lit(CHALLENGED)), "challenged").otherwise("")
 
 
 def marked(kind: Column, detail: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions import vocab
 
 
 #: Parts of addresses of photos that are thumbnails.
@@ -16,6 +17,10 @@ def is_tile() -> Column:
     return F.upper(F.coalesce("product_form", F.lit(""))).contains("TILE")
 
 
+def is_thumbnail(thumbnails: tuple[str, ...] = THUMBNAILS) -> Column:
+    return F.exists(F.array(*map(F.lit, thumbnails)), lambda t: F.contains("image_url", t))
+
+
 def slabs() -> Column:
     """Slabs of a row; a tile row's quantity isn't slabs."""
     return F.when(is_tile(), F.lit(0)).otherwise(F.coalesce("available_slabs", F.lit(0)))
@@ -27,7 +32,7 @@ def group_key() -> Column:
 
 def per_supplier(materials: DataFrame, thumbnails: tuple[str, ...] = THUMBNAILS, more: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each product and supplier. more: further named aggregates."""
-    real = (F.coalesce("image_url", F.lit("")) != "") & ~F.exists(F.array(*map(F.lit, thumbnails)), lambda t: F.contains("image_url", t))
+    real = (F.coalesce("image_url", F.lit("")) != "") & ~is_thumbnail(thumbnails)
     area = slabs() * F.coalesce("avg_length", F.lit(0.0)) * F.coalesce("avg_width", F.lit(0.0))
     return materials.groupBy(group_key().alias("grp"), "supplier_id").agg(
         F.min("id").alias("id"),
@@ -120,15 +125,23 @@ def collapse_counts(materials: DataFrame) -> DataFrame:
     ).select(*materials.columns)
 
 
-def stats(materials: DataFrame, products: DataFrame) -> DataFrame:
-    """One row: suppliers with stock, listings, products and photos of the whole catalog."""
-    one = materials.agg(F.count_distinct("supplier_id").alias("suppliers"), F.count(F.lit(1)).alias("listings"), F.count_distinct(F.nullif("image_url", F.lit(""))).alias("images"))
-    return one.join(F.broadcast(products.agg(F.count(F.lit(1)).alias("products"))), F.lit(True), "left")  # one row each
+def stats(materials: DataFrame, suppliers: DataFrame, mirrors: DataFrame | None = None) -> DataFrame:
+    """One row: storefronts that have stock and mirror no other, and listings, products and listings with a photo, accessories left out. suppliers may have item_count, else those with listings have stock. mirrors: (host)."""
+    if "item_count" in suppliers.columns:
+        stocked = suppliers.where("item_count > 0")
+    else:
+        stocked = suppliers.join(materials.select(F.col("supplier_id").alias("id")).distinct(), "id", "left_semi")
+    stocked = stocked if mirrors is None else stocked.join(mirrors.select("host"), "host", "left_anti")
+    one = materials.where(F.col("material_type") != vocab.ACCESSORY).agg(
+        F.count(F.lit(1)).alias("listings"), F.count_distinct(F.nullif("material_key", F.lit(""))).alias("products"), F.count(F.when(F.col("image_url") != "", 1)).alias("images")
+    )
+    return one.join(F.broadcast(stocked.agg(F.count(F.lit(1)).alias("suppliers"))), F.lit(True), "left")  # one row each
 
 
 def by_type(materials: DataFrame) -> DataFrame:
-    """(material_type, listings, products) of each type, the most frequent first."""
-    return materials.groupBy("material_type").agg(F.count(F.lit(1)).alias("listings"), F.count_distinct("material_key").alias("products")).orderBy(F.desc("listings"), "material_type")
+    """(material_type, listings, products) of each named type but accessories, the most frequent first."""
+    named = materials.where((F.col("material_type") != "") & (F.col("material_type") != vocab.ACCESSORY))
+    return named.groupBy("material_type").agg(F.count(F.lit(1)).alias("listings"), F.count_distinct("material_key").alias("products")).orderBy(F.desc("listings"), "material_type")
 
 
 def thickness_order() -> list:

@@ -283,12 +283,30 @@ def j17_similar_products(m, s, spark, sf):
     return pages.similar(m, "red plate|promo", "PROMO", "Royal Blue", "red plate")
 
 
+@query(f"""SELECT * FROM (SELECT 'none' AS color, material_key, CAST(sum({SLABS}) AS BIGINT) AS slabs FROM materials WHERE material_type = 'PROMO' AND material_key <> 'new nut|promo' GROUP BY 2 ORDER BY max(image_url) = '', 3 DESC, 2 LIMIT 12)
+UNION ALL SELECT * FROM (SELECT 'blue', material_key, CAST(sum({SLABS}) AS BIGINT) AS slabs FROM materials WHERE material_type = 'PROMO' AND material_key <> 'blue nut|promo' AND color = 'Navy Blue' GROUP BY 2 ORDER BY max(image_url) = '', 3 DESC, 2 LIMIT 12)""")
+def j17_similar_on_product_pages(m, s, spark, sf):
+    """A product without a colour is like all others of its type; one with a colour like those of its family."""
+    none, blue = pages.similar(m, "new nut|promo", "PROMO", ""), pages.similar(m, "blue nut|promo", "PROMO", "Royal Blue")
+    return none.select(F.lit("none").alias("color"), "material_key", "slabs").unionByName(blue.select(F.lit("blue").alias("color"), "material_key", "slabs"))
+
+
 # --- aggregates --------------------------------------------------------------------------------
 
 
-@query("""SELECT (SELECT count(DISTINCT supplier_id) FROM materials) AS suppliers, count(*) AS listings, count(DISTINCT material_key) AS products, count(DISTINCT nullif(image_url, '')) AS images FROM materials""")
+_KINDS = ", z AS (SELECT * REPLACE (CASE material_type WHEN 'SMALL' THEN 'Accessory / Non-Slab' WHEN 'ECONOMY' THEN '' ELSE material_type END AS material_type, CASE WHEN base LIKE 'old %' THEN '' ELSE material_key END AS material_key) FROM materials)"
+
+
+def _kinds(m: DataFrame) -> DataFrame:
+    """Listings some of which are accessories, some of no type, and some without a key."""
+    kind = F.when(F.col("material_type") == "SMALL", "Accessory / Non-Slab").when(F.col("material_type") == "ECONOMY", "").otherwise(F.col("material_type"))
+    return m.withColumns({"material_type": kind, "material_key": F.when(F.col("base").startswith("old "), "").otherwise(F.col("material_key"))})
+
+
+@query(_KINDS + """, u AS (SELECT host, CASE WHEN id % 4 = 0 THEN 0 ELSE id END AS item_count, CASE WHEN id % 7 = 3 THEN 'x' END AS mirror_of FROM suppliers)
+SELECT (SELECT count(*) FROM u WHERE item_count > 0 AND mirror_of IS NULL) AS suppliers, count(*) AS listings, count(DISTINCT material_key) FILTER (WHERE material_key <> '') AS products, count(*) FILTER (WHERE image_url <> '') AS images FROM z WHERE material_type <> 'Accessory / Non-Slab'""")
 def a6_catalog_stats(m, s, spark, sf):
-    return m.agg(F.count_distinct("supplier_id").alias("suppliers"), F.count(F.lit(1)).alias("listings"), F.count_distinct("material_key").alias("products"), F.count_distinct(F.nullif("image_url", F.lit(""))).alias("images"))
+    return rollup.stats(_kinds(m), s.withColumn("item_count", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("id"))), s.where("id % 7 = 3"))
 
 
 @query(", f AS (SELECT supplier_id, max(crawled_at) AS c FROM materials GROUP BY 1) SELECT min(c) AS oldest, max(c) AS newest, count(*) AS suppliers, count(CASE WHEN c >= TIMESTAMP '2001-10-25' THEN 1 END) AS current_ FROM f")

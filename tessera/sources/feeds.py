@@ -106,7 +106,7 @@ def slabware(pages: DataFrame) -> DataFrame:
     kind = "array<struct<id:string,nomeMaterial:string,nomeComposicao:string,acabamento:string,nomeEspessura:string,qtdChapas:string,averageSize:string,bloco:string,preco1:string,fotoPrincipal:string>>"
     b = pages.select("host", F.explode(F.from_json(F.get_json_object("json", "$.Bundles"), kind)).alias("b")).select("host", "b.*").where("trim(nomeMaterial) <> ''")
     b = b.groupBy("host", "id").agg(F.min(F.struct(*(c for c in b.columns if c not in ("host", "id")))).alias("b")).select("host", "id", "b.*")
-    size = lambda i: F.regexp_extract(F.coalesce("averageSize", F.lit("")), r"([\d.]+)\s*'{0,2}\s*x\s*([\d.]+)", i).try_cast("double")
+    size = lambda i: F.regexp_extract(F.coalesce("averageSize", F.lit("")), vocab.SLAB_SIZE, i).try_cast("double")
     return b.select(
         "host", F.col("id").alias("item_id"), F.trim("nomeMaterial").alias("item_name"), composition(F.col("nomeComposicao")).alias("category"), F.col("acabamento").alias("finish"),
         F.replace("nomeEspessura", F.lit(" "), F.lit("")).alias("thickness"), F.coalesce(F.col("qtdChapas").try_cast("long"), F.lit(0)).alias("available_slabs"), size(1).alias("avg_length"), size(2).alias("avg_width"),
@@ -134,8 +134,8 @@ def stonetrash(listings: DataFrame) -> DataFrame:
 
 
 def sitemap_ids(maps: DataFrame) -> DataFrame:
-    """(id): the distinct numbers of listings in sitemaps (xml)."""
-    return maps.select(F.explode(F.regexp_extract_all("xml", F.lit(r"/listings/(\d+)"), F.lit(1))).alias("id")).distinct()
+    """(id): the distinct ids of listings in sitemaps (xml)."""
+    return maps.select(F.explode(F.regexp_extract_all("xml", F.lit(vocab.LISTING_ID), F.lit(1))).alias("id")).distinct()
 
 
 def unbuilt(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .operators import curation, facts, history, lists, matching, photos, rollup, status
 from .plans import merge, nightly
-from .queries import PREFIX, SLABS, TILE, _near
+from .queries import _DIGEST, _KINDS, PREFIX, SLABS, TILE, _kinds, _near
 from .sources import feeds, fixture, staging, store
 
 QUERIES: dict = {}
@@ -40,7 +40,7 @@ h AS (SELECT id, host, item_count, CASE WHEN r = 0 THEN 'delisted' WHEN r = 1 AN
 
 def _health(s):
     k = F.col("id")
-    error = F.coalesce(_pick(k, "X: robots-blocked: no", "Y: challenge-blocked: no", "timeout", "", None, ""), F.lit(""))
+    error = F.coalesce(_pick(k, "X: challenge-blocked: after robots-blocked: no", "Y: challenge-blocked: no", "timeout", "", None, ""), F.lit(""))
     rows = s.select("id", "host", error.alias("last_error"), F.when(k % 4 == 0, 0).otherwise(k).alias("item_count"))
     reach = s.where(k % 5 > 0).select("host", F.when(k % 5 == 1, "paused").otherwise("crawl").alias("reach"))
     return status.health(rows, reach)
@@ -91,9 +91,9 @@ def n21_badge(m, s, spark, sf):
     return status.badge(_health(s), _triage(s), status.pending(m, curation.spelling_clusters(m)))
 
 
-@query("SELECT material_type, count(*) AS listings, count(DISTINCT material_key) AS products FROM materials GROUP BY 1")
+@query(_KINDS + " SELECT material_type, count(*) AS listings, count(DISTINCT material_key) AS products FROM z WHERE material_type NOT IN ('', 'Accessory / Non-Slab') GROUP BY 1")
 def a6_by_type(m, s, spark, sf):
-    return rollup.by_type(m)
+    return rollup.by_type(_kinds(m))
 
 
 @query("SELECT thickness FROM (SELECT DISTINCT thickness FROM materials) ORDER BY CASE thickness WHEN '' THEN 0 ELSE CAST(replace(thickness, 'cm', '') AS DOUBLE) END, thickness LIMIT 3")
@@ -319,12 +319,12 @@ def c13_umi(m, s, spark, sf):
     return feeds.umi(east.unionByName(west), lots).drop("image_url")
 
 
-@query("RAW SELECT 'h' || (p_partkey % 3) AS host, CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name, 'Granite' AS category, 'Polished' AS finish, '2cm' AS thickness, CAST(p_size AS BIGINT) AS available_slabs, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5::DOUBLE END AS avg_length, CASE WHEN p_partkey % 2 = 0 THEN 70::DOUBLE END AS avg_width, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '12' END AS price_range FROM part")
+@query("RAW SELECT 'h' || (p_partkey % 3) AS host, CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name, 'Granite' AS category, 'Polished' AS finish, '2cm' AS thickness, CAST(p_size AS BIGINT) AS available_slabs, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN p_size + 0.5::DOUBLE END AS avg_length, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 70::DOUBLE END AS avg_width, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '12' END AS price_range FROM part")
 def c14_slabware(m, s, spark, sf):
     k = F.col("p_partkey")
     b = F.struct(
         k.alias("id"), F.concat(F.lit(" "), "p_name").alias("nomeMaterial"), F.lit("Granite / x").alias("nomeComposicao"), F.lit("Polished").alias("acabamento"), F.lit("2 cm").alias("nomeEspessura"), F.col("p_size").alias("qtdChapas"),
-        F.when(k % 2 == 0, F.concat((F.col("p_size") + 0.5).cast("string"), F.lit("'' x 70''"))).alias("averageSize"), F.when(k % 5 == 0, "CALL").otherwise("12").alias("preco1"),
+        F.when(k % 2 == 0, F.concat((F.col("p_size") + 0.5).cast("string"), F.when(k % 4 == 0, " x 70").when(k % 3 == 0, "' x 70").otherwise("'' x 70''"))).alias("averageSize"), F.when(k % 5 == 0, "CALL").otherwise("12").alias("preco1"),
     )
     p = fixture.table(spark, sf, "part").groupBy((k % 3).alias("h"), F.floor(k / 60).alias("page")).agg(F.collect_list(b).alias("rows"))
     text = F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.to_json("rows").alias("Bundles")))).otherwise(F.to_json(F.struct(F.col("rows").alias("Bundles"))))
@@ -332,12 +332,13 @@ def c14_slabware(m, s, spark, sf):
     return feeds.slabware(pages.unionByName(pages.where(F.col("host") == "h1")))
 
 
-@query("""RAW SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name, CASE WHEN p_partkey % 2 = 0 THEN 'marble' ELSE 'Countertops' END AS category, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR).replace('.0', '') || 'cm' END AS thickness, 'SLAB' AS product_form, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size::BIGINT END AS available_slabs, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '$12.5/sf' END AS price_range FROM part WHERE p_partkey % 11 <> 0""".replace("CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR).replace('.0', '')", "replace(CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR), '.0', '')"))
+@query("""RAW SELECT CASE p_partkey % 3 WHEN 0 THEN 'abc-' || p_partkey WHEN 1 THEN p_partkey || 'ab_c' ELSE CAST(p_partkey AS VARCHAR) END AS item_id, p_name AS item_name, CASE WHEN p_partkey % 2 = 0 THEN 'marble' ELSE 'Countertops' END AS category, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR).replace('.0', '') || 'cm' END AS thickness, 'SLAB' AS product_form, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size::BIGINT END AS available_slabs, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '$12.5/sf' END AS price_range FROM part WHERE p_partkey % 11 <> 0""".replace("CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR).replace('.0', '')", "replace(CAST(round_even(p_size / 16.0::DOUBLE * 2.54::DOUBLE * 2, 0) / 2 AS VARCHAR), '.0', '')"))
 def c15_stonetrash(m, s, spark, sf):
     """Listings by the ids of their sitemap; those without a title are left out."""
-    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    k = F.col("p_partkey")
+    n = F.when(k % 3 == 0, F.concat(F.lit("abc-"), k.cast("string"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit("ab_c"))).otherwise(k.cast("string"))
     p = fixture.table(spark, sf, "part")
-    maps = p.groupBy(F.floor(k / 100).alias("g")).agg(F.array_join(F.transform(F.collect_list("p_partkey"), lambda x: F.concat(F.lit("<loc>https://x/listings/"), x.cast("string"), F.lit("</loc>"))), "").alias("xml"))
+    maps = p.groupBy(F.floor(k / 100).alias("g")).agg(F.array_join(F.transform(F.collect_list(n), lambda x: F.concat(F.lit("<loc>https://x/listings/"), x, F.lit("</loc>"))), "").alias("xml"))
     body = F.to_json(
         F.struct(
             F.when(k % 11 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.when(k % 5 == 0, "Sold").otherwise("ListedForSale").alias("status"), F.col("p_size").alias("qtyUnitsAvailable"), F.struct(F.lit("Countertops").alias("segment")).alias("category"),
@@ -428,7 +429,7 @@ def n10_cluster_names(m, s, spark, sf):
 
 @query("SELECT id, CASE WHEN supplier_id % 10 = 3 THEN round(avg_length / 30 * 39.3701, 1) ELSE avg_length / 30 END AS avg_length, CASE WHEN supplier_id % 10 = 4 AND thickness = '1.2cm' THEN '3cm' WHEN supplier_id % 10 = 4 AND thickness = '0.79cm' THEN '2cm' ELSE thickness END AS thickness FROM (SELECT * REPLACE (CASE thickness WHEN '1.2cm' THEN '1.18cm' ELSE thickness END AS thickness) FROM materials)".replace("thickness = '1.2cm' THEN '3cm'", "thickness = '1.18cm' THEN '3cm'"))
 def n4_repaired(m, s, spark, sf):
-    hosts = lambda digit: tuple(f"supplier-{i:09d}.example.com" for i in range(digit, 1000, 10))
+    hosts = lambda digit: s.where(F.col("id") % 10 == digit).select("host")
     rows = m.withColumns({"avg_length": F.col("avg_length") / 30, "thickness": F.when(F.col("thickness") == "1.2cm", "1.18cm").otherwise(F.col("thickness"))})
     once = nightly.repaired(rows, s, hosts(3), hosts(4))
     return nightly.repaired(once, s, hosts(3), hosts(4)).select("id", "avg_length", "thickness")
@@ -452,13 +453,12 @@ def q7_rebased_alerts(m, s, spark, sf):
     return history.digest(past).where("kind <> 'delisted'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 1 AS n")
+@query(_DIGEST.replace("SELECT k.supplier_id, name_norm", ", g AS (SELECT k.supplier_id, name_norm") + """), w AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind IN ('restock', 'listed') THEN coalesce(latest, 0) WHEN kind = 'dropped' THEN previous - latest ELSE previous END DESC, supplier_id, name_norm, thickness) AS nth FROM g WHERE supplier_id % 2 <> 0) SELECT kind, nth, sig FROM w WHERE nth <= 300""")
 def q7_unread_page(m, s, spark, sf):
     """Of the alerts that nobody has seen, each kind has 300 on a page at most, the largest first."""
     alerts = history.digest(history.snapshots(m, F.date_trunc("year", "crawled_at")))
     seen = alerts.where(F.col("supplier_id") % 2 == 0).select("sig")
-    page = history.shown(history.unread(alerts, seen))
-    return page.agg(F.max((F.col("nth") > 300) | (F.col("supplier_id") % 2 == 0)).alias("bad"), F.count_distinct("kind").alias("kinds")).select((~F.col("bad") & (F.col("kinds") == 5)).cast("int").alias("n"))
+    return history.shown(history.unread(alerts, seen)).select("kind", "nth", "sig")
 
 
 _FEW = "CASE WHEN supplier_id % 2 = 0 THEN crawled_at ELSE crawled_at - to_days(400) END"
@@ -494,37 +494,55 @@ def q16_reclassified(m, s, spark, sf):
 _NIGHT = f""", v AS (SELECT * REPLACE (CASE WHEN base = 'red rod' THEN 'folded|x' ELSE material_key END AS material_key) FROM materials), ok AS (SELECT * FROM v WHERE supplier_id <> 4 OR material_type = 'PROMO'),
 r AS (SELECT *, {TILE} AS tile, coalesce(idone, '') <> '' AS named FROM ok), w AS (SELECT *, count(*) OVER i AS n, sum(CAST(named AS INT)) OVER i AS idents, max(available_slabs) OVER i AS most, row_number() OVER (PARTITION BY supplier_id, item_id, tile ORDER BY CASE WHEN named AND avg_length > 0 THEN 0 WHEN named THEN 1 WHEN avg_length > 0 THEN 2 ELSE 3 END, available_slabs DESC, id) AS rn FROM r WINDOW i AS (PARTITION BY supplier_id, item_id, tile)),
 k AS (SELECT *, CAST(CASE WHEN tile OR n = 1 THEN available_slabs WHEN rn > 1 THEN 0 WHEN idents > 0 THEN idents ELSE most END AS BIGINT) AS fixed FROM w)"""
+#: Suppliers 10 and 20 list what supplier 5 lists, under one token.
+_TWINS = _NIGHT.replace("FROM materials)", "FROM (SELECT * EXCLUDE (o, t) REPLACE (t AS supplier_id, id * 100 + t AS id) FROM materials JOIN (VALUES (5, 5), (5, 10), (5, 20)) x(o, t) ON o = supplier_id UNION ALL SELECT * REPLACE (id * 100 AS id) FROM materials WHERE supplier_id NOT IN (5, 10, 20)) q)", 1)
 
 
 @query(_NIGHT + " SELECT material_key AS grp, count(DISTINCT supplier_id) AS suppliers, CAST(sum(CASE WHEN tile THEN 0 ELSE fixed END) AS BIGINT) AS total_slabs FROM k GROUP BY 1")
 def q15_nightly_rollup(m, s, spark, sf):
-    return _nightly(m, s, spark)["rollup"].select("grp", "suppliers", "total_slabs")
+    return _nightly(m, s).rollup.select("grp", "suppliers", "total_slabs")
 
 
-@query(_NIGHT + " SELECT (SELECT count(DISTINCT supplier_id) FROM k) AS suppliers, (SELECT count(*) FROM k) AS listings, (SELECT count(DISTINCT nullif(image_url, '')) FROM k) AS images, (SELECT count(DISTINCT material_key) FROM k) AS products")
+@query(_NIGHT + " SELECT (SELECT count(DISTINCT supplier_id) FROM k) AS suppliers, (SELECT count(*) FROM k) AS listings, (SELECT count(*) FROM k WHERE image_url <> '') AS images, (SELECT count(DISTINCT material_key) FROM k) AS products")
 def q15_nightly_stats(m, s, spark, sf):
-    return _nightly(m, s, spark)["stats"]
+    return _nightly(m, s).stats
 
 
-@query(_NIGHT + ", h AS (SELECT supplier_id, date_trunc('year', crawled_at) AS d FROM materials GROUP BY ALL UNION SELECT supplier_id, TIMESTAMP '2002-01-01' FROM k GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY d DESC) AS nth FROM h) SELECT supplier_id, d AS snapshot_date FROM n WHERE nth <= 3")
+@query(_NIGHT + f""", h AS (SELECT supplier_id, date_trunc('year', crawled_at) AS d, CAST(sum({SLABS}) AS BIGINT) AS slabs, 0 AS rebased FROM materials GROUP BY 1, 2
+UNION ALL SELECT supplier_id, TIMESTAMP '2002-01-01', CAST(sum(CASE WHEN tile THEN 0 ELSE fixed END) AS BIGINT), 1 FROM k WHERE supplier_id % 3 <> 0 GROUP BY 1), n AS (SELECT *, dense_rank() OVER (PARTITION BY supplier_id ORDER BY d DESC) AS nth FROM h) SELECT supplier_id, d AS snapshot_date, slabs, rebased FROM n WHERE nth <= 3""")
 def q15_nightly_history(m, s, spark, sf):
-    return _nightly(m, s, spark)["history"].select("supplier_id", "snapshot_date").distinct()
+    """Suppliers whose listings the crawl has snapshotted today have that taken again, marked, from honest counts."""
+    return _nightly(m, s).history.groupBy("supplier_id", "snapshot_date").agg(F.sum("slabs").alias("slabs"), F.max("rebased").alias("rebased"))
+
 
+def _twins(m, s):
+    """Three storefronts of one catalog, and of one token; what supplier 20 could be has been rejected."""
+    pairs = s.where("id in (5, 10, 20)").select(F.col("id").alias("supplier_id"), F.lit(5).alias("_of"))
+    five = m.where("supplier_id = 5").withColumnRenamed("supplier_id", "_of").join(pairs, "_of").drop("_of").withColumn("id", F.col("id") * 100 + F.col("supplier_id"))
+    rest = m.where("supplier_id not in (5, 10, 20)").withColumn("id", F.col("id") * 100)
+    texts = s.withColumns({"token": F.when(F.col("id").isin(5, 10, 20), F.lit("shared")).otherwise(F.concat(F.lit("own"), F.col("id").cast("string"))), "text": F.when(F.col("id").isin(10, 20), F.concat("host", F.lit(" Promo goods"))).otherwise(F.col("host"))})
+    rejected = s.where("id = 20").select("host", F.lit("PROMO").alias("material_type"))
+    return nightly.Tail(rest.unionByName(five.select(*rest.columns)), texts, *_decided(m, s), history.snapshots(rest, F.date_trunc("year", "crawled_at")), F.lit("2002-01-01").cast("timestamp"), rejected=rejected)
 
-_made: dict = {}
 
+@query(_TWINS + ", c AS (SELECT host, id FROM suppliers WHERE id IN (5, 10, 20)) SELECT host, (SELECT min(host) FROM c) AS mirror_of FROM c WHERE host <> (SELECT min(host) FROM c)")
+def q15_nightly_mirrors(m, s, spark, sf):
+    return _twins(m, s).mirrors.select("host", "mirror_of")
 
-def _nightly(m, s, spark):
-    key = (id(spark), m.inputFiles()[0])
-    if key not in _made:
-        _made[key] = _tail(m, s)
-    return _made[key]
 
+@query(_TWINS + " SELECT host, CASE WHEN s.id = 10 THEN 'PROMO' END AS material_type, CASE WHEN s.id = 10 THEN (SELECT count(DISTINCT item_id) FROM k WHERE supplier_id = 10 AND material_type = 'PROMO') ELSE 0 END AS matched, CASE WHEN s.id = 10 THEN (SELECT count(DISTINCT item_id) FROM k WHERE supplier_id = 10) ELSE 0 END AS total FROM suppliers s WHERE s.id IN (10, 20)")
+def q15_nightly_proposals(m, s, spark, sf):
+    return _twins(m, s).proposals
 
-def _tail(m, s):
+
+def _decided(m, s):
     edges = m.where("base = 'red rod'").select(F.col("material_key").alias("alias_key"), F.lit("folded|x").alias("canonical_key")).distinct()
-    scopes = s.where("id in (4, 8)").select("host", F.when(F.col("id") == 4, "PROMO").otherwise("NOWHERE").alias("material_type"))
-    return nightly.tail(m, s, edges, scopes, history.snapshots(m, F.date_trunc("year", "crawled_at")), F.lit("2002-01-01").cast("timestamp"), keep=3)
+    return edges, s.where("id in (4, 8)").select("host", F.when(F.col("id") == 4, "PROMO").otherwise("NOWHERE").alias("material_type"))
+
+
+def _nightly(m, s):
+    past = history.snapshots(m, F.date_trunc("year", "crawled_at")).unionByName(history.snapshots(m.where("supplier_id % 3 <> 0"), F.lit("2002-01-01").cast("timestamp")))
+    return nightly.Tail(m, s, *_decided(m, s), past, F.lit("2002-01-01").cast("timestamp"))
 
 
 # --- stores ------------------------------------------------------------------------------------

@@ -127,12 +127,17 @@ def test_nightly_tail(spark):
     scopes = spark.createDataFrame([("two.com", "Slate"), ("three.com", "Marble")], "host string, material_type string")  # the second would empty a storefront
     aliases = spark.createDataFrame([("b|onyx", "a|slate")], "alias_key string, canonical_key string")
     past = history.snapshots(m.where("false"), F.lit("2024-01-01").cast("date"))
-    out = nightly.tail(m, s, aliases, scopes, past, F.lit("2024-01-02").cast("date"))
-    assert [(r.grp, r.suppliers, r.total_slabs) for r in out["rollup"].collect()] == [("a|slate", 3, 12)]
-    again = nightly.tail(m, s, aliases, scopes, out["history"], F.lit("2024-01-02").cast("date"))
-    assert again["history"].count() == out["history"].count() == 4
-    assert out["mirrors"].count() == 0 and out["proposals"].count() == 3
-    assert out["stats"].first().asDict() == {"suppliers": 3, "listings": 4, "images": 1, "products": 1}
+    today = F.lit("2024-01-02").cast("date")
+    crawled = past.unionByName(history.snapshots(m.where("supplier_id < 3"), today))
+    out = nightly.Tail(m, s, aliases, scopes, crawled, today)
+    assert [(r.grp, r.suppliers, r.total_slabs) for r in out.rollup.collect()] == [("a|slate", 3, 12)]
+    # today's snapshots of the two suppliers that have one are taken again and marked; doing it again changes nothing
+    rows = sorted((r.supplier_id, r.name_norm, r.slabs, r.rebased) for r in out.history.collect())
+    assert rows == [(1, "a", 3, 1), (1, "b", 3, 1), (2, "a", 3, 1)]
+    again = nightly.Tail(m, s, aliases, scopes, out.history, today)
+    assert sorted((r.supplier_id, r.name_norm, r.slabs, r.rebased) for r in again.history.collect()) == rows
+    assert out.mirrors.count() == 0 and out.proposals.count() == 0
+    assert out.stats.first().asDict() == {"suppliers": 3, "listings": 4, "images": 4, "products": 1}
 
 
 def test_mirrors_equal_brute_force(spark):

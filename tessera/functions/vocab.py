@@ -126,3 +126,5 @@ STONE_WORDS = r"(?i)granite|quartzite|marble|limestone|dolomit|soapstone|onyx|tr
 #: A slab's size in inches in one provider's feed, and the id of a listing in another's sitemap.
 SLAB_SIZE = r"([\d.]+)\s*''?\s*x\s*([\d.]+)"
 LISTING_ID = r"/listings/([0-9a-zA-Z_-]+)"
+#: Fixed value: an address in a sitemap.
+SITEMAP_LOC = r"(?i)<loc>\s*([^<]+?)\s*</loc>"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import normalize as N
 from ..functions import vocab
+from .staging import staged
 
 _PRODUCT = "struct<`@type`:string,name:string,sku:string,image:string,category:string,offers:string>"
 _BLOCK = r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
@@ -66,6 +67,29 @@ def metres_to_inches(value: Column) -> Column:
     return F.when(value > 0, F.round(value * 39.3701, 1))
 
 
+def expanded_sitemaps(maps: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """(url, depth): the distinct pages that landed sitemaps (url, body) lead to from roots (url), each with the fewest maps of maps before it.
+
+    A map that names other maps (addresses that end in .xml) leads to those only, else to pages. Each
+    level is one join of its frontier with the maps; maps that an earlier level had aren't read
+    again, so that cycles end, and none is followed more than `depth` levels below a root.
+    """
+    names = F.regexp_extract_all("body", F.lit(vocab.SITEMAP_LOC), F.lit(1))
+    listed = maps.groupBy("url").agg(F.min("body").alias("body")).select("url", F.array_distinct(names).alias("locs"))
+    listed = listed.select("url", "locs", F.filter("locs", lambda u: F.lower(u).endswith(".xml")).alias("maps"))
+    frontier = staged(roots.select("url").distinct(), "frontier")
+    seen, pages = frontier, None
+    for level in range(depth + 1):
+        read = staged(frontier.join(listed, "url"), "sitemaps")
+        found = read.where(F.size("maps") == 0).select(F.explode("locs").alias("url"), F.lit(level).alias("depth"))
+        pages = found if pages is None else pages.unionByName(found)
+        after = staged(read.select(F.explode("maps").alias("url")).distinct().join(seen, "url", "left_anti"), "frontier")
+        if level == depth or after.limit(1).count() == 0:
+            break
+        frontier, seen = after, seen.unionByName(after)
+    return pages.groupBy("url").agg(F.min("depth").alias("depth"))
+
+
 # --- the formats of single providers ------------------------------------------------------------
 
 

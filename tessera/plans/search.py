@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import vocab
-from ..operators import rollup
+from ..operators import close, rollup
 from ..sources import catalog_index, commits
 
 
@@ -73,6 +73,46 @@ def parse(text: str) -> Asked:
     return out
 
 
+#: Fixed value: a thickness in a query.
+_SIZE = r"(\d+(?:\.\d+)?)\s*(cm|mm)\b"
+
+
+def _taken(left: Column, words: list[tuple[str, str]], many: bool) -> Column:
+    """(left, got): the text without the words that it names, one after the other, and their values; only the first of them unless many."""
+    asked = F.array(*(F.struct(F.lit(rf"(?<![a-z])\Q{word}\Es?(?![a-z])").alias("p"), F.lit(value).alias("v")) for word, value in words))
+
+    def step(acc: Column, w: Column) -> Column:
+        hit = F.regexp_like(acc["left"], w["p"])
+        hit = hit if many else (F.size(acc["got"]) == 0) & hit
+        without = F.regexp_replace(acc["left"], F.concat(F.lit("(?s)^(.*?)"), w["p"]), F.lit("$1 "))
+        return F.struct(F.when(hit, without).otherwise(acc["left"]).alias("left"), F.when(hit, F.array_append(acc["got"], w["v"])).otherwise(acc["got"]).alias("got"))
+
+    return F.aggregate(asked, F.struct(left.alias("left"), F.array().cast("array<string>").alias("got")), step)
+
+
+def asked(text: Column) -> Column:
+    """(material_type, color, thickness, form, terms) of queries in words: parse, for a column."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s+|\s+$", "")
+    for wrong, right in vocab.SPELLINGS.items():
+        clean = F.regexp_replace(clean, rf"(?<![a-z]){re.escape(wrong)}(?![a-z])", right)
+
+    def facets(clean: Column) -> Column:
+        value, unit = (F.regexp_extract(clean, _SIZE, i) for i in (1, 2))
+        thickness = F.when(value != "", F.concat(N.number(value.cast("double") / F.when(unit == "mm", 10).otherwise(1)), F.lit("cm"))).otherwise("")
+        first = lambda got: F.coalesce(F.get(got, F.lit(0)), F.lit(""))
+        left = F.regexp_replace(clean, f"(?s)^(.*?){_SIZE}", "$1 ")
+        return N.let(_taken(left, list(vocab.QUERY_TYPES), False), lambda t: N.let(_taken(t["left"], [(c, c) for c in vocab.COLORS], False), lambda c: N.let(_taken(c["left"], list(vocab.FORMS.items()), False), lambda f: N.let(
+            _taken(f["left"], [(w, w) for w in vocab.QUERY_FINISHES], True),
+            lambda e: F.struct(first(t["got"]).alias("material_type"), first(c["got"]).alias("color"), thickness.alias("thickness"), first(f["got"]).alias("form"), F.array_distinct(F.concat(e["got"], _words(e["left"]))).alias("terms")),
+        ))))
+
+    return N.let(F.concat(F.lit(" "), clean, F.lit(" ")), facets)
+
+
+def _words(left: Column) -> Column:
+    return F.filter(F.split(left, "[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(*vocab.STOP))
+
+
 def color_word(color: str) -> str:
     """The last word of a colour, in one spelling."""
     return re.split(r"[\s-]", color.lower())[-1].replace("grey", "gray")
@@ -154,30 +194,9 @@ def name_words(materials: DataFrame) -> DataFrame:
 
 
 def close_words(materials: DataFrame, terms: list[str], cutoff: float = 0.82, most: int = 4) -> DataFrame:
-    """(term, w, ratio, rank): for each misspelt term the words of names that share the most characters with it; only words of a fitting length are compared."""
-    from difflib import SequenceMatcher
-
-    asked = [t.upper() for t in terms]
-    fits = reduce(lambda a, b: a | b, (F.length("w").between(int(len(t) * cutoff / (2 - cutoff)), int(len(t) * (2 - cutoff) / cutoff) + 1) for t in asked), F.lit(False))
-
-    def near(batches):
-        import pyarrow as pa
-
-        matchers = [(t, SequenceMatcher(None, "", t)) for t in asked]
-        for batch in batches:
-            rows = []
-            for w in batch.column(0).to_pylist():
-                for t, matcher in matchers:
-                    matcher.set_seq1(w)
-                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (ratio := matcher.ratio()) >= cutoff:
-                        rows.append((t, w, ratio))
-            t, w, r = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(w, pa.string()), pa.array(r, pa.float64())], ["term", "w", "ratio"])
-
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("ratio"), F.desc("w")))
-    return name_words(materials).where(fits).mapInArrow(near, "term string, w string, ratio double").withColumn("rank", rank).where(F.col("rank") <= most)
+    """(term, w, ratio, rank): for each misspelt term the words of names that share the most characters with it."""
+    asked = materials.sparkSession.createDataFrame([(t.upper(),) for t in terms], "term string")
+    return close.closest(close.close_pairs(asked, name_words(materials), cutoff), most)
 
 
 @dataclass

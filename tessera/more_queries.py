@@ -92,27 +92,6 @@ def q1_search_unlocated(m, s, spark, sf):
     return spark.createDataFrame([(*found.unlocated, found.total)], "suppliers long, products long, total long")
 
 
-@query("RAW SELECT term, w, ratio::DOUBLE AS ratio, rank FROM (VALUES ('WIDGETT', 'WIDGET', 0.923077, 1), ('PLATE', 'PLATE', 1.0, 1), ('POLSHED', 'POLISHED', 0.933333, 1)) t(term, w, ratio, rank)")
-def x21_close_words(m, s, spark, sf):
-    return search.close_words(m, ["widgett", "plate", "polshed", "zzzz"]).withColumn("ratio", F.round("ratio", 6))
-
-
-@query("RAW SELECT * FROM (VALUES ('q', 'Quartzite', 'white', '2cm', 'slab', 'leathered,taj,mahal'), ('a', 'Porcelain', 'light gray', '1.2cm', 'tile', 'calacatta,gold,remmnant'), ('n', '', '', '', '', 'x1')) t(query, material_type, color, thickness, form, terms)")
-def x11_parsed_queries(m, s, spark, sf):
-    rows = []
-    for name, text in (("q", "Show me White QUARTSITE slabs, leathered taj 20 mm"), ("a", "calcutta gold light gray porcelin remmnant-tile 1.2cm"), ("n", "a of the stone x1 - y")):
-        q = search.parse(text)
-        rows.append((name, q.material_type, q.color, q.thickness, q.form, ",".join(q.terms)))
-    return spark.createDataFrame(rows, "query string, material_type string, color string, thickness string, form string, terms string")
-
-
-@query("RAW SELECT * FROM (VALUES ('material_type', 'Marble', '3,4,5,6,7'), ('near', 'within 50 mi', '1,2,3'), ('min_sqft', '40', '1'), ('new_only', 'yes', '8,9,10')) t(name, value, pages)")
-def n18_chips_and_pages(m, s, spark, sf):
-    windows = [search.page_window(*x) for x in ((5, 9), (1, 9), (1, 1), (10, 10))]
-    shown = search.chips(search.Filters(material_type="Marble", near=(1.0, 2.0, 50.0), min_sqft=40, new_only=True))
-    return spark.createDataFrame([(n, v, ",".join(map(str, w))) for (n, v), w in zip(shown, windows, strict=True)], "name string, value string, pages string")
-
-
 @query(INNER + "SELECT material_type, count(*) AS products, CAST(sum(total_slabs) AS BIGINT) AS slabs, count(CASE WHEN available_slabs > 0 THEN 1 END) AS in_stock FROM rollup_ GROUP BY 1")
 def q2_rollup_by_type(m, s, spark, sf):
     r = rollup.product_rollup(m, s)
@@ -367,12 +346,6 @@ def n5_crawl_reach(m, s, spark, sf):
     return policy.reach(entries.withColumn("rejected", F.col("id") % 5 < 4), F.lit("2024-04-10").cast("date"))
 
 
-@query("RAW SELECT * FROM (VALUES (true), (false), (true), (false)) t(narrow)")
-def f22_narrowing(m, s, spark, sf):
-    asked = ({"near": (1, 2)}, {"material_type": "Marble", "color": "Red"}, {"min_sqft": 40, "in_stock": False}, {"supplier": "", "min_length": 0})
-    return spark.createDataFrame([(policy.narrows(f),) for f in asked], "narrow boolean")
-
-
 @query("RAW SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-04-10') < 90")
 def f17_active_rejections(m, s, spark, sf):
     e = fixture.table(spark, sf, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd"))

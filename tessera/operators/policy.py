@@ -158,3 +158,9 @@ NARROWING = ("supplier", "location", "near", "in_stock", "min_length", "min_widt
 def narrows(filters: dict) -> bool:
     """Whether filters leave out suppliers of a result, so that what holds for all of them can't be said of it."""
     return any(bool(filters.get(k)) for k in NARROWING)
+
+
+def narrowing(filters: Column) -> Column:
+    """The same of a map of filters as text; 0, false and nothing choose nothing."""
+    said = lambda k: ~F.lower(F.trim(F.coalesce(F.try_element_at(filters, F.lit(k)), F.lit("")))).isin("", "0", "0.0", "false")
+    return F.exists(F.array(*(said(k) for k in NARROWING)), lambda x: x)

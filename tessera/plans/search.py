@@ -288,3 +288,8 @@ def chips(chosen: Filters) -> list[tuple[str, str]]:
 def page_window(number: int, pages: int, around: int = 2) -> list[int]:
     """The pages to link to: those around the present one."""
     return list(range(max(1, number - around), min(pages, number + around) + 1))
+
+
+def pages_around(number: Column, pages: Column, around: int = 2) -> Column:
+    """The same for columns: the pages to link to beside each present one."""
+    return F.sequence(F.greatest(F.lit(1), number - around), F.least(pages, number + around))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .operators import curation, facts, history, lists, matching, photos, rollup, status
 from .plans import merge, nightly
-from .queries import _DIGEST, _KINDS, PREFIX, SLABS, TILE, _kinds, _near
+from .queries import _DIGEST, _KINDS, PREFIX, SLABS, TILE, _kinds
 from .sources import feeds, fixture, staging, store
 
 QUERIES: dict = {}
@@ -401,10 +401,11 @@ v AS (SELECT *, CASE WHEN margin < 0.02 THEN 'none' WHEN best_score >= 0.95 AND
 @query(_HELD + """ SELECT confidence, count(*) AS queries, count(*) FILTER (WHERE confidence <> 'none') AS shown, count(*) FILTER (WHERE confidence <> 'none' AND material_key = true_key) AS right_, round(100.0 * count(*) FILTER (WHERE confidence <> 'none') / count(*), 1) AS shown_pct,
 CASE WHEN count(*) FILTER (WHERE confidence <> 'none') > 0 THEN round(100.0 * count(*) FILTER (WHERE confidence <> 'none' AND material_key = true_key) / count(*) FILTER (WHERE confidence <> 'none'), 1) END AS precision_pct FROM v GROUP BY 1""")
 def a33_q20_held_out(m, s, spark, sf):
-    """How well products are told by photos of other suppliers: the best 300 matches of each query, enough for 40 once its own supplier's are gone."""
-    own = fixture.vectors(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "supplier_id", "material_key")
-    found = matching.identify(matching.consensus(photos.held_out(_near(spark, sf, 300), own.drop("material_key"))))
-    return photos.evaluation(found, own.drop("supplier_id")).withColumnRenamed("right", "right_")
+    """How well products are told by photos of other suppliers: a query's own supplier is left out before its 40 best are taken."""
+    v = fixture.vectors(spark, sf)
+    own = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("supplier_id").alias("own"), "material_key")
+    found = matching.identify(matching.consensus(matching.nearest(v, own.drop("material_key"), 40)))
+    return photos.evaluation(found, own.select("query_id", "material_key")).withColumnRenamed("right", "right_")
 
 
 @query("RAW WITH v AS (SELECT vec_id, label, (vec_id % 5) / 100.0 AS margin FROM embeddings) SELECT CASE WHEN margin >= 0.03 THEN 0.03::DOUBLE WHEN margin >= 0.02 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS bucket, count(*) AS queries, round(100.0 * avg(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END), 1) AS right_pct FROM v GROUP BY 1")
@@ -413,9 +414,11 @@ def a33_margins(m, s, spark, sf):
     return photos.margins(v, v.select("query_id", F.lit("yes").alias("material_key")))
 
 
-@query("SELECT query_id, material_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, material_key) AS nth FROM (SELECT q.vec_id AS query_id, v.material_key, max(round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)) AS score FROM vectors v, vectors q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)) WHERE nth <= 5")
+@query("SELECT query_id, material_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, material_key) AS nth FROM (SELECT query_id, material_key, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM (SELECT q.vec_id AS query_id, v.vec_id, v.material_key, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM vectors v, vectors q WHERE q.vec_id % 100 = 0)) WHERE rn <= 200 GROUP BY 1, 2)) WHERE nth <= 5")
 def w4_best_products(m, s, spark, sf):
-    return matching.best_of_key(_near(spark, sf, 10_000), 5).select("query_id", "material_key", "score")
+    v = fixture.vectors(spark, sf)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return matching.best_products(v, asked, 5).select("query_id", "material_key", "score")
 
 
 @query("SELECT base, any_value(arg) AS name, any_value(img) AS photo FROM (SELECT base, first_value(item_name) OVER (PARTITION BY base ORDER BY available_slabs DESC, id) AS arg, first_value(nullif(image_url, '')) OVER (PARTITION BY base ORDER BY image_url = '', available_slabs DESC, id) AS img FROM materials) GROUP BY base")

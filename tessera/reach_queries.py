@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import cascade, close, history, places, policy
 from .plans import compare, saved, search
 from .queries import PREFIX, SLABS
-from .sources import feeds, fixture
+from .sources import feeds, fixture, landed, staging
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,3 +186,37 @@ def n18_chips_and_pages(m, s, spark, sf):
     """The pages to link to beside each of many present ones."""
     o = fixture.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40 + 1).alias("number"), (1 + F.col("o_orderkey") % 40).alias("pages")).where("number <= pages")
     return o.select("id", F.array_join(F.transform(search.pages_around(F.col("number"), F.col("pages")), lambda x: x.cast("string")), ",").alias("pages"))
+
+
+# --- landed feeds -------------------------------------------------------------------------------
+
+
+@query("""RAW SELECT provider, count(*) AS items, count(DISTINCT item_name) AS names FROM (
+SELECT 'slabware' AS provider, CAST(p_partkey AS VARCHAR) AS item, p_name AS item_name FROM part UNION ALL SELECT 'stonetrash', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT 'unbuilt', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'iblocky', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT 'slabcloud', p_name, p_name FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT 'genericfeed', CAST(p_partkey AS VARCHAR), p_name FROM part UNION ALL SELECT 'umi', CAST(p_partkey AS VARCHAR), p_name FROM part) GROUP BY 1""")
+def c12_providers(m, s, spark, sf):
+    """Every part as a document of each of seven providers, landed by host and read through the provider's data source."""
+    landed.register(spark)
+    path, k = staging.scratch(spark, "landed"), F.col("p_partkey")
+    p = fixture.table(spark, sf, "part").withColumns({"id": k.cast("string"), "host": F.concat(F.lit("h"), (k % 3).cast("string"))})
+    struct, name = (lambda **c: F.struct(*(v.alias(n) for n, v in c.items()))), F.col("p_name")
+    bodies = {
+        "slabware": struct(Bundles=F.array(struct(id=F.col("id"), nomeMaterial=name))),
+        "stonetrash": struct(id=F.col("id"), title=F.when(k % 3 != 0, name).otherwise(" ")),
+        "unbuilt": struct(data=F.array(struct(id=F.col("id"), title=name, category_path=F.when(k % 2 == 0, "Slabs").otherwise("Sinks")))),
+        "iblocky": struct(form=F.lit("SLAB"), commesse=F.array(struct(id=F.col("id"), material=name, isActive=k % 5 != 0))),
+        "slabcloud": struct(Name=name, Thickness=F.lit("2cm")),
+        "genericfeed": struct(url=F.col("id"), html=F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"'), name, F.lit('"}</script>'))),
+        "umi": struct(items=F.array(struct(item=F.col("id"), MaterialName=name))),
+    }
+    out = None
+    for provider, body in bodies.items():
+        for host in ("h0", "h1", "h2"):
+            p.where(F.col("host") == host).select(F.to_json(body).alias("value")).write.text(f"{path}/{provider}/{host}")
+        read = landed.materials(spark, provider, path)
+        item = F.col("page_id") if provider == "genericfeed" else F.upper("item_name") if provider == "slabcloud" else F.col("item_id")
+        named = read.select(item.alias("item"), F.col("name" if provider == "genericfeed" else "item_name").alias("item_name"))
+        one = named.agg(F.lit(provider).alias("provider"), F.count_distinct("item").alias("items"), F.count_distinct("item_name").alias("names"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -374,17 +374,6 @@ def c19_iblocky(m, s, spark, sf):
     return feeds.iblocky(pages.unionByName(pages))
 
 
-@query("RAW SELECT * FROM (VALUES ('genericfeed', true), ('iblocky', true), ('slabcloud', true), ('slabware', true), ('stoneprofits', false), ('stonetrash', true), ('umi', true), ('unbuilt', true), ('nobody', NULL)) t(name, reads)")
-def c12_providers(m, s, spark, sf):
-    rows = []
-    for name in ("Umi ", "slabware", "stonetrash", "slabcloud", "unbuilt", "genericfeed", "iblocky", None, "nobody"):
-        try:
-            rows.append(((name or "stoneprofits").strip().lower(), feeds.provider(name) is not None))
-        except KeyError:
-            rows.append((name, None))
-    return spark.createDataFrame(rows, "name string, reads boolean")
-
-
 # --- photos ------------------------------------------------------------------------------------
 
 _HELD = """, q AS (SELECT vec_id AS query_id, embedding AS query, supplier_id AS own, material_key AS true_key FROM vectors WHERE vec_id % 100 = 0),
@@ -614,26 +603,38 @@ def c22_api_rows(m, s, spark, sf):
     return store.to_api(s.select("id", "host", F.lit(None).cast("double").alias("miles")))
 
 
-@query("RAW SELECT * FROM (VALUES ('same', ''), ('older', 'materials: missing b; not known here: nothing'), ('newer', 'materials: missing nothing; not known here: c'), ('none', 'no table materials')) t(name, reason)")
-def j14_schema_gate(m, s, spark, sf):
-    table = lambda columns: {"materials": spark.createDataFrame([], ", ".join(f"{c} long" for c in columns))}
-    ours = table("ab")
-    return spark.createDataFrame([(n, store.schema_gate(ours, t)) for n, t in (("same", table("ba")), ("older", table("a")), ("newer", table("abc")), ("none", {}))], "name string, reason string")
-
-
 @query("RAW SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'Marble' ELSE 'Other' END AS material_type, p_name || '|' || CASE p_type WHEN 'PROMO' THEN 'marble' ELSE 'other' END AS material_key, CASE WHEN split_part(p_name, ' ', 1) = 'red' THEN 'Red' WHEN split_part(p_name, ' ', 1) = 'blue' THEN 'Blue' ELSE '' END AS color, 'Honed' AS finish, '3cm' AS thickness FROM part")
 def c20_built_rows(m, s, spark, sf):
     raw = fixture.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_type") == "PROMO", "Natural MARBLE").otherwise("").alias("category"), F.lit(None).cast("string").alias("subcategory"), F.concat("p_name", F.lit(" Honed 3CM (lot 7)")).alias("item_name"), F.lit("1054").alias("color"), F.lit("n/a").alias("finish"), F.lit("").alias("thickness"), F.lit("SF").alias("uom"))
     return nightly.normalized(raw).select("p_partkey", "material_type", "material_key", "color", "finish", "thickness")
 
 
-@query(f"SELECT date_trunc('year', crawled_at) AS snapshot_date, supplier_id, CAST(sum({SLABS}) AS BIGINT) AS slabs FROM materials GROUP BY 1, 2")
+@query(f"SELECT date_trunc('year', crawled_at) AS snapshot_date, supplier_id, base AS name_norm, thickness, product_form, CAST(sum({SLABS}) AS BIGINT) AS slabs FROM materials GROUP BY ALL")
 def r1_streamed_snapshots(m, s, spark, sf):
-    """A stream of landed listings, snapshotted by year and supplier."""
+    """A stream of landed listings, snapshotted by year: every crawl is cut over three batches, and follows one of other listings."""
     from .streaming import snapshots
 
     landed, path = _path(spark, "landed"), _path(spark, "snapshots")
-    m.write.parquet(landed)
-    stream = spark.readStream.schema(m.schema).parquet(landed)
+    rows = m.withColumn("crawl", F.lit(2))
+    wrong = m.where("product_form = 'Slab'").withColumns({"available_slabs": F.col("available_slabs") * 3, "crawl": F.lit(1)})
+    for i, part in enumerate((wrong, *(rows.where(F.pmod("id", F.lit(3)) == j) for j in range(3)))):
+        part.coalesce(1).write.parquet(f"{landed}/{i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/*")
     snapshots.follow(stream, path, _path(spark, "stream"), "year").awaitTermination()
-    return spark.read.parquet(path).groupBy("snapshot_date", "supplier_id").agg(F.sum("slabs").alias("slabs")).withColumn("supplier_id", F.col("supplier_id").cast("long"))
+    return snapshots.read(spark, path).select("snapshot_date", "supplier_id", "name_norm", "thickness", "product_form", "slabs")
+
+
+# --- gates --------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'same' AS name, '' AS reason, count(*) AS rows FROM materials UNION ALL SELECT 'older', 'materials: missing color; not known here: nothing', 0 UNION ALL SELECT 'newer', 'materials: missing nothing; not known here: color2', 0 UNION ALL SELECT 'none', 'no table materials', 0""")
+def j14_schema_gate(m, s, spark, sf):
+    """Of four catalogs of the same listings only the one with our columns may come over."""
+    ours, theirs = {"materials": m}, {"same": {"materials": m.select(*sorted(m.columns))}, "older": {"materials": m.drop("color")}, "newer": {"materials": m.withColumn("color2", F.lit(""))}, "none": {}}
+    out = None
+    for name, tables in theirs.items():
+        reason = store.schema_gate(ours, tables)
+        rows = tables["materials"] if not reason else m.limit(0)
+        one = rows.agg(F.lit(name).alias("name"), F.lit(reason).alias("reason"), F.count(F.lit(1)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,7 +7,9 @@ finer buckets, twice. Documents are then filtered by comparing their hash with t
 sort, and a larger budget takes a superset.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order). Rows that
-agree in doc_id and text share a hash and go together. Empty tables give no rows. Documents of
+agree in doc_id and text have a hash each, by their number among equal ones, so that some of them
+can be taken once more and others not. Where one document fewer and one more are equally far from a
+budget, the larger choice counts. Empty tables give no rows. Documents of
 size 0 are listed with taken 0; mixed() takes or repeats them as their hash says, like the others.
 Very long texts only count more words. Columns other than doc_id, text and source pass through
 mixed() whatever their names; mix() returns its own columns only.
@@ -24,13 +26,39 @@ from .common import SPACE, stage
 BITS = (12, 12)
 #: A source gives at most so many times its words.
 MOST = 3
+#: Equal rows that one task numbers.
+EQUAL = 4096
+
+
+def words(text: Column) -> Column:
+    """The number of words of a whole text."""
+    return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{SPACE}]+", "a"), f"[{SPACE}]+", "")).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): words of the whole text, and the hash that orders the documents of a source."""
-    text = F.coalesce("text", F.lit(""))
-    trimmed = F.regexp_replace(F.regexp_replace(text, f"[^{SPACE}]+", "a"), f"[{SPACE}]+", "")
-    return docs.select("doc_id", "source", F.length(trimmed).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with a hash of their own for rows that are equal: they are counted, and their numbers, from 0, go into it; many equal ones are numbered in several tasks."""
+    groups = sized.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("c"))
+    parts = groups.where("c > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(EQUAL).cast("long"))).alias("lo")).repartition("h", "lo")
+    each = parts.select("*", F.explode(F.sequence("lo", F.least(F.col("lo") + EQUAL, F.col("c")) - 1)).alias("i"))
+    again = each.withColumn("h", F.when(F.col("i") == 0, F.col("h")).otherwise(F.xxhash64("h", "i")))
+    return groups.where("c = 1").select(*sized.columns).unionByName(again.select(*sized.columns))
+
+
+def own_hash(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id and text) with h, that of sizes; of rows that are equal in them each in a task has another."""
+    first = docs.withColumns({"h": F.xxhash64("doc_id", "text"), "_p": F.spark_partition_id()})
+    twice = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "equal")
+    if twice.limit(1).count() == 0:
+        return first.drop("_p")
+    many = first.join(twice, "h", "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy("h", "_p").orderBy(F.xxhash64(*docs.columns))))
+    told = many.withColumn("h", F.xxhash64("h", "_p", "_i"))
+    names = [*docs.columns, "h"]
+    return first.join(twice, "h", "left_anti").select(*names).unionByName(told.select(*names))
 
 
 def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
@@ -115,7 +143,7 @@ def apply_mix(rows: DataFrame, plan: DataFrame, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document, and its words times that."""
-    sized = stage(sizes(docs), "sizes")
+    sized = stage(numbered(sizes(docs)), "sizes")
     return apply_mix(sized, plan_mix(sized, weights, most), most).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h"
     )
@@ -123,6 +151,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
     """docs as often as the mix takes them, in docs' columns."""
-    plan = plan_mix(stage(sizes(docs), "sizes"), weights, most)
-    named = docs.select(F.struct(*docs.columns).alias("_doc"), "source", F.xxhash64("doc_id", "text").alias("h"))
-    return apply_mix(named, plan, most).select(F.explode(F.array_repeat("_doc", F.col("copies").cast("int"))).alias("_doc")).select("_doc.*")
+    named = own_hash(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source"))
+    sized = stage(named.select("source", words(F.col("text")).alias("size"), "h"), "sizes")
+    plan = plan_mix(sized, weights, most)
+    return apply_mix(named.drop("doc_id", "text"), plan, most).select(F.explode(F.array_repeat("_doc", F.col("copies").cast("int"))).alias("_doc")).select("_doc.*")

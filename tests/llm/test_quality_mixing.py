@@ -4,6 +4,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.mixing import mix
 from tessera.llm.queries import op8_source_mixing, op10_quality_rules
@@ -112,3 +113,31 @@ def test_mixing_budgets_nest(spark):
             assert abs(sum(r["size"] for r in picked if r.source == s) - extra) <= 3.5
         assert before <= (now := {r.doc_id for r in picked})
         before = now
+
+
+def test_mixing_equal_rows(spark):
+    """Equal rows are taken one by one: a source of copies comes as near its target as any."""
+    from tessera.llm.mixing import mixed
+
+    rows = [(7, "w " * 10, "en", "a", None)] * 100 + [(i, "w " * 10, "en", "b", None) for i in range(100, 160)] + [(1, "x y", "en", "c", None)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = mix(docs).collect()
+    want = by_hand({"a": 1000, "b": 600, "c": 6})
+    assert len(out) == len(rows)
+    for s, near in (("a", 5), ("b", 5), ("c", 1)):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - want[s]) <= near, s
+        assert all(r.taken in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in mine)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, mix(docs).collect()))
+    whole = collections.Counter(r.source for r in mixed(docs.withColumn("h", F.lit(1)).withColumn("copies", F.lit("x"))).collect())
+    assert abs(10 * whole["a"] - want["a"]) <= 5 and abs(10 * whole["b"] - want["b"]) <= 5 and abs(2 * whole["c"] - want["c"]) <= 1
+
+
+def test_mixing_ties(spark):
+    """Half a document is as near as none: the larger choice counts, here and wherever a budget ends."""
+    from tessera.llm.mixing import sizes, thresholds
+
+    sized = sizes(spark.createDataFrame([(i, "w " * 4, "en", "s", None) for i in range(40)], SCHEMA)).cache()
+    for extra in (2.0, 6.0, 78.0):
+        upto = thresholds(sized, spark.createDataFrame([("s", extra)], "source string, extra double")).first().upto
+        assert sum(4 for r in sized.collect() if (r.h ^ -(1 << 63)) <= upto) == extra + 2

@@ -6,9 +6,13 @@ content with <article> (or, without one, <main>). On such pages the marks themse
 the best sum. A zone that is never content (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is told by its element, its role or a class or id of which
 every word names one; it counts as one negative tag, learned by name, so that the region can go on
-after it, and its words are left out. Nothing else inside the region is left out.
+after it, and its words are left out. Inside marked content a name that may as well be one of the
+article's own parts (related work, a notice, what is shared) only makes a zone of what scores like
+one: whose words outside links, less twice those in links, are fewer than OWN. Nothing else inside
+the region is left out.
 
 A null page is empty. Pages without words give an empty text. Repeated rows are read each for itself.
+Of several marked contents with text between them the region that scores best counts.
 Unclosed elements end where an enclosing one does; a zone that is never closed ends at <article>,
 <main> or a heading of the first level, and a form around one of these is no zone. Of equally good
 regions the one that ends first counts, and of those the shortest. Pages are read in one pass, in
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 
 # Elements of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object canvas audio video".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select object canvas audio video".split())
 ZONES = frozenset("nav footer aside form head button menu dialog".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover".split())
 CONTENT = frozenset("article main".split())
 #: Elements whose start ends an open paragraph, and the open elements that each of some ends.
 BLOCKS = frozenset("p li td th tr option dt dd h1 h2 h3 h4 h5 h6 div ul ol dl table section footer header nav aside article main blockquote pre figure form hr".split())
@@ -45,6 +49,13 @@ ZONE_WORDS = frozenset(
     "comment comments commentlist respond disqus replies reply pager pagination login search toolbar skip".split()
 )
 BESIDE = frozenset("site page main top bottom left right list box block section area wrapper wrap container bar links link posts articles stories buttons button form item items slot unit inner thread text message primary secondary global bottom fixed sticky js".split())
+#: Words that name zones wherever they stand; the others may name parts of an article.
+STRICT = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "breadcrumb breadcrumbs pager pagination login comment comments commentlist respond disqus replies reply".split()
+)
+#: So many words make a part of an article of what its name alone would make a zone.
+OWN = 12
 HEADER_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies reply".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
@@ -83,7 +94,7 @@ def zone_name(tag: str, attributes: str, inside: bool) -> str:
         if name == "hidden":
             return "hidden"
         if name == "role" and value.strip() in ROLES:
-            return value.strip()
+            return f"role-{value.strip()}"
         if name in ("class", "id") and tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             # inside the content an id is as likely the slug of a heading
             if found := _named(value, COMMENT_WORDS if name == "id" and inside else words):
@@ -156,14 +167,25 @@ def tokens(page: str) -> list[tuple[str, int, int, str]]:
     bottom = _Open("", "", False, "", -1)
     stack: list[_Open] = []
     zoned: list[int] = []  # the places of open zones in the stack
+    part: list[int] = []  # of an open part of marked content that its name makes a zone unless its words don't: places in the stack and in out, words, words in links
     there: Counter = Counter()  # open elements by tag
     inside = block = 0
 
+    def judge() -> None:
+        at = part[1]
+        if part[2] - 2 * part[3] >= OWN:
+            out[at] = ("+tag:section", 0, -1, "")
+        else:
+            out[at + 1 :] = [(t if t[0] == "~" else f"~{t.lstrip('+')}", n, -1, "") for t, n, _, _ in out[at + 1 :]]
+        part.clear()
+
     def pop(k: int) -> None:
         nonlocal inside
         while len(stack) > k:
             e = stack.pop()
             there[e.tag] -= 1
+            if part and part[0] == len(stack):
+                judge()
             if zoned and zoned[-1] == len(stack):
                 zoned.pop()
             elif e.tag == mark and not zoned:
@@ -177,8 +199,10 @@ def tokens(page: str) -> list[tuple[str, int, int, str]]:
             n = len(decoded.split())
             t = ("link:" if top.link else "word:") + (top.where if top.where in _PLACES else "other")
             out.append((f"~{t}", n, -1, "") if zoned else (f"+{t}" if inside else t, n, block, decoded))
+            if part and not zoned:
+                part[3 if top.link else 2] += n
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:  # what is left out inside a line doesn't end it
             block += 1
         if kind == "close":
             before = bool(zoned)
@@ -203,6 +227,14 @@ def tokens(page: str) -> list[tuple[str, int, int, str]]:
             while stack and (k := stack[-1].block) >= 0 and (stack[k].tag == "p" or stack[k].tag in ENDS.get(tag, ())):
                 pop(k)
         name = zone_name(tag, text, bool(inside))
+        if name and inside and not zoned and tag not in ZONES and name in ZONE_WORDS and name not in STRICT and tag not in VOID and not text.endswith("/"):
+            if not part:
+                part += [len(stack), len(out), 0, 0]
+                out.append((f"zone:{name}", 0, -1, ""))
+                stack.append(_Open(tag, "", bool(stack) and stack[-1].link, tag, len(stack)))
+                there[tag] += 1
+                continue
+            name = ""
         if not zoned:
             t = f"zone:{name}" if name else f"tag:{tag}" if tag in _TAGS else "tag:other"
             out.append(("tag:+article" if tag == mark and not name else f"+{t}" if inside else t, 0, -1, ""))
@@ -220,6 +252,8 @@ def tokens(page: str) -> list[tuple[str, int, int, str]]:
             zoned.append(len(stack) - 1)
         elif tag == mark and not zoned:
             inside += 1
+    if part:
+        judge()
     return out
 
 

@@ -112,3 +112,37 @@ def test_odd_rows(spark):
     assert [got[i] for i in (0, 1, 4, 6)] == ["", "", "no tags at all", "deep"]
     assert got[9].count("a") == 20000
     assert html_text.main_text(df.where("false")).count() == 0
+
+
+LONG = "These are a dozen words and more that belong to the article, whatever the part they stand in is named."
+
+
+@pytest.mark.parametrize("part", ['section class="related"', 'div class="notice"', 'div class="social"', 'section class="share"', 'div class="list menu"', 'div class="sidebar box"', 'section class="search"'])
+def test_parts_of_an_article_speak_for_themselves(part):
+    tag = part.split()[0]
+    made = lambda inner: html_text.extract(f"{HEAD}<article><p>One two three.</p><{part}>{inner}</{tag}><p>Then more.</p></article>{FOOT}", OF)
+    assert made(f"<h2>Related</h2><p>{LONG}</p>") == f"One two three.\n\nRelated\n\n{LONG}\n\nThen more."
+    assert made("<p>Share this:</p><ul>" + "<li><a href=x>Somewhere else to go on</a></li>" * 9 + "</ul>") == "One two three.\n\nThen more."
+    assert made(f"<p>{LONG}</p><div class='ad'>Buy now</div><div class='comments'><p>{LONG}</p></div>") == f"One two three.\n\n{LONG}\n\nThen more."
+    nested = made(f"<div class='share'><p>{LONG}</p></div>")
+    assert nested == f"One two three.\n\n{LONG}\n\nThen more."
+
+
+@pytest.mark.parametrize("zone", ["div class=ad", "div class=comments", "div class='newsletter signup'", "div class=cookie", "aside", "div role=banner"])
+def test_zones_are_left_out_however_long(zone):
+    assert html_text.extract(f"{HEAD}<article><p>One two three.</p><{zone}><p>{LONG}</p></{zone.split()[0]}><p>Then more.</p></article>{FOOT}", OF) == "One two three.\n\nThen more."
+
+
+def test_what_stands_inside_a_line():
+    assert html_text.extract("<article><p>One x<script>var a</script>y two<style>p{}</style> three.</p></article>", OF) == "One xy two three."
+    assert html_text.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p></article>", OF) == "Let x=2 be so."
+    two = "<article><h1>One</h1><p>First article here.</p></article><article><h1>Two</h1><p>Second article here.</p></article>"
+    assert html_text.extract(HEAD + two + FOOT, OF) == "One\n\nFirst article here.\n\nTwo\n\nSecond article here."
+
+
+def test_parts_take_time_of_their_length():
+    n = 20_000
+    for page in ("<article>" + "<div class=share>" * n + "a b " * n, "<article>" + "<div class=share>a</div>" * n, "<article><div class=menu>" + "<div class=share><p>a b c d e f g h i j k l m" * n):
+        began = time.process_time()
+        html_text.extract(page, OF)
+        assert time.process_time() - began < 10

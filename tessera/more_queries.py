@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .operators import entity, policy, rollup
+from .operators import entity, policy, rollup, status
 from .plans import pages, search
-from .queries import INNER, PREFIX, SLABS, _TOTALS, _totals
+from .queries import _TOTALS, _TRIED, INNER, PREFIX, SLABS, _totals, _tried
 from .sources import fixture, store
 
 QUERIES: dict = {}
@@ -131,10 +131,15 @@ def a16_item_variants(m, s, spark, sf):
     return m.where(F.col("item_id").isin("7", "11")).groupBy("item_id", "supplier_id", "thickness", "product_form").agg(F.sum("available_slabs").alias("slabs"))
 
 
-@query("SELECT s.id, coalesce(nullif(company, ''), host) AS name, location, last_error, n.listings, n.last FROM suppliers s LEFT JOIN (SELECT supplier_id, count(*) AS listings, max(crawled_at) AS last FROM materials GROUP BY 1) n ON n.supplier_id = s.id")
+@query(_TRIED + """, tried AS (SELECT supplier_id AS id, CASE supplier_id % 5 WHEN 0 THEN newest + INTERVAL 24 HOUR WHEN 1 THEN newest + INTERVAL 25 HOUR WHEN 2 THEN TIMESTAMP '2001-10-31' WHEN 3 THEN newest END AS last_crawled FROM f)
+SELECT s.id, coalesce(nullif(company, ''), host) AS name, CASE WHEN s.id % 5 <> 0 THEN '555-' || s.id END AS phone, coalesce(n.n, 0) AS items, CASE WHEN coalesce(n.n, 0) > 0 THEN CASE WHEN last_error <> '' THEN 'stale' ELSE 'ok' END WHEN last_error <> '' THEN 'broken' ELSE 'empty' END AS status,
+round((epoch(TIMESTAMP '2002-06-01') - floor(epoch(tried.last_crawled))) / 3600, 2) AS age_hours, round((epoch(TIMESTAMP '2002-06-01') - floor(epoch(n.last))) / 3600, 2) AS data_age_hours, s.id IN (SELECT supplier_id FROM r) AS residue
+FROM suppliers s LEFT JOIN tried ON tried.id = s.id LEFT JOIN (SELECT supplier_id, count(*) AS n, max(crawled_at) AS last FROM materials GROUP BY 1) n ON n.supplier_id = s.id""")
 def q11_supplier_health(m, s, spark, sf):
-    n = m.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("listings"), F.max("crawled_at").alias("last"))
-    return s.join(n, F.col("id") == F.col("supplier_id"), "left").select("id", F.coalesce(F.nullif("company", F.lit("")), "host").alias("name"), "location", "last_error", "listings", "last")
+    """Every supplier's contacts and state, when it was last tried and how old what it serves is."""
+    tried = _tried(m, s)
+    phone = F.when(F.col("id") % 5 != 0, F.concat(F.lit("555-"), F.col("id").cast("string")))
+    return status.health_page(tried.withColumn("phone", phone), m, rollup.residue(m, tried), F.lit("2002-06-01").cast("timestamp")).drop("email")
 
 
 _PLACES = "CASE WHEN s.id % 9 = 0 THEN '' WHEN s.id % 9 = 1 THEN 'Warehouse B' ELSE location END"

@@ -109,3 +109,14 @@ def shown(alerts: DataFrame, most: int = 300) -> DataFrame:
 def unread(alerts: DataFrame, seen: DataFrame) -> DataFrame:
     """Alerts whose signature (sig) hasn't been seen."""
     return alerts.join(seen.select("sig").distinct(), "sig", "left_anti")
+
+
+def stock_changes(history: DataFrame, materials: DataFrame, most: int = 600, each: int = 300) -> DataFrame:
+    """(kind, nth, supplier_id, name_norm, thickness, slabs, id) of what is back in stock or newly listed since each supplier's previous snapshot and still has a listing (id: the first): the `most` deepest, of them `each` of a kind."""
+    up = listings(history).where("latest > 0 and (previous is null or previous = 0)")
+    kind = F.when(F.col("previous").isNull(), "listed").otherwise("restock")
+    rows = up.select(kind.alias("kind"), "supplier_id", "name_norm", "thickness", F.col("latest").alias("slabs"))
+    now = materials.groupBy("supplier_id", F.col("base").alias("name_norm"), "thickness").agg(F.min("id").alias("id"))
+    deepest = rows.orderBy(F.desc("slabs"), "supplier_id", "name_norm", "thickness").limit(most).join(now, ["supplier_id", "name_norm", "thickness"])
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("slabs"), "supplier_id", "name_norm", "thickness"))
+    return deepest.withColumn("nth", nth).where(F.col("nth") <= each).select("kind", "nth", "supplier_id", "name_norm", "thickness", "slabs", "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import entity, policy
@@ -63,3 +63,29 @@ def badge(health_rows: DataFrame, triage_rows: DataFrame, pending_row: DataFrame
     two = triage_rows.agg(F.count(F.when(F.col("status") == "unprobed", 1)).alias("discovery"))
     three = pending_row.select((F.col("conflicts") + F.col("spellings")).alias("quality"))
     return one.join(F.broadcast(two), F.lit(True), "left").join(F.broadcast(three), F.lit(True), "left").withColumn("total", F.col("health") + F.col("discovery") + F.col("quality"))
+
+
+def health_page(suppliers: DataFrame, materials: DataFrame, residue: DataFrame, now: Column) -> DataFrame:
+    """(id, name, phone, email, items, status, age_hours, data_age_hours, residue) of every supplier: when it was last tried, and how old what it serves is. residue: (supplier_id) of those that serve what the last try failed to replace."""
+    data = materials.groupBy("supplier_id").agg(F.max("crawled_at").alias("_data_at"), F.count(F.lit(1)).alias("_listings"))
+    items = F.coalesce("item_count", "_listings") if "item_count" in suppliers.columns else F.col("_listings")
+    hours = lambda at: F.round((F.unix_timestamp(now) - F.unix_timestamp(at)) / 3600, 2)
+    own = lambda c: F.col(c) if c in suppliers.columns else F.lit(None).cast("string")
+    rows = suppliers.join(data, F.col("id") == F.col("supplier_id"), "left").drop("supplier_id").join(residue.select(F.col("supplier_id").alias("id"), F.lit(True).alias("_old")).distinct(), "id", "left")
+    return rows.select(
+        "id", F.coalesce(F.nullif("company", F.lit("")), "host").alias("name"), own("phone").alias("phone"), own("email").alias("email"), F.coalesce(items, F.lit(0)).alias("items"),
+        supplier_status(F.col("last_error"), items).alias("status"), hours(F.try_to_timestamp(F.col("last_crawled").cast("string"))).alias("age_hours"), hours(F.col("_data_at")).alias("data_age_hours"), F.coalesce("_old", F.lit(False)).alias("residue"),
+    )
+
+
+def quality_counts(materials: DataFrame) -> DataFrame:
+    """One row: listings, and how many lack a photo, a colour, a thickness or an identifier."""
+    none = lambda c: F.count(F.when(F.coalesce(c, F.lit("")) == "", 1))
+    return materials.agg(F.count(F.lit(1)).alias("listings"), none("image_url").alias("no_image"), none("color").alias("no_color"), none("thickness").alias("no_thickness"), none("idone").alias("no_ident"))
+
+
+def cluster_preview(clusters: DataFrame, by: list[str], most: int = 4) -> DataFrame:
+    """(nth, *by, canonical, suppliers, slabs) of the clusters with the widest reach, then the deepest; members are as conflict_clusters and spelling_clusters have them."""
+    sums = clusters.groupBy(*by, "canonical").agg(F.sum("suppliers").alias("suppliers"), F.sum("slabs").alias("slabs"))
+    first = sums.orderBy(F.desc("suppliers"), F.desc("slabs"), *by).limit(most)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("suppliers"), F.desc("slabs"), *by)).alias("nth"), *by, "canonical", "suppliers", "slabs")

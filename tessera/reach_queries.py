@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cascade, close, history, places, policy
-from .plans import compare, saved, search
-from .queries import PREFIX, SLABS
+from .operators import cascade, close, curation, entity, history, places, policy, rollup, status
+from .plans import compare, pages, saved, search
+from .queries import _TRIED, HISTORY, INNER, PREFIX, SLABS, TILE, _history, _tried
 from .sources import feeds, fixture, landed, staging
 
 QUERIES: dict = {}
@@ -220,3 +220,78 @@ def c12_providers(m, s, spark, sf):
         one = named.agg(F.lit(provider).alias("provider"), F.count_distinct("item").alias("items"), F.count_distinct("item_name").alias("names"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- pages --------------------------------------------------------------------------------------
+
+_ASKED = ", a AS (SELECT * FROM materials WHERE id IN (SELECT min(id) FROM materials GROUP BY supplier_id))"
+
+
+def _asked(m):
+    return m.groupBy("supplier_id").agg(F.min("id").alias("id")).select("id")
+
+
+@query(_TRIED + _ASKED + """, p AS (SELECT base, max_by(image_url, (available_slabs, -id)) AS rep FROM materials WHERE image_url <> '' GROUP BY 1)
+SELECT a.id, item_name, material_key, supplier_id, coalesce(nullif(company, ''), host) AS supplier_name, supplier_id IN (SELECT supplier_id FROM r) AS is_residue, coalesce(nullif(image_url, ''), rep) AS photo FROM a JOIN suppliers s ON s.id = supplier_id LEFT JOIN p ON p.base = a.base""")
+def q4_item_page(m, s, spark, sf):
+    """The first listing of every supplier with what its page says of it."""
+    return pages.item_pages(m, s, _asked(m), rollup.residue(m, _tried(m, s)))["item"]
+
+
+@query(_ASKED + f""", o AS (SELECT material_key, supplier_id, min(id) AS id, count(*) AS variants, CAST(sum({SLABS}) AS BIGINT) AS slabs, max(CAST({TILE} AS INT)) AS has_tile, max(image_url) AS image_url FROM materials GROUP BY 1, 2)
+SELECT a.id AS of, o.supplier_id, o.id, variants, slabs, has_tile, o.image_url, coalesce(nullif(company, ''), host) AS supplier_name FROM a JOIN o ON o.material_key = a.material_key JOIN suppliers s ON s.id = o.supplier_id""")
+def q4_item_others(m, s, spark, sf):
+    return pages.item_pages(m, s, _asked(m), m.limit(0))["others"]
+
+
+@query(_ASKED + f""", v AS (SELECT supplier_id, material_key, base, thickness, product_form, min(id) AS id, CAST(sum({SLABS}) AS BIGINT) AS slabs, max(CAST({TILE} AS INT)) AS has_tile, max(image_url) AS image_url FROM materials GROUP BY 1, 2, 3, 4, 5)
+SELECT a.id AS of, v.id, v.thickness, v.product_form, slabs, has_tile, v.image_url FROM a JOIN v ON v.supplier_id = a.supplier_id AND v.material_key = a.material_key WHERE NOT (v.base = a.base AND v.thickness = a.thickness AND v.product_form = a.product_form)""")
+def q4_item_variants(m, s, spark, sf):
+    return pages.item_pages(m, s, _asked(m), m.limit(0))["variants"]
+
+
+@query(HISTORY + """, c AS (SELECT CASE WHEN previous IS NULL THEN 'listed' ELSE 'restock' END AS kind, supplier_id, name_norm, thickness, latest AS slabs, row_number() OVER (ORDER BY latest DESC, supplier_id, name_norm, thickness) AS top FROM both_ WHERE latest > 0 AND (previous IS NULL OR previous = 0)),
+n AS (SELECT c.*, row_number() OVER (PARTITION BY kind ORDER BY slabs DESC, supplier_id, name_norm, thickness) AS nth FROM c WHERE top <= 600) SELECT kind, nth, n.supplier_id, name_norm, n.thickness, slabs, (SELECT min(id) FROM materials m WHERE m.supplier_id = n.supplier_id AND m.base = name_norm AND m.thickness = n.thickness) AS id FROM n WHERE nth <= 300""")
+def q18_whats_new(m, s, spark, sf):
+    """What is back in stock or newly listed, as the page shows it."""
+    return history.stock_changes(_history(m), m)
+
+
+@query(INNER.replace("FROM materials", "FROM (SELECT * FROM materials WHERE new_arrival = 1) materials") + "SELECT grp, suppliers, available_slabs, total_slabs FROM rollup_ ORDER BY suppliers DESC, available_slabs DESC, material_key, grp LIMIT 60")
+def q18_arrivals_page(m, s, spark, sf):
+    """The first page of new arrivals."""
+    found = search.search(m, s, "", search.Filters(new_only=True), size=60)
+    return found.products.select("grp", "suppliers", "available_slabs", "total_slabs")
+
+
+_KEYS = ", k AS (SELECT material_key, split_part(material_key, '|', 1) AS base, split_part(material_key, '|', -1) AS type, count(DISTINCT supplier_id) AS suppliers, CAST(sum(available_slabs) AS BIGINT) AS slabs FROM materials GROUP BY 1)"
+
+
+@query(_KEYS + """, c AS (SELECT base, arg_min(material_key, (CAST(type IN ('other', 'natural stone', '') AS INT), -suppliers, -slabs, material_key)) AS canonical, CAST(sum(suppliers) AS BIGINT) AS suppliers, CAST(sum(slabs) AS BIGINT) AS slabs FROM k GROUP BY 1 HAVING count(DISTINCT type) >= 2)
+SELECT row_number() OVER (ORDER BY suppliers DESC, slabs DESC, base) AS nth, * FROM c QUALIFY nth <= 4""")
+def q13_conflict_preview(m, s, spark, sf):
+    """The four widest of the clusters that wait for a curator."""
+    return status.cluster_preview(entity.conflict_clusters(m), ["base"])
+
+
+@query(_KEYS.replace("FROM materials", "FROM z").replace(", k AS", ", z AS (SELECT * REPLACE (CASE WHEN supplier_id % 2 = 0 THEN replace(material_key, ' ', '-') ELSE material_key END AS material_key) FROM materials), k AS") + """, c AS (SELECT type, regexp_replace(base, '[^a-z0-9]', '', 'g') AS norm, arg_min(material_key, (-suppliers, -slabs, material_key)) AS canonical, CAST(sum(suppliers) AS BIGINT) AS suppliers, CAST(sum(slabs) AS BIGINT) AS slabs FROM k GROUP BY 1, 2 HAVING count(DISTINCT base) >= 2)
+SELECT row_number() OVER (ORDER BY suppliers DESC, slabs DESC, type, norm) AS nth, * FROM c QUALIFY nth <= 4""")
+def q13_spelling_preview(m, s, spark, sf):
+    spelt = m.withColumn("material_key", F.when(F.col("supplier_id") % 2 == 0, F.replace("material_key", F.lit(" "), F.lit("-"))).otherwise(F.col("material_key")))
+    return status.cluster_preview(curation.spelling_clusters(spelt), ["type", "norm"])
+
+
+@query("SELECT source, count(*) FILTER (WHERE id % (nth + 2) = 0) AS hosts, count(*) FILTER (WHERE id % (nth + 2) = 0 AND NOT (nth > 0 AND id % 2 = 0 OR nth > 1 AND id % 3 = 0 OR nth > 2 AND id % 4 = 0 OR nth > 3 AND id % 5 = 0 OR nth > 4 AND id % 6 = 0)) AS new FROM suppliers, (VALUES (0, 'certificates'), (1, 'passive names'), (2, 'scans'), (3, 'host search'), (4, 'subdomains'), (5, 'web search')) t(nth, source) GROUP BY nth, source")
+def c23_hosts_by_source(m, s, spark, sf):
+    """Hosts in the six forms that public indexes answer in: JSON of names, of records and of pages, a table, a list, and a page of results."""
+    h = F.col("host")
+    forms = {
+        "certificates": F.to_json(F.struct(F.concat(F.lit("*."), h, F.lit(" "), F.upper(h)).alias("name_value"))), "passive names": F.to_json(F.struct(F.array(F.struct(h.alias("hostname"), F.lit("1.2.3.4").alias("address"))).alias("passive_dns"))),
+        "scans": F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("https://"), h, F.lit("/slabs?x=1")).alias("url"))).alias("results"))), "host search": F.concat(h, F.lit(",10.0.0.1")),
+        "subdomains": F.concat(F.lit('["'), h, F.lit('","api-1.example.com"]')), "web search": F.concat(F.lit('<a href="//x/?u=https%3A%2F%2Fy">'), h, F.lit("</a> <b>other.example.company</b> www.example.com.br")),
+    }
+    texts = None
+    for rank, (source, text) in enumerate(forms.items()):
+        one = s.where(F.col("id") % (rank + 2) == 0).select(F.lit(rank).alias("rank"), F.lit(source).alias("source"), text.alias("text"))
+        texts = one if texts is None else texts.unionByName(one)
+    return feeds.hosts_by_source(texts, "example.com", ("api", "www"))

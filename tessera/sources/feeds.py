@@ -34,13 +34,28 @@ def products(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "p.name", "p.sku", "p.category", "p.image", offer_price(F.col("p.offers")).alias("price"))
 
 
-def hosts_in(texts: DataFrame, base: str, infra: tuple[str, ...]) -> DataFrame:
-    """(host, source): hosts under base that end where they are named, without infrastructure, each with the first source (source, text) that names it."""
+def hosts_of(texts: DataFrame, base: str, infra: tuple[str, ...]) -> DataFrame:
+    """(source, host): hosts under base in texts (source, text) that end where they are named, without infrastructure."""
     pattern = rf"([a-z0-9][a-z0-9-]*\.{re.escape(base)})(?![a-z0-9.-])"
     hosts = texts.select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1))).alias("host"))
     label = F.split_part("host", F.lit("."), F.lit(1))
     none = F.exists(F.array(*map(F.lit, infra)), lambda s: (label == s) | label.startswith(F.concat(s, F.lit("-")))) if infra else F.lit(False)
-    return hosts.where(~none).groupBy("host").agg(F.min("source").alias("source"))
+    return hosts.where(~none)
+
+
+def hosts_in(texts: DataFrame, base: str, infra: tuple[str, ...]) -> DataFrame:
+    """(host, source): the hosts of texts, each with the first source that names it."""
+    return hosts_of(texts, base, infra).groupBy("host").agg(F.min("source").alias("source"))
+
+
+def hosts_by_source(texts: DataFrame, base: str, infra: tuple[str, ...]) -> DataFrame:
+    """(source, hosts, new) of texts (rank, source, text): how many hosts each index names, and how many that none of a smaller rank does. Texts are read alike whatever their form."""
+    ranked = texts.select(F.struct("rank", "source").alias("source"), "text")
+    each = ranked.select("source").distinct()
+    named = hosts_of(ranked, base, infra).distinct()
+    first = named.groupBy("host").agg(F.min("source").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("new"))
+    counts = each.join(named.groupBy("source").agg(F.count(F.lit(1)).alias("hosts")), "source", "left").join(first, "source", "left")
+    return counts.select("source.source", F.coalesce("hosts", F.lit(0)).alias("hosts"), F.coalesce("new", F.lit(0)).alias("new"))
 
 
 def new_hosts(found: DataFrame, known: DataFrame, denied: DataFrame, test_labels: tuple[str, ...] = ("test", "staging", "demo", "dev")) -> DataFrame:

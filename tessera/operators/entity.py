@@ -106,10 +106,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(60):
         near = both.join(now, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"))
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        after = staged(near.join(up, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_up", "root")).alias("root")), "roots")
-        moved = after.join(now.withColumnRenamed("root", "_was"), "node").where("root <> _was").limit(1).count()
-        now = after
-        if not moved:
+        met = near.join(up, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_up", "root")).alias("root"))
+        after = staged(met.join(now.withColumnRenamed("root", "_was"), "node").select("node", "root", (F.col("root") != F.col("_was")).alias("moved")), "roots")
+        now = after.drop("moved")
+        if after.where("moved").limit(1).count() == 0:
             return now
     raise RuntimeError("components did not settle")
 
@@ -128,10 +128,9 @@ def mirror_pairs(materials: DataFrame, suppliers: DataFrame, overlap: float) ->
     equal = same.where("rep <> supplier_id").select(F.col("rep").alias("a"), F.col("supplier_id").alias("b"))
     own = staged(items.join(same.where("rep = supplier_id").select("supplier_id", "n"), "supplier_id"), "items")
     often = own.groupBy("token", "item_id").agg(F.count(F.lit(1)).alias("c"))
-    rare = Window.partitionBy("supplier_id").orderBy("c", "item_id")
-    first = own.join(often, ["token", "item_id"]).where("c > 1").withColumn("_rn", F.row_number().over(rare))
-    lonely = own.join(often, ["token", "item_id"]).groupBy("supplier_id").agg(F.sum((F.col("c") == 1).cast("long")).alias("_alone"))  # items that nobody else has come first
-    first = first.join(lonely, "supplier_id").where(F.col("_rn") + F.col("_alone") <= F.col("n") - F.ceil(overlap * F.col("n") - 1e-9) + 1)
+    rare = Window.partitionBy("supplier_id").orderBy("c", "item_id")  # items that nobody else has come first, and meet nobody
+    ranked = own.join(often, ["token", "item_id"]).withColumn("_rn", F.row_number().over(rare))
+    first = staged(ranked.where((F.col("_rn") <= F.col("n") - F.ceil(overlap * F.col("n") - 1e-9) + 1) & (F.col("c") > 1)).select("token", "item_id", "supplier_id", "n"), "first")
     x, y = (first.select("token", "item_id", F.col("supplier_id").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
     met = x.join(y, ["token", "item_id"]).where("a < b").where((F.col("n_a") >= overlap * F.col("n_b")) & (F.col("n_b") >= overlap * F.col("n_a"))).select("a", "b", "n_a", "n_b").distinct()
     mine, theirs = (own.select(F.col("supplier_id").alias(c), F.col("item_id").alias("i")) for c in ("a", "b"))

@@ -84,12 +84,11 @@ def collapsed(history: DataFrame, share: float = COLLAPSE) -> DataFrame:
 
 def digest(history: DataFrame) -> DataFrame:
     """(supplier_id, name_norm, thickness, kind, latest, previous, sig) of all alerts, delisted ones but for collapsed suppliers."""
-    both = listings(history)
-    still = Window.partitionBy("supplier_id", "name_norm")
-    # a name counts once, at one of its thicknesses, in the sums by supplier
-    both = both.withColumns({"_here": F.max(F.col("latest").isNotNull().cast("int")).over(still), "_was": F.max(F.col("previous").isNotNull().cast("int")).over(still), "_one": F.row_number().over(still.orderBy("thickness"))})
-    whole = Window.partitionBy("supplier_id")
-    both = both.withColumns({"_now": F.sum(F.when(F.col("_one") == 1, F.col("_here"))).over(whole), "_prev": F.sum(F.when(F.col("_one") == 1, F.col("_was"))).over(whole)})
+    each = F.struct("thickness", "latest", "previous", "latest_rebased", "previous_rebased", "latest_date")
+    # by name, a listing for each of its few thicknesses, then the sums by supplier: no group is as large as a supplier
+    names = listings(history).groupBy("supplier_id", "name_norm").agg(F.collect_list(each).alias("_l"), F.max(F.col("latest").isNotNull().cast("int")).alias("_here"), F.max(F.col("previous").isNotNull().cast("int")).alias("_was"))
+    scale = names.groupBy("supplier_id").agg(F.sum("_here").alias("_now"), F.sum("_was").alias("_prev"))
+    both = names.join(scale, "supplier_id").select("*", F.inline("_l"))
     crossed = (F.coalesce("latest_rebased", F.lit(0)) == 1) & (F.coalesce("previous_rebased", F.lit(0)) == 0)
     fell = (F.col("_prev") > 0) & (F.col("_now") < (1 - COLLAPSE) * F.col("_prev"))
     gone = F.col("latest").isNull() & (F.col("previous") > 0) & (F.col("_here") == 0) & ~fell

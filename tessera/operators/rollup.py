@@ -157,6 +157,12 @@ def color_options(materials: DataFrame) -> DataFrame:
     return named.groupBy("family").agg(F.sum("n").alias("n")).orderBy(F.col("family") == "Other", F.desc("n"), "family")
 
 
+def by_choice(materials: DataFrame, choices: list[str]) -> DataFrame:
+    """(choice, material_key, n): listings of each product that colour choices find, in one pass for all choices."""
+    found = F.array_compact(F.array(*(F.when(N.in_choice(F.col("color"), c), F.lit(c)) for c in choices)))
+    return materials.select("material_key", F.explode(found).alias("choice")).groupBy("choice", "material_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def residue(materials: DataFrame, suppliers: DataFrame, hours: int = 24) -> DataFrame:
     """(supplier_id, newest): suppliers whose newest listing is older than their last attempt (last_crawled) by more than so many hours."""
     newest = materials.groupBy("supplier_id").agg(F.max("crawled_at").alias("newest"))

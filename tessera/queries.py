@@ -123,9 +123,7 @@ def _colored(m: DataFrame) -> DataFrame:
 SELECT choice, material_key, count(*) AS n FROM p GROUP BY 1, 2""")
 def f3_color_family(m, s, spark, sf):
     """A family, the rest, a raw value that widens to its family, and one that has none."""
-    rows = _colored(m)
-    every = (rows.where(N.in_choice(F.col("color"), c)).groupBy(F.lit(c).alias("choice"), "material_key").agg(F.count(F.lit(1)).alias("n")) for c in ("Gray", "Other", "Dark Navy Blue", "Rainforest"))
-    return reduce(DataFrame.unionByName, every)
+    return rollup.by_choice(_colored(m), ["Gray", "Other", "Dark Navy Blue", "Rainforest"])
 
 
 @query(_TOTALS + " WHERE list_contains(string_split_regex(lower(color), '[\\s,/&-]+'), 'blue') OR contains(upper(item_name), 'BLUE')" + _BY)

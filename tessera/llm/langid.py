@@ -7,7 +7,7 @@ vectors for each language. A text gets the language of the centroid with the gre
 rejected where that cosine is below what nearly all training texts of the language and length reach.
 
 Nulls and texts without letters: lang `und`, score 0, rejected. Rows without lang are not learned
-from. Without any training text all rows are `und`. Repeated rows get the same answer; equal
+from. Without any training text all rows are `und`; an empty table gives an empty one, and a model without languages. Repeated rows get the same answer; equal
 cosines go to the language first by code point. Very long texts are counted whole, in memory of one
 text. Columns of docs pass through identify() but those that it adds. About `sample` texts a language
 are picked by hash, never more than twice as many in all, the first by hash, so that reruns agree.

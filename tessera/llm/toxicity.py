@@ -12,7 +12,8 @@ it be estimated: recall from the positives, and the share called toxic from the
 texts that aren't toxic are used for the prior only.
 
 Nulls: a null text is empty and gets the score of a text without features; a null label teaches
-nothing; a doc_id labelled both ways counts as toxic. Without toxic labels every score is 0.
+nothing; a doc_id labelled both ways counts as toxic. Without toxic labels every score is nearly 0,
+sigmoid(-30). An empty table gives an empty one.
 Repeated rows get the same score. Very long texts are read whole, a chunk of rows at a time. Among
 features that speak equally the lower number is kept; among equally good cuts the middle one. Columns
 of docs pass through score() whatever their names, but score itself.

@@ -219,6 +219,7 @@ def test_language_odd_rows(spark):
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "und", "xx"] and not got[4].rejected and got[5].rejected
     assert langid.identify(odd, langid.fit(df.where("false"))).where("lang_pred = 'und'").count() == 5
+    assert langid.identify(odd.where("false"), model).count() == 0
 
 
 def test_language_repeats_and_brute_force(spark):
@@ -292,6 +293,27 @@ def test_correction_matters():
     assert ((toxicity._sums(mix, plain) + b > 0) & truth).sum() / truth.sum() < 0.2
 
 
+def test_toxicity_features_are_words_and_their_beginnings():
+    """Two texts share as many features as they share words and beginnings of words, by plain Python."""
+    import re
+
+    def plain(text):
+        low = "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" and c != "×" else c for c in text)
+        words = [w.encode() for w in re.findall("(?:[a-z]|[^\x00-\x7f])+", low)]
+        return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in (4, 5, 6) if len(w) > n}
+
+    texts = ["", "Alpha beta's ALPHABETICAL", "alphabet été ÉTÉ-ÊTRE", "×÷ x9y 漢字かな", "alphabetic alpha ALPH", "a " * 50 + "été"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    row, feature = toxicity.features(data, offsets)
+    got = [set(feature[row == i].tolist()) for i in range(len(texts))]
+    want = [plain(t) for t in texts]
+    for i in range(len(texts)):
+        assert len(got[i]) == len(want[i]), texts[i]
+        for j in range(len(texts)):
+            assert len(got[i] & got[j]) == len(want[i] & want[j]), (texts[i], texts[j])
+
+
 def test_cut_by_hand():
     assert toxicity.pu_cut(np.array([2.0, 3.0]), np.array([0.0, 1.0, 2.0, 3.0]), 0.5) == 1.5
     assert toxicity.pu_cut(np.array([1.0]), np.array([1.0]), 0.5) == 1.0

@@ -70,6 +70,18 @@ def test_measures_odd_rows(spark):
     assert quality_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_measures_of_equal_rows_and_clashing_names(spark):
+    """Ties: values at a fence are kept, equal rows get equal verdicts; columns named like ours give way."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 97}" for k in range(80)), "en", "a", "x") for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:5], SCHEMA).withColumns({"kept": F.lit("mine"), "n_words": F.lit(-1)})
+    out = quality_verdicts(df, min_group=50).collect()
+    assert len(out) == 305 and {r.n_words for r in out} == {80} and {type(r.kept) for r in out} == {bool}
+    assert all(r.kept for r in out)  # all measures tie, so that every fence lies on them
+    assert len({(r.doc_id, r.kept) for r in out}) == 300
+
+
 def test_mixing_whole_table(spark, docs):
     size = {d.doc_id: len(WORD.findall(d.text or "")) for d in docs}
     total = collections.Counter()

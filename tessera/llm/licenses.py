@@ -1,7 +1,8 @@
 """Licence scans by canonical digests (operator 3), in DataFrame functions only.
 
 A unit of text (the whole document, a paragraph between blank lines, a run of paragraphs that is less
-than the document, or a line) is brought into a canonical form: lower case, copyright lines dropped,
+than the document, or a line) is brought into a canonical form: lower case, copyright lines dropped
+(those with a year, a sign or a place for them: a wrapped line may begin with the word alone),
 equivalent spellings made one, punctuation and white space made single spaces. Its SHA-256 digest is looked up among the digests of known licence
 texts and notices, so that a unit counts only if it is a licence from end to end. The table of known
 digests is part of this module and so of fixed size.
@@ -46,7 +47,7 @@ KNOWN = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 )
 #: Lines that name who holds the rights; spellings that mean the same.
-RIGHTS = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+RIGHTS = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[\[<{]|[0-9]{4})|copyright[^\n]*(19|20)[0-9]{2}|\(c\)[ \t]*(copyright|[\[<{0-9])|©|all rights reserved\.?[ \t]*$)[^\n]*$"
 SAME = (("licence", "license"), ("sublicence", "sublicense"), ("copyright owner", "copyright holder"), ("https://", "http://"), ("©", "(c)"), ("&", "and"), ("whilst", "while"), ("favour", "favor"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 MARGIN = 0.02
-#: Pivots at most; vectors of a cell that one task has; scores made at once.
+#: Pivots at most; vectors of a cell, and queries, that one group has; scores made at once.
 PIVOTS, CHUNK, AT_ONCE = 1024, 1 << 16, 1 << 22
 #: Scores are compared to so many digits.
 DIGITS = 6
@@ -105,7 +105,7 @@ def _best(vectors: DataFrame, visits: DataFrame, size: int, k: int, schema: str)
         made = x.select(["vec_id", "material_key", "supplier_id"]).take(pa.array(which, pa.int64()))
         return made.add_column(0, "query_id", q["query_id"].take(pa.array(who, pa.int64()))).append_column("score", pa.array(scores, pa.float64()))
 
-    return vectors.groupBy("cell", "salt").cogroup(visits.groupBy("cell", "salt")).applyInArrow(score, schema)
+    return vectors.groupBy("cell", "salt", "block").cogroup(visits.groupBy("cell", "salt", "block")).applyInArrow(score, schema)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -147,13 +147,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), F.min("norm").alias("least"), F.max("norm").alias("most")).collect()
     cells = Cells(pivots, stats)
     parts = F.coalesce(*(F.when(F.col("cell") == c, F.lit(int(-(-m // CHUNK)))) for c, m in enumerate(cells.n.tolist()) if m > CHUNK), F.lit(1))
-    shared = placed.select("vec_id", "material_key", "supplier_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("salt"))
+    # queries in blocks of bounded size, too: each block meets each part of the cells that it looks into
+    blocks = max(1, -(-asked.count() // CHUNK))
+    shared = placed.select("vec_id", "material_key", "supplier_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    looks = lambda q, found: _visits(q, cells, size, k, found).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda rows: rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
-    near = staged(top(_best(shared, _visits(asked, cells, size, k, False), size, k, schema)), "near")
+    near = staged(top(_best(shared, looks(asked, False), size, k, schema)), "near")
     kth = near.where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("kth"))
     further = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-float("inf"))))
-    more = _best(shared, _visits(further, cells, size, k, True), size, k, schema)
+    more = _best(shared, looks(further, True), size, k, schema)
     return top(near.drop("rank").unionByName(more)).select("query_id", "rank", "vec_id", "material_key", "supplier_id", "score")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .operators import entity, policy, rollup, status
 from .plans import pages, search
-from .queries import _TOTALS, _TRIED, INNER, PREFIX, SLABS, _totals, _tried
+from .queries import _TRIED, INNER, PREFIX, SLABS, _tried
 from .sources import fixture, store
 
 QUERIES: dict = {}
@@ -174,11 +174,10 @@ def t4_photos_first(m, s, spark, sf):
     return m.where("supplier_id = 3").orderBy(F.col("image_url") == "", F.desc("available_slabs"), "id").limit(40).select("id", "image_url")
 
 
-@query(f", y AS (SELECT base, supplier_id, sum({SLABS}) AS n FROM materials WHERE base LIKE 'red %' GROUP BY 1, 2), w AS (SELECT *, max(n) OVER (PARTITION BY base) AS top FROM y) SELECT base, CAST(min(n) AS BIGINT) AS slabs, min(supplier_id) AS winner FROM w WHERE n = top GROUP BY base HAVING count(*) = 1")
+@query(f", y AS (SELECT base, supplier_id, sum({SLABS}) AS n FROM materials GROUP BY 1, 2), w AS (SELECT *, max(n) OVER (PARTITION BY base) AS top FROM y) SELECT base, CAST(min(n) AS BIGINT) AS slabs, min(supplier_id) AS winner FROM w WHERE n = top GROUP BY base HAVING count(*) = 1")
 def w7_unique_winner(m, s, spark, sf):
-    y = m.where(F.col("base").startswith("red ")).groupBy("base", "supplier_id").agg(F.sum(rollup.slabs()).alias("n"))
-    top = y.withColumn("top", F.max("n").over(Window.partitionBy("base"))).where("n = top")
-    return top.groupBy("base").agg(F.min("n").alias("slabs"), F.min("supplier_id").alias("winner"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
+    held = m.groupBy("base", "supplier_id").agg(F.sum(rollup.slabs()).alias("slabs"))
+    return entity.only_leader(held, "base", "supplier_id", "slabs").withColumnRenamed("supplier_id", "winner")
 
 
 @query(""", n AS (SELECT id // 4 AS cluster, CASE WHEN id % 2 = 1 THEN 'w' || (id // 4) || '.example.com' ELSE host END AS host, CASE WHEN id % 8 < 4 THEN 9 ELSE id % 4 END AS items, 'W' || (id // 4) AS token FROM suppliers)

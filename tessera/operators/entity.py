@@ -42,6 +42,13 @@ def majority(rows: DataFrame, key: str, value: str, unknown: tuple[str, ...] = (
     return top.withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_ties = 1").select(key, value, "votes")
 
 
+def only_leader(rows: DataFrame, group: str, who: str, value: str) -> DataFrame:
+    """(group, who, value) of each group's only best one; groups whose best value several share have none."""
+    at = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"), F.min(who).alias(who))
+    best = at.groupBy(group).agg(F.max(F.struct(value, "_c", who)).alias("_b"))
+    return best.where("_b._c = 1").select(group, F.col(f"_b.{who}").alias(who), F.col(f"_b.{value}").alias(value))
+
+
 def _followed(edges: DataFrame, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(alias_key, canonical_key, _last) with every chain followed to its end, by doubling; and what is left, which leads into cycles. _last: the greatest `order` on the way."""
     now = staged(edges.select("alias_key", "canonical_key", (order if order is not None else F.lit(0)).alias("_last")), "aliases")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import history, rollup
+from .operators import history
 from .plans import merge, search
-from .queries import HISTORY, INNER, PREFIX, _DIGEST
+from .queries import _DIGEST, INNER, PREFIX
 from .sources import catalog_index, commits, fixture, staging, store
 
 QUERIES: dict = {}

@@ -213,3 +213,33 @@ def test_half_a_manifest_is_no_version(spark, tmp_path):
     commits.commit(spark, str(path), 0, {"a": numbers(spark, 1)})
     (path / commits.LOG / "_0123abcd").write_text('{"tables": {')
     assert commits.versions(spark, str(path)) == [1] and content(spark, str(path)) == {"a": [(1,)]}
+
+
+def test_a_merge_is_one_version_or_none(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.plans import merge
+    from tessera.sources import store
+
+    def catalog_of(day, first, hosts, rows):
+        s = spark.createDataFrame([(first + i, h, "c") for i, h in enumerate(hosts)], "id long, host string, company string")
+        m = spark.createDataFrame([mat(first + i, k, slabs=n) for i, k, n in rows], MATERIAL).withColumn("crawled_at", F.lit(dt.datetime(2024, 1, day)))
+        h = spark.createDataFrame([(dt.date(2024, 1, day), first + i, k) for i, k, _ in rows], "snapshot_date date, supplier_id long, name_norm string")
+        return {"suppliers": s, "materials": m, "history": h}
+
+    path = str(tmp_path / "store")
+    store.publish(catalog_of(1, 1, ["a.com", "b.com"], [(0, "alpha|x", 1), (1, "beta|x", 2)]), path)
+    theirs = catalog_of(5, 70, ["b.com", "new.com"], [(0, "beta|x", 9), (1, "gamma|x", 4)])
+    held = lambda: sorted((r.supplier_id, r.material_key, r.available_slabs) for r in commits.table(spark, path, "materials").collect())
+    before = held()
+    broken = {**theirs, "history": theirs["history"].withColumn("name_norm", F.raise_error(F.lit("torn")).cast("string"))}
+    with pytest.raises(Exception, match="torn"):
+        merge.merge_into(spark, path, broken)
+    with pytest.raises(ValueError, match="missing"):
+        merge.merge_into(spark, path, {**theirs, "materials": theirs["materials"].drop("color")})
+    assert held() == before and commits.versions(spark, path) == [1]
+    assert merge.merge_into(spark, path, theirs) == 2
+    assert held() == [(1, "alpha|x", 1), (2, "beta|x", 9), (73, "gamma|x", 4)] or [r[1:] for r in held()] == [("alpha|x", 1), ("beta|x", 9), ("gamma|x", 4)]
+    after = held()
+    merge.merge_into(spark, path, theirs)  # it is in the ledger
+    assert held() == after and {r.host for r in commits.table(spark, path, "ledger").collect()} == {"b.com", "new.com"}

@@ -15,6 +15,7 @@ are picked by hash, never more than twice as many in all, the first by hash, so
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,15 +83,16 @@ class Centroids:
         self.idf = idf.astype(np.float32)
         found, of = [], []
         for i, lang in enumerate(self.langs):
-            c = _kmeans(vectors(sample[lang], idf), clusters)
+            c = _kmeans(vectors(sample[lang].astype(np.float64), idf), clusters)
             found.append(c)
             of += [i] * len(c)
         self.centroids = np.concatenate(found).astype(np.float32) if found else np.zeros((0, WIDTH), np.float32)
         self.of = np.array(of, np.int64)
         self.limits = np.zeros((len(self.langs), len(self.LENGTHS)))
         for i, lang in enumerate(self.langs):
-            near = self._near(vectors(sample[lang], idf))[:, i]
-            size = self._size(sample[lang])
+            raw = sample[lang].astype(np.float64)
+            near = self._near(vectors(raw, idf))[:, i]
+            size = self._size(raw)
             lowest = np.quantile(near, 0.01)
             for b in range(len(self.LENGTHS)):
                 mine = near[size == b]
@@ -153,14 +155,14 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 600, slack: float = 0.
                     raw = counts(text)
                     if raw is not None:
                         langs.append(lang)
-                        raws.append(raw.astype("<f4").tobytes())
+                        raws.append(zlib.compress(raw.astype("<f4").tobytes(), 1))  # nearly all of them are zeros
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(raws, pa.binary())], ["lang", "raw"])
 
         rows = docs.where(chosen).select("lang", "text").mapInArrow(featured, "lang string, raw binary").orderBy(F.xxhash64("raw"), "lang", "raw").limit(2 * sample * len(per)).collect()
         for lang in per:
-            mine = sorted(bytes(r["raw"]) for r in rows if r["lang"] == lang)  # the order must not depend on tasks
+            mine = [np.frombuffer(x, "<f4") for x in sorted(zlib.decompress(r["raw"]) for r in rows if r["lang"] == lang)]  # the order must not depend on tasks
             if mine:
-                picked[lang] = np.frombuffer(b"".join(mine), "<f4").reshape(-1, WIDTH).astype(np.float64)
+                picked[lang] = np.array(mine)
     return Centroids(idf, picked, clusters, slack)
 
 

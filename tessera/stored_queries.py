@@ -134,15 +134,14 @@ def r2_run_monitor(m, s, spark, sf):
     e = e.where("nth < 5 or event_type = 'click' or nth >= 95 and event_type = 'purchase'")
     kind = F.when(F.col("nth") < 5, "start").when((F.col("nth") >= 95) & (F.col("event_type") == "purchase"), "finish").otherwise("beat")
     rows = e.select(F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string")).alias("catalog"), F.concat(F.lit("r"), F.floor(F.col("event_id") / 100).cast("string")).alias("run_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.lit("done").alias("value"))
-    landed, out = staging.scratch(spark, "landed"), staging.scratch(spark, "told")
+    landed, out, state = staging.scratch(spark, "landed"), staging.scratch(spark, "told"), staging.scratch(spark, "state")
     ends = fixture.table(spark, sf, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     step = (ends["hi"] - ends["lo"]) / 4
-    for i in range(4):
-        part = rows.where((F.col("at") > ends["lo"] + i * step) if i else F.lit(True)).where(F.col("at") <= ends["lo"] + (i + 1) * step if i < 3 else F.lit(True))
-        part.coalesce(1).write.parquet(f"{landed}/{i}")
+    parts = [rows.where((F.col("at") > ends["lo"] + i * step) if i else F.lit(True)).where(F.col("at") <= ends["lo"] + (i + 1) * step if i < 3 else F.lit(True)) for i in range(4)]
     # a clock, a day later, moves time on for all
     clock = rows.agg(F.lit("clock").alias("catalog"), F.lit("x").alias("run_id"), (F.max("at") + F.expr("interval 1 day")).alias("at"), F.lit("beat").alias("kind"), F.lit("done").alias("value"))
-    clock.write.parquet(f"{landed}/4")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/*")
-    monitor.follow(spark, stream, out, staging.scratch(spark, "state")).awaitTermination()
+    for i, part in enumerate((*parts, clock)):
+        # what has landed by then is a batch, in as many files as it was written in
+        part.write.parquet(f"{landed}/{i}")
+        monitor.follow(spark, spark.readStream.schema(rows.schema).parquet(f"{landed}/*"), out, state).awaitTermination()
     return monitor.states(monitor.told(spark, out), F.lit(ends["hi"]))

@@ -155,3 +155,34 @@ def test_finished_runs_are_forgotten_in_time(spark, tmp_path):
     found = told(spark, tmp_path, batches)
     got = {tuple(r) for r in monitor.states(found, F.lit(at(500))).collect()}
     assert got == by_table(spark, batches, at(500)) == {("a", f"r{i:02d}", "done") for i in range(12)}
+
+
+def test_a_word_is_not_weighed_against_every_run(monkeypatch):
+    """Of 3000 runs in a catalog, each silent before the next begins, a word meets its own and the one that falls silent."""
+    import pandas as pd
+
+    from tessera.streaming import monitor
+
+    class Map(dict):
+        containsKey, removeKey = dict.__contains__, dict.__delitem__  # noqa: N815
+        getValue, updateValue, iterator = dict.__getitem__, dict.__setitem__, lambda self: iter(list(self.items()))  # noqa: N815
+
+    class Value(list):
+        exists, get, update = lambda self: bool(self), lambda self: self[-1], lambda self, v: self.append(v)
+
+    class Handle:
+        timers: set = set()
+        getMapState, getValueState = lambda self, *_: Map(), lambda self, *_: Value()  # noqa: N815
+        listTimers = lambda self: list(self.timers)  # noqa: N815
+        registerTimer, deleteTimer = lambda self, t: self.timers.add(t), lambda self, t: self.timers.discard(t)  # noqa: N815
+
+    weighed = []
+    runs = monitor._Runs(90)
+    runs.init(Handle())
+    tell = getattr(runs, "_tell", None) or (lambda *_: None)
+    monkeypatch.setattr(runs, "_tell", lambda *a: weighed.append(1) or tell(*a), raising=False)
+    n = 3000
+    words = pd.DataFrame({"run_id": [f"r{i:04d}" for i in range(n)], "at": [pd.Timestamp(at(100 * i)) for i in range(n)], "kind": "start", "value": None})
+    (told_,) = runs.handleInputRows(("a",), iter([words]), None)
+    assert list(told_["state"].value_counts().sort_index().items()) == [("interrupted", n - 1), ("running", n)]
+    assert n <= len(weighed) <= 2 * n and len(Handle.timers) == 1

@@ -111,14 +111,14 @@ def q7_streamed_alerts(m, s, spark, sf):
     """The digest from a stream: every crawl is cut over three batches, its end comes with the second, and the third is landed twice."""
     from .streaming import alerts
 
-    landed, out = staging.scratch(spark, "landed"), staging.scratch(spark, "alerts")
+    landed, out, state = staging.scratch(spark, "landed"), staging.scratch(spark, "alerts"), staging.scratch(spark, "state")
     rows = alerts.crawled(m, F.date_trunc("year", "crawled_at"))
     ends = alerts.ended(rows.select("supplier_id", "day").distinct().withColumn("rebased", F.lit(0)))
     third = F.pmod("id", F.lit(3))
     for i, part in enumerate((rows.where(third == 0), rows.where(third == 1).unionByName(ends), rows.where(third == 2), rows.where(third == 2))):
-        part.coalesce(1).write.parquet(f"{landed}/{i}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/*")
-    alerts.follow(spark, stream, out, staging.scratch(spark, "state"), salts=2).awaitTermination()
+        # what has landed by then is a batch, in as many files as it was written in
+        part.write.parquet(f"{landed}/{i}")
+        alerts.follow(spark, spark.readStream.schema(rows.schema).parquet(f"{landed}/*"), out, state, salts=2).awaitTermination()
     return alerts.digest(spark, out)
 
 

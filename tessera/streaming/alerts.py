@@ -13,7 +13,8 @@ replaces what it wrote.
 
 from __future__ import annotations
 
-import io
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,60 +46,77 @@ def ended(crawls: DataFrame) -> DataFrame:
 def dealt(rows: DataFrame, salts: int) -> DataFrame:
     """Listings with the key that their name falls to; ends with every key."""
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return rows.withColumn("salt", F.explode(F.when(F.col("ends"), every).otherwise(F.array(F.pmod(F.xxhash64("name_norm"), F.lit(salts)).cast("int")))))
+    # a column with nulls would come as floats, in which long ids aren't told apart
+    whole = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("id", "slabs")}
+    return rows.withColumns(whole).withColumn("salt", F.explode(F.when(F.col("ends"), every).otherwise(F.array(F.pmod(F.xxhash64("name_norm"), F.lit(salts)).cast("int")))))
 
 
 class _Crawls(StatefulProcessor):
-    """State of one key: each crawl's listings, and whether it has ended."""
+    """State of one key: each crawl's listings (by id), and whether it has ended. Keys are many and small, so that state is read once a batch, and what no longer counts isn't kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.crawls = handle.getMapState("crawls", "day string", "closed boolean, rebased int, listings binary")
         self.seq = handle.getValueState("seq", "n long")
 
-    def _listings(self, day: str) -> tuple[bool, int, pd.DataFrame]:
-        if not self.crawls.containsKey((day,)):
-            return False, 0, pd.DataFrame({"id": [], "name_norm": [], "thickness": [], "slabs": []})
-        closed, rebased, packed = self.crawls.getValue((day,))
-        return closed, rebased, pd.read_parquet(io.BytesIO(bytes(packed)))
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True)
-        touched = set()
-        for day, part in came.groupby("day"):
-            name = day.isoformat()
-            closed, rebased, listings = self._listings(name)
-            new = part[~part["ends"]]
-            if len(new):
-                listings = pd.concat([listings, new[["id", "name_norm", "thickness", "slabs"]]]) if len(listings) else new[["id", "name_norm", "thickness", "slabs"]]
-                listings = listings.drop_duplicates("id", keep="last").astype({"id": "int64", "slabs": "int64"})
-            if part["ends"].any():
-                closed, rebased = True, int(part.loc[part["ends"], "rebased"].max())
-            packed = io.BytesIO()
-            listings.to_parquet(packed, index=False)
-            self.crawls.updateValue((name,), (closed, rebased, packed.getvalue()))
-            touched.add(name)
-        done = sorted(d for (d,), (closed, _, _) in self.crawls.iterator() if closed)
-        for (old,) in [k for k in self.crawls.keys() if len(done) > 1 and k[0] < done[-2]]:  # noqa: SIM118
+        had = {day: value for (day,), value in self.crawls.iterator()}
+        came: dict[pd.Timestamp, list] = {}
+        for part in rows:
+            for day, *row in zip(*(part[c].tolist() for c in ("day", "ends", "rebased", "id", "name_norm", "thickness", "slabs")), strict=True):
+                came.setdefault(day, []).append(row)
+        named = {day.isoformat(): part for day, part in came.items() if not pd.isna(day)}
+        done = sorted({d for d, value in had.items() if value[0]} | {d for d, part in named.items() if any(r[0] for r in part)})
+        first = done[-2] if len(done) > 1 else ""
+        for old in [d for d in had if d < first]:
             self.crawls.removeKey((old,))
-        if len(done) > 1 and touched & set(done[-2:]):
-            yield self._compared(key, done[-2], done[-1])
-
-    def _compared(self, key: tuple, before: str, now: str) -> pd.DataFrame:
+        open_ = {}
+        for name, part in named.items():
+            if name < first:
+                continue
+            closed, rebased, packed = had.get(name, (False, 0, None))
+            listings = _unpacked(packed)
+            marks = [r[1] for r in part if r[0]]
+            listings.update((r[2], tuple(r[3:])) for r in part if not r[0])
+            if marks:
+                closed, rebased = True, int(max(marks))
+            open_[name] = listings
+            had[name] = (closed, rebased, _packed(listings))
+            self.crawls.updateValue((name,), had[name])
+        if first and open_.keys() & set(done[-2:]):
+            yield self._compared(key, had, open_, done[-2], done[-1])
+
+    def _compared(self, key: tuple, had: dict, open_: dict, before: str, now: str) -> pd.DataFrame:
         seq = (self.seq.get()[0] if self.seq.exists() else 0) + 1
         self.seq.update((seq,))
-        (_, was_rebased, was), (_, is_rebased, is_) = self._listings(before), self._listings(now)
-        grain = ["name_norm", "thickness"]
-        both = is_.groupby(grain)["slabs"].sum().rename("latest").to_frame().join(was.groupby(grain)["slabs"].sum().rename("previous"), how="outer").reset_index()
-        summary = pd.DataFrame({"name_norm": [None], "thickness": [None], "latest": [None], "previous": [None]})
-        out = pd.concat([both.astype(object), summary], ignore_index=True)
-        out[["latest", "previous"]] = out[["latest", "previous"]].astype("Int64")
-        fixed = {"supplier_id": key[0], "salt": key[1], "seq": seq, "latest_date": pd.Timestamp(now), "crossed": bool(is_rebased) and not was_rebased, "now_names": is_["name_norm"].nunique(), "prev_names": was["name_norm"].nunique()}
+        was, is_ = (open_[d] if d in open_ else _unpacked(had[d][2]) for d in (before, now))
+        sums: dict[tuple, list] = {}
+        for side, listings in ((0, is_), (1, was)):
+            for name, thickness, n in listings.values():
+                if name is not None and thickness is not None:
+                    at = sums.setdefault((name, thickness), [None, None])
+                    at[side] = (at[side] or 0) + n
+        names = lambda listings: len({r[0] for r in listings.values()} - {None})
+        every = [*((*k, *v) for k, v in sums.items()), (None, None, None, None)]
+        out = pd.DataFrame({c: [r[i] for r in every] for i, c in enumerate(("name_norm", "thickness"))})
+        for i, c in enumerate(("latest", "previous"), 2):
+            out[c] = pd.array([r[i] for r in every], dtype="Int64")
+        fixed = {"supplier_id": key[0], "salt": key[1], "seq": seq, "latest_date": pd.Timestamp(now), "crossed": bool(had[now][1]) and not had[before][1], "now_names": names(is_), "prev_names": names(was)}
         return out.assign(**fixed)[[c.split()[0] for c in PAIRS.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
+def _packed(listings: dict[int, tuple]) -> bytes:
+    return zlib.compress(json.dumps([list(listings), *(list(c) for c in zip(*listings.values(), strict=True))]).encode(), 1)
+
+
+def _unpacked(packed: bytes | None) -> dict[int, tuple]:
+    """(name, thickness, slabs) by id."""
+    ids, *columns = json.loads(zlib.decompress(bytes(packed))) if packed is not None else [[]]
+    return dict(zip(ids, zip(*columns, strict=True), strict=True)) if ids else {}
+
+
 def follow(spark: SparkSession, listings: DataFrame, path: str, checkpoint: str, salts: int = SALTS) -> StreamingQuery:
     """Follows a stream of crawled and ended rows; writes what holds for each key to path, a folder for each batch. Ends when the stream has been read."""
 

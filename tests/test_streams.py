@@ -83,6 +83,20 @@ def test_counts_that_changed_and_one_key(spark, tmp_path):
     assert got == table(spark, ONE + TWO, [(1, 3)]) and not {"dropped", "soldout"} & {r[3] for r in got}
 
 
+def test_long_ids_beside_an_end(spark, tmp_path):
+    """Rows that come with an end and again later count once, also where ids go beyond what a float tells apart."""
+    big = 2**60
+    one = [listing(1, 1, f"n{i}", 1, key=big + i) for i in range(3)]
+    two = [listing(1, 3, f"n{i}", 5, key=big + 10 + i) for i in range(3)] + [listing(1, 3, "n0", 2, "3cm", key=big + 13)]
+    land(spark, tmp_path / "in", 0, one, [(1, 1, 0)])
+    land(spark, tmp_path / "in", 1, two, [(1, 3, 0)])
+    land(spark, tmp_path / "in", 2, two)
+    late = [listing(1, 3, "n4", 7, key=big + 14)]
+    land(spark, tmp_path / "in", 3, late)
+    got = run(spark, tmp_path)
+    assert got == table(spark, one + two + late) and {r[4] for r in got} == {2, 7}
+
+
 def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, tmp_path):
     land(spark, tmp_path / "in", 0, ONE, [(1, 1, 0), (2, 1, 0)])
     land(spark, tmp_path / "in", 1, TWO, [(1, 3, 0), (2, 3, 0)])

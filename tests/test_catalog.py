@@ -186,3 +186,22 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.user_id, r.started, r.beats, r.errors) for r in spark.table("beats").collect()}
     assert got == {w for w in want if w[0] != 3}  # the last session is still open at the watermark
+
+
+def test_page_facts_have_every_colour_in_sql_too(spark):
+    """A product whose listings are of several colours: the query's SQL looks at all of them, as its code does."""
+    import duckdb
+
+    from tessera.more_queries import ORACLE_SQL
+    from tessera.plans import pages
+    from tessera.sources.fixture import PREFIX
+
+    key = "red plate|promo"
+    rows = [(key, c, 60.0 + i, 40.0, i % 2) for i, c in enumerate(("Red", "Gray, White", "Navy Blue", "", "Red"))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE materials (material_key VARCHAR, color VARCHAR, avg_length DOUBLE, avg_width DOUBLE, supplier_id BIGINT)")
+    con.executemany("INSERT INTO materials VALUES (?, ?, ?, ?, ?)", rows)
+    want = con.execute(ORACLE_SQL["a15_page_facts"].removeprefix(PREFIX)).fetchall()
+    m = spark.createDataFrame(rows, "material_key string, color string, avg_length double, avg_width double, supplier_id long")
+    got = [(r[0], ",".join(r[1]), *r[2:]) for r in pages.facts(m, [key]).collect()]
+    assert got == want and want[0][1] == "Gray,Navy Blue,Red,White"

@@ -200,3 +200,16 @@ def test_a_word_is_not_weighed_against_every_run(monkeypatch):
     (told_,) = runs.handleInputRows(("a",), iter([words]), None)
     assert list(told_["state"].value_counts().sort_index().items()) == [("interrupted", n - 1), ("running", n)]
     assert n <= len(weighed) <= 2 * n and len(Handle.timers) == 1
+
+
+def test_batches_land_in_more_than_one_task(spark, monkeypatch):
+    """A stream's batch isn't drawn together into one task before it lands."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tessera.upkeep_queries import QUERIES
+
+    def refuse(*_):
+        raise AssertionError("one task for a whole batch")
+
+    monkeypatch.setattr(DataFrame, "coalesce", refuse)
+    assert QUERIES["r1_streamed_snapshots"](spark, "/root/testdata/sf0.001").count() > 0

@@ -205,3 +205,12 @@ def test_page_facts_have_every_colour_in_sql_too(spark):
     m = spark.createDataFrame(rows, "material_key string, color string, avg_length double, avg_width double, supplier_id long")
     got = [(r[0], ",".join(r[1]), *r[2:]) for r in pages.facts(m, [key]).collect()]
     assert got == want and want[0][1] == "Gray,Navy Blue,Red,White"
+
+
+def test_a_colour_is_looked_at_once_for_each_product(spark):
+    """Choices are weighed on (product, colour), of which there are few, and count its listings."""
+    rows = [("a", "Gray, White")] * 3 + [("a", None), ("a", "Red"), ("b", "Gray, White")]
+    found = rollup.by_choice(spark.createDataFrame(rows, "material_key string, color string"), ["Gray", "Red"])
+    assert sorted(map(tuple, found.collect())) == [("Gray", "a", 3), ("Gray", "b", 1), ("Red", "a", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate [material_key") and "color" in plan[plan.rindex("Aggregate [material_key") :].split("]")[0]

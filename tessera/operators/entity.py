@@ -128,8 +128,17 @@ def mirror_pairs(materials: DataFrame, suppliers: DataFrame, overlap: float) ->
     share one of their rarest n - ceil(overlap * n) + 1 items, so that only those are joined, and whole
     lists of the few pairs that meet.
     """
+    return _pairs(_listed(materials), suppliers, overlap)
+
+
+def _listed(materials: DataFrame) -> DataFrame:
+    """(supplier_id, item_id), distinct, written once: what lies before it may be a long plan, and it is read several times."""
+    return staged(materials.where(F.coalesce("item_id", F.lit("")) != "").select("supplier_id", "item_id").distinct(), "listed")
+
+
+def _pairs(listed: DataFrame, suppliers: DataFrame, overlap: float) -> DataFrame:
     token = suppliers.where(F.trim(F.coalesce(F.col("token").cast("string"), F.lit(""))) != "").select(F.col("id").alias("supplier_id"), F.lower(F.trim(F.col("token").cast("string"))).alias("token"))
-    items = materials.where(F.coalesce("item_id", F.lit("")) != "").select("supplier_id", "item_id").distinct().join(token, "supplier_id")
+    items = listed.join(token, "supplier_id")
     sets = items.groupBy("token", "supplier_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("item_id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "item_id")).alias("h2"))
     same = staged(sets.withColumn("rep", F.min("supplier_id").over(Window.partitionBy("token", "n", "h1", "h2"))), "sets")
     equal = same.where("rep <> supplier_id").select(F.col("rep").alias("a"), F.col("supplier_id").alias("b"))
@@ -154,8 +163,9 @@ def canonical_hosts(members: DataFrame) -> DataFrame:
 
 def mirrors(materials: DataFrame, suppliers: DataFrame, overrides: DataFrame | None = None, overlap: float = 0.98) -> DataFrame:
     """(host, mirror_of, source): storefronts that show another's catalog, computed or curated. overrides (host, canonical): curated answers, null for a storefront that is its own."""
-    roots = components(mirror_pairs(materials, suppliers, overlap))
-    items = materials.where(F.coalesce("item_id", F.lit("")) != "").groupBy("supplier_id").agg(F.count_distinct("item_id").alias("items"))
+    listed = _listed(materials)
+    roots = components(_pairs(listed, suppliers, overlap))
+    items = listed.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("items"))
     members = roots.join(suppliers.select(F.col("id").alias("node"), "host", "token"), "node").join(items, F.col("node") == F.col("supplier_id")).select(F.col("root").alias("cluster"), "host", "token", "items")
     found = members.join(canonical_hosts(members), "cluster").where("host <> canonical").select("host", F.col("canonical").alias("mirror_of"), F.lit("computed").alias("source"))
     if overrides is None:

@@ -214,3 +214,15 @@ def test_a_colour_is_looked_at_once_for_each_product(spark):
     assert sorted(map(tuple, found.collect())) == [("Gray", "a", 3), ("Gray", "b", 1), ("Red", "a", 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate [material_key") and "color" in plan[plan.rindex("Aggregate [material_key") :].split("]")[0]
+
+
+def test_mirrors_ask_for_listings_once(spark):
+    """However often what storefronts list is compared, the plan that it comes from runs once."""
+    from tessera.operators import entity
+
+    read = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda i: (read.add(1), i)[1], "string")
+    m = spark.createDataFrame([(s, str(i)) for s in (1, 2, 3) for i in range(10 * (s // 3), 10 + 10 * (s // 3))], "supplier_id long, item_id string")
+    s = spark.createDataFrame([(i, f"h{i}", "t") for i in (1, 2, 3)], "id long, host string, token string")
+    found = entity.mirrors(m.withColumn("item_id", mark("item_id")), s)
+    assert [tuple(r) for r in found.collect()] == [("h2", "h1", "computed")] and 0 < read.value <= 60

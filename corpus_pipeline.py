@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(in_training(F.col("doc_id"))).select("doc_id", "text", "lang"))
     if not model.langs:
         return docs
-    named = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    return langid.identify(named, model).where(~F.col("rejected")).select("_doc.*")
+    names = [c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]  # a text goes to Python and back once
+    return langid.identify(docs.toDF(*names), model).where(~F.col("rejected")).select(*names).toDF(*docs.columns)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

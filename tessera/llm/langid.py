@@ -166,8 +166,8 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 600, slack: float = 0.
     return Centroids(idf, picked, clusters, slack)
 
 
-def identify(docs: DataFrame, model: Centroids, block: int = 512) -> DataFrame:
-    """docs' columns, with lang_pred, score, cosine and rejected. Columns of these names in docs are replaced."""
+def identify(docs: DataFrame, model: Centroids, block: int = 64) -> DataFrame:
+    """docs' columns, with lang_pred, score, cosine and rejected. Columns of these names in docs are replaced. block: texts whose counts are held at a time."""
     own = ("lang_pred", "score", "cosine", "rejected")
     docs = docs.select(*(c for c in docs.columns if c not in own))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, cosine double, rejected boolean"
@@ -189,5 +189,6 @@ def identify(docs: DataFrame, model: Centroids, block: int = 512) -> DataFrame:
                     [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(cosine), pa.array(rejected)],
                     [*batch.schema.names, *own],
                 )
+        pa.default_memory_pool().release_unused()  # the worker may live on beside the next stage
 
     return docs.mapInArrow(predict, schema)

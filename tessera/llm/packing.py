@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Words that a worker remembers the ids of; it forgets them all when there are more.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class WordIds:
@@ -118,6 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int
                 ],
                 ["doc_id", "piece", "start", "length", "ids", "task", "nth"],
             )
+        pa.default_memory_pool().release_unused()  # the worker may live on beside the next stage
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -48,3 +48,51 @@ def test_odd_rows(spark):
             if name == "ngram_jaccard_join" and data:
                 assert sum(r.text == "the same few words here again" for r in docs.collect()) == 1
         assert (docs.count() > 0) == bool(data)
+
+
+def test_memory_of_workers(spark):
+    import itertools
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tessera.llm import langid, packing
+
+    # texts whose counts are held at a time take a few MB, not tens of them
+    sample = {"en": np.array([langid.counts("a few words of text")], np.float32), "de": np.array([langid.counts("ein paar Worte")], np.float32)}
+    model = langid.Centroids(np.ones(langid.WIDTH), sample, 4, 0.5)
+    inside: dict = {}
+
+    class Docs:
+        columns, schema = ["text"], []
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            inside["f"] = f
+
+    langid.identify(Docs(), model)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a few words of text {chr(97 + i % 26)}" for i in range(1000)])], ["text"])
+    list(inside["f"]([batch.slice(0, 1)]))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in inside["f"]([batch])) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    finally:
+        tracemalloc.stop()
+    # ids of a bounded number of words are kept
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    every = map("".join, itertools.product("abcdefghij", repeat=6))
+    for _ in range(15):
+        words.encode(" ".join(itertools.islice(every, 10_000)))
+    assert 0 < len(words.known) <= 120_000
+
+
+def test_language_id_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "lang", "text", "source as `a.b`", "n_chars as `_0`", "0.5D as cosine")
+    out = corpus_pipeline.language_id(spark, docs, SF)
+    assert out.schema.simpleString() == docs.schema.simpleString() and out.count() > 100
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}

@@ -226,3 +226,23 @@ def test_mirrors_ask_for_listings_once(spark):
     s = spark.createDataFrame([(i, f"h{i}", "t") for i in (1, 2, 3)], "id long, host string, token string")
     found = entity.mirrors(m.withColumn("item_id", mark("item_id")), s)
     assert [tuple(r) for r in found.collect()] == [("h2", "h1", "computed")] and 0 < read.value <= 60
+
+
+def test_rollup_hashes_listings(spark):
+    """Numbers and texts are rolled up apart, by hashing, and make what both together make from each supplier's rows."""
+    schema = "id long, supplier_id int, material_key string, item_name string, material_type string, color string, new_arrival int, avg_length double, avg_width double, available_slabs long, product_form string, uom string, image_url string"
+    rows = [
+        (1, 1, "a|x", "A two", "x", None, 0, 10.0, 20.0, 3, "Slab", "EA", ""), (2, 1, "a|x", "A one", "x", "Red", 1, 11.0, 20.0, 4, "Tile", "SF", None),
+        (3, 2, "a|x", None, "y", "", 0, None, 20.0, None, None, None, "https://slabcloud.com/slabs/3.jpg"), (4, 2, "a|x", "A", "y", "", None, 9.0, 1.0, 9, "Slab", "EA", "https://img/4.jpg"),
+        (5, 2, None, "bare", None, None, 0, 1.0, 1.0, 1, "Slab", "EA", None), (6, 2, "", "bare", None, None, 0, 1.0, 1.0, 1, "Slab", "EA", ""), (7, 1, "id:5", "named like it", "z", "", 0, 1.0, 1.0, 1, "Slab", "EA", ""),
+        (8, 9, "gone|x", "of no supplier", "x", "", 0, 1.0, 1.0, 1, "Slab", "EA", ""),
+    ]
+    m, s = spark.createDataFrame(rows, schema), spark.createDataFrame([(1,), (2,)], "id int")
+    found = rollup.product_rollup(m, s)
+    want = rollup.across_suppliers(rollup.per_supplier(m.where("supplier_id <> 9")))
+    assert found.columns == want.columns and sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 3
+    totals = rollup.product_totals(m, s)
+    assert sorted(map(repr, totals.collect())) == sorted(map(repr, found.select(*totals.columns).collect()))
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4

@@ -19,8 +19,10 @@ from . import commits
 from .commits import BUCKET
 from .staging import staged
 
-#: Rows of product and supplier for each bucket.
+#: Rows of product and supplier for each bucket, about.
 PER_BUCKET = 1_000_000
+#: Tasks that make the rows of product and supplier of a bucket.
+PARTS = 4
 
 
 def tokens(name: Column) -> Column:
@@ -28,9 +30,20 @@ def tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _held(materials: DataFrame, suppliers: DataFrame) -> DataFrame:
-    known = materials.join(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")
-    return rollup.per_supplier(known, more=(F.collect_set("item_name").alias("names"),))
+def _known(materials: DataFrame, suppliers: DataFrame) -> DataFrame:
+    return materials.join(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")
+
+
+def _held(known: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    return rollup.per_supplier(known, more=(F.collect_set("item_name").alias("names"),), within=within)
+
+
+def _held_in_buckets(known: DataFrame, n: int) -> DataFrame:
+    """The same in its buckets: listings go straight to where their rows are made and written."""
+    used = ("id", "supplier_id", "material_key", "item_name", "material_type", "color", "new_arrival", "avg_length", "avg_width", "available_slabs", "product_form", "uom", "image_url")
+    part = F.pmod(F.xxhash64("supplier_id"), F.lit(PARTS)).alias("_part")
+    dealt = known.select(*used, rollup.group_key().alias("grp")).select("*", commits.bucket_of("grp", n), part).drop("grp").repartition(n * PARTS, BUCKET, "_part")
+    return _held(dealt, (BUCKET, "_part")).drop("_part").sortWithinPartitions(BUCKET, "grp", "supplier_id")
 
 
 def _postings(held: DataFrame) -> DataFrame:
@@ -45,9 +58,14 @@ def _cut(df: DataFrame, n: int, *order: str) -> DataFrame:
 def rebuild(spark: SparkSession, path: str, materials: DataFrame, suppliers: DataFrame, per_bucket: int = PER_BUCKET) -> int:
     """Makes all three tables anew; returns the version."""
     base, _ = commits.manifest(spark, path)
-    held = staged(_held(materials, suppliers), "held")
-    n = max(1, -(-held.count() // per_bucket))
-    tables = {"held": _cut(held, n, "grp", "supplier_id"), "rollup": _cut(rollup.across_suppliers(held), n, "grp"), "postings": _cut(_postings(held), n, "token", "grp")}
+    known = _known(materials, suppliers)
+    rows = known.agg(F.approx_count_distinct(F.xxhash64(rollup.group_key(), "supplier_id")).alias("n")).first()["n"]
+    n = max(1, -(-rows // per_bucket))
+    tables = {
+        "held": _held_in_buckets(known, n),
+        "rollup": lambda made: _cut(rollup.across_suppliers(made["held"]), n, "grp"),
+        "postings": lambda made: _cut(_postings(made["held"]), n, "token", "grp"),
+    }
     return commits.commit(spark, path, base, tables, note={"buckets": n})
 
 
@@ -62,8 +80,8 @@ def refresh(spark: SparkSession, path: str, replaced: DataFrame, materials: Data
     """The tables after all materials of some suppliers (replaced: supplier_id) have given way to new ones (materials, of those suppliers only). Returns the version."""
     base, now = commits.manifest(spark, path)
     n = now["note"]["buckets"]
-    gone = replaced.select("supplier_id").distinct()
-    fresh = staged(_held(materials.join(gone, "supplier_id", "left_semi"), suppliers), "fresh")
+    gone = F.broadcast(replaced.select("supplier_id").distinct())  # numbers of storefronts; what is stored stays where it lies
+    fresh = staged(_held(_known(materials.join(gone, "supplier_id", "left_semi"), suppliers)), "fresh")
     had = commits.table(spark, path, "held", base).join(gone, "supplier_id", "left_semi").select("grp")
     touched = staged(had.unionByName(fresh.select("grp")).distinct().withColumn(BUCKET, commits.bucket_of("grp", n)), "touched")
     buckets = [r[0] for r in touched.select(BUCKET).distinct().collect()]
@@ -71,11 +89,13 @@ def refresh(spark: SparkSession, path: str, replaced: DataFrame, materials: Data
         return base
     products = touched.select("grp")
     old = {t: commits.table(spark, path, t, base, buckets) for t in ("held", "rollup", "postings")}
-    held = staged(old["held"].join(gone, "supplier_id", "left_anti").select(*fresh.columns).unionByName(fresh), "held")
-    again = held.join(products, "grp", "left_semi")
-    made = {"rollup": rollup.across_suppliers(again), "postings": _postings(again)}
-    tables = {t: _cut(old[t].join(products, "grp", "left_anti").unionByName(made[t]), n, *order) for t, order in (("rollup", ("grp",)), ("postings", ("token", "grp")))}
-    tables["held"] = _cut(held, n, "grp", "supplier_id")
+    held = old["held"].join(gone, "supplier_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+    again = lambda made: made["held"].join(products, "grp", "left_semi")
+    tables = {
+        "held": _cut(held, n, "grp", "supplier_id"),
+        "rollup": lambda made: _cut(old["rollup"].join(products, "grp", "left_anti").unionByName(rollup.across_suppliers(again(made))), n, "grp"),
+        "postings": lambda made: _cut(old["postings"].join(products, "grp", "left_anti").unionByName(_postings(again(made))), n, "token", "grp"),
+    }
     return commits.commit(spark, path, base, tables, replacing=dict.fromkeys(tables, buckets))
 
 

@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +32,46 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Words that a worker remembers the ids of; it forgets them all when there are more.
-REMEMBERED = 100_000
+#: Chunks, and words, that a worker remembers the ids of, and as many again from before; longer ones are not remembered.
+CHUNKS = 200_000
+WORDS = 300_000
+LONGEST = 40
+
+
+class _Whole(Exception):
+    """A chunk that only the tokenizer itself can encode, with the text around it."""
+
+
+class _Kept(dict):
+    """Values by key, made where they are missing. When it is full it starts anew and takes back from before what is used again, so that frequent keys stay."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, equal to those of the tokenizer in `path`.
 
-    The tokenizer splits a text into words and encodes each alone, so a word's ids can be kept. That
-    holds for texts of Latin letters, digits and ASCII signs, on which Python's lower() and \\w agree with
+    The tokenizer splits a text into words, none with white space inside, and encodes each alone. So
+    the ids of what stands between white space (a chunk), and of its words, can be kept. That holds
+    for texts of Latin letters, digits and ASCII signs, on which Python's lower() and \\w agree with
     the tokenizer's rules; all others go through the tokenizer whole.
     """
 
-    #: The tokenizer's word pattern, and the characters on which Python's classes agree with it.
+    #: The tokenizer's word pattern, and the characters but white space on which Python's classes agree with it.
     WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ɏ]*")
+    PLAIN = re.compile("[\x21-\x7e¡-¬®-±´-¸º»¿-įı-ɏ]*")
     SPECIAL = "<|"
 
     def __init__(self, path: str) -> None:
@@ -56,26 +82,29 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
+        self.words, self.chunks = _Kept(self._word, WORDS), _Kept(self._chunk, CHUNKS)
 
     def _word(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)  # ASCII signs and letters stand for themselves
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters alone
+            return self.words[chunk.lower().decode()]
+        text = chunk.decode()
+        if self.PLAIN.fullmatch(text) is None or self.SPECIAL in text:
+            raise _Whole
+        return b"".join(map(self.words.__getitem__, self.WORD.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
-        if self.PLAIN.fullmatch(text) is None or self.SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.WORD.findall(text.lower())
-        known = self.known
+        return self.encode_utf8(text.encode())
+
+    def encode_utf8(self, text: bytes) -> bytes:
         try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.chunks.__getitem__, text.split()))  # bytes are split at ASCII white space only
+        except _Whole:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _encoders: dict[str, WordIds] = {}
@@ -99,8 +128,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int
         task, seen, words = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for i, text in enumerate(batch.column(1)):
-                ids = words.encode(text.as_py() or "") + end
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                ids = words.encode_utf8(text.as_py() or b"") + end
                 for n, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     for column, value in zip(rows, (i, n, at // 4, len(part) // 4, part, seen[len(part)]), strict=True):

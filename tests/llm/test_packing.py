@@ -107,3 +107,21 @@ def test_repeated_rows_and_other_columns(spark):
             assert r.offset == at
             at += r.length
         assert at <= 512
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    """Words that go on being used are tokenized no more than a few times, however many rare ones come between, and nothing is kept without bound."""
+    from tessera.llm import packing
+
+    monkeypatch.setattr(packing, "CHUNKS", 50)
+    monkeypatch.setattr(packing, "WORDS", 50)
+    words = WordIds(PATH)
+    made, rng = [], random.Random(3)
+    make = words.words.make
+    words.words.make = lambda w: made.append(w) or make(w)
+    for i in range(300):
+        rare = " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(10))
+        text = f"The cat, {rare} the\x1cend. {'x' * 90}" if i % 7 == 0 else f"The cat, {rare} {'x' * 90} THE {i}"
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert made.count("the") == made.count("cat") == 1
+    assert all(len(d) <= 51 and all(len(k) <= packing.LONGEST for k in d) for kept in (words.words, words.chunks) for d in (kept, kept.before))

@@ -33,8 +33,11 @@ def numbered(history: DataFrame) -> DataFrame:
 
 
 def prune(history: DataFrame, keep: int) -> DataFrame:
-    """The last `keep` snapshots of each supplier, two at least: what readers compare."""
-    return history.join(numbered(history).where(F.col("nth") <= max(keep, 2)).drop("nth"), ["supplier_id", "snapshot_date"], "left_semi")
+    """The last `keep` snapshots of each supplier, two at least: what readers compare. Dates are ranked where the rows lie, as history may be a long plan that a join with its own dates would run twice."""
+    dated = history.where(F.col("supplier_id").isNotNull() & F.col("snapshot_date").isNotNull())
+    nth = F.dense_rank().over(Window.partitionBy("supplier_id").orderBy(F.desc("snapshot_date")))
+    rest = (c for c in history.columns if c not in ("supplier_id", "snapshot_date"))
+    return dated.withColumn("_nth", nth).where(F.col("_nth") <= max(keep, 2)).select("supplier_id", "snapshot_date", *rest)
 
 
 def listings(history: DataFrame) -> DataFrame:

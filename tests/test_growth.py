@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import history
 from tessera.plans import pages
 
 
@@ -22,3 +23,17 @@ def test_others_repeat_a_suppliers_row_for_each_page(spark):
     assert all((r.id, r.variants, r.slabs, r.has_tile, r.image_url, r.supplier_name) == (r.supplier_id, 80, 80, 0, "u", f"h{r.supplier_id}") for r in rows)
     plan = others._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Join")
+
+
+def test_pruned_history_is_made_once(spark):
+    """Dates are ranked on the rows themselves; rows without supplier or date go, two dates stay at least."""
+    rows = [(d, s, n) for s in (1, 2, None) for d in ("2001-01-01", "2002-01-01", "2003-01-01", "2004-01-01", None) for n in "aab"] + [("2000-01-01", 3, "a")]
+    past = spark.createDataFrame(rows, "day string, supplier_id long, name_norm string")
+    past = past.groupBy("name_norm", F.col("day").cast("timestamp").alias("snapshot_date"), "supplier_id").agg(F.count(F.lit(1)).alias("slabs"))
+    for keep, first in ((1, 2003), (3, 2002)):
+        out = history.prune(past, keep)
+        assert out.columns == ["supplier_id", "snapshot_date", "name_norm", "slabs"]
+        want = [(s, y, n, 1 + (n == "a")) for s in (1, 2) for y in range(first, 2005) for n in "ab"] + [(3, 2000, "a", 1)]
+        assert sorted((r.supplier_id, r.snapshot_date.year, r.name_norm, r.slabs) for r in out.collect()) == sorted(want)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 1 and "Join" not in plan

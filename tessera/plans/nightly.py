@@ -93,4 +93,7 @@ class Tail:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return rollup.stats(self.materials, self._in[0], self.mirrors)
+        kept = staged(self.materials.select("supplier_id", "item_id", "material_type", "material_key", "image_url"), "kept")  # read for mirrors, storefronts and listings
+        if "mirrors" not in self.__dict__:
+            self.mirrors = entity.mirrors(kept, self._in[0])
+        return rollup.stats(kept, self._in[0], self.mirrors)

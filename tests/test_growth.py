@@ -25,6 +25,15 @@ def test_others_repeat_a_suppliers_row_for_each_page(spark):
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Join")
 
 
+def test_nightly_figures_read_what_was_written(spark):
+    """Figures of the tail come from listings that were written once; the tables beneath are not read and joined again for each."""
+    from tessera.upkeep_queries import QUERIES
+
+    found = QUERIES["q15_nightly_stats"](spark, "/root/testdata/sf0.001")
+    assert "l_partkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(found.collect()) == 1
+
+
 def test_pruned_history_is_made_once(spark):
     """Dates are ranked on the rows themselves; rows without supplier or date go, two dates stay at least."""
     rows = [(d, s, n) for s in (1, 2, None) for d in ("2001-01-01", "2002-01-01", "2003-01-01", "2004-01-01", None) for n in "aab"] + [("2000-01-01", 3, "a")]

@@ -8,17 +8,20 @@ J(x, y) >= t. Jaccard distance d = 1 - J is a metric, and with it everything is
    n - ceil(t n) + 1 of each, so a class goes to the regions of those (its boundary window).
    Where more of them must be shared (the windows are a little wider than that), pairs met in small
    regions alone count only if they meet often enough.
-2. Inside a region, counts of a class's shingles by the first six bits of their hash are compared.
-   Their L1 distance never exceeds the size of the symmetric difference, so it is a metric that can
-   only let through too much. Leaders capture the classes within a radius; by the triangle
-   inequality anything linked to a captured class lies within a wider radius of the leader, and is
-   joined with it loosely. Only the leaders are held in memory. Regions that many classes share are
-   split by salt, their leaders joined once more.
+2. Inside a region, counts of a class's shingles by the first bits of their hash are compared, more
+   counts the more shingles there are. Their L1 distance never exceeds the size of the symmetric
+   difference, so it is a metric that can only let through too much. Classes are compared in the
+   order of their sizes with those that aren't too small for them, which alone are held in memory;
+   pairs met in small regions are compared likewise. Regions that many classes share are split by
+   salt. There, leaders capture the classes within a radius; by the triangle inequality anything
+   linked to a captured class lies within a wider radius of the leader, and is joined with it
+   loosely. Leaders are joined once more across salts.
 3. What is loosely connected is joined exactly, with whole sets: a pivot captures what lies within
    1 - t, and only classes in the triangle-inequality window around that sphere are looked at
    again, by recursion on smaller regions. Loose components too large for one task are first cut
    into Voronoi regions around several pivots, boundary classes (d <= nearest + 2 (1 - t)) being
-   replicated, and this again for regions that stay large; the rest is joined block by block.
+   replicated, and this again for regions that stay large; what is far from every pivot stays one
+   region and isn't replicated. The rest is joined block by block.
 
 All pairs within a group are never listed: a link is looked for only between classes that are not
 yet known to be connected. A document without words, or a null text, links with nothing. Repeated
@@ -42,8 +45,9 @@ from .textnum import chunks, shingles
 
 #: Buckets that shingles are counted in, and counts in a row of that table.
 BUCKETS, BLOCK = 1 << 22, 1 << 14
-#: Counts that bound the difference of two sets.
-CELLS = 64
+#: Least and most counts, as powers of two, that bound the difference of two sets; leaders have the least.
+CELL_BITS = (6, 12)
+CELLS = 1 << CELL_BITS[0]
 #: Regions of at most so many classes have their pairs compared directly.
 SMALL = 8
 #: Least and most bits, as powers of two, of the table of classes whose sets are needed again; 32 MB at most.
@@ -67,11 +71,22 @@ def _id(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _cells(u: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+def _cells(u: np.ndarray, bits: int = CELL_BITS[0]) -> np.ndarray:
+    return np.minimum(np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
-def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+def _folded(raw: list[bytes], bits: int) -> np.ndarray:
+    """Cells of at least so many bits as rows of that many; a count that was cut at 255 stays cut."""
+    out = np.empty((len(raw), 1 << bits), np.int16)
+    sizes = np.array([len(x) for x in raw])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        cells = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), np.uint8).reshape(len(at), 1 << bits, -1)
+        out[at] = cells[:, :, 0] if size == 1 << bits else np.minimum(cells.sum(2, dtype=np.int32), 255)
+    return out
+
+
+def classes(docs: DataFrame, width: int, bounds: Bounds) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, k, id, cells) of all documents, k a digest of the set, null if empty, and id its first eight bytes; and the number of documents by bucket of shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -83,7 +98,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             for u in _sets(batch.column(1), width):
                 n.append(len(u))
                 k.append(_key(u) if len(u) else None)
-                cells.append(_cells(u).tobytes() if len(u) else None)
+                cells.append(_cells(u, bounds.bits(len(u))).tobytes() if len(u) else None)
                 np.add.at(total, (u & np.uint64(BUCKETS - 1)).astype(np.int64), np.int32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array([x and _id(x) for x in k], pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         packed = [zlib.compress(x.tobytes(), 1) for x in total.astype("<u4", copy=False).reshape(-1, BLOCK)] if total.any() else []
@@ -130,6 +145,11 @@ class Bounds:
         """A class linked to one within radius * n of a leader of size n is within wide(radius) * n of it."""
         return radius + (1 - self.t) / self.t * (1 + radius) + 1e-9
 
+    def bits(self, n: int) -> int:
+        """Cells for a set of size n, as a power of two: so many that sets that have nothing in common differ by about twice what linked ones may."""
+        a_cell = (0.56 / self.difference(1 - self.t, 2)) ** 2
+        return min(max(int(n / a_cell).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+
     def linked(self, inter: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
         return self.den * inter >= self.num * (a + b - inter)
 
@@ -138,13 +158,13 @@ class Bounds:
 
 
 def region_rows(docs: DataFrame, width: int, counts: np.ndarray, bounds: Bounds, hot: int) -> DataFrame:
-    """(s, salt, pos, id, n): each class in the regions of its first shingles, rarest first; once at most in a task. Regions that aren't split have salt -1."""
+    """(s, salt, id, n): each class in the regions of its first shingles, rarest first; once at most in a task. Regions that aren't split have salt -1."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, done = shared.value, set()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], []]
             for u in _sets(batch.column(0), width):
                 if not len(u) or (key := _key(u)) in done:
                     continue
@@ -154,23 +174,22 @@ def region_rows(docs: DataFrame, width: int, counts: np.ndarray, bounds: Bounds,
                 salts, m = 1 + c[order] // hot, len(order)
                 parts[0].append(u[order].view(np.int64))
                 parts[1].append(np.where(salts > 1, int.from_bytes(key[:4], "little") % salts, -1).astype(np.int32))
-                parts[2].append(np.arange(m, dtype=np.int32))
-                parts[3].append(np.full(m, _id(key)))
-                parts[4].append(np.full(m, len(u), np.int32))
+                parts[2].append(np.full(m, _id(key)))
+                parts[3].append(np.full(m, len(u), np.int32))
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["s", "salt", "pos", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["s", "salt", "id", "n"])
 
-    return docs.select("text").mapInArrow(emit, "s long, salt int, pos int, id long, n int")
+    return docs.select("text").mapInArrow(emit, "s long, salt int, id long, n int")
 
 
 def met_pairs(rows: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b, need, s, salt, pos, id): the pairs (a, b) of each small region, of which `need` regions must have them; and the rows (s, salt, pos, id) of other regions."""
+    """(a, b, need, s, salt, id): the pairs (a, b) of each small region, of which `need` regions must have them; and the rows (s, salt, id) of other regions."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, salt, pos, ids, n = (c.to_numpy() for c in batch.columns)
+            s, salt, ids, n = (c.to_numpy() for c in batch.columns)
             cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(salt) != 0)) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
             size = ends - starts
@@ -193,13 +212,120 @@ def met_pairs(rows: DataFrame, bounds: Bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     join(np.minimum(ids[i], ids[j]), x, True), join(np.maximum(ids[i], ids[j]), x, True), join(need, x.cast(pa.int32()), True),
-                    join(s[rest], y, False), join(salt[rest], y.cast(pa.int32()), False), join(pos[rest], y.cast(pa.int32()), False), join(ids[rest], y, False),
+                    join(s[rest], y, False), join(salt[rest], y.cast(pa.int32()), False), join(ids[rest], y, False),
                 ],
-                ["a", "b", "need", "s", "salt", "pos", "id"],
+                ["a", "b", "need", "s", "salt", "id"],
             )
 
-    dealt = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "id")
-    return dealt.mapInArrow(meet, "a long, b long, need int, s long, salt int, pos int, id long")
+    dealt = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "id")
+    return dealt.mapInArrow(meet, "a long, b long, need int, s long, salt int, id long")
+
+
+def near_pairs(pairs: DataFrame, known: DataFrame, bounds: Bounds) -> DataFrame:
+    """Those of the pairs (a, b) that may link, as far as the cells of known (id, n, cells) tell."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, y = batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            bits = np.array([min(len(p), len(q)).bit_length() - 1 for p, q in zip(x, y, strict=True)], np.int64)
+            kept = np.zeros(len(n), bool)
+            for b in np.unique(bits).tolist():
+                at = np.flatnonzero(bits == b)
+                far = np.abs(_folded([x[i] for i in at.tolist()], b) - _folded([y[i] for i in at.tolist()], b)).sum(1)
+                kept[at] = far <= bounds.difference(1 - bounds.t, n[at])
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    side = lambda id, n, cells: known.select(F.col("id").alias(id), F.col("n").alias(n), F.col("cells").alias(cells))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return both.select("a", "b", (F.col("m") + F.col("n")).alias("n"), "x", "y").mapInArrow(test, "a long, b long")
+
+
+class Window:
+    """Rows of unsplit regions in the order of their sizes: those of the last region that are large enough for what may follow."""
+
+    #: Regions of more classes are gone through row by row, so that what is tied already isn't compared again; at first with so many before it.
+    LARGE, LAST = 64, 256
+
+    def __init__(self, bounds: Bounds) -> None:
+        self.bounds = bounds
+        self.s = self.ids = self.n = self.root = np.zeros(0, np.int64)
+        self.raw: list[bytes] = []
+
+    def add(self, s: np.ndarray, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """The next rows, sorted by region, size and id; the pairs of ids that may link and aren't tied yet."""
+        old = len(self.s)
+        s, ids, n, raw = np.concatenate((self.s, s)), np.concatenate((self.ids, ids)), np.concatenate((self.n, n)), self.raw + raw
+        root = np.concatenate((self.root, np.arange(old, len(s))))
+        new = np.concatenate(([True], (np.diff(s) != 0) | (np.diff(ids) != 0)))  # a class may come from several tasks
+        if not new.all():
+            s, ids, n, raw = s[new], ids[new], n[new], [x for x, a in zip(raw, new.tolist(), strict=True) if a]
+            root = np.concatenate((root[:old], np.arange(old, len(s))))
+        cut = np.flatnonzero(np.diff(s) != 0) + 1
+        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
+        self.s, self.ids, self.n, self.raw, self.root = s, ids, n, raw, root
+        self.bits = np.array([len(x).bit_length() - 1 for x in raw])
+        large = ends - starts > self.LARGE
+        found = [self._small(old, np.repeat(np.where(large, 0, ends), ends - starts))]
+        for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+            found.append(self._large(a, max(a, old), b))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])), 1)
+        a = starts[-1] + np.searchsorted(self.bounds.den * n[starts[-1] :], self.bounds.num * n[-1])
+        _, first, back = np.unique(self.root[a:], return_index=True, return_inverse=True)
+        self.s, self.ids, self.n, self.raw, self.root = s[a:], ids[a:], n[a:], raw[a:], first[back]
+        return np.unique(out, axis=0)
+
+    def _small(self, old: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs within each region, all regions at once; ends: of each row's region."""
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in np.unique(self.bits[ends > 0]).tolist():  # the smaller set has fewer cells or as many
+            i, at = np.flatnonzero((self.bits == b) & (ends > 0)), np.flatnonzero((self.bits >= b) & (ends > 0))
+            place = np.zeros(len(ends), np.int64)
+            place[at] = np.arange(len(at))
+            cells = _folded([self.raw[x] for x in at.tolist()], b)
+            gap = 0
+            while len(i):
+                gap += 1
+                i = i[i + gap < ends[i]]
+                i = i[self.bounds.den * self.n[i] >= self.bounds.num * self.n[i + gap]]
+                x = i[(i + gap >= old) & (self.root[i] != self.root[i + gap])]
+                step = max(1, (1 << 20) >> b)
+                for lo in range(0, len(x), step):
+                    p = x[lo : lo + step]
+                    far = np.abs(cells[place[p]] - cells[place[p + gap]]).sum(1)
+                    p = p[far <= self.bounds.difference(1 - self.bounds.t, self.n[p] + self.n[p + gap])]
+                    if len(p):
+                        one.append(p)
+                        two.append(p + gap)
+                        a, c = self.root[p], self.root[p + gap]
+                        np.minimum.at(self.root, np.maximum(a, c), np.minimum(a, c))
+                        while ((up := self.root[self.root]) != self.root).any():
+                            self.root = up
+        return np.concatenate(one), np.concatenate(two)
+
+    def _large(self, start: int, old: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs within one region, rows from start to end, of which those before old have been compared."""
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        low = start + np.searchsorted(self.bounds.den * self.n[start:end], self.bounds.num * self.n[old:end])
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for j, lo in zip(range(old, end), low.tolist(), strict=True):
+            last = max(lo, j - self.LAST)
+            for a, b in ((last, j), (lo, last)):
+                others = a + np.flatnonzero(self.root[a:b] != self.root[j])
+                for bits in np.unique(self.bits[others]).tolist():
+                    if bits not in held:  # of those with as many cells or more
+                        first = start + np.searchsorted(self.bits[start:end], bits)
+                        held[bits] = first, _folded(self.raw[first:end], bits)
+                    (first, cells), x = held[bits], others[self.bits[others] == bits]
+                    far = np.abs(cells[x - first] - cells[j - first]).sum(1)
+                    x = x[far <= self.bounds.difference(1 - self.bounds.t, self.n[x] + self.n[j])]
+                    x = x[np.unique(self.root[x], return_index=True)[1]]  # one of each group
+                    if len(x):
+                        one.append(x)
+                        two.append(np.full(len(x), j))
+                        part, all_ = self.root[start:end], np.append(self.root[x], self.root[j])
+                        part[np.isin(part, all_)] = all_.min()
+        return np.concatenate(one), np.concatenate(two)
 
 
 class Leaders:
@@ -253,27 +379,31 @@ class Leaders:
 
 
 def loose_edges(rows: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b, s, k, n, cells, radius): loose edges (a, b) of large regions, rows (s, salt, pos, id, n, cells); and the leaders of salted ones (s and what follows)."""
-    rows = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "id").select("s", "salt", "id", "n", "cells")
+    """(a, b, s, k, n, cells, radius): loose edges (a, b) of large regions, rows (s, salt, id, n, cells); and the leaders of salted ones (s and what follows)."""
+    rows = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "n", "id").select("s", "salt", "id", "n", "cells")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, state = None, None
+        region, state, window = None, None, Window(bounds)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, salt, ids, n = (batch.column(c).to_numpy() for c in range(4))
-            cells = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS)
-            cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(salt) != 0)) + 1
+            s, salt, ids, n = (batch.column(c).to_numpy().astype(np.int64) for c in range(4))
+            raw, whole = batch.column(4).to_pylist(), np.flatnonzero(salt < 0)
             edges: list[tuple[int, int]] = []
             closed = []
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True):
+            if len(whole):
+                edges += map(tuple, window.add(s[whole], ids[whole], n[whole], [raw[i] for i in whole.tolist()]).tolist())
+            split = np.flatnonzero(salt >= 0)
+            s, salt, ids, n, cells = s[split], salt[split], ids[split], n[split], _folded([raw[i] for i in split.tolist()], CELL_BITS[0])
+            cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(salt) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True) if len(s) else ():
                 if (s[a], salt[a]) != region:
-                    if state is not None and region[1] >= 0:
+                    if state is not None:
                         closed.append((region[0], state))
                     region, state = (s[a], salt[a]), Leaders(bounds)
                 state.add(ids[a:b].tolist(), n[a:b], cells[a:b], edges)
             yield _edges(edges, closed)
-        if state is not None and region[1] >= 0:
+        if state is not None:
             yield _edges([], [(region[0], state)])
 
     return rows.mapInArrow(lead, "a long, b long, s long, k long, n int, cells binary, radius double")
@@ -421,7 +551,12 @@ def exact_edges(rows: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def voronoi(rows: DataFrame, bounds: Bounds, pivots: int = 16) -> DataFrame:
-    """Rows (region, k, set) in the regions around pivots of each region: nearest and boundary ones; with home, d, and the edge (a) to the pivot where it links."""
+    """Rows (region, k, set) in the regions around pivots of each region: nearest and boundary ones; with d, and the edge (a) to the pivot where it links.
+
+    A class within 2 (1 - t) of some pivot is at home with its nearest, and what links with it lies
+    within 3 (1 - t). Classes that are farther from every pivot are at home together, as one region
+    more. Pivots lie farther than 2 (1 - t) from each other.
+    """
     part = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(pivots))
     chosen = (
         rows.groupBy("region", part.alias("j"))
@@ -433,20 +568,30 @@ def voronoi(rows: DataFrame, bounds: Bounds, pivots: int = 16) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["region", "k", "set", "d", "a"]
+        mine, apart = None, []  # the region, and its pivots
+
+        def to(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
+            inter, n = np.array(len(np.intersect1d(x, y, assume_unique=True))), np.array(len(x))
+            return float(bounds.apart(inter, n, len(y))), bool(bounds.linked(inter, n, len(y)))
+
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for g, k, raw, around in zip(*(batch.column(c).to_pylist() for c in ("region", "k", "set", "pivots")), strict=True):
+                if g != mine:
+                    mine, apart = g, []
+                    for p in around:
+                        y = np.frombuffer(p["set"], "<u8")
+                        if all(to(y, z)[0] > 2 * r for *_, z in apart):
+                            apart.append((p["j"], p["k"], y))
                 x = np.frombuffer(raw, "<u8")
-                met = []
-                for p in around:
-                    y = np.frombuffer(p["set"], "<u8")
-                    inter = len(np.intersect1d(x, y, assume_unique=True))
-                    met.append((float(bounds.apart(np.array(inter), np.array(len(x)), len(y))), p["j"], p["k"], bool(bounds.linked(np.array(inter), np.array(len(x)), len(y)))))
+                met = [(*to(x, y), j, p) for j, p, y in apart]
                 nearest = min(d for d, *_ in met)
-                for d, j, p, tied in met:
-                    if d <= nearest + 2 * r + 1e-9:
-                        for column, value in zip(out, (f"{g}/{j}", k, raw, d, p if tied else None), strict=True):
-                            column.append(value)
+                at = [(f"{g}/{j}", d, p if tied else None) for d, tied, j, p in met if d <= min(nearest + 2 * r, 3 * r) + 1e-9]
+                if nearest > 2 * r:
+                    at.append((f"{g}/-", 1.0, None))
+                for region, d, p in at:
+                    for column, value in zip(out, (region, k, raw, d, p), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.binary())], names)
 
     return rows.join(chosen, "region").select("region", "k", "set", "pivots").mapInArrow(cut, "region string, k binary, set binary, d double, a binary")
@@ -540,12 +685,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
 
 
 def _components(docs: DataFrame, width: int, bounds: Bounds, hot: int, task_bytes: int) -> DataFrame:
-    made, counts = classes(docs, width)
+    made, counts = classes(docs, width, bounds)
     kinds = made.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     known = made.where("k is not null").groupBy("id").agg(F.max("n").cast("int").alias("n"), F.min_by("cells", "k").alias("cells"))
     met = stage(met_pairs(region_rows(docs, width, counts, bounds, hot), bounds), "met")
     pairs = met.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
-    loose = stage(loose_edges(met.where("s is not null").select("s", "salt", "pos", "id").join(known, "id"), bounds), "loose")
+    pairs = near_pairs(pairs, known, bounds)
+    loose = stage(loose_edges(met.where("s is not null").select("s", "salt", "id").join(known, "id"), bounds), "loose")
     edges = pairs.unionByName(loose.where("a is not null").select("a", "b")).unionByName(salted_edges(loose.where("s is not null"), bounds))
     loosely = stage(connected_components(edges), "loosely")
     size = loosely.join(known.select("id", "n"), F.col("node") == F.col("id")).groupBy("root").agg((8 * F.sum("n")).alias("bytes"))

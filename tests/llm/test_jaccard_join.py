@@ -178,3 +178,86 @@ def test_salted_leaders_lose_no_link(spark, radii, most):
                 assert find(keys[i]) == find(keys[j])
     assert linked > 100
     assert most > 3 or len(across) <= 2 * len(rows)
+
+
+def near_copies(seed, n, size, edits):
+    """Sets of about `size` hashes, of several near copies each, and sets with nothing in common; all share one hash."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    while len(sets) < n:
+        base = rng.integers(1, 1 << 64, int(size * rng.uniform(0.7, 1.4)), dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 6))):
+            x = base.copy()
+            x[rng.choice(len(x), int(rng.integers(0, edits)), replace=False)] = rng.integers(1, 1 << 64, dtype=np.uint64)
+            sets.append(np.unique(np.append(x, np.uint64(0))))
+    return [sets[i] for i in rng.permutation(n).tolist()]
+
+
+def links(sets, bounds):
+    """The pairs that link."""
+    return [(i, j) for i, x in enumerate(sets) for j in range(i) if bounds.linked(len(set(x.tolist()) & set(sets[j].tolist())), len(x), len(sets[j]))]
+
+
+@pytest.mark.parametrize("n, size, similarity", [(40, 300, (80, 100)), (180, 1500, (80, 100)), (180, 60, (90, 100)), (90, 900, (90, 100))])
+def test_unrelated_sets_of_a_region_stay_apart(spark, n, size, similarity):
+    """Long sets that share a shingle, in a region of more than eight classes, aren't tied together: that made components of everything that is long, whose disk grew with every level that they were cut in."""
+    from tessera.llm.jaccard_join import _cells, loose_edges
+
+    bounds = Bounds(*similarity)
+    sets = near_copies(n, n, size, size // 8)
+    rows = [(s, -1, i, len(x), bytearray(_cells(x, bounds.bits(len(x))).tobytes())) for s in (5, 9) for i, x in enumerate(sets)]
+    rows += [rows[0], (7, -1, 0, len(sets[0]), rows[0][-1])]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # regions reach over several batches
+    try:
+        edges = [tuple(r) for r in loose_edges(spark.createDataFrame(rows, "s long, salt int, id long, n int, cells binary"), bounds).where("a is not null").select("a", "b").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    assert all(find(i) == find(j) for i, j in links(sets, bounds))
+    assert max(np.unique([find(i) for i in range(n)], return_counts=True)[1]) <= 5
+
+
+def test_pairs_that_cannot_link_go(spark):
+    """Short sets that met once in a small region, too: their cells tell."""
+    from tessera.llm.jaccard_join import _cells, near_pairs
+
+    bounds = Bounds(80, 100)
+    sets = near_copies(1, 60, 30, 5) + near_copies(2, 20, 2000, 300)
+    known = spark.createDataFrame([(i, len(x), bytearray(_cells(x, bounds.bits(len(x))).tobytes())) for i, x in enumerate(sets)], "id long, n int, cells binary")
+    every = spark.createDataFrame([(j, i) for i in range(80) for j in range(i)], "a long, b long")
+    kept = {tuple(r) for r in near_pairs(every, known, bounds).collect()}
+    linked = {(j, i) for i, j in links(sets, bounds)}
+    assert linked <= kept and len(kept) < 3 * len(linked)
+
+
+def test_what_is_far_from_pivots_is_not_copied(spark):
+    """Sets that no pivot is near to stay one region; each was copied to the regions of all 16 pivots, level by level."""
+    from tessera.llm.jaccard_join import large_edges, voronoi
+
+    bounds = Bounds(80, 100)
+    sets = near_copies(3, 240, 120, 20)
+    rows = spark.createDataFrame([("r", bytearray(i.to_bytes(4, "big")), bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(sets)], "region string, k binary, set binary")
+    assert len(sets) <= voronoi(rows, bounds).count() < 1.5 * len(sets)
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in large_edges(rows, bounds, 20_000).collect():
+        root[find(int.from_bytes(r.a, "big"))] = find(int.from_bytes(r.b, "big"))
+    want = list(range(240))
+    for i, j in links(sets, bounds):
+        a, b = want[i], want[j]
+        want = [a if x == b else x for x in want]
+    assert all((find(i) == find(j)) == (want[i] == want[j]) for i in range(240) for j in range(i))

@@ -207,6 +207,23 @@ def test_page_facts_have_every_colour_in_sql_too(spark):
     assert got == want and want[0][1] == "Gray,Navy Blue,Red,White"
 
 
+def test_page_facts_list_more_than_eight_colours(spark):
+    """The query lists as many colours of a product as its SQL does, which has no limit."""
+    import duckdb
+
+    from tessera.more_queries import ORACLE_SQL, a15_page_facts
+    from tessera.sources.fixture import PREFIX
+
+    colours = "Beige Black Blue Brown Gold Gray Green Pink Red White".split()
+    rows = [("cold rod|promo", c, 60.0 + i, 40.0, i % 3) for i, c in enumerate(colours)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE materials (material_key VARCHAR, color VARCHAR, avg_length DOUBLE, avg_width DOUBLE, supplier_id BIGINT)")
+    con.executemany("INSERT INTO materials VALUES (?, ?, ?, ?, ?)", rows)
+    want = con.execute(ORACLE_SQL["a15_page_facts"].removeprefix(PREFIX)).fetchall()
+    m = spark.createDataFrame(rows, "material_key string, color string, avg_length double, avg_width double, supplier_id long")
+    assert [tuple(r) for r in a15_page_facts(m, None, spark, "").collect()] == want and want[0][1] == ",".join(colours)
+
+
 def test_a_colour_is_looked_at_once_for_each_product(spark):
     """Choices are weighed on (product, colour), of which there are few, and count its listings."""
     rows = [("a", "Gray, White")] * 3 + [("a", None), ("a", "Red"), ("b", "Gray, White")]

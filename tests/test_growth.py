@@ -25,6 +25,34 @@ def test_others_repeat_a_suppliers_row_for_each_page(spark):
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Join")
 
 
+def test_others_of_a_product_are_written_next_to_each_other(spark, tmp_path, monkeypatch):
+    """A task writes product after product, its pages always in the same order; many pages share the suppliers out, and nothing is told or lost twice."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(pages, "LIST", 4, raising=False)
+    monkeypatch.setattr(pages, "SPREAD", 8, raising=False)
+    # supplier i has products 0 to 5 as listings i * 6 to i * 6 + 5; its page is that of product i % 6
+    m = spark.range(360).select(
+        F.col("id"), F.expr("id div 6").alias("supplier_id"), F.concat(F.lit("k"), F.col("id") % 6).alias("material_key"), F.lit("b").alias("base"), F.lit("2cm").alias("thickness"),
+        F.lit("Slab").alias("product_form"), F.lit(1).cast("long").alias("available_slabs"), F.lit("u").alias("image_url"), F.lit("n").alias("item_name"), F.lit("t").alias("material_type"),
+    )
+    s = spark.range(60).select("id", F.lit("").alias("company"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"))
+    s = s.hint("merge")  # many suppliers are met in the order of their ids
+    asked = [i * 6 + i % 6 for i in range(60)]
+    pages.item_pages(m, s, spark.createDataFrame([(i,) for i in asked], "id long"), m.limit(0))["others"].write.parquet(str(tmp_path / "out"))
+    every = []
+    for file in sorted((tmp_path / "out").glob("*.parquet")):
+        rows = pq.ParquetFile(file).read().to_pylist()
+        products = [r["of"] % 6 for r in rows]
+        assert sum(a != b for a, b in zip(products, products[1:], strict=False)) < max(1, len(set(products)))
+        by_supplier: dict = {}
+        for r in rows:
+            by_supplier.setdefault((r["of"] % 6, r["supplier_id"]), []).append(r["of"])
+        assert all(len(v) == 10 for v in by_supplier.values()) and len({tuple(v) for v in by_supplier.values()}) == len(set(products))
+        every += [(r["of"], r["supplier_id"], r["id"], r["supplier_name"]) for r in rows]
+    assert sorted(every) == sorted((a, i, i * 6 + a % 6, f"h{i}") for a in asked for i in range(60))
+
+
 def test_nightly_figures_read_what_was_written(spark):
     """Figures of the tail come from listings that were written once; the tables beneath are not read and joined again for each."""
     from tessera.upkeep_queries import QUERIES

@@ -108,6 +108,68 @@ def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, tmp_path):
     assert run(spark, tmp_path) == want == table(spark, ONE + TWO)
 
 
+def test_shares_of_a_bucket_are_weighed_together():
+    """What a batch brings for 300 shares costs a few calls of state, and each is told what plain dicts say of it."""
+    import random
+
+    import pandas as pd
+
+    calls = []
+
+    class Map(dict):
+        iterator, removeKey = lambda self: iter([*self.items()]), dict.__delitem__  # noqa: N815
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            self[key] = value
+
+    class Value(list):
+        exists, get, update = lambda self: bool(self), lambda self: self[-1], lambda self, v: (calls.append(v), self.append(v))
+
+    class Handle:
+        getMapState, getValueState = lambda self, *_: Map(), lambda self, *_: Value()  # noqa: N815
+
+    r, crawls = random.Random(5), alerts._Crawls()
+    crawls.init(Handle())
+    days = [pd.Timestamp("2024-01-01") + pd.Timedelta(i, "us") for i in range(5)]
+    listings, ends, told, columns = {}, {}, set(), ["supplier_id", "salt", "day", "ends", "rebased", "id", "name_norm", "thickness", "slabs"]
+    for n in range(8):
+        came = [(2**60 + r.randrange(150), r.randrange(2), r.choice([*days, pd.NaT]), False, 0, 2**60 + r.randrange(9), r.choice(["a", "b", "c", None]), r.choice(["2cm", "", None]), r.randrange(4)) for _ in range(900)]
+        came += [(2**60 + r.randrange(150), r.randrange(2), r.choice(days), True, r.randrange(2), 0, None, None, 0) for _ in range(90 * (n > 1))]
+        got = {}
+        calls.clear()
+        for part in crawls.handleInputRows((0,), iter([pd.DataFrame(came[:400], columns=columns), pd.DataFrame(came[400:], columns=columns)]), None):
+            for row in part.astype(object).where(part.notna(), None).itertuples(index=False):
+                got.setdefault((row.supplier_id, row.salt), []).append(row)
+        assert len(calls) <= len(days) + 1
+        marks, seen = {}, {}
+        for sid, salt, day, is_end, rebased, key, *rest in came:
+            if day is not pd.NaT:
+                seen.setdefault((sid, salt), set()).add(day)
+                if is_end:
+                    marks[sid, salt, day] = max(rebased, marks.get((sid, salt, day), 0))
+                else:
+                    listings.setdefault((sid, salt), {}).setdefault(day, {})[key] = rest
+        for (sid, salt, day), rebased in marks.items():
+            ends.setdefault((sid, salt), {})[day] = rebased
+        want = {k for k in seen if seen[k] & set(sorted(ends.get(k, ()))[-2:]) and len(ends.get(k, ())) > 1}
+        assert got.keys() == want
+        for k in want:
+            before, now = sorted(ends[k])[-2:]
+            sums, was, is_ = {}, *(listings.get(k, {}).get(d, {}) for d in (before, now))
+            for side, part in ((0, is_), (1, was)):
+                for name, thickness, slabs in part.values():
+                    if name is not None and thickness is not None:
+                        at = sums.setdefault((name, thickness), [None, None])
+                        at[side] = (at[side] or 0) + slabs
+            names = [len({v[0] for v in part.values()} - {None}) for part in (is_, was)]
+            fixed = (now, bool(ends[k][now]) and not ends[k][before], *names)
+            assert {x[4:] for x in got[k]} == {(*p, *v, *fixed[1:]) for p, v in sums.items()} | {(None, None, None, None, *fixed[1:])}
+            assert len(got[k]) == len(sums) + 1 and {x.latest_date for x in got[k]} == {now} and {x.seq for x in got[k]} == {n + 1}
+            told.add(fixed[1])
+    assert told == {True, False}
+
+
 # --- run monitor --------------------------------------------------------------------------------
 
 EVENT = "catalog string, run_id string, at timestamp, kind string, value string"

@@ -263,3 +263,24 @@ def test_rollup_hashes_listings(spark):
     plan = totals._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4
+
+
+def test_figures_by_type_have_every_listing_of_a_named_type(spark):
+    """The query counts the listings of all types that the tables have, as its SQL does; listings of no type and accessories are left out by the operator."""
+    import duckdb
+
+    from tessera.operators import rollup
+    from tessera.sources.fixture import PREFIX
+    from tessera.upkeep_queries import ORACLE_SQL, a6_by_type
+
+    kinds = "SMALL ECONOMY PROMO LARGE STANDARD MEDIUM".split()
+    rows = [(k, f"{'old' if j % 2 else 'red'} rod {j}|{k.lower()}", f"{'old' if j % 2 else 'red'} rod {j}") for i, k in enumerate(kinds) for j in range(i + 2)]
+    rows += [("", "plain rod|", "plain rod"), ("Accessory / Non-Slab", "sink|accessory", "sink")]
+    m = spark.createDataFrame(rows, "material_type string, material_key string, base string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE materials (material_type VARCHAR, material_key VARCHAR, base VARCHAR)")
+    con.executemany("INSERT INTO materials VALUES (?, ?, ?)", rows)
+    want = [(k, i + 2, i + 2) for i, k in enumerate(kinds)]
+    assert sorted(map(tuple, a6_by_type(m, None, spark, "").collect())) == sorted(want)
+    assert sorted(con.execute(ORACLE_SQL["a6_by_type"].removeprefix(PREFIX)).fetchall()) == sorted(want)
+    assert {r.material_type for r in rollup.by_type(m).collect()} == set(kinds)
